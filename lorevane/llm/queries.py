@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name: (module, function, tables it reads)
 _QUERIES = {
+    "op5_simhash_multi_index": ("simhash", "digest", ("documents",)),
     "op2_best_fit_packing": ("packing", "digest", ("documents",)),
     "op10_minimax_sharding": ("sharding", "digest", ("documents",)),
     "op9_quality_rules": ("rules", "digest", ("documents",)),
