@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name: (module, function, tables it reads)
 _QUERIES = {
+    "op1_toxicity_crf": ("toxicity", "digest", ("documents", "labels")),
+    "op4_quality_gbdt": ("gbdt", "digest", ("documents", "labels")),
     "op5_simhash_multi_index": ("simhash", "digest", ("documents",)),
     "op2_best_fit_packing": ("packing", "digest", ("documents",)),
     "op10_minimax_sharding": ("sharding", "digest", ("documents",)),
