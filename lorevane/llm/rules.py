@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, discard, materialize
 
 WINDOW = 5
-#: The sample for costs: so many rows at most, taken from the first partitions.
-SAMPLE_ROWS = 2000
+#: The sample for costs: so many rows at most, of at most so many characters, taken from the first partitions.
+SAMPLE_ROWS, SAMPLE_CHARS = 500, 50_000
 #: Bits of a sort key that hold the position of a window; the others hold its hash.
 POSITION_BITS = 30
 PREFIX = "__rules_"
@@ -92,11 +92,12 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def order_rules(measured: DataFrame, rules: tuple[Rule, ...] = EXTRA, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def order_rules(docs: DataFrame, text: str, rules: tuple[Rule, ...] = EXTRA, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejected rows per second, highest first, as a sample of at most sample_rows rows shows it."""
     if len(rules) < 2:
         return list(rules)
-    sample = materialize(measured.limit(sample_rows))
+    rows = docs.select(F.col(text).alias("text")).where(F.length("text") <= SAMPLE_CHARS).limit(sample_rows).collect()
+    sample = materialize(with_statistics(docs.sparkSession.createDataFrame([(r["text"],) for r in rows], "text string")))
     worth = []
     for rule in rules:
         count = sample.agg(F.count(F.when(F.expr(rule.rejects), 1)).alias("n"))
@@ -119,7 +120,7 @@ def cascade(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE, extra: tuple[Rule, ...] = EXTRA) -> DataFrame:
     """docs with the statistics, base_failed, rejected_by (first rejecting rule of the cascade) and kept."""
     measured = with_statistics(docs, text)
-    rules = [*base, *order_rules(measured, extra)]
+    rules = [*base, *order_rules(docs, text, extra)]
     failed = F.expr(" OR ".join(f"({r.rejects})" for r in base))
     return measured.withColumns({"base_failed": failed, "rejected_by": cascade(rules)}).withColumn("kept", F.col("rejected_by").isNull()).drop(PREFIX + "text", PREFIX + "lines")
 

@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import remainder_of_id, sliced
 
-TRAIN_DOCS = 1500
-TRAIN_CHARS = 20_000
+TRAIN_DOCS = 1000
+TRAIN_CHARS = 10_000
 FOLDS = 5
 PREFIXES = (5, 6, 7, 8)
 SPAN = 0.5
 #: A feature stands out if it is in this share of toxic training documents at least, and its log odds are this high.
 LEAST_SHARE, LEAST_ODDS = 0.01, 2.5
-STEPS, RATE, PENALTY = 60, 0.3, 1e-3
+STEPS, RATE, PENALTY = 30, 0.5, 1e-3
 #: ASCII characters that are no letters or digits separate tokens.
 _BREAKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _CACHE = 400_000
