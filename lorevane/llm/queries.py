@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name: (module, function, tables it reads)
 _QUERIES = {
+    "op3_suffix_dedup": ("suffix_dedup", "digest", ("documents",)),
     "op7_fm_decontamination": ("decontam", "digest", ("documents", "benchmark")),
     "op1_toxicity_crf": ("toxicity", "digest", ("documents", "labels")),
     "op4_quality_gbdt": ("gbdt", "digest", ("documents", "labels")),
