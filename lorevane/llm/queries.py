@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name: (module, function, tables it reads)
 _QUERIES = {
+    "op8_masked_likelihood": ("lm_score", "digest", ("documents",)),
+    "op6_site_template_text": ("html_template", "digest", ("pages",)),
     "op3_suffix_dedup": ("suffix_dedup", "digest", ("documents",)),
     "op7_fm_decontamination": ("decontam", "digest", ("documents", "benchmark")),
     "op1_toxicity_crf": ("toxicity", "digest", ("documents", "labels")),
