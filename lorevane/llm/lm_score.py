@@ -6,7 +6,7 @@ word's probability comes from its count over all documents, or, beyond the VOCAB
 bytes of the word. The sum over all words of the logarithms of both is the document's score.
 
 Counts cover all documents. Every round of training goes over all documents: each partition starts from the shared
-parameters, masks one word in MASK_EVERY and learns to predict it, and the mean of the partitions' parameters, weighted
+parameters, masks one word in MASK_EVERY (in short runs, at an offset of each text's own) and learns to predict it, and the mean of the partitions' parameters, weighted
 by their masked words, starts the next round. Partitions send parameters, whose number is fixed, never texts.
 
 Null and empty texts have no words: their sum is 0 and their mean null. Repeated rows are scored each on its own. Very
@@ -31,8 +31,8 @@ FREQUENT, TAIL, VOCABULARY = 95, 32, 20_000
 #: Class 0 stands for places before the first and after the last word.
 CLASSES = 1 + FREQUENT + TAIL
 SIDES, HIDDEN = (-2, -1, 1, 2), 24
-ROUNDS, MASK_EVERY, BATCH, RATE = 2, 12, 256, 0.05
-_COUNTED, _CACHE, _CHUNK = 200_000, 400_000, 16_384
+ROUNDS, MASK_EVERY, RUN, BATCH, RATE = 2, 12, 4, 256, 0.05
+_COUNTED, _CACHE, _CHUNK = 200_000, 400_000, 1024
 _SHAPES = ((len(SIDES), CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 
 
@@ -49,16 +49,21 @@ class Vocabulary:
     """Class and log probability within the class of frequent words; what unknown words share; log odds of bytes."""
 
     known: dict[bytes, tuple[int, float]]
-    unknown: np.ndarray
-    of_byte: np.ndarray
+    unknown: list[float]
+    of_byte: list[float]
 
     def look_up(self, word: bytes) -> tuple[int, float]:
         found = self.known.get(word)
         if found is None:
             c = tail_class(word)
-            found = c, float(self.unknown[c] + self.of_byte[np.frombuffer(word, np.uint8)].sum() + self.of_byte[256])
+            odds = self.of_byte
+            found = c, self.unknown[c] + sum([odds[b] for b in word]) + odds[256]
         return found
 
+    def class_of(self, word: bytes) -> int:
+        found = self.known.get(word)
+        return found[0] if found else tail_class(word)
+
 
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n over all documents, and rows (null, byte, n) for bytes: columns word, byte, n."""
@@ -91,7 +96,6 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     # At most VOCABULARY rows and 257 rows.
     top = counted.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     bytes_ = {r["byte"]: r["n"] for r in counted.where("byte IS NOT NULL").collect()}
-    total = bytes_.get(256, 0)
     totals = np.zeros(CLASSES)
     suffixes = counted.where("word IS NOT NULL").groupBy(F.pmod(F.crc32(F.expr("CASE WHEN octet_length(word) <= 3 THEN word ELSE substring(word, octet_length(word) - 2, 3) END")), F.lit(TAIL)).alias("k")).agg(F.sum("n").alias("n"))
     for r in suffixes.collect():
@@ -108,7 +112,7 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
         left[c] -= r["n"]
     discard(counted)
     of_byte = np.array([bytes_.get(b, 0) + 0.5 for b in range(257)])
-    return Vocabulary(known, np.log(np.maximum(left, 0.5) / rest), np.log(of_byte / (of_byte.sum())) if total else np.full(257, -np.log(257.0)))
+    return Vocabulary(known, np.log(np.maximum(left, 0.5) / rest).tolist(), np.log(of_byte / of_byte.sum()).tolist())
 
 
 class Reader:
@@ -135,6 +139,19 @@ class Reader:
             logs += (0.0, 0.0)
         return np.array(classes, np.int64), np.array(logs), np.array(lengths, np.int64)
 
+    def masked(self, texts: list[bytes], turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Classes around masked words, and the places of these: RUN words of every RUN * MASK_EVERY, from an offset of the text's own."""
+        classes: list[int] = []
+        at: list[int] = []
+        class_of, cycle = self.v.class_of, RUN * MASK_EVERY
+        for text in texts:
+            found = [b"", b"", *words(text), b"", b""]
+            for s in range(2 + (zlib.crc32(text) + turn * RUN) % cycle if len(found) > cycle else 2, len(found) - 2, cycle):
+                n = min(RUN, len(found) - 2 - s)
+                at += range(len(classes) + 2, len(classes) + 2 + n)
+                classes += [class_of(w) if w else 0 for w in found[s - 2 : s + n + 2]]
+        return np.array(classes, np.int64), np.array(at, np.int64)
+
 
 def start() -> list[np.ndarray]:
     rng = np.random.default_rng(7)
@@ -142,10 +159,11 @@ def start() -> list[np.ndarray]:
 
 
 def hidden(p: list[np.ndarray], classes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = p[1] + p[0][0][classes[at + SIDES[0]]]
+    out = np.take(p[0][0], classes[at + SIDES[0]], axis=0)
     for k in range(1, len(SIDES)):
-        out = out + p[0][k][classes[at + SIDES[k]]]
-    return np.tanh(out)
+        out += np.take(p[0][k], classes[at + SIDES[k]], axis=0)
+    out += p[1]
+    return np.tanh(out, out=out)
 
 
 def log_probabilities(p: list[np.ndarray], classes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -183,7 +201,7 @@ def learn(p: list[np.ndarray], squares: list[np.ndarray], classes: np.ndarray, a
             w -= RATE * g / (np.sqrt(q) + 1e-6)
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, mask_every: int = MASK_EVERY) -> list[np.ndarray]:
+def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarray]:
     """The network's parameters after `rounds` rounds over all documents."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(v)
@@ -197,9 +215,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, mask_every: int
             reader, seen = Reader(shared.value), 0
             for whole in batches:
                 for batch in sliced(whole, limit=2 << 20):
-                    classes, _, _ = reader.read(list(text_bytes(batch.column("text"))))
-                    at = np.flatnonzero(classes)
-                    at = at[(at * 2654435761 + number * 40503) % 4294967296 % mask_every == 0]
+                    classes, at = reader.masked(list(text_bytes(batch.column("text"))), number)
                     learn(p, squares, classes, at)
                     seen += len(at)
             if seen:
