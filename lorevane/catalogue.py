@@ -1,11 +1,348 @@
-"""The queries over the library's own operators, and their SQL."""
+"""The queries over the library's own operators, and the SQL that gives the same rows.
+
+The tables have no downloads, grids or PDFs, so some inputs are derived from table columns, in Spark and in SQL alike.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import conversation as C
+from .operators import grids as G
+from .operators import links as L
+from .operators import retrieval as R
+from .sources import files as S
+
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+#: The same white space as functions.text.WHITESPACE, as RE2 writes it.
+_WS = "\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+_STRIP = f"regexp_replace(%s, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
+
+
+def _query(nodes: DataFrame, number: int) -> DataFrame:
+    return nodes.where(F.col("node_id") == number).select(F.col("node_id").alias("query_id"), "embedding")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").withColumn("hour", F.hour("ts"))
+
+
+# Retrieval
+
+
+def sentence_window(spark, sf_dir):
+    return R.sentence_windows(R.sentences(_table(spark, sf_dir, "documents"))).select("doc_id", F.col("ord").cast("long").alias("ord"), "window")
+
+
+def topk_cosine(spark, sf_dir):
+    nodes = _vectors(spark, sf_dir)
+    queries = nodes.where("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), "embedding")
+    return R.top_k(queries, nodes).select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("pos").cast("long").alias("pos"))
+
+
+def _dual(spark, sf_dir):
+    nodes = _vectors(spark, sf_dir)
+    return R.merge_hits(R.top_k(_query(nodes, 0), nodes), R.top_k(_query(nodes, 1), nodes))
+
+
+def dual_retrieval_merge(spark, sf_dir):
+    return _dual(spark, sf_dir).select("node_id", F.round("score", 6).alias("score"), F.col("pos").cast("long").alias("pos"))
+
+
+def rerank_batches(spark, sf_dir):
+    nodes = _vectors(spark, sf_dir)
+    return R.batches(R.top_k(_query(nodes, 0), nodes)).select("node_id", F.col("batch").cast("long").alias("batch"))
+
+
+def retrieval_answer(spark, sf_dir):
+    """Two retrievals, merge, rerank by token overlap with document 0, sentence windows, labels: one row for each node kept."""
+    docs = _table(spark, sf_dir, "documents")
+    n = docs.count()
+    hits = _dual(spark, sf_dir).withColumn("doc_id", F.col("node_id") % n)
+    asked = docs.where("doc_id = 0").select(F.col("text").alias("question"))
+    # A hit list has at most 30 rows, and the question is one row.
+    found = docs.select("doc_id", "text", "source").join(F.broadcast(hits), "doc_id").join(F.broadcast(asked))
+    best = R.rerank(found, F.col("question"), F.col("text"))
+    first = R.sentence_windows(R.sentences(docs.join(F.broadcast(best.select("doc_id").distinct()), "doc_id", "left_semi"))).where("ord = 0").select("doc_id", "window")
+    noted = best.join(first, "doc_id", "left").withColumn("metadata", F.create_map(F.lit("file_name"), F.col("source"), F.lit("window"), F.col("window")))
+    return R.widen(noted).select(F.col("rank").cast("long").alias("rank"), "node_id", "doc_id", F.round("relevance", 6).alias("relevance"), T.source_label(F.col("metadata")).alias("label"), F.col("text").alias("window"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_answer(spark, sf_dir)
+
+
+def _metadata() -> Column:
+    """file_name unless doc_id ends in 9, page_label for even ids."""
+    name = F.when(F.col("doc_id") % 10 != 9, F.col("source"))
+    page = F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 5).cast("string"))
+    return F.map_filter(F.create_map(F.lit("file_name"), name, F.lit("page_label"), page), lambda k, v: v.isNotNull())
+
+
+def ordered_sources(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumn("metadata", _metadata())
+    return R.ordered_sources(docs, "lang", order="doc_id").select("lang", F.array_join("sources", ";").alias("sources"))
+
+
+def source_labels(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.source_label(_metadata()).alias("label"))
+
+
+# Conversations
+
+
+def _user_turns(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").where("role = 'user'")
+
+
+def history_last3(spark, sf_dir):
+    return C.recent(_user_turns(spark, sf_dir)).select("conv_id", "turn", "history")
+
+
+def last_result(spark, sf_dir):
+    return C.last_state(_table(spark, sf_dir, "conversations"), ["role", "text"]).select("conv_id", "role", "text")
+
+
+def appended_results(spark, sf_dir):
+    return C.appended_state(_table(spark, sf_dir, "conversations"), "text").select("conv_id", F.array_join("text", "\u0001").alias("texts"))
+
+
+def intent_route(spark, sf_dir):
+    label = F.expr("CASE turn % 4 WHEN 0 THEN ' action.' WHEN 1 THEN 'Clarify or academic' WHEN 2 THEN 'the academic ' ELSE left(text, 3) END")
+    return C.route(_table(spark, sf_dir, "conversations"), label).select("conv_id", "turn", "next_agent", "node")
+
+
+def page_concat(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    plain = C.page_concat(turns, "conv_id", "turn")
+    return plain.join(C.page_concat(turns, "conv_id", "turn", ocr=True).withColumnRenamed("text", "ocr_text"), "conv_id")
+
+
+def page_carry(spark, sf_dir):
+    return C.page_carry(_table(spark, sf_dir, "conversations")).select("conv_id", "turn", "carry")
+
+
+# Links
+
+
+def _anchors(spark, sf_dir):
+    return L.anchors(_table(spark, sf_dir, "pages"))
+
+
+def link_resolve(spark, sf_dir):
+    return _anchors(spark, sf_dir).select("page_id", F.col("ord").cast("long").alias("ord"), L.resolve(F.col("url"), F.col("href")).alias("full_url"))
+
+
+def link_first_writer(spark, sf_dir):
+    named = _anchors(spark, sf_dir).withColumn("name", T.safe_name(T.first_line("txt")))
+    return L.first_writer(named.where("name <> ''"), "name", ["page_id", "ord"]).select("name", "page_id", F.col("ord").cast("long").alias("ord"))
+
+
+_HREF = "CASE page_id % 7 WHEN 0 THEN '#' WHEN 1 THEN 'javascript:go()' WHEN 2 THEN '/d/a.ODT' WHEN 3 THEN '/d/a.DOCX' WHEN 4 THEN '/profile/' || page_id WHEN 5 THEN '/d/b.pdf' ELSE url END"
+_NAME = "CASE page_id % 5 WHEN 0 THEN '某測試用檔案' WHEN 1 THEN '檔案下載' WHEN 2 THEN '3. 下載' WHEN 3 THEN url ELSE 'Form ' || page_id || '.docx' END"
+
+
+def link_filter(spark, sf_dir):
+    linked = _table(spark, sf_dir, "pages").select("page_id", F.expr(_HREF).alias("href"), F.expr(_NAME).alias("name"))
+    kept = linked.where(L.wanted(F.col("href")))
+    return kept.select("page_id", "href", L.extension(F.col("href"), F.col("name")).alias("ext"))
+
+
+def blacklist(spark, sf_dir):
+    named = _table(spark, sf_dir, "pages").select("page_id", F.expr(_NAME).alias("name"))
+    return named.where(~L.blacklisted(F.col("name"))).select("page_id", T.without_extension(T.safe_name(T.without_number("name"))).alias("name"))
+
+
+def anti_existing(spark, sf_dir):
+    named = _anchors(spark, sf_dir).select("page_id", "ord", T.first_line("txt").alias("file_name"))
+    existing = named.where("page_id % 3 = 0").select("file_name")
+    return L.without_existing(named, existing, F.col("file_name")).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+def url_quote(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(T.quote_path("text")).alias("quoted"))
+
+
+def text_clean(spark, sf_dir):
+    wrapped = F.concat(F.lit("```markdown\nhere is the file\n\n"), F.col("text"), F.lit("\n```\n\nHope this helps! z"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_transcript(wrapped)).alias("cleaned"))
+
+
+# Tables and grids
+
+
+def density_gate(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").where(F.col("text").contains("|"))
+    cells = docs.select("doc_id", F.lit(0).alias("page"), F.lit(0).alias("tbl"), F.explode(F.split("text", "\\|")).alias("text"))
+    return G.dense_tables(cells, docs.select("doc_id")).select("doc_id", "has_table")
+
+
+def density_semi(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    cells = docs.select("source", "lang", F.expr("left(text, CAST(n_chars % 60 AS INT))").alias("text"))
+    return G.dense_tables(cells, docs.select("source").distinct(), key="source", table=("lang",)).select("source", "has_table")
+
+
+def span_expand(spark, sf_dir):
+    """Each user's events of an hour as a row of cells, one to three columns wide."""
+    order = Window.partitionBy("user_id", "hour").orderBy("event_id")
+    cells = _events(spark, sf_dir).select(F.col("user_id").alias("table_id"), F.col("hour").alias("r"), F.row_number().over(order).alias("ord"), F.lit(1).alias("rowspan"), (1 + F.col("event_id") % 3).cast("int").alias("colspan"), F.col("event_type").alias("text"))
+    return G.expand_spans(cells).select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "text")
+
+
+def pivot_fixed_domain(spark, sf_dir):
+    events = _events(spark, sf_dir)
+    wide = events.groupBy("hour").pivot("event_type", list(EVENT_TYPES)).count()
+    return wide.select(F.col("hour").cast("long").alias("hour"), *(F.coalesce(F.col(t), F.lit(0)).cast("long").alias(t) for t in EVENT_TYPES))
+
+
+def _courses(spark, sf_dir):
+    """Rare events as courses: the hour names the period, the id the day; hours past the last period have none."""
+    names, days = (F.array(*(F.lit(x) for x in y)) for y in ([p.replace("Ａ", "A") for p, _ in G.PERIODS], [*G.DAYS, "星期日"]))
+    rare = _events(spark, sf_dir).where("value > 99.5 AND hour % 3 = 0")
+    return rare.select(F.get(names, F.col("hour")).alias("period"), F.get(days, (F.col("event_id") % 7).cast("int")).alias("day"), F.col("event_id").alias("ord"), F.array(F.col("event_id").cast("string"), F.col("event_type")).alias("details"))
+
+
+def grid_fill(spark, sf_dir):
+    grid = G.timetable(_courses(spark, sf_dir))
+    return grid.select("period", "time", *(F.array_join(d, ",").alias(f"d{i}") for i, d in enumerate(G.DAYS)))
+
+
+def keyed_accumulate(spark, sf_dir):
+    lists = _events(spark, sf_dir).withColumn("details", F.array(F.col("event_type"), F.col("event_id").cast("string")))
+    return G.accumulate(lists, ["user_id", "hour"], "event_id").select("user_id", F.col("hour").cast("long").alias("hour"), F.array_join("details", ",").alias("details"))
+
+
+def chunk3(spark, sf_dir):
+    listed = G.accumulate(_events(spark, sf_dir).withColumn("details", F.array(F.col("event_type"))), ["user_id"], "event_id")
+    return listed.select("user_id", F.posexplode(T.chunks(F.col("details"), 3)).alias("n", "c")).select("user_id", F.col("n").cast("long").alias("n"), F.array_join("c", "/").alias("chunk"))
+
+
+def parse_lists(spark, sf_dir):
+    """Course lists written as Python literals, and texts that are none."""
+    said = F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise(F.concat(F.lit("[{'day': '"), F.col("event_type"), F.lit("', 'details': ['"), F.col("user_id").cast("string"), F.lit("', 'x']}]")))
+    said = F.when(F.col("event_id") % 8 == 1, F.concat(F.lit("["), said, F.lit("]"))).otherwise(said)
+    parsed = _table(spark, sf_dir, "events").select("event_id", "event_type", G.parse_list(said).alias("list"))
+    return parsed.select("event_id", F.coalesce(F.get("list", 0)["day"], F.col("event_type")).alias("day"), F.array_join(F.get("list", 0)["details"], ",").alias("details"))
+
+
+def latest_mtime(spark, sf_dir):
+    """Events as files; those of type view are hidden."""
+    files = _table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "view", ".view").otherwise(F.col("event_type")).alias("file_name"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("mtime"))
+    return S.latest_mtime(files)
+
+
+def history_stream(spark, sf_dir):
+    """history_last3 as a stream over the table's files, with the threads' texts as state; the stream ends with its input."""
+    from .plans.streams import history_to_table
+
+    return history_to_table(spark, f"{sf_dir}/conversations.parquet", "role = 'user'")
+
+
+_QUERIES = [
+    sentence_window, topk_cosine, dual_retrieval_merge, rerank_batches, retrieval_answer, ordered_sources, source_labels,
+    history_last3, last_result, appended_results, intent_route, page_concat, page_carry,
+    link_resolve, link_first_writer, link_filter, blacklist, anti_existing, url_quote, text_clean,
+    density_gate, density_semi, span_expand, pivot_fixed_domain, grid_fill, keyed_accumulate, chunk3, parse_lists, latest_mtime,
+    history_stream,
+]
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
+
+
+_SENTENCES = f"""
+SELECT doc_id, sent, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord
+FROM (SELECT doc_id, {_STRIP % 'unnest(parts)'} AS sent, unnest(range(len(parts))) AS i
+      FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '([。！？])', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents))
+WHERE sent <> ''
+"""
+
+
+def _top(where: str) -> str:
+    return f"""SELECT q.vec_id AS query_id, n.vec_id AS node_id, list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, n.vec_id) AS pos
+    FROM embeddings n CROSS JOIN embeddings q WHERE {where} QUALIFY pos <= 15"""
+
+
+_MERGED = f"""
+SELECT node_id, arg_max(score, place) AS score, row_number() OVER (ORDER BY min(place)) AS pos
+FROM (SELECT node_id, score, pos + 1000 * query_id AS place FROM ({_top('q.vec_id IN (0, 1)')})) GROUP BY node_id
+"""
+_WORDS = "list_distinct(list_filter(string_split_regex(lower(%s), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))"
+_LABEL = "CASE WHEN doc_id % 10 <> 9 THEN source ELSE '未知文件' END || CASE WHEN doc_id % 2 = 0 THEN ' (第 ' || (doc_id % 5) || ' 頁)' ELSE '' END"
+_LINKS = """
+SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href,
+       unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS raw,
+       unnest(range(len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)))) AS ord FROM pages
+"""
+_TEXT = "replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_SAFE = "regexp_replace(%s, '[\\\\/*?:\"<>|\\n\\r\\t]', '', 'g')"
+_BARE = "regexp_replace(name, '^[0-9]+[.、\\s]*', '')"
+_PERIOD_ROWS = ", ".join(f"({i}, '{p}', '{t}', {str(p in G.OPTIONAL).lower()})" for i, (p, t) in enumerate(G.PERIODS))
+_DAY_CASE = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN 'd{i}'" for i in range(6)) + " END"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "sentence_window": f"SELECT doc_id, ord, string_agg(sent, ' ') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS \"window\" FROM ({_SENTENCES})",
+        "topk_cosine": f"SELECT query_id, node_id, round(score, 6) AS score, pos FROM ({_top('q.vec_id % 20 = 0')})",
+        "dual_retrieval_merge": f"SELECT node_id, round(score, 6) AS score, pos FROM ({_MERGED})",
+        "rerank_batches": f"SELECT node_id, CAST(floor((pos - 1) / 5) AS BIGINT) AS batch FROM ({_top('q.vec_id = 0')})",
+        "retrieval_answer": f"""
+WITH hits AS (SELECT node_id, pos, node_id % (SELECT count(*) FROM documents) AS doc_id FROM ({_MERGED})),
+scored AS (SELECT h.*, d.source, d.text, len(list_intersect({_WORDS % 'q.text'}, {_WORDS % 'd.text'})) / len({_WORDS % 'q.text'}) AS relevance
+  FROM hits h JOIN documents d USING (doc_id) CROSS JOIN (SELECT text FROM documents WHERE doc_id = 0) q),
+ranked AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, pos) AS rank FROM scored QUALIFY rank <= 8),
+windows AS (SELECT doc_id, string_agg(sent, ' ' ORDER BY ord) AS w FROM ({_SENTENCES}) WHERE ord <= 3 GROUP BY doc_id)
+SELECT rank, node_id, doc_id, round(relevance, 6) AS relevance, source AS label, coalesce(w, text) AS "window" FROM ranked LEFT JOIN windows USING (doc_id)""",
+        "ordered_sources": f"SELECT lang, string_agg(label, ';' ORDER BY p) AS sources FROM (SELECT lang, label, min(doc_id) AS p FROM (SELECT lang, doc_id, {_LABEL} AS label FROM documents) GROUP BY lang, label) GROUP BY lang",
+        "source_labels": f"SELECT doc_id, {_LABEL} AS label FROM documents",
+        "history_last3": "SELECT conv_id, turn, string_agg(text, ' -> ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS history FROM conversations WHERE role = 'user'",
+        "history_stream": "SELECT conv_id, turn, string_agg(text, ' -> ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS history FROM conversations WHERE role = 'user'",
+        "last_result": "SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id",
+        "appended_results": "SELECT conv_id, string_agg(text, chr(1) ORDER BY turn) AS texts FROM conversations GROUP BY conv_id",
+        "intent_route": """SELECT conv_id, turn, next_agent, CASE next_agent WHEN 'Action Agent' THEN 'action_node' WHEN 'Clarification Agent' THEN 'clarification_node' WHEN 'Academic Agent' THEN 'academic_node' ELSE 'fallback_node' END AS node
+FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Action Agent' WHEN 1 THEN 'Clarification Agent' WHEN 2 THEN 'Academic Agent' ELSE 'Fallback Agent' END AS next_agent FROM conversations)""",
+        "page_concat": "SELECT conv_id, string_agg(coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn) AS text, string_agg(chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS ocr_text FROM conversations GROUP BY conv_id",
+        "page_carry": "SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 400), '') AS carry FROM conversations",
+        "link_resolve": f"SELECT page_id, ord, regexp_extract(url, '^[a-z]+://[^/]*') || href AS full_url FROM ({_LINKS})",
+        "link_first_writer": f"SELECT name, page_id, ord FROM (SELECT {_SAFE % (_STRIP % _TEXT)} AS name, page_id, ord FROM ({_LINKS})) WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY page_id, ord) = 1",
+        "link_filter": f"""SELECT page_id, href, CASE WHEN lower(href) LIKE '%.docx%' OR lower(name) LIKE '%.docx%' THEN '.docx' WHEN lower(href) LIKE '%.doc%' OR lower(name) LIKE '%.doc%' THEN '.doc' ELSE '.pdf' END AS ext
+FROM (SELECT page_id, {_HREF} AS href, {_NAME} AS name FROM pages)
+WHERE href <> '' AND href <> '#' AND href NOT LIKE '%javascript%' AND lower(href) NOT LIKE '%.odt%' AND regexp_matches(lower(href), 'download|file|\\.pdf|\\.doc')""",
+        "blacklist": f"SELECT page_id, regexp_replace({_SAFE % _BARE}, '(?i)\\.pdf$|\\.docx?$', '') AS name FROM (SELECT page_id, {_NAME} AS name FROM pages) WHERE name NOT LIKE '%測試用檔案%' AND name NOT LIKE '%無效文件%' AND name <> '檔案下載'",
+        "anti_existing": f"WITH l AS (SELECT page_id, {_STRIP % _TEXT} AS file_name FROM ({_LINKS})) SELECT page_id, count(*) AS n FROM l WHERE file_name NOT IN (SELECT file_name FROM l WHERE page_id % 3 = 0) GROUP BY page_id",
+        "url_quote": "SELECT doc_id, md5(replace(url_encode(text), '%2F', '/')) AS quoted FROM documents",
+        "text_clean": f"SELECT doc_id, md5({_STRIP % _clean_sql()}) AS cleaned FROM documents",
+        "density_gate": f"SELECT doc_id, count(*) FILTER (c <> '') >= 4 AND sum(length(c)) / count(*) FILTER (c <> '') < 35 AS has_table FROM (SELECT doc_id, {_STRIP % 'unnest(string_split(text, chr(124)))'} AS c FROM documents WHERE contains(text, '|')) GROUP BY doc_id",
+        "density_semi": f"SELECT source, bool_or(n >= 4 AND s / n < 35) AS has_table FROM (SELECT source, lang, count(*) FILTER (c <> '') AS n, sum(length(c)) AS s FROM (SELECT source, lang, {_STRIP % 'left(text, n_chars % 60)'} AS c FROM documents) GROUP BY source, lang) GROUP BY source",
+        "span_expand": """SELECT user_id AS table_id, h AS row, e - w + k AS col, event_type AS text
+FROM (SELECT user_id, hour(ts) AS h, event_type, 1 + event_id % 3 AS w, sum(1 + event_id % 3) OVER (PARTITION BY user_id, hour(ts) ORDER BY event_id)::BIGINT AS e FROM events), unnest([0, 1, 2]) AS u(k) WHERE k < w""",
+        "pivot_fixed_domain": "SELECT hour(ts) AS hour, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in EVENT_TYPES) + " FROM events GROUP BY hour(ts)",
+        "grid_fill": f"""WITH c AS (SELECT hour(ts) AS period_ord, {_DAY_CASE} AS day, string_agg(event_id || ',' || event_type, ',' ORDER BY event_id) AS details FROM events WHERE value > 99.5 AND hour(ts) % 3 = 0 AND event_id % 7 < 6 GROUP BY 1, 2)
+SELECT period, time, {", ".join(f"coalesce(max(details) FILTER (day = 'd{i}'), '') AS d{i}" for i in range(6))}
+FROM (VALUES {_PERIOD_ROWS}) AS p(period_ord, period, time, optional) LEFT JOIN c USING (period_ord) GROUP BY period, time, optional HAVING count(day) > 0 OR NOT optional""",
+        "keyed_accumulate": "SELECT user_id, hour(ts) AS hour, string_agg(event_type || ',' || event_id, ',' ORDER BY event_id) AS details FROM events GROUP BY user_id, hour(ts)",
+        "chunk3": "SELECT user_id, n, string_agg(event_type, '/' ORDER BY event_id) AS chunk FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 3) AS BIGINT) AS n FROM events) GROUP BY user_id, n",
+        "parse_lists": "SELECT event_id, event_type AS day, CASE WHEN event_id % 4 <> 0 THEN user_id || ',x' END AS details FROM events",
+        "latest_mtime": "SELECT max(epoch_us(ts)) / 1e6 AS latest FROM events WHERE event_type <> 'view'",
+    }
 
 
-def oracle_sql() -> dict:
-    return {}
+def _clean_sql() -> str:
+    out = "'```markdown' || chr(10) || 'here is the file' || chr(10) || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) || 'Hope this helps! z'"
+    for flags, pattern in (("m", T.FENCE_OPEN), ("m", T.FENCE_LINE), ("im", T.LEAD_IN), ("im", T.CLOSING)):
+        out = f"regexp_replace({out}, '(?{flags}){pattern.replace(chr(39), chr(39) * 2)}', '', 'g')"
+    return out
