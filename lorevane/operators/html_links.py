@@ -64,34 +64,42 @@ class _Cells(HTMLParser):
     def __init__(self, table_id: str | None) -> None:
         super().__init__(convert_charrefs=True)
         self.table_id, self.depth, self.row = table_id, 0, -1
-        self.stack: list[int] = []
-        self.cells: list[list] = []
-        self.order = 0
+        self.stack: list[list[int]] = []  # open rows: number, depth of the table, cells so far
+        self.cells: list[list] = []  # row, ord, spans, text, depth of the table while open
 
     def handle_starttag(self, tag, attrs):
         named = dict(attrs)
         if tag == "table" and (self.depth or self.table_id is None or named.get("id") == self.table_id):
             self.depth += 1
         elif self.depth and tag == "tr":
+            self._end_cell()
+            if self.stack and self.stack[-1][1] == self.depth:  # end tags of rows and cells may be left out
+                self.stack.pop()
             self.row += 1
-            self.stack.append(self.row)
-            self.order = 0
+            self.stack.append([self.row, self.depth, 0])
         elif self.depth and tag in ("td", "th") and self.stack:
-            self.cells.append([self.stack[-1], self.order, _span(named.get("rowspan")), _span(named.get("colspan")), [], True])
-            self.order += 1
+            self._end_cell()
+            self.cells.append([self.stack[-1][0], self.stack[-1][2], _span(named.get("rowspan")), _span(named.get("colspan")), [], self.depth])
+            self.stack[-1][2] += 1
         elif tag == "br":
             self.handle_data("\n")
 
+    def _end_cell(self) -> None:
+        for cell in self.cells:
+            if cell[5] == self.depth:
+                cell[5] = 0
+
     def handle_endtag(self, tag):
-        if tag == "table" and self.depth:
-            self.depth -= 1
-        elif tag == "tr" and self.stack:
+        if tag in ("td", "th"):
+            self._end_cell()
+        elif tag == "tr" and self.stack and self.stack[-1][1] == self.depth:
+            self._end_cell()
             self.stack.pop()
-        elif tag in ("td", "th"):
-            for cell in reversed(self.cells):
-                if cell[5]:
-                    cell[5] = False
-                    break
+        elif tag == "table" and self.depth:
+            self._end_cell()
+            while self.stack and self.stack[-1][1] == self.depth:
+                self.stack.pop()
+            self.depth -= 1
 
     def handle_data(self, data):
         for cell in self.cells:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -37,7 +38,7 @@ def wanted(href: Column) -> Column:
     return out & (low.contains("download") | low.contains("file") | low.contains(".pdf") | low.contains(".doc"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     """Absolute urls; null where the url cannot be read."""
     from urllib.parse import urljoin
