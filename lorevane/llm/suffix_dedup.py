@@ -254,7 +254,8 @@ def count_strings(held: DataFrame, length: int = LENGTH) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, th, spans (array of start and number of starts) for the texts with repeated strings."""
     marked = materialize(anchors(docs, length))
-    twice = marked.groupBy("h").count().where("count > 1").select("h")
+    # Written, so that both sides of the joins below come from plain shuffles, whose hot keys Spark can split.
+    twice = materialize(marked.groupBy("h").count().where("count > 1").select("h"))
     shared = materialize(marked.join(twice, "h", "left_semi"))
     discard(marked)
     # Equal stretches once, with one place where each can be read.
@@ -269,7 +270,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     light = cut.where(F.col("different") <= CROWD).repartition("h").sortWithinPartitions("h").select(*_KEY, "body")
     found = sort_stretches(light, length).union(count_strings(cut.where(F.col("different") > CROWD).select(*_KEY, "body"), length))
     equal = once.where("n > 1").select(*_KEY, F.array(F.struct(F.lit(0).alias("at"), F.col("starts").alias("n"))).alias("runs"))
-    found = found.union(equal).groupBy(*_KEY).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    found = materialize(found.union(equal).groupBy(*_KEY).agg(F.flatten(F.collect_list("runs")).alias("runs")))
     spread = shared.join(found, _KEY).select("doc_id", "th", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["at"]).alias("start"), r["n"].alias("n")))).alias("s"))
     return spread.groupBy("doc_id", "th").agg(F.collect_list("s").alias("spans"))
 
