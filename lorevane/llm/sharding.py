@@ -112,8 +112,8 @@ def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shards:
     rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), (F.length(body) + ROW_BYTES).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("h")))
     groups = rows.groupBy("h").agg(F.sum("size").alias("size"))
     total = rows.agg(F.sum("size")).collect()[0][0] or 0
-    # At most `shards` groups can be larger than an equal share, so these few rows are all the candidates.
-    largest = groups.where(F.col("size") * shards >= total).orderBy(F.desc("size"), "h").limit(shards).collect()
+    # Fewer than `shards` groups can be larger than an equal share of what is left, so these rows are all the candidates.
+    largest = groups.orderBy(F.desc("size"), "h").limit(shards).collect()
     alone: list[int] = []
     rest = total
     for r in largest:

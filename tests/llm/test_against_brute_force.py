@@ -1,0 +1,318 @@
+"""Operators against plain versions of them."""
+
+import itertools
+import random
+import zlib
+from collections import Counter
+
+import brute
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lorevane.llm import decontam, gbdt, graph, html_template, lm_score, packing, rules, sharding, simhash, suffix_dedup, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+def texts(frame):
+    return {r["doc_id"]: (r["text"] or "").encode() for r in frame.select("doc_id", "text").collect()}
+
+
+# Operator 1
+
+
+def test_marginals_are_those_of_all_labellings():
+    rng = np.random.default_rng(1)
+    e, t = rng.normal(size=9), rng.normal(size=(2, 2))
+    starts = np.zeros(9, bool)
+    starts[[0, 3, 8]] = True
+    want, pairs = [], np.zeros((2, 2))
+    for a, b in ((0, 3), (3, 8), (8, 9)):
+        weight, joint = np.zeros((b - a, 2)), np.zeros((2, 2))
+        for s in itertools.product((0, 1), repeat=b - a):
+            w = np.exp(sum(e[a + i] * x for i, x in enumerate(s)) + sum(t[p, q] for p, q in zip(s, s[1:])))
+            for i, x in enumerate(s):
+                weight[i, x] += w
+            for p, q in zip(s, s[1:]):
+                joint[p, q] += w
+        want += list(weight[:, 1] / weight.sum(axis=1))
+        pairs += joint / weight[0].sum()
+    p, expected = toxicity.marginals(e, starts, t, pairs=True)
+    assert np.allclose(p, want) and np.allclose(expected, pairs)
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.digest(docs, labels)
+    rows = got.join(labels, "doc_id").where("held_out").collect()
+    assert len(rows) > 50 and np.mean([r["predicted"] == r["toxic"] for r in rows]) >= 0.93
+    assert {r["held_out"] for r in got.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").collect()} == {True}
+    said = texts(docs)
+    for r in got.where("size(spans) > 0").limit(20).collect():
+        body = said[r["doc_id"]].decode()
+        assert all(0 <= s["start"] < s["end"] <= len(body) and body[s["start"] : s["end"]].strip() for s in r["spans"])
+
+
+def test_spans_are_code_points():
+    body = "é, IDIOT idiot! ok"
+    assert [body[s["start"] : s["end"]] for s in toxicity.spans(body, np.array([False, True, True, False]))] == ["IDIOT idiot"]
+
+
+# Operator 2
+
+
+def test_packing(spark, tables):
+    docs = tables["documents"].select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(9001, None), (9002, ""), (9003, "a <|endoftext|> b")], "doc_id long, text string"))
+    rows = packing.pack(docs, with_ids=True).collect()
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    for doc, text in texts(docs).items():
+        ids = [*whole.encode(text.decode(), add_special_tokens=False).ids, 2]
+        parts = sorted(by_doc.pop(doc), key=lambda r: r["piece"])
+        assert [i for p in parts for i in p["ids"]] == ids
+        assert [p["start"] for p in parts] == [sum(q["length"] for q in parts[:k]) for k in range(len(parts))]
+        assert all(p["length"] == 1024 for p in parts[1:]) and [p["piece"] for p in parts] == list(range(len(parts)))
+        assert all(p["ids_crc32"] == zlib.crc32(np.array(p["ids"], "<u4").tobytes()) for p in parts)
+    assert not by_doc
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(sequences) <= 1.02 * sum(r["length"] for r in rows) / 1024 + 1
+    built = packing.sequences(packing.pack(docs, with_ids=True)).collect()
+    assert all(len(r["ids"]) == sum(r["lengths"]) <= 1024 for r in built)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 30), min_size=1), st.sampled_from(["norm", "dot"]), st.integers(1, 5), st.integers(3600, 5000))
+def test_best_fit_keeps_every_limit(histogram, rule, documents, attention):
+    plan = packing.best_fit(histogram, packing.Limits(tokens=60, documents=documents, attention=attention, rule=rule))
+    placed = []
+    runs = sorted(zip(plan.length, plan.rank, plan.sequence, plan.offset))
+    for k, (length, rank, sequence, offset) in enumerate(runs):
+        end = runs[k + 1][1] if k + 1 < len(runs) and runs[k + 1][0] == length else histogram[length]
+        placed += [(sequence + i, offset, length) for i in range(end - rank)]
+    assert Counter(x[2] for x in placed) == Counter(histogram)
+    for s, group in itertools.groupby(sorted(placed), key=lambda x: x[0]):
+        group, at = list(group), 0
+        for _, offset, length in group:
+            assert offset == at
+            at += length
+        assert at <= 60 and len(group) <= documents and sum(x[2] ** 2 for x in group) <= attention and s < plan.sequences
+
+
+# Operators 3, 5, 7
+
+
+@pytest.mark.parametrize("crowd", [1500, 1])
+def test_suffix_dedup(spark, tables, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "PART", 1 << 13)
+    docs = tables["documents"].select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(9001, "ab" * 500), (9002, "x" * 399), (9003, None)], "doc_id long, text string"))
+    said = texts(docs)
+    ids = sorted(said)
+    want = {i: brute.repeats_row(said[i], h) for i, h in zip(ids, brute.repeated([said[i] for i in ids]))}
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(docs).collect()}
+    assert got == want and sum(x[1] for x in want.values()) > 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=60, max_size=300), st.integers(0, 200), st.integers(0, 200))
+def test_suffix_sort(symbols, a, b):
+    text = np.array([*symbols, 0])
+    n = min(45, len(text) - max(a, b)) if max(a, b) < len(text) else 0
+    if n > 0:
+        text[b : b + n] = text[a : a + n]
+    text[-1] = 0
+    starts = np.array([i for i in range(len(text) - 40 + 1) if 0 not in text[i : i + 40]], np.int64)
+    count = Counter(tuple(text[i : i + 40]) for i in starts)
+    assert suffix_dedup.repeated_starts(text, starts, 40, 27).tolist() == [count[tuple(text[i : i + 40])] > 1 for i in starts]
+
+
+@pytest.mark.parametrize("full", [48, 0])
+def test_simhash(spark, tables, monkeypatch, full):
+    monkeypatch.setattr(simhash.links, "__defaults__", (simhash.DISTANCE, full))
+    docs = tables["documents"].select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(9001, None), (9002, " \n"), (9003, "A b"), (9004, "a B")], "doc_id long, text string"))
+    said = texts(docs)
+    ids = sorted(said)
+    fps = [brute.simhash(said[i]) for i in ids]
+    roots = brute.linked(fps)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.digest(docs).collect()}
+    assert got == {i: (f"{f:016x}", ids[r]) for i, f, r in zip(ids, fps, roots)}
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=4, unique=True))
+def test_some_segment_is_near(fp, bits):
+    other = fp
+    for b in bits:
+        other ^= 1 << b
+    for count in (2, 3):
+        near = [((fp ^ other) >> low & ((1 << width) - 1)).bit_count() <= r for (low, width), r in zip(simhash.segments(count), simhash.radii(count))]
+        assert any(near)
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {x: x for e in edges for x in e}
+    for _ in range(len(root)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert all(got.get(x, x) == r for x, r in root.items())
+
+
+@pytest.mark.parametrize("block", [16 << 20, 2000])
+def test_decontamination(spark, tables, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    docs = tables["documents"].select("doc_id", "text")
+    bench = tables["benchmark"].select("item_id", "text").union(spark.createDataFrame([(901, "the"), (902, None), (903, "!!"), (904, "of the and is was")], "item_id long, text string"))
+    docs = docs.union(spark.createDataFrame([(9001, None), (9002, "The"), (9003, "the the the")], "doc_id long, text string"))
+    known = brute.windows([(r["item_id"], r["text"]) for r in bench.collect()])
+    said = texts(docs)
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontam.digest(docs, bench).collect()}
+    assert got == {i: brute.contamination_row(t, known) for i, t in said.items()}
+    cleaned = texts(decontam.clean(docs, bench))
+    assert cleaned == {i: brute.without_hits(t, known) for i, t in said.items()}
+
+
+# Operators 4, 6, 8, 9, 10
+
+
+def test_quality_held_out(tables):
+    rows = gbdt.digest(tables["documents"], tables["labels"]).join(tables["labels"], "doc_id").where("held_out").collect()
+    assert len(rows) > 10 and np.mean([r["predicted"] == r["quality"] for r in rows]) >= 0.85
+
+
+def test_trees_fit_and_flatten():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    trees = gbdt.fit(x, y)
+
+    def walk(row, node):
+        while trees.feature[node] >= 0:
+            node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+        return trees.value[node]
+
+    slow = [trees.base + sum(walk(r, n) for n in trees.roots) for r in x[:50]]
+    assert np.allclose(trees.raw(x[:50]), slow) and ((trees.probability(x) >= 0.5) == y).mean() > 0.97
+
+
+def test_html(spark, tables):
+    page = ("<body><header>site<h1>X</h1></header><main><article><header><h1>T &amp; U</h1></header><p>a  b<br>c&nbsp;d<div class='sidebar'>no</div><p>e"
+            "<script>x='</p>'</script><section id='comments'><article class='comment'>reader</article></section><form>f</form></article></main><div class=ad>buy</div><p>out")
+    assert html_template.main_text(page) == "T & U\n\na b c d\n\ne"
+    assert html_template.main_text("<p>only<p>two <b>x</b>y") == "only\n\ntwo xy" and html_template.main_text("a < b") == "a < b"
+    assert html_template.main_text("<div>" * 3000 + "deep") == "deep"
+    pages = [(i, f"http://h/{i}", f"<div><div>Our shop <i>sells</i></div><div>Text number {i}</div></div>") for i in range(8)] + [(8, None, None), (9, "http://other/", "<div>Our shop <i>sells</i></div>")]
+    got = {r["page_id"]: r for r in html_template.digest(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3]["text"] == "Text number 3" and got[8]["text"] == "" and got[9]["text"] == "Our shop sells" and got[3]["n_chars"] == 13
+    article = "<div>Menu</div><article><p>Copied everywhere</p></article>"
+    same = spark.createDataFrame([(i, f"http://h/{i}", article) for i in range(9)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_template.digest(same).collect()} == {"Copied everywhere"}
+
+
+def test_masked_likelihood(spark, tables):
+    docs = tables["documents"].select("doc_id", "text")
+    v = lm_score.vocabulary(docs)
+    untrained, trained = (lm_score.score(docs, v, p).agg(F.sum("log_likelihood")).collect()[0][0] for p in (lm_score.start(), lm_score.train(docs, v)))
+    assert untrained < trained < 0
+    p = lm_score.start()
+    classes, at = np.array([0, 0, 5, 9, 7, 0, 0]), np.array([2, 3, 4])
+    for i, got in zip(at, lm_score.log_probabilities(p, classes, at)):
+        h = np.tanh(p[1] + sum(p[0][k][classes[i + s]] for k, s in enumerate(lm_score.SIDES)))
+        logits = h @ p[2] + p[3]
+        assert np.isclose(got, logits[classes[i]] - np.log(np.exp(logits).sum()), atol=1e-5)
+
+
+def test_rules_equal_sql(spark, tables):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = sorted(map(tuple, con.sql(rules.ORACLE).fetchall()))
+    assert sorted(tuple(r) for r in rules.digest(tables["documents"]).collect()) == want
+    judged = rules.judge(tables["documents"]).collect()
+    assert {r["rejected_by"] is None for r in judged if r["kept"]} == {True} and any(r["rejected_by"] for r in judged)
+
+
+def test_rules_keep_unlabelled_prose(tables):
+    rows = rules.digest(tables["documents"]).join(tables["labels"], "doc_id").where("quality = 1").collect()
+    assert np.mean([r["kept"] for r in rows]) >= 0.95
+
+
+def test_sharding(spark, tables):
+    docs = tables["documents"].select("doc_id", "text")
+    hot = spark.range(500).selectExpr("id + 5000 AS doc_id", "repeat('hot ', 400) AS text")
+    for frame, least_heavy in ((docs, 0), (docs.union(hot), 1)):
+        rows = sharding.digest(frame).collect()
+        said = texts(frame)
+        groups, total, where, slots = Counter(), Counter(), {}, {}
+        for r in rows:
+            t = said[r["doc_id"]]
+            assert r["size"] == len(t) + 16 and r["text_crc32"] == zlib.crc32(t) and 0 <= r["shard"] < 40 and r["law"] == "bytes"
+            assert where.setdefault(t, r["shard"]) == r["shard"]
+            groups[t] += r["size"]
+            total[r["shard"]] += r["size"]
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        assert len(rows) == frame.count() and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        heavy = [g for g in groups.values() if g * 40 >= sum(groups.values())]
+        assert len(heavy) >= least_heavy
+        assert max(total.values()) <= max(max(groups.values()), 2 * sum(groups.values()) / 40)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=40), st.integers(1, 8))
+def test_capacity_is_least(sizes, shards):
+    sizes = np.array(sizes)
+
+    def fits(capacity):
+        used, left = 0, 0
+        for s in sizes:
+            if s > capacity:
+                return False
+            if s > left:
+                used, left = used + 1, capacity
+            left -= s
+        return used <= shards
+
+    capacity = sharding.smallest_capacity(sizes, shards)
+    assert fits(capacity) and not (capacity > 1 and fits(capacity - 1))
+    ends = sharding.balanced_cuts(sizes, capacity, shards)
+    assert ends[-1] == len(sizes) and (np.diff([0, *ends]) >= 0).all()
+    assert max(sizes[a:b].sum() for a, b in zip([0, *ends[:-1]], ends)) <= capacity
+
+
+def test_capacity_is_that_of_the_groups(spark, tables, monkeypatch):
+    monkeypatch.setattr(sharding, "PREFIX_BITS", 4)
+    monkeypatch.setattr(sharding, "SPLIT_BITS", 3)
+    rows = sharding.digest(tables["documents"]).collect()
+    said = texts(tables["documents"])
+    hashed = spark.createDataFrame([(i, t.decode()) for i, t in said.items()], "i long, t string").select(F.xxhash64(F.col("t").cast("binary")).alias("h"), (F.octet_length("t") + 16).alias("s")).groupBy("h").agg(F.sum("s").alias("s"))
+    groups = sorted((r["h"], r["s"]) for r in hashed.collect())
+    sizes, alone, rest = sorted((s for _, s in groups), reverse=True), 0, sum(s for _, s in groups)
+    while sizes[alone] * (40 - alone) >= rest and alone < 39:
+        rest -= sizes[alone]
+        alone += 1
+    light = np.array([s for _, s in groups if s not in sizes[:alone]])
+    total = Counter()
+    for r in rows:
+        total[r["shard"]] += r["size"]
+    assert max(v for k, v in total.items() if k >= alone) == sharding.smallest_capacity(light, 40 - alone)
