@@ -13,6 +13,7 @@ from .operators import conversation as C
 from .operators import grids as G
 from .operators import links as L
 from .operators import retrieval as R
+from .plans import assistant as A
 from .sources import files as S
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -78,6 +79,14 @@ def retrieval_answer(spark, sf_dir):
     return R.widen(noted).select(F.col("rank").cast("long").alias("rank"), "node_id", "doc_id", F.round("relevance", 6).alias("relevance"), T.source_label(F.col("metadata")).alias("label"), F.col("text").alias("window"))
 
 
+def chat_answers(spark, sf_dir):
+    """Every user turn as a question over the documents; turns take the agents in rotation, most of them retrieval."""
+    models = A.Models(classify=lambda text: F.when(F.length(text) % 5 == 0, "CLARIFY").when(F.length(text) % 5 == 1, "ACTION").otherwise("ACADEMIC"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text", F.create_map(F.lit("file_name"), F.col("source")).alias("metadata"))
+    requests = _user_turns(spark, sf_dir).select(F.col("conv_id").alias("thread_id"), "turn", F.col("text").alias("user_message"))
+    return A.chat(requests, A.index(docs, models), models).select("thread_id", "turn", "next_agent", F.md5("answer").alias("answer"), F.array_join("sources", ";").alias("sources"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_answer(spark, sf_dir)
 
@@ -250,7 +259,7 @@ def history_stream(spark, sf_dir):
 
 
 _QUERIES = [
-    sentence_window, topk_cosine, dual_retrieval_merge, rerank_batches, retrieval_answer, ordered_sources, source_labels,
+    sentence_window, topk_cosine, dual_retrieval_merge, rerank_batches, retrieval_answer, chat_answers, ordered_sources, source_labels,
     history_last3, last_result, appended_results, intent_route, page_concat, page_carry,
     link_resolve, link_first_writer, link_filter, blacklist, anti_existing, url_quote, text_clean,
     density_gate, density_semi, span_expand, pivot_fixed_domain, grid_fill, keyed_accumulate, chunk3, parse_lists, latest_mtime,

@@ -5,8 +5,10 @@ Lists have an order, so every table here carries it as a column: ord within a do
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,30 +40,58 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def top_k(queries: DataFrame, nodes: DataFrame, k: int = TOP, most_queries: int = 1000) -> DataFrame:
-    """query_id, node_id, score, pos: the k nodes nearest each query; ties go to the smaller node_id.
+    """query_id, node_id, score, pos: the k nodes(node_id, embedding) nearest each of queries(query_id, embedding).
 
-    A set of at most most_queries queries, counted here, is sent to all tasks, and nodes are scored in place; a larger
-    one is taken in blocks of that size. Each task keeps its own best k before the shuffle.
+    At most most_queries queries, counted here, are sent to all tasks at once; a larger set is taken in blocks of about
+    that size. A task scores a batch of nodes against them in one matrix product and passes on only what can be among
+    the k best, so that the shuffle does not grow with the product of both sides. Ties go to the smaller node_id; null
+    and zero vectors have no score and come last, if at all.
     """
     n = queries.count()
     blocks = max(1, -(-n // most_queries))
-    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "node_id")
+    kinds = queries.schema["query_id"].dataType.simpleString(), nodes.schema["node_id"].dataType.simpleString()
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
     out = None
     for b in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = nodes.join(F.broadcast(block.select("query_id", F.col("embedding").alias("query_embedding"))))
-        scored = scored.select("query_id", "node_id", cosine(F.col("embedding"), F.col("query_embedding")).alias("score"))
-        found = scored.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
+        rows = [r for r in block.select("query_id", "embedding").collect() if r["embedding"] is not None]
+        ids, asked = [r["query_id"] for r in rows], _unit([r["embedding"] for r in rows])
+        found = nodes.select("node_id", "embedding").where("embedding IS NOT NULL").mapInPandas(_scorer(ids, asked, k), f"query_id {kinds[0]}, node_id {kinds[1]}, score double")
+        found = found.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def merge_hits(first: DataFrame, second: DataFrame) -> DataFrame:
-    """The union of two hit lists (node_id, score, pos): a node found twice keeps its first place and its last score."""
-    both = first.select("node_id", "score", F.col("pos").cast("long").alias("at")).unionByName(
-        second.select("node_id", "score", (F.col("pos") + F.lit(1 << 31)).cast("long").alias("at")))
-    merged = both.groupBy("node_id").agg(F.min("at").alias("at"), F.max_by("score", "at").alias("score"))
-    return merged.select("node_id", "score", F.row_number().over(Window.orderBy("at")).alias("pos"))
+def _unit(vectors: list) -> np.ndarray:
+    """Rows of length 1; a zero vector becomes a row of nan."""
+    m = np.array([np.asarray(v, float) for v in vectors], float).reshape(len(vectors), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def _scorer(ids: list, asked: np.ndarray, k: int):
+    """A function for mapInPandas: rows of a batch that can be among the k best of a query."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame) or not len(ids):
+                continue
+            scores = np.round(asked @ _unit(list(frame["embedding"])).T, 12)  # equal vectors must tie
+            ranked = np.where(np.isnan(scores), -np.inf, scores)
+            least = np.partition(ranked, -min(k, ranked.shape[1]), axis=1)[:, -min(k, ranked.shape[1])]
+            query, node = np.nonzero((ranked >= least[:, None]) & (ranked > -np.inf))
+            yield pd.DataFrame({"query_id": [ids[q] for q in query], "node_id": frame["node_id"].to_numpy()[node], "score": scores[query, node]})
+
+    return run
+
+
+def merge_hits(first: DataFrame, second: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The union of two hit lists (node_id, score, pos), for each key `by` if given: a node found twice keeps its first
+    place and its last score."""
+    place = lambda df, shift: df.select(*by, "node_id", "score", (F.col("pos") + F.lit(shift)).cast("long").alias("place"))
+    both = place(first, 0).unionByName(place(second, 1 << 31))
+    merged = both.groupBy(*by, "node_id").agg(F.min("place").alias("place"), F.max_by("score", "place").alias("score"))
+    return merged.select(*by, "node_id", "score", F.row_number().over(Window.partitionBy(*by).orderBy("place")).alias("pos"))
 
 
 def batches(hits: DataFrame, size: int = BATCH) -> DataFrame:
@@ -75,11 +105,11 @@ def token_overlap(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(words(query), words(text))).cast("double"), F.size(words(query)).cast("double")), F.lit(0.0))
 
 
-def rerank(hits: DataFrame, query: Column, text: Column, keep: int = KEPT, scorer: Callable[[Column, Column], Column] = token_overlap) -> DataFrame:
-    """The `keep` hits that the scorer likes best for the query as it was asked; ties keep their order."""
-    scored = hits.withColumn("relevance", scorer(query, text))
-    best = scored.orderBy(F.desc("relevance"), "pos").limit(keep)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("relevance"), "pos")))
+def rerank(hits: DataFrame, query: Column, text: Column, keep: int = KEPT, scorer: Callable[[Column, Column], Column] = token_overlap, by: tuple[str, ...] = ()) -> DataFrame:
+    """The `keep` hits that the scorer likes best for the query as it was asked, for each key `by` if given; ties keep
+    their order."""
+    w = Window.partitionBy(*by).orderBy(F.desc("relevance"), "pos")
+    return hits.withColumn("relevance", scorer(query, text)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
 
 
 def widen(nodes: DataFrame, metadata: str = "metadata", text: str = "text") -> DataFrame:

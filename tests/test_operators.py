@@ -32,7 +32,7 @@ def test_top_k_in_blocks_and_zero_vectors(spark):
     queries = nodes.select(F.col("node_id").alias("query_id"), "embedding")
     one = {tuple(r) for r in R.top_k(queries, nodes, 3).select("query_id", "node_id", "pos").collect()}
     assert one == {tuple(r) for r in R.top_k(queries, nodes, 3, most_queries=7).select("query_id", "node_id", "pos").collect()}
-    assert len(one) == 90
+    assert len(one) == 87  # the zero vector has no neighbours
 
 
 def test_windows_hold_seven_at_most(spark):

@@ -25,7 +25,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     got = catalogue.queries()[name](spark, SF).toPandas()
     assert rows(got) == rows(duck.sql(ORACLES[name]).df())
@@ -37,3 +37,54 @@ def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalogue.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_chat_equals_a_plain_version(spark):
+    """The one query without SQL, against loops over the same rows."""
+    import hashlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lorevane.operators.conversation import NO_HISTORY
+    from lorevane.plans import assistant as A
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").orderBy("conv_id", "turn").collect()
+    vectors = lambda texts: np.array([r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(A.hashed_words(F.col("t"))).collect()])
+    words = lambda t: set(__import__("re").findall(r"[^\W_]+", t.lower()))
+    base = vectors([d["text"] for d in docs])
+    history, asked = {}, []
+    for t in turns:
+        history.setdefault(t["conv_id"], []).append(t["text"])
+        asked.append(" -> ".join(history[t["conv_id"]][-3:]) or NO_HISTORY)
+    plain, wide = vectors([t["text"] for t in turns]), vectors(asked)
+    norm = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = [np.round(norm(x) @ norm(base).T, 12) for x in (plain, wide)]
+    want = {}
+    for k, t in enumerate(turns):
+        if len(t["text"]) % 5 == 0:
+            answer, labels = A.CLARIFY, []
+        elif len(t["text"]) % 5 == 1:
+            answer, labels = A.NO_ACTION, []
+        else:
+            order = list(dict.fromkeys(i for s in scores for i in sorted(range(len(docs)), key=lambda i: (-s[k, i], docs[i]["doc_id"]))[:15]))
+            share = lambda i: len(words(t["text"]) & words(docs[i]["text"])) / len(words(t["text"]))
+            best = sorted(order, key=lambda i: -share(i))[:8]
+            answer, labels = "\n".join(docs[i]["text"] for i in best), list(dict.fromkeys(docs[i]["source"] for i in best))
+        want[t["conv_id"], t["turn"]] = hashlib.md5(answer.encode()).hexdigest(), ";".join(labels)
+    got = {(r["thread_id"], r["turn"]): (r["answer"], r["sources"]) for r in catalogue.queries()["chat_answers"](spark, SF).collect()}
+    assert got == want
+
+
+def test_fetch(spark):
+    from lorevane.sources.web import decoded, fetch
+
+    def getter(url):
+        if "bad" in url:
+            raise OSError("no route")
+        return (404 if "gone" in url else 200), "é".encode()
+
+    got = {r["full_url"]: r for r in fetch(spark.createDataFrame([("http://a",), ("http://gone",), ("http://bad",)], "full_url string"), getter).collect()}
+    assert got["http://a"]["status"] == 200 and got["http://gone"]["status"] == 404 and got["http://bad"]["error"] == "OSError: no route"
+    assert [r["html"] for r in decoded(fetch(spark.createDataFrame([("http://a",), ("http://gone",)], "full_url string"), getter)).collect()] == ["é"]
