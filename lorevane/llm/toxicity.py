@@ -31,8 +31,9 @@ TRAIN_CHARS = 10_000
 FOLDS = 5
 PREFIXES = (5, 6, 7, 8, 9)
 SPAN = 0.5
-#: Chosen on one training fold after learning from the others. A feature stands out if it is in this share of toxic training documents at least, and its log odds are this high.
-LEAST_SHARE, LEAST_ODDS = 0.006, 2.0
+#: Chosen on one training fold after learning from the others: the log odds that mark a feature as toxic, and twice the
+#: log likelihood ratio against chance that it must reach.
+LEAST_ODDS, LEAST_RATIO = 2.0, 14.0
 STEPS, RATE, PENALTY = 30, 0.5, 1e-3
 #: ASCII characters that are no letters or digits separate tokens.
 _BREAKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -110,6 +111,15 @@ def marginals(emission: np.ndarray, starts: np.ndarray, transitions: np.ndarray,
     return p, (joint / joint.sum(axis=-1, keepdims=True)).sum(axis=0).reshape(2, 2)
 
 
+def _stands_out(n: int, m: int, toxic: int, clean: int) -> bool:
+    """Whether a feature of n toxic and m clean documents is toxic beyond chance: log odds, and a likelihood ratio test."""
+    if np.log((n + 0.5) / (toxic + 1)) - np.log((m + 0.5) / (clean + 1)) < LEAST_ODDS:
+        return False
+    share = toxic / (toxic + clean)
+    ratio = n * np.log(n / (n + m) / share) + (m * np.log(m / (n + m) / (1 - share)) if m else 0.0)
+    return 2 * ratio >= LEAST_RATIO
+
+
 def fit(rows: list[tuple[str, int]], prior: float | None = None) -> Chain:
     """A chain from (text, toxic) rows. prior: the share of toxic documents that scores should reflect."""
     rows = list({text: (text, label) for text, label in rows}.values())  # copies would make rare words stand out
@@ -122,8 +132,7 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None) -> Chain:
     seen = (Counter(), Counter())
     for words, label in parsed:
         seen[label].update({f for w in set(words) for f in features(w)})
-    odds = {f: np.log((n + 0.5) / (toxic + 1)) - np.log((seen[0][f] + 0.5) / (clean + 1)) for f, n in seen[1].items() if n >= max(3, LEAST_SHARE * toxic)}
-    marked = {f for f, x in odds.items() if x >= LEAST_ODDS}
+    marked = {f for f, n in seen[1].items() if _stands_out(n, seen[0][f], toxic, clean)}
     ids = {f: i for i, f in enumerate(sorted(marked))}
     at, which, labels, starts, lengths = [], [], [], [], []
     known: dict[bytes, list[int]] = {}
