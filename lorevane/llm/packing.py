@@ -31,7 +31,8 @@ from .common import materialize, sliced
 
 SEQUENCE = 1024
 END_ID = 2
-SLICES = 256
+#: Pieces of a length are numbered in so many slices at once, so that no length is one task's work.
+SLICES = 4096
 #: A text with this in it goes through the tokenizer file itself, which knows the string as one token.
 SPECIAL = "<|endoftext|>"
 
@@ -188,11 +189,13 @@ def place(cut: DataFrame, limits: Limits = Limits()) -> DataFrame:
         i = np.searchsorted(keys, length.to_numpy() * (1 << 46) + rank.to_numpy(), side="right") - 1
         return pd.DataFrame({"sequence_id": sequences[i] + rank.to_numpy() - ranks[i], "offset": offsets[i]})
 
-    # At most SEQUENCE * SLICES rows: the rank that each slice of each length starts from.
+    # The rank that each slice of each length starts from: at most SEQUENCE * SLICES rows.
     starts = counts.select("length", "slice", (F.sum("count").over(Window.partitionBy("length").orderBy("slice")) - F.col("count")).alias("before"))
-    inside = Window.partitionBy("slice", "length").orderBy("doc_id", "piece")
-    numbered = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int")).repartition("slice").withColumn("k", F.row_number().over(inside) - 1)
-    ranked = numbered.join(F.broadcast(starts), ["length", "slice"]).withColumn("to", look_up("length", (F.col("before") + F.col("k")).cast("long")))
+    inside = Window.partitionBy("length", "slice").orderBy("doc_id", "piece")
+    sliced_up = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int"))
+    # One shuffle serves the numbering and the join.
+    numbered = sliced_up.repartition("length", "slice").withColumn("k", F.row_number().over(inside) - 1)
+    ranked = numbered.join(starts, ["length", "slice"]).withColumn("to", look_up("length", (F.col("before") + F.col("k")).cast("long")))
     return ranked.select(*cut.columns, F.col("to.sequence_id").alias("sequence_id"), F.col("to.offset").alias("offset"))
 
 
