@@ -26,7 +26,7 @@ ROW_BYTES = 16
 PREFIX_BITS = 15
 SPLIT_BITS = 7
 #: Rows are numbered in so many slices of doc_id hashes at once.
-SLICES = 1024
+SLICES = 4096
 
 
 def greedy(sizes: np.ndarray, capacity: int, shards: int) -> np.ndarray | None:
@@ -186,9 +186,9 @@ def _numbered(placed: DataFrame) -> DataFrame:
 
     counts = placed.groupBy("shard", "slice").count()
     first = counts.select("shard", "slice", (F.sum("count").over(Window.partitionBy("shard").orderBy("slice")) - F.col("count")).alias("first"))
-    inside = Window.partitionBy("slice", "shard").orderBy("doc_id", "text_crc32")
-    # `first` has at most SHARDS * SLICES rows, whatever the table's size.
-    numbered = placed.repartition("slice").withColumn("k", F.row_number().over(inside) - 1).join(F.broadcast(first), ["shard", "slice"])
+    inside = Window.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32")
+    # `first` has at most SHARDS * SLICES rows. One shuffle of the documents serves the numbering and the join.
+    numbered = placed.repartition("shard", "slice").withColumn("k", F.row_number().over(inside) - 1).join(first, ["shard", "slice"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("k")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
