@@ -219,6 +219,7 @@ def sort_stretches(held: DataFrame, length: int = LENGTH) -> DataFrame:
             yield solve(waiting)
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
+        rows = list({r[:4]: r for r in rows}.values())  # a repeated row of the table gives its stretches twice
         text = np.frombuffer(b"\0".join(r[4] for r in rows) + b"\0", np.uint8).astype(np.int16) + 1
         sizes = np.array([len(r[4]) + 1 for r in rows])
         begin = np.cumsum(sizes) - sizes
@@ -264,11 +265,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = once.join(groups, "h").select(*_KEY, "different", "p.*")
     by_text = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", *_KEY, "different")).alias("parts"))
     source = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("body"))
-    cut = by_text.join(source, by_text["doc_id"].eqNullSafe(source["d"]) & (by_text["th"] == source["t"])).select(F.explode("parts").alias("c"), "body")
-    cut = cut.select("c.*", F.substring("body", F.col("c.start").cast("int") + 1, F.col("c.starts") + (length - 1)).alias("body"))
-    cut = materialize(cut.dropDuplicates(_KEY))
+    # Stretches are cut out before rows are made of them, so that a text is not copied for each of its stretches.
+    body = lambda c: F.substring(F.col("body"), c["start"].cast("int") + 1, c["starts"] + (length - 1))
+    parts = F.transform("parts", lambda c: F.struct(*(c[k].alias(k) for k in (*_KEY, "different")), body(c).alias("body")))
+    cut = by_text.join(source, by_text["doc_id"].eqNullSafe(source["d"]) & (by_text["th"] == source["t"])).select(F.explode(parts).alias("c")).select("c.*")
+    cut = materialize(cut)
     light = cut.where(F.col("different") <= CROWD).repartition("h").sortWithinPartitions("h").select(*_KEY, "body")
-    found = sort_stretches(light, length).union(count_strings(cut.where(F.col("different") > CROWD).select(*_KEY, "body"), length))
+    found = sort_stretches(light, length).union(count_strings(cut.where(F.col("different") > CROWD).dropDuplicates(_KEY).select(*_KEY, "body"), length))
     equal = once.where("n > 1").select(*_KEY, F.array(F.struct(F.lit(0).alias("at"), F.col("starts").alias("n"))).alias("runs"))
     found = materialize(found.union(equal).groupBy(*_KEY).agg(F.flatten(F.collect_list("runs")).alias("runs")))
     spread = shared.join(found, _KEY).select("doc_id", "th", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["at"]).alias("start"), r["n"].alias("n")))).alias("s"))
