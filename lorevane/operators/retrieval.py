@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 WINDOW, TOP, KEPT, BATCH = 3, 15, 8, 5
+#: The replies without evidence and after an error.
 NOT_FOUND = "目前系統的參考文件中未包含此資訊。"
 FAILED = "系統在檢索法規與常見問題時發生錯誤，請稍後再試。"
 
@@ -132,6 +133,12 @@ def answer(nodes: DataFrame, key: str, order: str = "rank", text: str = "text",
     return held.select(key, F.when(F.size("p") > 0, write(F.col("p"))).otherwise(F.lit(NOT_FOUND)).alias("answer"), "sources")
 
 
+def apologise(answers: DataFrame, error: str = "error") -> DataFrame:
+    """answers(answer, sources, error) in which rows with an error have the fixed apology and no sources."""
+    failed = F.col(error).isNotNull()
+    return answers.withColumns({"answer": F.when(failed, FAILED).otherwise(F.col("answer")), "sources": F.when(failed, F.array().cast("array<string>")).otherwise(F.col("sources"))})
+
+
 def prefer_latest(passages: DataFrame, topic: str, text: str = "text") -> DataFrame:
     """Of each topic the passage labelled with the latest year; passages without a year count as oldest."""
     year = F.regexp_extract(F.col(text), "(\\d{2,4})\\s*學年", 1)

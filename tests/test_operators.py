@@ -35,6 +35,12 @@ def test_top_k_in_blocks_and_zero_vectors(spark):
     assert len(one) == 87  # the zero vector has no neighbours
 
 
+def test_apology(spark):
+    rows = [("a", ["s"], None), ("b", ["s"], "boom")]
+    got = R.apologise(spark.createDataFrame(rows, "answer string, sources array<string>, error string")).collect()
+    assert (got[0]["answer"], got[0]["sources"]) == ("a", ["s"]) and (got[1]["answer"], got[1]["sources"]) == (R.FAILED, [])
+
+
 def test_windows_hold_seven_at_most(spark):
     docs = spark.createDataFrame([(1, "A. B! C? D。E\nF. G. H. I."), (2, None), (3, "  ")], "doc_id long, text string")
     got = R.sentence_windows(R.sentences(docs)).orderBy("ord").collect()
