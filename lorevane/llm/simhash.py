@@ -113,7 +113,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, full: int = FULL_DRAWER) -
             filed, looked = (here, probe) if filed is None else (filed.union(here), looked.union(probe))
     crowded = materialize(filed.groupBy("drawer").count().where(F.col("count") > full).select("drawer"))
     sparse = filed.join(crowded, "drawer", "left_anti")
-    pairs = looked.join(sparse, "drawer").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Catalyst takes an exploded table for as small as what it was made of, and would broadcast it: hence the hints.
+    pairs = looked.join(sparse.hint("merge"), "drawer").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if crowded.isEmpty():
         return pairs
     dense = materialize(looked.join(crowded, "drawer", "left_semi").select("a").distinct())
@@ -122,7 +123,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, full: int = FULL_DRAWER) -
     if near != far:  # an odd distance: one end is nearer to the point
         raise ValueError("the distance must be even")
     met = points.groupBy("point").agg(F.min("a").alias("b"), F.max("a").alias("other")).where("b <> other").select("point", "b")
-    stars = points.join(met, "point").where("a <> b").select("a", "b")
+    stars = points.join(met.hint("merge"), "point").where("a <> b").select("a", "b")
     return pairs.union(stars)
 
 
