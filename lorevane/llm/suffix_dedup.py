@@ -248,7 +248,7 @@ def count_strings(held: DataFrame, length: int = LENGTH) -> DataFrame:
 
     strings = held.mapInArrow(run, "h bigint, x bigint, starts int, rel int, at int, s1 bigint, s2 bigint")
     twice = strings.groupBy("h", "s1", "s2").count().where("count > 1").drop("count")
-    found = strings.join(twice, ["h", "s1", "s2"], "left_semi")
+    found = strings.join(twice.hint("merge"), ["h", "s1", "s2"], "left_semi")  # its size is estimated too low for a broadcast
     return found.groupBy(*_KEY).agg(F.transform(F.collect_list("at"), lambda a: F.struct(a.alias("at"), F.lit(1).alias("n"))).alias("runs"))
 
 
