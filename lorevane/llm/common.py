@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, *partition_hint: str) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage is cut, lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorevane/{uuid.uuid4().hex}"
@@ -51,6 +51,19 @@ def remainder_of_id(n: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
 
 
+def first_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows: those whose key has the smallest hashes, the same at every partitioning.
+
+    A bound on the hash, from the number of rows, leaves about half as many again to be sorted, so that a large table
+    does not send `most` rows from each partition to one task.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    n = rows.count()
+    if n > 2 * most:
+        rows = rows.where(place < int((1 << 40) * (1.5 * most + 100) / n))
+    return rows.orderBy(place, key).limit(most)
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text of an Arrow column; null is empty."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder_of_id, sliced, text_bytes
+from .common import first_by_hash, remainder_of_id, sliced, text_bytes
 
 TRAIN_DOCS = 20_000
 FOLDS, HELD_OUT = 3, 1
@@ -152,7 +152,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> Trees:
     """Trees from a bounded sample of the labelled rows outside the held-out fold."""
     usable = labels.where(F.col("quality").isNotNull() & (remainder_of_id(FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = usable.orderBy(F.xxhash64("doc_id")).limit(TRAIN_DOCS)
+    chosen = first_by_hash(usable, "doc_id", TRAIN_DOCS)
     # At most TRAIN_DOCS rows, whatever the tables' size.
     rows = document_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(NAMES)), np.array([r["quality"] for r in rows], float))

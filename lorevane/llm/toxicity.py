@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder_of_id, sliced
+from .common import first_by_hash, remainder_of_id, sliced
 
 TRAIN_DOCS = 1000
 TRAIN_CHARS = 10_000
@@ -250,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     chosen = None
     for label in (0, 1):
-        some = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id")).limit(TRAIN_DOCS)
+        some = first_by_hash(usable.where(F.col("toxic") == label), "doc_id", TRAIN_DOCS)
         chosen = some if chosen is None else chosen.union(some)
     # At most 2 * TRAIN_DOCS rows, whatever the tables' size.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= TRAIN_CHARS).dropDuplicates(["doc_id"]).select("text", "toxic").collect()
