@@ -2,7 +2,7 @@
 
 Words have classes: the FREQUENT most frequent words one each, the others TAIL classes by their last letters. The
 network sees the classes of two words on either side and predicts the class of the word between; within a class, a
-word's probability comes from its count over all documents, or, beyond the VOCABULARY most frequent words, from the
+word's probability comes from its count over all documents, or, beyond the most frequent words (VOCABULARY of them at most), from the
 bytes of the word. The sum over all words of the logarithms of both is the document's score.
 
 Counts cover all documents. Every round of training goes over all documents: each partition starts from the shared
@@ -93,8 +93,14 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     counted = materialize(count_words(docs))
-    # At most VOCABULARY rows and 257 rows.
-    top = counted.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    # Words above the count at which there would be more than VOCABULARY of them; few counts occur, so these are few rows.
+    room, least = VOCABULARY, 0
+    for r in counted.where("word IS NOT NULL").groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(VOCABULARY + 1).collect():
+        room -= r["words"]
+        if room < 0:
+            least = r["n"]
+            break
+    top = sorted(counted.where(f"word IS NOT NULL AND n > {least}").collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     bytes_ = {r["byte"]: r["n"] for r in counted.where("byte IS NOT NULL").collect()}
     totals = np.zeros(CLASSES)
     suffixes = counted.where("word IS NOT NULL").groupBy(F.pmod(F.crc32(F.expr("CASE WHEN octet_length(word) <= 3 THEN word ELSE substring(word, octet_length(word) - 2, 3) END")), F.lit(TAIL)).alias("k")).agg(F.sum("n").alias("n"))
