@@ -247,7 +247,7 @@ def parse_lists(spark, sf_dir):
 
 def latest_mtime(spark, sf_dir):
     """Events as files; those of type view are hidden."""
-    files = _table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "view", ".view").otherwise(F.col("event_type")).alias("file_name"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("mtime"))
+    files = _table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "view", ".view").otherwise(F.col("event_type")).alias("file_name"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) / 1e6").alias("mtime"))
     return S.latest_mtime(files)
 
 
