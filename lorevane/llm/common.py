@@ -18,12 +18,16 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SLICE_BYTES = 8 << 20
 
 
+_OWN_DIR: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests, local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lorevane-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN_DIR:
+            _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="lorevane-checkpoint-"))
+        found = _OWN_DIR[0]
     return found.rstrip("/")
 
 

@@ -59,3 +59,13 @@ def test_values_of_odd_rows(odd, tables):
     assert scores[1] == scores[2] == scores[3]
     lm = {r["doc_id"]: r for r in lm_score.digest(odd).collect()}
     assert lm[1]["n_tokens"] == 0 and lm[1]["log_likelihood"] == 0 and lm[1]["mean_log_likelihood"] is None and lm[5]["n_tokens"] == 80_000
+
+
+def test_own_folder_only_without_a_setting():
+    from types import SimpleNamespace
+
+    from lorevane.llm.common import shared_dir
+
+    session = lambda value: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value))
+    assert shared_dir(session("hdfs://store/checkpoints/")) == "hdfs://store/checkpoints"
+    assert shared_dir(session(None)) == shared_dir(session(None)) and shared_dir(session(None)).startswith("file:///")
