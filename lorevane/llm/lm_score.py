@@ -6,8 +6,9 @@ word's probability comes from its count over all documents, or, beyond the most
 bytes of the word. The sum over all words of the logarithms of both is the document's score.
 
 Counts cover all documents. Every round of training goes over all documents: each partition starts from the shared
-parameters, masks one word in MASK_EVERY (in short runs, at an offset of each text's own) and learns to predict it, and the mean of the partitions' parameters, weighted
-by their masked words, starts the next round. Partitions send parameters, whose number is fixed, never texts.
+parameters, masks its share of the words (in short runs, at an offset of each text's own) and learns to predict them, and
+the mean of the partitions' parameters, weighted by their masked words, starts the next round. Over all rounds every word
+of every text is masked once. Partitions send parameters, whose number is fixed, never texts.
 
 Null and empty texts have no words: their sum is 0 and their mean null. Repeated rows are scored each on its own. Very
 long texts are scored whole. An empty table gives an empty result. Extra columns are dropped.
@@ -16,6 +17,7 @@ long texts are scored whole. An empty table gives an empty result. Extra columns
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +33,7 @@ FREQUENT, TAIL, VOCABULARY = 95, 32, 20_000
 #: Class 0 stands for places before the first and after the last word.
 CLASSES = 1 + FREQUENT + TAIL
 SIDES, HIDDEN = (-2, -1, 1, 2), 24
-ROUNDS, MASK_EVERY, RUN, BATCH, RATE = 2, 12, 4, 256, 0.05
+ROUNDS, RUN, BATCH, RATE = 2, 4, 256, 0.05
 _COUNTED, _CACHE, _CHUNK = 200_000, 400_000, 1024
 _SHAPES = ((len(SIDES), CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 
@@ -60,10 +62,6 @@ class Vocabulary:
             found = c, self.unknown[c] + sum([odds[b] for b in word]) + odds[256]
         return found
 
-    def class_of(self, word: bytes) -> int:
-        found = self.known.get(word)
-        return found[0] if found else tail_class(word)
-
 
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n over all documents, and rows (null, byte, n) for bytes: columns word, byte, n."""
@@ -121,42 +119,55 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(known, np.log(np.maximum(left, 0.5) / rest).tolist(), np.log(of_byte / of_byte.sum()).tolist())
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are first asked for, and their classes and log probabilities."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v, self.classes, self.logs = v, array("q"), array("d")
+
+    def __missing__(self, word: bytes) -> int:
+        c, log = self.v.look_up(word)
+        self.classes.append(c)
+        self.logs.append(log)
+        self[word] = n = len(self)
+        return n
+
+
 class Reader:
     """Classes and log probabilities of the words of texts laid end to end, with two places of class 0 between texts."""
 
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.cache = v, {}
+        self.v, self.numbers = v, Numbers(v)
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        classes, logs, lengths = [0, 0], [0.0, 0.0], []
-        cache, look = self.cache, self.v.look_up
-        for text in texts:
-            found = words(text)
-            lengths.append(len(found))
-            for w in found:
-                x = cache.get(w)
-                if x is None:
-                    if len(cache) > _CACHE:
-                        cache.clear()
-                    x = cache[w] = look(w)
-                classes.append(x[0])
-                logs.append(x[1])
-            classes += (0, 0)
-            logs += (0.0, 0.0)
-        return np.array(classes, np.int64), np.array(logs), np.array(lengths, np.int64)
-
-    def masked(self, texts: list[bytes], turn: int) -> tuple[np.ndarray, np.ndarray]:
-        """Classes around masked words, and the places of these: RUN words of every RUN * MASK_EVERY, from an offset of the text's own."""
-        classes: list[int] = []
-        at: list[int] = []
-        class_of, cycle = self.v.class_of, RUN * MASK_EVERY
+    def _laid(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of all words, their places, and the number of words of each text."""
+        if len(self.numbers) > _CACHE:
+            self.numbers = Numbers(self.v)
+        number, found, lengths = self.numbers.__getitem__, [], []
         for text in texts:
-            found = [b"", b"", *words(text), b"", b""]
-            for s in range(2 + (zlib.crc32(text) + turn * RUN) % cycle if len(found) > cycle else 2, len(found) - 2, cycle):
-                n = min(RUN, len(found) - 2 - s)
-                at += range(len(classes) + 2, len(classes) + 2 + n)
-                classes += [class_of(w) if w else 0 for w in found[s - 2 : s + n + 2]]
-        return np.array(classes, np.int64), np.array(at, np.int64)
+            split = words(text)
+            lengths.append(len(split))
+            found.append(np.fromiter(map(number, split), np.int64, len(split)))
+        of_word = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return of_word, np.arange(len(of_word)) + 2 + 2 * np.repeat(np.arange(len(lengths)), lengths), np.array(lengths, np.int64)
+
+    def _spread(self, values: array, kind: type, of_word: np.ndarray, places: np.ndarray, texts: int) -> np.ndarray:
+        out = np.zeros(len(of_word) + 2 * texts + 2, kind)
+        out[places] = np.array(values, kind)[of_word]
+        return out
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of_word, places, lengths = self._laid(texts)
+        return *(self._spread(x, kind, of_word, places, len(texts)) for x, kind in ((self.numbers.classes, np.int64), (self.numbers.logs, float))), lengths
+
+    def masked(self, texts: list[bytes], turn: int, turns: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of all words, and the places of the masked ones: every turns-th run of RUN words, from an offset of the
+        text's own, so that over all turns every word of every text is masked once."""
+        of_word, places, lengths = self._laid(texts)
+        offsets = np.array([zlib.crc32(text) % (RUN * turns) for text in texts], np.int64)
+        within = np.arange(len(of_word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        now = (within + np.repeat(offsets, lengths)) // RUN % turns == turn
+        return self._spread(self.numbers.classes, np.int64, of_word, places, len(texts)), places[now]
 
 
 def start() -> list[np.ndarray]:
@@ -187,21 +198,19 @@ def log_probabilities(p: list[np.ndarray], classes: np.ndarray, at: np.ndarray)
 
 def learn(p: list[np.ndarray], squares: list[np.ndarray], classes: np.ndarray, at: np.ndarray) -> None:
     """One pass of Adagrad over the masked places `at`, in place."""
+    sides, rows, columns = np.array(SIDES), CLASSES * np.arange(len(SIDES)), np.arange(HIDDEN)
     for k in range(0, len(at), BATCH):
         some = at[k : k + BATCH]
         h = hidden(p, classes, some)
         logits = h @ p[2] + p[3]
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        logits[np.arange(len(some)), classes[some]] -= 1
-        logits /= len(some)
+        logits *= 1 / (logits.sum(axis=1, keepdims=True) * len(some))
+        logits[np.arange(len(some)), classes[some]] -= np.float32(1 / len(some))
         back = (logits @ p[2].T) * (1 - h * h)
-        slopes = [np.zeros_like(p[0]), back.sum(axis=0), h.T @ logits, logits.sum(axis=0)]
-        for s, side in enumerate(SIDES):
-            one_hot = np.zeros((len(some), CLASSES), np.float32)
-            one_hot[np.arange(len(some)), classes[some + side]] = 1
-            slopes[0][s] = one_hot.T @ back
+        seen = (classes[some[:, None] + sides] + rows)[:, :, None] * HIDDEN + columns
+        near = np.bincount(seen.ravel(), np.repeat(back[:, None], len(SIDES), axis=1).ravel(), p[0].size)
+        slopes = [near.reshape(p[0].shape).astype(np.float32), back.sum(axis=0), h.T @ logits, logits.sum(axis=0)]
         for w, q, g in zip(p, squares, slopes):
             q += g * g
             w -= RATE * g / (np.sqrt(q) + 1e-6)
@@ -221,7 +230,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarr
             reader, seen = Reader(shared.value), 0
             for whole in batches:
                 for batch in sliced(whole, limit=2 << 20):
-                    classes, at = reader.masked(list(text_bytes(batch.column("text"))), number)
+                    classes, at = reader.masked(list(text_bytes(batch.column("text"))), number, rounds)
                     learn(p, squares, classes, at)
                     seen += len(at)
             if seen:
