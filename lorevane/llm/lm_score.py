@@ -2,8 +2,9 @@
 
 Words have classes: the FREQUENT most frequent words one each, the others TAIL classes by their last letters. The
 network sees the classes of two words on either side and predicts the class of the word between; within a class, a
-word's probability comes from its count over all documents, or, beyond the most frequent words (VOCABULARY of them at most), from the
-bytes of the word. The sum over all words of the logarithms of both is the document's score.
+word's probability comes from its count over all documents, or, if it was not counted, from the bytes of the word. The sum
+over all words of the logarithms of both is the document's score. The counts of the most frequent words (VOCABULARY of
+them at most) are broadcast; those of the others are a table that the words of each document are joined with.
 
 Counts cover all documents. Every round of training goes over all documents: each partition starts from the shared
 parameters, masks its share of the words (in short runs, at an offset of each text's own) and learns to predict them, and
@@ -20,14 +21,15 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, materialize, sliced, text_bytes
+from .common import LOWER, materialize, sliced, text_bytes
 
 FREQUENT, TAIL, VOCABULARY = 95, 32, 20_000
 #: Class 0 stands for places before the first and after the last word.
@@ -48,19 +50,22 @@ def tail_class(word: bytes) -> int:
 
 @dataclass
 class Vocabulary:
-    """Class and log probability within the class of frequent words; what unknown words share; log odds of bytes."""
+    """Class and log probability within the class of frequent words; the log probability that a count of 1 has in each
+    class; log odds of bytes; and the counts of the other words: a table word, n, which tasks do not get."""
 
     known: dict[bytes, tuple[int, float]]
     unknown: list[float]
     of_byte: list[float]
+    others: DataFrame | None = None
 
-    def look_up(self, word: bytes) -> tuple[int, float]:
+    def look_up(self, word: bytes) -> tuple[int, float, float]:
+        """Class, log probability for a count of 1, and log odds of the bytes: 0 for frequent words, whose count is known."""
         found = self.known.get(word)
         if found is None:
             c = tail_class(word)
             odds = self.of_byte
-            found = c, self.unknown[c] + sum([odds[b] for b in word]) + odds[256]
-        return found
+            return c, self.unknown[c], sum([odds[b] for b in word]) + odds[256]
+        return *found, 0.0
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -108,27 +113,26 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     for i, r in enumerate(top[:FREQUENT]):
         known[bytes(r["word"])] = (1 + i, 0.0)
         totals[tail_class(bytes(r["word"]))] -= r["n"]
-    rest = totals + 1.0
-    left = rest.copy()
+    rest = totals + 1.0  # a count of 1 for all words that were not counted
     for r in top[FREQUENT:]:
         c = tail_class(bytes(r["word"]))
         known[bytes(r["word"])] = (c, float(np.log(r["n"] / rest[c])))
-        left[c] -= r["n"]
-    discard(counted)
+    others = counted.where(f"word IS NOT NULL AND n <= {least}").select("word", "n")
     of_byte = np.array([bytes_.get(b, 0) + 0.5 for b in range(257)])
-    return Vocabulary(known, np.log(np.maximum(left, 0.5) / rest).tolist(), np.log(of_byte / of_byte.sum()).tolist())
+    return Vocabulary(known, (-np.log(np.maximum(rest, 1.0))).tolist(), np.log(of_byte / of_byte.sum()).tolist(), others)
 
 
 class Numbers(dict):
-    """Numbers of words in the order in which they are first asked for, and their classes and log probabilities."""
+    """Numbers of words in the order in which they are first asked for, and what the vocabulary says of them."""
 
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.classes, self.logs = v, array("q"), array("d")
+        self.v, self.classes, self.logs, self.spelt = v, array("q"), array("d"), array("d")
 
     def __missing__(self, word: bytes) -> int:
-        c, log = self.v.look_up(word)
+        c, log, spelt = self.v.look_up(word)
         self.classes.append(c)
         self.logs.append(log)
+        self.spelt.append(spelt)
         self[word] = n = len(self)
         return n
 
@@ -156,9 +160,19 @@ class Reader:
         out[places] = np.array(values, kind)[of_word]
         return out
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, log probabilities, the number of words of each text, and the numbers of all words."""
         of_word, places, lengths = self._laid(texts)
-        return *(self._spread(x, kind, of_word, places, len(texts)) for x, kind in ((self.numbers.classes, np.int64), (self.numbers.logs, float))), lengths
+        return *(self._spread(x, kind, of_word, places, len(texts)) for x, kind in ((self.numbers.classes, np.int64), (self.numbers.logs, float))), lengths, of_word
+
+    def others(self, lengths: np.ndarray, of_word: np.ndarray) -> pa.Array:
+        """For each text just read its different words beyond the frequent ones: word, how many times, log odds of the bytes."""
+        spelt, names = np.array(self.numbers.spelt), list(self.numbers)
+        rare = np.flatnonzero(spelt[of_word])
+        pairs, times = np.unique(np.repeat(np.arange(len(lengths)), lengths)[rare] << 32 | of_word[rare], return_counts=True)
+        numbers, ends = pairs & 0xFFFFFFFF, np.searchsorted(pairs >> 32, np.arange(len(lengths) + 1))
+        parts = [pa.array([names[i] for i in numbers], pa.binary()), pa.array(times, pa.int64()), pa.array(spelt[numbers])]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["word", "times", "spelt"]))
 
     def masked(self, texts: list[bytes], turn: int, turns: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
         """Classes of all words, and the places of the masked ones: every turns-th run of RUN words, from an offset of the
@@ -219,7 +233,7 @@ def learn(p: list[np.ndarray], squares: list[np.ndarray], classes: np.ndarray, a
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarray]:
     """The network's parameters after `rounds` rounds over all documents."""
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(v)
+    shared = sc.broadcast(replace(v, others=None))
     now = start()
     for number in range(rounds):
         begin = sc.broadcast(now)
@@ -250,22 +264,32 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarr
 def score(docs: DataFrame, v: Vocabulary, parameters: list[np.ndarray]) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_likelihood for every row of docs(doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((v, parameters))
+    shared = docs.sparkSession.sparkContext.broadcast((replace(v, others=None), parameters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p = shared.value
-        reader = Reader(v)
+        reader, row = Reader(v), TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in sliced(whole, limit=2 << 20):
-                classes, logs, lengths = reader.read(list(text_bytes(batch.column("text"))))
+                texts = list(text_bytes(batch.column("text")))
+                classes, logs, lengths, of_word = reader.read(texts)
                 at = np.flatnonzero(classes)
                 total = np.concatenate([[0.0], np.cumsum(log_probabilities(p, classes, at).astype(float) + logs[at])])
                 ends = np.cumsum(lengths)
-                sums = total[ends] - total[ends - lengths]
-                means = [s / n if n else None for s, n in zip(sums.tolist(), lengths.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths), pa.array(sums), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+                rows = pa.array(np.arange(row, row + len(texts)))
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), pa.array(lengths), pa.array(total[ends] - total[ends - lengths]), reader.others(lengths, of_word)], ["row", "doc_id", "n_tokens", "x", "others"])
+
+    # Written once, so that a task that runs again cannot number its rows anew.
+    held = materialize(docs.select("doc_id", "text").mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, x double, others array<struct<word: binary, times: bigint, spelt: double>>"))
+    rare = held.select("row", F.explode("others").alias("o")).select("row", "o.*")
+    if v.others is not None:
+        rare = rare.hint("merge").join(v.others.hint("merge"), "word", "left")
+    else:
+        rare = rare.withColumn("n", F.lit(None).cast("bigint"))
+    more = rare.select("row", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("bigint").alias("n_tokens"), (F.col("times") * F.coalesce(F.log("n"), "spelt")).alias("x"))
+    summed = held.select("row", "doc_id", "n_tokens", "x").unionByName(more).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("x").alias("x"))
+    return summed.select("doc_id", "n_tokens", F.col("x").alias("log_likelihood"), F.try_divide("x", "n_tokens").alias("mean_log_likelihood"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

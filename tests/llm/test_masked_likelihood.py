@@ -16,3 +16,32 @@ def test_every_word_is_masked_once_over_all_rounds():
         assert all(len(at) for _, at in seen)
     fresh = lm_score.Reader(lm_score.Vocabulary({b"one": (7, 0.0)}, [-1.0] * lm_score.CLASSES, [-5.0] * 257))
     assert fresh.read([b"one one"])[0].tolist() == [0, 0, 7, 7, 0, 0]
+
+
+def test_counted_words_are_scored_by_their_counts_at_any_size_of_the_vocabulary(spark, tables, monkeypatch):
+    docs = tables["documents"].select("doc_id", "text")
+    docs = docs.union(docs.limit(20))
+    score = lambda v: sorted(tuple(r) for r in lm_score.score(docs, v, lm_score.start()).collect())
+    monkeypatch.setattr(lm_score, "VOCABULARY", 1_000_000)
+    whole = lm_score.vocabulary(docs)
+    assert whole.others.isEmpty()
+    want = score(whole)
+    monkeypatch.setattr(lm_score, "VOCABULARY", 400)
+    few = lm_score.vocabulary(docs)
+    assert lm_score.FREQUENT < len(few.known) <= 400 < len(whole.known)
+    got = score(few)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) == docs.count()
+    assert np.allclose([r[2] for r in got], [r[2] for r in want]) and not any(r[2] is None for r in got)
+
+
+def test_words_that_were_not_counted_are_spelt(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "a b a zebra zebra")], "doc_id long, text string")
+    v = lm_score.vocabulary(docs.where("doc_id = 1"))
+    got = lm_score.Reader(v)
+    *_, lengths, of_word = got.read([b"zebra zebra a"])
+    (other,) = got.others(lengths, of_word).to_pylist()[0]
+    assert other["word"] == b"zebra" and other["times"] == 2 and np.isclose(other["spelt"], sum(v.of_byte[b] for b in b"zebra") + v.of_byte[256])
+    p, classes, at = lm_score.start(), got.read([b"a b a zebra zebra"])[0], np.arange(2, 7)
+    want = lm_score.log_probabilities(p, classes, at).sum() + 2 * (v.unknown[classes[5]] + other["spelt"])
+    rows = {r["doc_id"]: r for r in lm_score.score(docs, v, p).collect()}
+    assert np.isclose(rows[2]["log_likelihood"], want) and rows[2]["n_tokens"] == 5
