@@ -233,8 +233,8 @@ def keyed_accumulate(spark, sf_dir):
 
 
 def chunk3(spark, sf_dir):
-    listed = G.accumulate(_events(spark, sf_dir).withColumn("details", F.array(F.col("event_type"))), ["user_id"], "event_id")
-    return listed.select("user_id", F.posexplode(T.chunks(F.col("details"), 3)).alias("n", "c")).select("user_id", F.col("n").cast("long").alias("n"), F.array_join("c", "/").alias("chunk"))
+    chunks = G.list_chunks(_events(spark, sf_dir), "user_id", "event_id", "event_type")
+    return chunks.select("user_id", F.col("n").cast("long").alias("n"), F.array_join("chunk", "/").alias("chunk"))
 
 
 def parse_lists(spark, sf_dir):

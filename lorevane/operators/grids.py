@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,6 +14,8 @@ from ..functions import text as T
 PERIODS = (("第一節", "08:00-08:50"), ("第二節", "09:00-09:50"), ("第三節", "10:00-10:50"), ("第四節", "11:00-11:50"), ("中午", "12:00-12:50"), ("第五節", "13:00-13:50"), ("第六節", "14:00-14:50"), ("第七節", "15:00-15:50"), ("第八節", "16:00-16:50"), ("第九節", "17:00-17:50"), ("第Ａ節", "18:00-18:50"), ("第Ｂ節", "19:00-19:50"), ("第Ｃ節", "20:00-20:50"))
 OPTIONAL = ("中午", "第九節", "第Ａ節", "第Ｂ節", "第Ｃ節")
 DAYS = ("星期一", "星期二", "星期三", "星期四", "星期五", "星期六")
+#: Orders are cut into so many slices.
+SLICES = 4096
 _WIDE = (("第A節", "第Ａ節"), ("第B節", "第Ｂ節"), ("第C節", "第Ｃ節"))
 
 
@@ -83,6 +85,23 @@ def accumulate(courses: DataFrame, keys: list[str], order: str, details: str = "
     return courses.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(F.col(details), F.array().cast("array<string>")).alias("d")))), lambda x: x["d"])).alias(details))
 
 
+def list_chunks(items: DataFrame, key: str, order: str, item: str, size: int = 3) -> DataFrame:
+    """key, n, chunk: the items of each key in order of a whole number, `size` at a time.
+
+    Rows are numbered within slices of the order, so that no task gathers or sorts all rows of a key.
+    """
+    low, high = items.agg(F.min(order), F.max(order)).first()
+    width = 1 if low is None else (high - low) // SLICES + 1
+    cut = items.select(key, F.col(order).alias("__order"), F.col(item).alias("__item"), F.floor((F.col(order) - F.lit(low or 0)) / width).alias("__slice"))
+    earlier = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    counted = cut.groupBy(key, "__slice").agg(F.count("*").alias("__n")).select(F.col(key).alias("__key"), F.col("__slice").alias("__of"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    placed = cut.withColumn("__at", F.row_number().over(Window.partitionBy(key, "__slice").orderBy("__order", "__item")))
+    placed = placed.join(counted, F.col(key).eqNullSafe(F.col("__key")) & F.col("__slice").eqNullSafe(F.col("__of")))
+    at = F.col("__before") + F.col("__at") - 1
+    held = placed.groupBy(key, F.floor(at / size).alias("n")).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "__item"))).alias("__held"))
+    return held.select(key, "n", F.transform("__held", lambda x: x["__item"]).alias("chunk"))
+
+
 def timetable(courses: DataFrame, order: str = "ord") -> DataFrame:
     """period, time, ord and a column of details for each day, for courses(day, period, details, order).
 

@@ -120,8 +120,9 @@ def widen(nodes: DataFrame, metadata: str = "metadata", text: str = "text") -> D
 
 def ordered_sources(nodes: DataFrame, key: str, order: str = "rank", metadata: str = "metadata") -> DataFrame:
     """key, sources: the labels of a key's nodes in order, each once."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, T.source_label(F.col(metadata)).alias("label")))), lambda x: x["label"])
-    return nodes.groupBy(key).agg(F.array_distinct(listed).alias("sources"))
+    labelled = nodes.select(F.col(key), F.struct(order, T.source_label(F.col(metadata)).alias("label")).alias("__place"))
+    first = labelled.groupBy(key, F.col("__place.label").alias("__label")).agg(F.min("__place").alias("__place"))  # before lists are gathered
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("__place")), lambda x: x["label"]).alias("sources"))
 
 
 def answer(nodes: DataFrame, key: str, order: str = "rank", text: str = "text", metadata: str = "metadata", writer: Callable[[Column], Column] | None = None) -> DataFrame:
