@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,11 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests, local runs)."""
+    """The folder of spark.checkpoint.dir; a temporary one where a local session names none. A cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="lorevane-checkpoint-"))
         found = _OWN_DIR[0]
@@ -78,7 +81,8 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
 
 def sliced(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `limit` bytes; a single longer text stays whole."""
-    sizes = [len(x) for x in text_bytes(batch.column(batch.schema.get_field_index(text)))]
+    column = batch.column(batch.schema.get_field_index(text))
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     at = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:

@@ -1,19 +1,20 @@
 """Removal of repeated byte strings by a distributed difference-cover suffix sort.
 
-A byte goes if a string of LENGTH bytes that covers it also starts anywhere else. To distribute the sort so that equal
-strings meet, every string of LENGTH bytes is sent to the anchor inside it: the leftmost K-byte window with the smallest
-hash. Equal strings have equal anchors. The strings of neighbouring starts share an anchor, and so travel together as one
-stretch. Only anchors that occur twice matter, and equal stretches travel once, with their number.
+A byte goes if a string of `length` bytes that covers it also starts anywhere else. To distribute the sort so that equal
+strings meet, every string of `length` bytes is sent to the anchor inside it: the leftmost window of a quarter of that
+length with the smallest hash. Equal strings have equal anchors. The strings of neighbouring starts share an anchor, and
+so travel together as one stretch. Only anchors that occur twice matter, and equal stretches (192 bits of hash) travel
+once, with their number.
 
 Each task then sorts the suffixes of the stretches it got by the difference cover {1, 2} modulo 3: the sampled suffixes
-are sorted by triples of bytes, then by triples of names until names cover DEPTH bytes; the remaining suffixes are
-merged in by what they share with sampled ones at the offset that the cover gives for the two; neighbours in each
-order are compared on their first LENGTH bytes. Starts whose prefix is found twice are returned as runs.
+are sorted by triples of symbols and named; where names repeat, the string of names is sorted the same way; the remaining
+suffixes are sorted by their first symbol and the sampled suffix after it, and merged into the order. Then neighbours in
+the order are compared on their first `length` bytes. Starts whose prefix is found twice are returned as runs.
 
 An anchor with more than CROWD different stretches is not gathered in a task: the hashes (128 bits) of its strings are
 counted instead, which is aggregated before the shuffle.
 
-Null and empty texts have no bytes. Repeated rows are occurrences like any other, so a repeated text of LENGTH bytes or
+Null and empty texts have no bytes. Repeated rows are occurrences like any other, so a repeated text of `length` bytes or
 more goes as a whole. Very long texts are read in overlapping parts. Empty tables give empty results. digest() drops
 extra columns; clean() keeps them and drops the rest of a character that a span cuts through.
 """
@@ -29,32 +30,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_bytes
+from .common import discard, materialize, sliced, text_bytes
 
 LENGTH = 400
-K = 100
-#: Names of sampled suffixes cover so many bytes (a power of 3): at least half of LENGTH, less than all of it.
-DEPTH = 243
 CROWD = 1500
-#: Bytes that a task hashes at once, and symbols that it sorts at once. Three names of a sort must fit 63 bits.
-PART, SORT = 1 << 21, 3_000_000
+#: Bytes that a task hashes at once, and symbols that it sorts at once (an anchor's group stays whole).
+PART, SORT = 1 << 19, 1 << 20
 _POSITION_BITS = 22
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_KEY = ["h", "x", "starts", "rel"]
+_KEY = ["h", "x", "y", "starts", "rel"]
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+_KEY_SCHEMA = "h bigint, x bigint, y bigint, starts int, rel int"
+#: No byte of UTF-8; what ends each stretch in a task's text.
+_END = b"\xff"
+
+
+def anchor_size(length: int) -> int:
+    """Bytes of the window that is a string's anchor."""
+    return max(1, length // 4)
 
 
 class _Powers:
-    """Powers of the multiplier and of its inverse modulo 2**64, made once for a worker."""
+    """Powers of the multiplier and of its inverse modulo 2**64, made once for a worker and as long as was asked for."""
 
-    up: np.ndarray | None = None
-    down: np.ndarray | None = None
+    up = down = np.zeros(0, np.uint64)
 
     @classmethod
-    def get(cls) -> tuple[np.ndarray, np.ndarray]:
-        if cls.up is None:
+    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
             both = []
             for m in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
-                p = np.full(2 * PART + LENGTH, m, np.uint64)
+                p = np.full(n, m, np.uint64)
                 p[0] = 1
                 both.append(np.multiply.accumulate(p))
             cls.up, cls.down = both
@@ -63,8 +69,8 @@ class _Powers:
 
 def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A mixed polynomial hash of every window of `size` bytes."""
-    up, down = _Powers.get()
     n = len(data)
+    up, down = _Powers.get(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(data * down[:n], out=total[1:])
     h = (total[size:] - total[:-size]) * up[: n - size + 1]
@@ -85,9 +91,9 @@ def _smallest(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K):
+def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH):
     """(first start, number of starts, anchor, anchor's hash) of all stretches of texts laid end to end."""
-    none = np.zeros(0, np.int64)
+    none, k = np.zeros(0, np.int64), anchor_size(length)
     if len(data) < length:
         return none, none, none, none
     h = window_hashes(data, k)
@@ -105,91 +111,140 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int =
     return first, count, anchor[first], h[anchor[first]].view(np.int64)
 
 
-def anchors(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, th (hash of the text), start, and _KEY of every stretch of docs(doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = list(text_bytes(batch.column("text")))
-            group: list[tuple[int, int, bytes]] = []  # (row, where the part begins, bytes)
-            size = 0
-            for row, text in enumerate(texts):
-                for at in range(0, max(1, len(text) - length + 1), PART):
-                    part = text[at : at + PART + length - 1]
-                    if len(part) < length:
-                        continue
-                    if size + len(part) > PART and group:
-                        yield emit(batch, group)
-                        group, size = [], 0
-                    group.append((row, at, part))
-                    size += len(part)
-            if group:
-                yield emit(batch, group)
+        for whole in batches:
+            for batch in sliced(whole):
+                group: list[tuple[int, int, bytes]] = []  # (row, where the part begins, bytes)
+                size = 0
+                for row, text in enumerate(text_bytes(batch.column("text"))):
+                    for at in range(0, max(1, len(text) - length + 1), PART):
+                        part = text[at : at + PART + length - 1]
+                        if len(part) < length:
+                            continue
+                        if size + len(part) > PART and group:
+                            yield emit(batch, group)
+                            group, size = [], 0
+                        group.append((row, at, part))
+                        size += len(part)
+                if group:
+                    yield emit(batch, group)
 
     def emit(batch: pa.RecordBatch, group: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         joined = b"".join(p for _, _, p in group)
         ends = np.cumsum([len(p) for _, _, p in group])
-        first, count, anchor, h = stretches(np.frombuffer(joined, np.uint8), ends, length, k)
+        first, count, anchor, h = stretches(np.frombuffer(joined, np.uint8), ends, length)
         part = np.searchsorted(ends, first, side="right")
         begin = np.concatenate([[0], ends[:-1]])[part]
         rows, offsets = np.array([g[0] for g in group])[part], np.array([g[1] for g in group])[part]
-        digest = xxhash.xxh3_64_intdigest
-        x = np.array([digest(joined[a : a + c + length - 1]) for a, c in zip(first.tolist(), count.tolist())], np.uint64).view(np.int64)
+        digest = xxhash.xxh3_128_digest
+        xy = np.frombuffer(b"".join([digest(joined[a : a + c + length - 1]) for a, c in zip(first.tolist(), count.tolist())]), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(pa.array(rows)), batch.column("th").take(pa.array(rows)), pa.array(first - begin + offsets, pa.int64()),
-             pa.array(h), pa.array(x), pa.array(count, pa.int32()), pa.array(anchor - first, pa.int32())],
+             pa.array(h), pa.array(xy[:, 0]), pa.array(xy[:, 1]), pa.array(count, pa.int32()), pa.array(anchor - first, pa.int32())],
             ["doc_id", "th", "start", *_KEY])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th bigint, start bigint, h bigint, x bigint, starts int, rel int")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th bigint, start bigint, {_KEY_SCHEMA}")
 
 
-def _names(*columns: np.ndarray) -> np.ndarray:
-    """Ranks of rows of columns, equal rows alike; the columns' values must together fit 63 bits."""
-    bits = [max(1, int(c.max(initial=0)).bit_length()) for c in columns]
-    key, held = columns[0].astype(np.int64), bits[0]
-    for c, b in zip(columns[1:], bits[1:]):
-        if held + b > 63:  # rename what is there first
-            key = _rank(key)
+def _key(*columns: np.ndarray) -> np.ndarray:
+    """One number for each row of columns, in the order of the rows: exact, since values that need over 63 bits are ranked first."""
+    key = columns[0].astype(np.int64)
+    held = max(1, int(key.max(initial=0)).bit_length())
+    for c in columns[1:]:
+        bits = max(1, int(c.max(initial=0)).bit_length())
+        if held + bits > 63:
+            key = np.unique(key, return_inverse=True)[1]
             held = max(1, int(key.max(initial=0)).bit_length())
-        key, held = (key << b) | c, held + b
-    return _rank(key)
+        key, held = key << bits | c, held + bits
+    return key
 
 
-def _rank(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
-    out = np.empty(len(key), np.int64)
-    if len(key):
-        out[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The starts of the suffixes of text (numbers of at least 1) in their order, by the difference cover {1, 2} modulo 3."""
+    n = len(text)
+    if n < 3:
+        return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int32)
+    t = np.concatenate([text, np.zeros(4, text.dtype)])
+    # Where the length is 1 modulo 3, the empty suffix is sampled too, so that triples of the two residues never touch.
+    sampled = np.concatenate([np.arange(1, n + (n % 3 == 1), 3, np.int32), np.arange(2, n, 3, np.int32)])
+    triples = _key(t[sampled], t[sampled + 1], t[sampled + 2])
+    order = np.argsort(triples)
+    new = np.empty(len(order), np.int32)
+    new[0] = 1
+    np.cumsum(np.diff(triples[order]) != 0, out=new[1:], dtype=np.int32)
+    new[1:] += 1
+    del triples
+    if new[-1] < len(sampled):  # some triples are equal: sort the suffixes of the string of their names
+        names = np.empty(len(sampled), np.int32)
+        names[order] = new
+        order = suffix_array(names)
+        del names
+    sampled = sampled[order]
+    rank = np.zeros(n + 4, np.int32)
+    rank[sampled] = np.arange(1, len(sampled) + 1, dtype=np.int32)
+    sampled = sampled[sampled < n]
+    others = np.arange(0, n, 3, np.int32)
+    others = others[np.argsort(_key(t[others], rank[others + 1]))]
+    # Merge: how many sampled suffixes of each residue come before each other one.
+    residue = sampled % 3
+    before = np.arange(len(others))
+    for r in (1, 2):
+        own = sampled[residue == r]
+        both = np.concatenate([own, others])
+        keys = _key(*(t[both + i] for i in range(r)), rank[both + r])
+        before += np.searchsorted(keys[: len(own)], keys[len(own) :])
+    out = np.empty(n, np.int32)
+    rest = np.ones(n, bool)
+    rest[before] = False
+    out[before], out[rest] = others, sampled
     return out
 
 
-def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, depth: int = DEPTH) -> np.ndarray:
-    """Which of `starts` begin a string of `length` symbols that begins at another of them too.
+def _equal(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Which of the pairs (a, b) of starts have equal strings of `length` bytes; words: the 8 bytes from every place on."""
+    live = np.arange(len(a))
+    offsets = [*range(0, length - 7, 8), max(0, length - 8)]
+    for k in (offsets[-1], *offsets[:-1]):
+        live = live[words[a[live] + k] == words[b[live] + k]]
+    return live
+
 
-    text: bytes plus 1, with 0 after each stretch; the string of a start must not reach a 0.
+def repeated_starts(text: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each place of text (bytes) whether it is `valid` and its string of `length` bytes begins at another such place.
+
+    The string of a valid place must lie inside the text. Neighbours in the suffix order are compared on the bytes
+    themselves. Every eighth place is compared on 7 bytes more, which settles the seven places after it.
     """
     n = len(text)
-    t = np.concatenate([text.astype(np.int64), np.zeros(length + 3, np.int64)])
-    sampled = np.flatnonzero(np.arange(n) % 3 != 0)
-    rank = np.zeros(n + length + 3, np.int64)  # names of sampled suffixes by position; 0 past the end
-    rank[sampled] = _names(t[sampled], t[sampled + 1], t[sampled + 2]) + 1
-    covered = 3
-    while covered < depth:
-        triple = (rank[sampled], rank[np.minimum(sampled + covered, n)], rank[np.minimum(sampled + 2 * covered, n)])
-        rank[sampled] = _names(*triple) + 1
-        covered *= 3
-    hit = np.zeros(len(starts), bool)
-    residue = starts % 3
-    for shift, kinds in ((0, (1, 2)), (1, (0, 1)), (2, (0, 2))):
-        # Suffixes of these two residues are both sampled `shift` further on, and so compare by symbols, then by names.
-        own = np.flatnonzero(np.isin(residue, kinds))
-        s = starts[own]
-        second = shift + (length - shift - depth) // 3 * 3
-        columns = [t[s + i] for i in range(shift)] + [rank[s + shift], rank[s + second]] + [t[s + i] for i in range(second + depth, length)]
-        name = _names(*columns)
-        hit[own] |= np.bincount(name)[name] > 1 if len(name) else False
-    return hit
+    order = suffix_array(text.astype(np.int16) + 1)
+    padded = np.concatenate([text, np.zeros(length + 15, np.uint8)])
+    words = np.zeros(n + length + 8, np.uint64)
+    for i in range(8):
+        words |= padded[i : i + len(words)].astype(np.uint64) << np.uint64(8 * i)
+    hit = np.zeros(n + 8, bool)
+    fits = np.concatenate([valid, np.zeros(8, bool)])
+    if length >= 8:
+        own = np.flatnonzero(order[1:] % 8 == 0)
+        a, b = order[own].astype(np.int64), order[own + 1].astype(np.int64)
+        same = _equal(words, a, b, length + 7)
+        a, b = a[same], b[same]
+        for i in range(8):
+            both = fits[a + i] & fits[b + i]
+            hit[a[both] + i] = hit[b[both] + i] = True
+    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
+    open_ = np.flatnonzero(fits[a] & fits[b] & ~(hit[a] & hit[b]))
+    a, b = a[open_], b[open_]
+    if length >= 8:
+        same = _equal(words, a, b, length)
+    else:
+        mask = np.uint64((1 << 8 * length) - 1)
+        same = np.flatnonzero((words[a] ^ words[b]) & mask == 0)
+    hit[a[same]] = hit[b[same]] = True
+    return hit[:n]
 
 
 def _runs(flags: np.ndarray) -> list[dict]:
@@ -198,7 +253,7 @@ def _runs(flags: np.ndarray) -> list[dict]:
     return [{"at": int(a), "n": int(b - a)} for a, b in zip(edges[::2], edges[1::2])]
 
 
-_RUNS = "h bigint, x bigint, starts int, rel int, runs array<struct<at:int,n:int>>"
+_RUNS = f"{_KEY_SCHEMA}, runs array<struct<at:int,n:int>>"
 
 
 def sort_stretches(held: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -210,27 +265,27 @@ def sort_stretches(held: DataFrame, length: int = LENGTH) -> DataFrame:
         size = 0
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in (*_KEY, "body"))):
-                if size >= SORT - (1 << 18) and row[0] != waiting[-1][0]:
+                if size >= SORT and row[0] != waiting[-1][0]:
                     yield solve(waiting)
                     waiting, size = [], 0
                 waiting.append(row)
-                size += len(row[4]) + 1
+                size += len(row[-1]) + 1
         if waiting:
             yield solve(waiting)
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        rows = list({r[:4]: r for r in rows}.values())  # a repeated row of the table gives its stretches twice
-        text = np.frombuffer(b"\0".join(r[4] for r in rows) + b"\0", np.uint8).astype(np.int16) + 1
-        sizes = np.array([len(r[4]) + 1 for r in rows])
+        rows = list({r[:-1]: r for r in rows}.values())  # a repeated row of the table gives its stretches twice
+        text = np.frombuffer(_END.join(r[-1] for r in rows) + _END, np.uint8)
+        sizes = np.array([len(r[-1]) + 1 for r in rows])
         begin = np.cumsum(sizes) - sizes
-        text[begin + sizes - 1] = 0
-        counts = np.array([r[2] for r in rows])
-        first = np.cumsum(counts) - counts
-        starts = np.arange(counts.sum()) - np.repeat(first, counts) + np.repeat(begin, counts)
-        hit = repeated_starts(text, starts, length)
-        found = [_runs(hit[a : a + c]) for a, c in zip(first, counts)]
+        counts = np.array([r[3] for r in rows])
+        marks = np.zeros(len(text) + 1, np.int8)
+        marks[begin] += 1
+        marks[begin + counts] -= 1
+        hit = repeated_starts(text, np.cumsum(marks[:-1], dtype=np.int8) > 0, length)
+        found = [_runs(hit[a : a + c]) for a, c in zip(begin, counts)]
         some = [i for i, f in enumerate(found) if f]
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][k] for i in some], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))] + [pa.array([found[i] for i in some], kinds)], [*_KEY, "runs"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][k] for i in some], t) for k, t in enumerate(_KINDS)] + [pa.array([found[i] for i in some], kinds)], [*_KEY, "runs"])
 
     return held.mapInArrow(run, _RUNS)
 
@@ -240,13 +295,17 @@ def count_strings(held: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in (*_KEY, "body")]
-            rows = [(h, x, s, r, a, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))
-                    for h, x, s, r, body in zip(*columns) for a in range(s) for d in (digest(body[a : a + length]),)]
-            yield pa.RecordBatch.from_arrays([pa.array([q[k] for q in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], [*_KEY, "at", "s1", "s2"])
-
-    strings = held.mapInArrow(run, "h bigint, x bigint, starts int, rel int, at int, s1 bigint, s2 bigint")
+        for whole in batches:
+            for first in range(0, whole.num_rows, 200):
+                batch = whole.slice(first, 200)
+                counts = batch.column("starts").to_numpy()
+                hashes = [digest(body[a : a + length]) for body, c in zip(batch.column("body").to_pylist(), counts.tolist()) for a in range(c)]
+                s = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                at = np.arange(len(s)) - np.repeat(np.cumsum(counts) - counts, counts)
+                rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in _KEY), pa.array(at, pa.int32()), pa.array(s[:, 0]), pa.array(s[:, 1])], [*_KEY, "at", "s1", "s2"])
+
+    strings = held.mapInArrow(run, f"{_KEY_SCHEMA}, at int, s1 bigint, s2 bigint")
     twice = strings.groupBy("h", "s1", "s2").count().where("count > 1").drop("count")
     found = strings.join(twice.hint("merge"), ["h", "s1", "s2"], "left_semi")  # its size is estimated too low for a broadcast
     return found.groupBy(*_KEY).agg(F.transform(F.collect_list("at"), lambda a: F.struct(a.alias("at"), F.lit(1).alias("n"))).alias("runs"))
@@ -274,8 +333,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = sort_stretches(light, length).union(count_strings(cut.where(F.col("different") > CROWD).dropDuplicates(_KEY).select(*_KEY, "body"), length))
     equal = once.where("n > 1").select(*_KEY, F.array(F.struct(F.lit(0).alias("at"), F.col("starts").alias("n"))).alias("runs"))
     found = materialize(found.union(equal).groupBy(*_KEY).agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    discard(twice), discard(once), discard(cut)
     spread = shared.join(found, _KEY).select("doc_id", "th", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["at"]).alias("start"), r["n"].alias("n")))).alias("s"))
-    return spread.groupBy("doc_id", "th").agg(F.collect_list("s").alias("spans"))
+    # A set: repeated rows of the table bring the same spans again.
+    spans = materialize(spread.groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans")))
+    discard(shared), discard(found)
+    return spans
 
 
 def _merged(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -300,17 +363,18 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, spans in zip(text_bytes(batch.column("text")), batch.column("__spans").to_pylist()):
-                ranges = _merged(spans, length)
-                hashed, at = hashlib.sha256(), 0
-                for a, b in ranges:
-                    hashed.update(text[at:a])
-                    at = b
-                hashed.update(text[at:])
-                rows.append((len(text), sum(b - a for a, b in ranges), len(ranges), hashed.hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for whole in batches:
+            for batch in sliced(whole):
+                rows = []
+                for text, spans in zip(text_bytes(batch.column("text")), batch.column("__spans")):
+                    ranges = _merged(spans.as_py(), length)
+                    hashed, at = hashlib.sha256(), 0
+                    for a, b in ranges:
+                        hashed.update(text[at:a])
+                        at = b
+                    hashed.update(text[at:])
+                    rows.append((len(text), sum(b - a for a, b in ranges), len(ranges), hashed.hexdigest()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _with_spans(docs, length).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
@@ -319,20 +383,22 @@ def clean(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with every repeated string cut from text, and n_chars, where there is one, counted again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = [n for n in batch.schema.names if n != "__spans"]
-            column = batch.column("text")
-            texts = []
-            for text, spans, whole in zip(text_bytes(column), batch.column("__spans").to_pylist(), column):
-                if not spans:
-                    texts.append(whole.as_py())
-                    continue
-                parts, at = [], 0
-                for a, b in _merged(spans, length):
-                    parts.append(text[at:a])
-                    at = b
-                texts.append(b"".join(p.decode("utf-8", "ignore").encode() for p in [*parts, text[at:]]).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(texts, column.type) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names], names)
+        for whole in batches:
+            for batch in sliced(whole):
+                names = [n for n in batch.schema.names if n != "__spans"]
+                column = batch.column("text")
+                texts = []
+                for text, spans, source in zip(text_bytes(column), batch.column("__spans"), column):
+                    found = spans.as_py()
+                    if not found:
+                        texts.append(source.as_py())
+                        continue
+                    parts, at = [], 0
+                    for a, b in _merged(found, length):
+                        parts.append(text[at:a])
+                        at = b
+                    texts.append(b"".join(p.decode("utf-8", "ignore").encode() for p in [*parts, text[at:]]).decode())
+                yield pa.RecordBatch.from_arrays([pa.array(texts, column.type) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names], names)
 
     out = _with_spans(docs, length).mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:

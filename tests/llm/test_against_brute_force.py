@@ -132,17 +132,43 @@ def test_suffix_dedup(spark, tables, monkeypatch, crowd):
     assert got == want and sum(x[1] for x in want.values()) > 0
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 3), min_size=60, max_size=300), st.integers(0, 200), st.integers(0, 200))
-def test_suffix_sort(symbols, a, b):
-    text = np.array([*symbols, 0])
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=300), st.integers(1, 60))
+def test_suffixes_are_sorted(symbols, period):
+    for text in (symbols, symbols[:period] * 5, [1] * len(symbols)):
+        assert suffix_dedup.suffix_array(np.array(text, np.int16)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=60, max_size=300), st.integers(0, 200), st.integers(0, 200), st.sampled_from([1, 5, 8, 9, 15, 40]))
+def test_repeated_starts(symbols, a, b, length):
+    text = np.array([*symbols, 255], np.uint8)
     n = min(45, len(text) - max(a, b)) if max(a, b) < len(text) else 0
     if n > 0:
         text[b : b + n] = text[a : a + n]
-    text[-1] = 0
-    starts = np.array([i for i in range(len(text) - 40 + 1) if 0 not in text[i : i + 40]], np.int64)
-    count = Counter(tuple(text[i : i + 40]) for i in starts)
-    assert suffix_dedup.repeated_starts(text, starts, 40, 27).tolist() == [count[tuple(text[i : i + 40])] > 1 for i in starts]
+    text[-1] = 255
+    valid = np.array([255 not in text[i : i + length] and i + length <= len(text) for i in range(len(text))])
+    count = Counter(bytes(text[i : i + length]) for i in np.flatnonzero(valid))
+    assert suffix_dedup.repeated_starts(text, valid, length).tolist() == [bool(valid[i]) and count[bytes(text[i : i + length])] > 1 for i in range(len(text))]
+
+
+@pytest.mark.parametrize("length", [200, 400])
+def test_passages_of_over_fifty_words(spark, length):
+    """Passages shared by two documents go, from the stage's length on; documents without any stay as they are."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, passages = [], {}
+    for k in range(51, 71):
+        shared = passages[k] = prose(k)
+        rows += [(2 * k + i, f"{prose(80 + i)} {shared} {prose(60)}") for i in range(2)]
+    rows += [(1000 + i, prose(120)) for i in range(20)]
+    got = texts(suffix_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string"), length))
+    for k, shared in passages.items():
+        gone = len(shared) + 2 >= length
+        assert [(shared in got[2 * k + i].decode()) for i in range(2)] == [not gone] * 2
+    assert all(got[i].decode() == t for i, t in rows if i >= 1000)
+    assert length == 400 or all(len(p) >= length for p in passages.values())
 
 
 @pytest.mark.parametrize("full", [48, 0])
