@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorevane.llm import decontam, packing, rules, simhash, suffix_dedup
-from lorevane.llm.common import materialize
+from lorevane.llm.common import discard, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +18,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+#: A passage of over 50 words: 51 words of three letters and a space fill 204 bytes.
+REPEATED_BYTES = 200
+
+
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that start more than once."""
-    return suffix_dedup.clean(docs)
+    """Documents without the strings of REPEATED_BYTES bytes that start more than once, so without passages of over 50
+    words that repeat. Operator 3's own query looks for strings of 400 bytes, as its contract says."""
+    return suffix_dedup.clean(docs, REPEATED_BYTES)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
