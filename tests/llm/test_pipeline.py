@@ -19,7 +19,7 @@ def test_run(spark, tables):
     ids = sorted(said)
     roots = brute.linked([brute.simhash(said[i]) for i in ids])
     ids = [i for k, i in enumerate(ids) if roots[k] == k]
-    hits = brute.repeated([said[i] for i in ids])
+    hits = brute.repeated([said[i] for i in ids], corpus_pipeline.REPEATED_BYTES)
     cleaned = {}
     known = brute.windows([(r["item_id"], r["text"]) for r in tables["benchmark"].collect()])
     for i, hit in zip(ids, hits):
