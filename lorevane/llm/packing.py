@@ -12,11 +12,12 @@ place of single ones, and the result does not depend on the number of documents.
 length and look their places up. One task never sees all pieces.
 
 Null and empty texts are documents of the end id alone. Repeated rows are packed each on its own. Very long texts are
-tokenised whole. Empty tables give empty results. Extra columns are dropped.
+tokenised whole, and so are very long runs of white space. Empty tables give empty results. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,6 +36,9 @@ END_ID = 2
 SLICES = 4096
 #: A text with this in it goes through the tokenizer file itself, which knows the string as one token.
 SPECIAL = "<|endoftext|>"
+#: So does a text with so long a run of white space: the quick way backs up over such a run on the machine's stack.
+_LONG_SPACE = 10_000
+_SPACES = re.compile(r"\s{%d}" % _LONG_SPACE)
 
 
 @dataclass(frozen=True)
@@ -135,9 +139,13 @@ def _tokenizer(path: str):
             quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> list[int]:
-            if quick is None or SPECIAL in text:
-                return whole.encode(text, add_special_tokens=False).ids
-            return quick.encode_ordinary(text)
+            if quick is not None and SPECIAL not in text and not (len(text) >= _LONG_SPACE and _SPACES.search(text)):
+                try:
+                    return quick.encode_ordinary(text)
+                except BaseException as e:  # a panic of the library is no Exception
+                    if type(e).__name__ != "PanicException":
+                        raise
+            return whole.encode(text, add_special_tokens=False).ids
 
         _TOKENIZERS[path] = encode
     return _TOKENIZERS[path]
