@@ -11,8 +11,9 @@ DISTANCE bits exactly when some point lies within half of it of both, so every n
 its ball, and those that name the same point are hung on the smallest of them. That gives the same components without
 pairs.
 
-Null and empty texts have fingerprint 0 and link like any other. Repeated rows and equal ids get equal results. An
-empty table gives an empty result. Extra columns are dropped by digest() and kept by keep_one().
+Null and empty texts have fingerprint 0 and link like any other. Repeated rows get equal results; rows of one id with
+different texts each have their own. A component of null ids only has a null component_id. An empty table gives an
+empty result. Extra columns are dropped by digest() and kept by keep_one().
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, materialize, sliced, text_bytes
@@ -59,17 +60,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row of docs(doc_id, text)."""
+def fingerprints(docs: DataFrame, also: Column | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of every row of docs(doc_id, text), and th, a long, if asked for."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    more = [] if also is None else [also.cast("long").alias("th")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole):
                 fps = np.array([fingerprint(t) for t in text_bytes(batch.column("text"))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+                carried = batch.columns[2:]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), *carried], ["doc_id", "fp", "th"][: 2 + len(carried)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", "text", *more).mapInArrow(run, f"doc_id {kind}, fp bigint" + (", th bigint" if more else ""))
 
 
 def segments(count: int) -> list[tuple[int, int]]:
@@ -127,19 +130,19 @@ def links(nodes: DataFrame, distance: int = DISTANCE, full: int = FULL_DRAWER) -
     return pairs.union(stars)
 
 
-def clusters(marked: DataFrame) -> DataFrame:
-    """fp, component_id for every fingerprint of marked(doc_id, fp): the smallest doc_id of the component."""
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    rooted = components(links(nodes.select("fp")))
-    joined = nodes.join(rooted, nodes["fp"] == rooted["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = materialize(joined)
-    return joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+def rooted(marked: DataFrame) -> DataFrame:
+    """fp, root for every fingerprint of marked(fp): the smallest fingerprint of the component."""
+    nodes = materialize(marked.select("fp").distinct())
+    found = components(links(nodes))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row of docs(doc_id, text)."""
     marked = materialize(fingerprints(docs))
-    return marked.join(clusters(marked), "fp").select("doc_id", "fp", "component_id")
+    least = materialize(rooted(marked).join(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp"))
+    of_fp = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -148,11 +151,21 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates: of each component the row with the smallest doc_id stays, of equal ids one row."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__chosen_id")).distinct()
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__chosen_id")), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__repeated_id"))
+    """docs without near duplicates: one row of each component stays.
+
+    It is the row with the smallest doc_id (null comes last); of several such rows the one with the smallest hash of its
+    text, then of its other columns. Rows without an id, and rows that share one, are told apart by their texts.
+    """
+    own = docs.columns
+    held = docs.select("*", F.xxhash64("text").alias("__kept_text"), F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in own)))).alias("__kept_row"))
+    marked = materialize(fingerprints(docs.select("doc_id", "text"), F.xxhash64("text")))
+    # The place of a row in its component; a null id sorts behind all others.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    of_fp = materialize(rooted(marked).join(marked.groupBy("fp").agg(F.min(place).alias("least")), "fp"))
+    chosen = of_fp.groupBy("root").agg(F.min("least").alias("p")).select(F.col("p.doc_id").alias("__chosen_id"), F.col("p.th").alias("__chosen_text")).distinct()
+    kept = held.join(chosen, held["doc_id"].eqNullSafe(F.col("__chosen_id")) & (F.col("__kept_text") == F.col("__chosen_text")), "left_semi")
+    repeated = marked.groupBy("doc_id", "th").count().where("count > 1")
     if repeated.isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+        return kept.select(*(F.col(f"`{c}`") for c in own))
+    first = Window.partitionBy("doc_id", "__kept_text").orderBy("__kept_row")
+    return kept.withColumn("__kept_place", F.row_number().over(first)).where("__kept_place = 1").select(*(F.col(f"`{c}`") for c in own))
