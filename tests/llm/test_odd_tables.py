@@ -5,6 +5,7 @@ import pytest
 from lorevane.llm import decontam, gbdt, html_template, lm_score, packing, rules, sharding, simhash, suffix_dedup, toxicity
 
 BY_DOCUMENT = {
+    "packing": lambda d, t: packing.digest(d).where("piece = 0"),
     "toxicity": lambda d, t: toxicity.digest(d, t["labels"]),
     "gbdt": lambda d, t: gbdt.digest(d, t["labels"]),
     "suffix_dedup": lambda d, t: suffix_dedup.digest(d),
@@ -61,11 +62,44 @@ def test_values_of_odd_rows(odd, tables):
     assert lm[1]["n_tokens"] == 0 and lm[1]["log_likelihood"] == 0 and lm[1]["mean_log_likelihood"] is None and lm[5]["n_tokens"] == 80_000
 
 
-def test_own_folder_only_without_a_setting():
+def test_own_folder_only_in_local_sessions_without_a_setting():
     from types import SimpleNamespace
 
     from lorevane.llm.common import shared_dir
 
-    session = lambda value: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value))
-    assert shared_dir(session("hdfs://store/checkpoints/")) == "hdfs://store/checkpoints"
+    session = lambda value, master="local[2]": SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: master if key == "spark.master" else value))
+    assert shared_dir(session("hdfs://store/checkpoints/", "yarn")) == "hdfs://store/checkpoints"
     assert shared_dir(session(None)) == shared_dir(session(None)) and shared_dir(session(None)).startswith("file:///")
+    with pytest.raises(ValueError):
+        shared_dir(session(None, "spark://host:7077"))
+
+
+def test_very_long_runs_are_packed_like_any_text(spark):
+    """A million of one character: the ids are those of the tokenizer file, whatever the quick way can take."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    said = {i: c * 1_000_000 for i, c in enumerate([" ", "\n", "a", "\u3000"])} | {9: "word" + " " * 9_999 + "word"}
+    rows = packing.digest(spark.createDataFrame(list(said.items()), "doc_id long, text string")).collect()
+    for i, text in said.items():
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        parts = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert sum(r["length"] for r in parts) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in parts)
+
+
+def test_one_row_of_each_group_stays_and_no_other_text_is_lost(spark):
+    import random
+
+    rng = random.Random(2)
+    prose = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    rows = [(None, prose[0]), (None, prose[1]), (1, prose[2]), (1, prose[3]), (1, prose[3]), (2, prose[2]), (3, prose[4]), (None, prose[4]), (5, None), (4, ""), (None, " ")]
+    docs = spark.createDataFrame([(*r, k % 2) for k, r in enumerate(rows)], "doc_id long, text string, th int")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(0, prose[0]), (0, prose[1]), (1, prose[2]), (1, prose[3]), (3, prose[4]), (4, "")])
+    assert [r["th"] for r in got.where("doc_id = 1").orderBy("text").collect()] == [r["th"] for r in simhash.keep_one(docs.repartition(7)).where("doc_id = 1").orderBy("text").collect()]
