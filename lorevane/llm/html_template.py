@@ -1,16 +1,22 @@
 """Main text of web pages, with site templates found by counting element subtrees of each host.
 
-Each page is read into a tree of elements. The hash of a subtree covers its element names and texts. Spark counts on how
-many pages of a host every subtree occurs; what recurs on many of them is the site's template and is deleted. Prose
-inside an article (headings, paragraphs and the like) is never taken for template, since articles are also copied.
-Elements whose name, class, id or role says what they are (menus, footers, adverts, forms, comments ...) go as well.
-
-What is left of the article or main element, or of the body if a page has neither, is read in blocks: character
-references are decoded, white space in a block becomes one space, blocks are joined by an empty line.
-
-Null and empty html gives empty text. A null url is a host of its own name ''. Broken markup is read as far as it can
-be. Repeated rows count as pages of their own. Very long pages are read whole. An empty table gives an empty result.
-Extra columns are dropped.
+Each page is read into elements. Every subtree has two hashes: one of its names and texts, and one of its place and shape,
+that is the names and classes down to it and the set of shapes inside, without texts and numbers of links. Spark counts on
+how many different pages of a host each hash occurs. What recurs is the site's template and is deleted:
+
+* a subtree with the same text on PAGES pages and a SHARE of the host's pages. Inside an article its surroundings must differ,
+  so that copied articles stay, and for prose (headings, paragraphs and the like) the share is HALF;
+* a subtree of the same shape on so many pages whose class, id or role is that of boilerplate, or that is mostly links;
+* beside an article, a subtree of the same shape on HALF of the pages, whatever its text: a slot of the site.
+
+Elements that HTML itself defines as what is not wanted (nav, footer, aside, form, header outside an article ...) go on any
+page. Hosts with fewer than PAGES different pages have no counts: there the article or main element decides, where a page
+has one, and class words outside of it.
+
+What is left is read in blocks: character references are decoded, white space in a block becomes one space, blocks are
+joined by an empty line. Null and empty html gives empty text. A null url is a host of its own name ''. Broken markup is
+read as far as it can be, at any depth. Repeated rows count as one page. Very long pages are read whole. An empty table
+gives an empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -18,17 +24,16 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced
+from .common import discard, materialize, sliced
 
-#: A subtree is template if it is on so many pages of its host, and on such a share of them.
-PAGES, SHARE = 5, 0.2
+#: A subtree is template if it is on so many different pages of its host, and on such a share of them.
+PAGES, SHARE, HALF = 5, 0.2, 0.5
 #: Templates are broadcast up to so many (host, subtree) rows of 24 bytes or so; beyond, pages are joined by host.
 BROADCAST_ROWS = 1_000_000
 
@@ -39,143 +44,169 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody thead figcaption ul ol dl table figure hr".split())
 _GONE = frozenset("nav footer aside form head select button menu dialog object audio video canvas fieldset input option datalist".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-#: Words in class, id or role that name boilerplate, and those that do so outside an article only.
-_BOILERPLATE = frozenset("ad ads advert adverts advertisement adverts advertising sponsor sponsored promo banner sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus reply replies respond discussion widget pagination pager toolbar login signup search complementary contentinfo".split())
-_OUTSIDE = frozenset("header masthead topbar".split())
+#: Words in class, id or role that name boilerplate anywhere, those that do so outside an article only, and comments.
+_BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent newsletter subscribe share sharing social comment comments commentlist disqus pagination pager toolbar login signup contentinfo".split())
+_OUTSIDE = frozenset("header masthead topbar banner notice notices alert popup modal subscription related recommended reply replies respond discussion widget search complementary aside".split())
+_COMMENTS = frozenset("comment comments".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-
-
-@dataclass
-class Element:
-    name: str
-    marks: frozenset[str] = frozenset()
-    hidden: bool = False
-    children: list = field(default_factory=list)
-    holds_article: bool = False
-
-
-def parse(page: str) -> Element:
-    """The element tree of a page. Missing end tags are supplied where a start tag implies them."""
-    root = Element("#root")
-    stack = [root]
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            stack[-1].children.append(text)
-            continue
-        if m["name"] is None:
-            continue
-        name = m["name"].lower()
-        if m["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if name in _INLINE and stack[k].name not in _INLINE:
-                    break  # an inline end tag does not end blocks
-            continue
-        if name in _CLOSES_P:
-            _end(stack, ("p",), ("td", "th", "li", "button", "table"))
-        if name == "li":
-            _end(stack, ("li",), ("ul", "ol", "menu"))
-        elif name in ("dt", "dd"):
-            _end(stack, ("dt", "dd"), ("dl",))
-        elif name in ("td", "th"):
-            _end(stack, ("td", "th"), ("tr", "table"))
-        elif name == "tr":
-            _end(stack, ("tr",), ("table",))
-        elif name == "body":
-            _end(stack, ("head",), ())
-        attrs = m["attrs"] or ""
-        marks = frozenset(w for g in _NAMED.findall(attrs) for w in re.findall(r"[a-z0-9]+", "".join(g).lower())) if "=" in attrs else frozenset()
-        element = Element(name, marks, bool(attrs and _HIDDEN.search(attrs)))
-        stack[-1].children.append(element)
-        if name in ("article", "main"):
-            for e in stack:
-                e.holds_article = True
-        if name not in _VOID and not attrs.endswith("/"):
-            stack.append(element)
-    return root
-
-
-def _end(stack: list[Element], names: tuple, until: tuple) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name in names:
+_NO_MARKS: frozenset[str] = frozenset()
+
+
+class Page:
+    """The elements of a page in document order: names, class words (marks), parents, and children (numbers of elements, or texts).
+
+    Element 0 is the root. Missing end tags are supplied where a start tag implies them. A child has a higher number than
+    its parent, so that a pass over the numbers needs no recursion at any depth.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.names, self.marks, self.parents, self.children = ["#root"], [_NO_MARKS], [-1], [[]]
+        names, stack = self.names, [0]
+        count: dict[str, int] = {}  # open elements by name
+
+        def pop(k: int) -> None:
+            for e in stack[k:]:
+                count[names[e]] -= 1
             del stack[k:]
-            return
-        if stack[k].name in until:
-            return
-
-
-def subtree_hashes(root: Element) -> dict[int, int]:
-    """The hash of each element that may be template, by the element's id(); subtrees without text have none."""
-    out: dict[int, int] = {}
-
-    def visit(e: Element, in_article: bool) -> str:
-        inside = in_article or e.name in ("article", "main")
-        if in_article and e.name in _PROSE:  # cannot be template itself
-            body = "\x1f".join(visit(c, inside) if isinstance(c, Element) else c for c in e.children)
-        else:
-            body = "\x1f".join(p for p in (visit(c, inside) if isinstance(c, Element) else " ".join(c.split()) for c in e.children) if p)
-        if not body:
-            return ""
-        h = xxhash.xxh64_intdigest(f"{e.name}\x1e{body}".encode("utf-8", "replace"))
-        if e.name not in _INLINE and not e.holds_article and e.name not in ("#root", "html", "body", "article", "main") and not (in_article and e.name in _PROSE):
-            out[id(e)] = h - (1 << 64) if h >= 1 << 63 else h
-        return f"{h:x}"
-
-    _deep(visit, root)
+
+        def end(ends: tuple, until: tuple) -> None:
+            if any(count.get(n) for n in ends):
+                for k in range(len(stack) - 1, 0, -1):
+                    if names[stack[k]] in ends:
+                        return pop(k)
+                    if names[stack[k]] in until:
+                        return None
+
+        for m in _TOKEN.finditer(page):
+            text = m["text"]
+            if text is not None:
+                self.children[stack[-1]].append(text)
+                continue
+            if m["name"] is None:
+                continue
+            name = m["name"].lower()
+            if m["close"]:
+                if count.get(name):
+                    for k in range(len(stack) - 1, 0, -1):
+                        if names[stack[k]] == name:
+                            pop(k)
+                            break
+                        if name in _INLINE and names[stack[k]] not in _INLINE:
+                            break  # an inline end tag does not end blocks
+                continue
+            if name in _CLOSES_P:
+                end(("p",), ("td", "th", "li", "button", "table"))
+            if name == "li":
+                end(("li",), ("ul", "ol", "menu"))
+            elif name in ("dt", "dd"):
+                end(("dt", "dd"), ("dl",))
+            elif name in ("td", "th"):
+                end(("td", "th"), ("tr", "table"))
+            elif name == "tr":
+                end(("tr",), ("table",))
+            elif name == "body":
+                end(("head",), ())
+            attrs = m["attrs"]
+            marks = frozenset(w for g in _NAMED.findall(attrs) for w in re.findall(r"[a-z]+", "".join(g).lower())) if attrs and "=" in attrs else _NO_MARKS
+            self.children[stack[-1]].append(len(names))
+            names.append(name), self.marks.append(marks), self.parents.append(stack[-1]), self.children.append([])
+            if name not in _VOID:
+                stack.append(len(names) - 1)
+                count[name] = count.get(name, 0) + 1
+        n = len(names)
+        self.inside = [False] * n  # whether an article, or main, is around the element
+        self.holds = [False] * n  # whether one is within it
+        holder = lambda e: names[e] in ("article", "main") and not (names[e] == "article" and self.marks[e] & _COMMENTS)
+        for e in range(1, n):
+            self.inside[e] = self.inside[self.parents[e]] or holder(self.parents[e])
+        for e in range(n - 1, 0, -1):
+            self.holds[self.parents[e]] |= self.holds[e] or holder(e)
+
+    def measure(self) -> None:
+        """whole: the hash of each subtree's names and texts ('' without text). shape: that of its place and structure.
+        linked: whether most of its text is in links."""
+        n = len(self.names)
+        digest = xxhash.xxh3_64_hexdigest
+        self.whole, shapes = [""] * n, [""] * n
+        chars, in_links = [0] * n, [0] * n
+        for e in range(n - 1, -1, -1):
+            parts, below = [], set()
+            for c in self.children[e]:
+                if isinstance(c, int):
+                    if self.whole[c]:
+                        parts.append(self.whole[c])
+                        below.add(shapes[c])
+                        chars[e] += chars[c]
+                        in_links[e] += in_links[c]
+                elif said := " ".join(c.split()):
+                    parts.append(said)
+                    below.add("#text")
+                    chars[e] += len(said)
+            if parts:
+                if self.names[e] == "a":
+                    in_links[e] = chars[e]
+                own = f"{self.names[e]}.{' '.join(sorted(self.marks[e]))}"
+                self.whole[e] = digest("\x1f".join((own, *parts)).encode("utf-8", "replace"))
+                shapes[e] = own if self.names[e] in _INLINE else digest("\x1f".join((own, *sorted(below))).encode("utf-8", "replace"))
+        places = [""] * n
+        self.shape = [""] * n
+        for e in range(1, n):
+            if self.whole[e] and self.names[e] not in _INLINE:
+                places[e] = digest(f"{places[self.parents[e]]}/{self.names[e]}.{' '.join(sorted(self.marks[e]))}".encode("utf-8", "replace"))
+                self.shape[e] = digest(f"{places[e]}\x1e{shapes[e]}".encode())
+        self.linked = [x * 2 > y for x, y in zip(in_links, chars)]
+
+    def may_go(self, e: int) -> bool:
+        """Whether an element can be template: a block with text that neither is nor holds an article."""
+        return bool(self.whole[e]) and self.names[e] not in _INLINE and not self.holds[e] and self.names[e] not in ("#root", "html", "body", "article", "main")
+
+
+def _number(digest: str) -> int:
+    h = int(digest, 16)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def subtrees(page: Page) -> set[tuple[int, int]]:
+    """(hash, surroundings) of all that may be template: pages that agree in both count once."""
+    page.measure()
+    whole = _number(page.whole[0] or "0")
+    out = set()
+    for e in range(1, len(page.names)):
+        if page.may_go(e):
+            out.add((_number(page.whole[e]), _number(page.whole[page.parents[e]]) if page.inside[e] else whole))
+            out.add((_number(page.shape[e]), whole))
     return out
 
 
-def _deep(visit, root: Element):
-    """Run a recursive visit whatever the depth of the tree."""
-    import sys
-
-    held = sys.getrecursionlimit()
-    if _depth(root) < 800:
-        return visit(root, False)
-    sys.setrecursionlimit(10**6)
-    try:
-        import threading
-
-        threading.stack_size(512 << 20)
-        box: list = []
-        t = threading.Thread(target=lambda: box.append(visit(root, False)))
-        t.start(), t.join()
-        return box[0] if box else None
-    finally:
-        threading.stack_size(0)
-        sys.setrecursionlimit(held)
-
-
-def _depth(root: Element) -> int:
-    deepest, level = 0, [root]
-    while level:
-        deepest += 1
-        level = [c for e in level for c in e.children if isinstance(c, Element)]
-    return deepest
-
-
-def _boilerplate(e: Element, in_article: bool) -> bool:
-    if e.hidden:
-        return True
-    if e.holds_article or e.name in ("html", "body", "article", "main", "#root"):
-        return e.name == "article" and bool(e.marks & {"comment", "comments"})
-    return e.name in _GONE or (e.name == "header" and not in_article) or bool(e.marks & _BOILERPLATE) or (not in_article and bool(e.marks & _OUTSIDE))
-
-
-def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks of the page's main text, joined by an empty line."""
-    root = parse(page)
-    hashes = subtree_hashes(root) if template else {}
-    only_articles = _has(root, "article")
-    only_main = not only_articles and _has(root, "main")
+def main_text(source: str, template: dict[int, float] | None = None) -> str:
+    """The blocks of a page's main text, joined by an empty line. template: the share of the host's pages for what recurs
+    there; None where the host's pages were not counted."""
+    page = Page(source)
+    counted = template is not None
+    if template:
+        page.measure()
+    held = page.holds[0]
+
+    def gone(e: int) -> bool:
+        name, marks, inside = page.names[e], page.marks[e], page.inside[e]
+        if page.holds[e] or name in ("html", "body", "article", "main"):
+            return name == "article" and bool(marks & _COMMENTS)
+        if name in _GONE or (name == "header" and not inside):
+            return True
+        named = marks & _BOILERPLATE or (not inside and marks & _OUTSIDE)
+        if not counted:
+            return bool(named)
+        if not template or not page.may_go(e):
+            return False
+        if template.get(_number(page.whole[e]), 0) >= (HALF if inside and name in _PROSE else SHARE):
+            return True
+        share = template.get(_number(page.shape[e]), 0)
+        return share >= SHARE and bool(named or (not inside and page.linked[e])) or share >= HALF and held and not inside
+
     blocks: list[str] = []
     line: list[str] = []
 
@@ -185,76 +216,76 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
         if text:
             blocks.append(text)
 
-    def visit(e: Element, in_article: bool) -> None:
-        if _boilerplate(e, in_article) or (hashes and hashes.get(id(e)) in template):
-            return
-        if e.name == "br" or e.name == "hr":
-            line.append(" ")
-        block = e.name not in _INLINE
-        if block:
-            flush()
-        inside = in_article or e.name == "article" or (e.name == "main" and not only_articles)
-        taken = inside or not (only_articles or only_main)
-        for c in e.children:
-            if isinstance(c, Element):
-                visit(c, inside)
-            elif taken:
-                line.append(c)
-        if block:
+    todo: list = [0]  # elements to enter, texts, and None where a block ends
+    taken = [counted or not held] * len(page.names)
+    while todo:
+        e = todo.pop()
+        if e is None:
             flush()
-
-    _deep(visit, root)
+        elif isinstance(e, str):
+            line.append(e)
+        elif not (e and gone(e)):
+            name = page.names[e]
+            if name in ("br", "hr"):
+                line.append(" ")
+            if name not in _INLINE:
+                flush()
+                todo.append(None)
+            mine = taken[e] or page.inside[e] or name in ("article", "main")
+            todo.extend(c for c in reversed(page.children[e]) if isinstance(c, int) or mine)
     flush()
     return "\n\n".join(blocks)
 
 
-def _has(root: Element, name: str) -> bool:
-    level = [root]
-    while level:
-        if any(e.name == name and not (e.hidden or e.marks & {"comment", "comments"}) for e in level):
-            return True
-        level = [c for e in level for c in e.children if isinstance(c, Element)]
-    return False
-
-
 def host(url: Column) -> Column:
     """The host of a url in lower case, '' where there is none."""
     return F.coalesce(F.lower(F.regexp_extract(url, "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def templates(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
-    """host, subtree for every subtree that recurs on many pages of its host; pages(host, html)."""
+    """host, subtree, share for every subtree that recurs on the pages(host, html) of a host, and a row with a null subtree
+    for each host that has enough pages to tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, out = [], []
-            for name, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-                found = set(subtree_hashes(parse(page.as_py() or "")).values())
-                hosts += [name] * (len(found) + 1)
-                out += [*found, None]  # the null counts the page
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(out, pa.int64())], ["host", "subtree"])
-
-    counted = materialize(pages.mapInArrow(run, "host string, subtree bigint").groupBy("host", "subtree").agg(F.count("*").alias("pages")).where((F.col("pages") >= least_pages) | F.col("subtree").isNull()))
+        for whole in batches:
+            for batch in sliced(whole, "html"):
+                seen: set[tuple] = set()
+                for name, source in zip(batch.column("host").to_pylist(), batch.column("html")):
+                    page = Page(source.as_py() or "")
+                    seen.update((name, *x) for x in subtrees(page))
+                    seen.add((name, None, _number(page.whole[0] or "0")))  # counts the page
+                hosts, hashes, around = zip(*seen) if seen else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(around, pa.int64())], ["host", "subtree", "around"])
+
+    found = pages.mapInArrow(run, "host string, subtree bigint, around bigint").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
+    counted = materialize(found.where(F.col("pages") >= least_pages))
     of_host = counted.where("subtree IS NULL").select("host", F.col("pages").alias("all"))
-    return counted.where("subtree IS NOT NULL").join(of_host, "host").where(F.col("pages") >= share * F.col("all")).select("host", "subtree")
+    return counted.join(of_host, "host").select("host", "subtree", (F.col("pages") / F.col("all")).alias("share")).where((F.col("share") >= share) | F.col("subtree").isNull())
 
 
 def extract(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html)."""
     pages = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     found = materialize(templates(pages.select("host", "html"), least_pages, share))
-    by_host = found.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    # At most 1 / share times the subtrees of a page for each host.
+    by_host = found.groupBy("host").agg(F.collect_list(F.when(F.col("subtree").isNotNull(), F.struct("subtree", "share"))).alias("template"))
     if found.count() <= BROADCAST_ROWS:
         by_host = F.broadcast(by_host)
     kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            known: dict[str, dict | None] = {}  # templates of the hosts of a batch
             for batch in sliced(whole, "html"):
-                texts = [main_text(p.as_py() or "", set(t.as_py() or ())) for p, t in zip(batch.column("html"), batch.column("template"))]
+                texts = []
+                for name, source, found in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("template")):
+                    if name not in known:
+                        rows = found.as_py()
+                        known[name] = None if rows is None else {r["subtree"]: r["share"] for r in rows}
+                    texts.append(main_text(source.as_py() or "", known[name]))
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = pages.join(by_host, "host", "left").select("page_id", "url", "html", "template")
+    joined = pages.join(by_host, "host", "left").select("page_id", "url", "html", "host", "template")
     return joined.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars bigint")
 
 

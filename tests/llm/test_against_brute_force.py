@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lorevane.llm import decontam, gbdt, graph, html_template, lm_score, packing, rules, sharding, simhash, suffix_dedup, toxicity
+from lorevane.llm import decontam, gbdt, graph, lm_score, packing, rules, sharding, simhash, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -243,20 +243,6 @@ def test_trees_fit_and_flatten():
     assert np.allclose(trees.raw(x[:50]), slow) and ((trees.probability(x) >= 0.5) == y).mean() > 0.97
 
 
-def test_html(spark, tables):
-    page = ("<body><header>site<h1>X</h1></header><main><article><header><h1>T &amp; U</h1></header><p>a  b<br>c&nbsp;d<div class='sidebar'>no</div><p>e"
-            "<script>x='</p>'</script><section id='comments'><article class='comment'>reader</article></section><form>f</form></article></main><div class=ad>buy</div><p>out")
-    assert html_template.main_text(page) == "T & U\n\na b c d\n\ne"
-    assert html_template.main_text("<p>only<p>two <b>x</b>y") == "only\n\ntwo xy" and html_template.main_text("a < b") == "a < b"
-    assert html_template.main_text("<div>" * 3000 + "deep") == "deep"
-    pages = [(i, f"http://h/{i}", f"<div><div>Our shop <i>sells</i></div><div>Text number {i}</div></div>") for i in range(8)] + [(8, None, None), (9, "http://other/", "<div>Our shop <i>sells</i></div>")]
-    got = {r["page_id"]: r for r in html_template.digest(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got[3]["text"] == "Text number 3" and got[8]["text"] == "" and got[9]["text"] == "Our shop sells" and got[3]["n_chars"] == 13
-    article = "<div>Menu</div><article><p>Copied everywhere</p></article>"
-    same = spark.createDataFrame([(i, f"http://h/{i}", article) for i in range(9)], "page_id long, url string, html string")
-    assert {r["text"] for r in html_template.digest(same).collect()} == {"Copied everywhere"}
-
-
 def test_masked_likelihood(spark, tables):
     docs = tables["documents"].select("doc_id", "text")
     v = lm_score.vocabulary(docs)
