@@ -6,10 +6,11 @@ separator of its own. The index is the Burrows-Wheeler transform of the runs in
 sampled suffixes. All benchmark phrases are searched backward at once; occurrences walk to a sampled suffix. Hit words
 are merged into spans.
 
-The benchmark is read in blocks of about BLOCK_BYTES; each block is one pass over the documents, which carries what
-earlier blocks hit. Documents are never shuffled. Null and empty texts have no words. Null items have no words and
-never occur. Repeated items count under their ids. An empty benchmark leaves every document clean. Repeated rows are
-judged each on its own. Very long texts are worked on whole. digest() drops extra columns, clean() keeps them.
+The benchmark is read in blocks of about BLOCK_WORDS words, kept as arrays; the driver and a task hold one block at a
+time. Documents are read once, whatever the number of blocks, and never shuffled. Null and empty texts have no words.
+Null item texts never occur. An item with a null id has no name to report: its words are hit, but it is not counted.
+Repeated items count under their ids. An empty benchmark leaves every document clean. Repeated rows are judged each on
+its own. Very long texts are worked on whole. digest() drops extra columns, clean() keeps them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import sliced, text_bytes
 
 PHRASE = 10
-BLOCK_BYTES = 16 << 20
+#: About 16 bytes for each word of a block, and its different words once.
+BLOCK_WORDS = 2_000_000
 SAMPLE_EVERY = 8
 #: ASCII bytes but digits and letters end a word; A-Z are lower-cased; other bytes are parts of words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -37,31 +39,66 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of the different pairs (a, b), in their order."""
+    return np.unique(a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int32)
+
+
+def _windows(symbols: np.ndarray, size: int) -> np.ndarray:
+    """A number for the `size` symbols from each place on, equal for equal symbols: runs of 1, 2, 4 ... are numbered and joined."""
+    n = len(symbols)
+    shifted = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, n), x.dtype)])
+    run, width, out, held = symbols, 1, None, 0
+    while size:
+        if size & 1:
+            out, held = (run, width) if out is None else (_joined(out, shifted(run, held)), held + width)
+        size >>= 1
+        if size:
+            run, width = _joined(run, shifted(run, width)), 2 * width
+    return out
+
+
 @dataclass
 class Phrases:
-    """Every different window of the items as symbols, shorter ones padded in front with 0, and which items have it."""
+    """Every different window of a block of items. text: the items' words as symbols, shorter items filled up in front
+    with 0. first: where each window stands there; lengths: its words; owners[start[i] : start[i + 1]]: numbers of the
+    items that have window i."""
 
     vocabulary: dict[bytes, int]
-    symbols: np.ndarray
+    text: np.ndarray
+    size: int
+    first: np.ndarray
     lengths: np.ndarray
-    owners: list[np.ndarray]
-    items: list[str]
+    start: np.ndarray
+    owners: np.ndarray
+    items: list[str | None]
 
     @staticmethod
-    def of(rows: list[tuple[str, str | None]], size: int = PHRASE) -> Phrases:
+    def of(rows: list[tuple[str | None, str | None]], size: int = PHRASE) -> Phrases:
         vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[int]] = {}
-        items = sorted({i for i, _ in rows})
-        number = {i: k for k, i in enumerate(items)}
-        for item, text in rows:
-            ids = tuple(vocabulary.setdefault(w, len(vocabulary) + 1) for w in words((text or "").encode()))
-            for k in range(max(1, len(ids) - size + 1) if ids else 0):
-                windows.setdefault(ids[k : k + size], set()).add(number[item])
-        ordered = sorted(windows)
-        symbols = np.zeros((len(ordered), size), np.int64)
-        for row, w in zip(symbols, ordered):
-            row[size - len(w) :] = w
-        return Phrases(vocabulary, symbols, np.array([len(w) for w in ordered], np.int64), [np.array(sorted(windows[w])) for w in ordered], items)
+        number: dict[str | None, int] = {}
+        parts, owner, begin, at = [], [], [], 0
+        for item, body in rows:
+            found = words((body or "").encode())
+            if not found:
+                continue
+            short = max(0, size - len(found))
+            parts.append(np.zeros(short + len(found), np.int32))
+            parts[-1][short:] = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in found]
+            places = len(parts[-1]) - size + 1
+            begin.append(np.arange(at, at + places, dtype=np.int32))
+            owner.append(np.full(places, number.setdefault(item, len(number)), np.int32))
+            at += len(parts[-1])
+        none = np.zeros(0, np.int32)
+        text, begin, owner = (np.concatenate(x) if x else none for x in (parts, begin, owner))
+        _, first, which = np.unique(_windows(text, size)[begin] if len(text) else none, return_index=True, return_inverse=True)
+        pairs = np.unique(which.astype(np.int64) * max(1, len(number)) + owner)
+        first = begin[first]
+        lengths = np.full(len(first), size, np.int32)
+        for k in range(size - 1):  # zeros stand in front only
+            lengths -= text[first + k] == 0
+        start = np.searchsorted(pairs, np.arange(len(first) + 1) * max(1, len(number))).astype(np.int32)
+        return Phrases(vocabulary, text, size, first, lengths, start, (pairs % max(1, len(number))).astype(np.int32), list(number))
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -113,13 +150,14 @@ class FMIndex:
     def step(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         return self.below[symbol] + self.rank(symbol, place)
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
         """(which phrase, where in the text) of every occurrence."""
-        live = np.arange(len(phrases))
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), len(self.last), np.int64)
-        for k in range(1, phrases.shape[1] + 1):
-            going = live[lengths[live] >= k]
-            symbol = phrases[going, -k]
+        n = len(phrases.first)
+        live = np.arange(n)
+        low, high = np.zeros(n, np.int64), np.full(n, len(self.last), np.int64)
+        for k in range(1, phrases.size + 1):
+            going = live[phrases.lengths[live] >= k]
+            symbol = phrases.text[phrases.first[going] + (phrases.size - k)].astype(np.int64)
             low[going], high[going] = self.step(symbol, low[going]), self.step(symbol, high[going])
             live = live[low[live] < high[live]]
             if not len(live):
@@ -162,7 +200,7 @@ def occurrences(ids: np.ndarray, bounds: np.ndarray, phrases: Phrases) -> tuple[
     shift = np.repeat(starts - offset, sizes + 1)
     source = np.arange(len(shift)) + shift
     text = np.where(np.arange(len(shift)) == np.repeat(offset + sizes, sizes + 1), 0, ids[np.minimum(source, len(ids) - 1)])
-    which, at = FMIndex(text, len(phrases.vocabulary)).search(phrases.symbols, phrases.lengths)
+    which, at = FMIndex(text, len(phrases.vocabulary)).search(phrases)
     return which, at + shift[at]
 
 
@@ -177,10 +215,12 @@ def _shard(texts: list[bytes], phrases: Phrases) -> tuple[list[np.ndarray], list
     np.add.at(marks, at, 1)
     np.add.at(marks, at + phrases.lengths[which] if len(at) else at, -1)
     hit = np.cumsum(marks)[:-1] > 0
-    items: list[set[str]] = [set() for _ in texts]
+    items: list[set] = [set() for _ in texts]
     pairs = np.unique(np.stack([np.searchsorted(ends, at, side="right"), which]), axis=1)
     for doc, phrase in pairs.T:
-        items[doc].update(phrases.items[k] for k in phrases.owners[phrase])
+        items[doc].update(phrases.items[k] for k in phrases.owners[phrases.start[phrase] : phrases.start[phrase + 1]])
+    for found in items:
+        found.discard(None)
     return [hit[e - len(p) : e] for p, e in zip(parts, ends)], items
 
 
@@ -200,37 +240,43 @@ def remove(text: bytes, hit: np.ndarray) -> bytes:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Phrases]:
-    held = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    size = held.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    count = -(-size // BLOCK_BYTES)
+    held = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
+    # Every run of characters that are no ASCII letters or digits is taken for one break, which counts the words or a few more.
+    total = held.agg(F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).collect()[0][0] or 0
+    count = -(-total // BLOCK_WORDS)
     for b in range(count):
         part = held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b) if count > 1 else held
-        yield Phrases.of([(r["item_id"], r["text"]) for r in part.collect()])
+        yield Phrases.of([(r["item_id"], r["text"]) for r in part.toLocalIterator()])
 
 
 _HIT, _ITEMS = "__contaminated_words", "__contaminating_items"
 
 
 def mark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with two columns: the hit words as a byte for each word, and the items that have windows in the text."""
+    """docs with two columns: the hit words as a byte for each word, and the items that have windows in the text; null
+    where there is no benchmark."""
     marked = docs.withColumns({_HIT: F.lit(None).cast("binary"), _ITEMS: F.lit(None).cast("array<string>")})
-    schema = marked.schema
-    for phrases in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in sliced(whole):
-                    names = batch.schema.names
-                    hits, items = _shard(list(text_bytes(batch.column("text"))), shared.value)
-                    earlier, known = batch.column(_HIT).to_pylist(), batch.column(_ITEMS).to_pylist()
-                    held = [(np.frombuffer(e, np.uint8).astype(bool) | h if e else h) for e, h in zip(earlier, hits)]
-                    columns = {_HIT: pa.array([h.astype(np.uint8).tobytes() for h in held], batch.schema.field(_HIT).type),
-                               _ITEMS: pa.array([sorted(i | set(k or [])) for i, k in zip(items, known)], batch.schema.field(_ITEMS).type)}
-                    yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(k)) for k, n in enumerate(names)], names)
+    blocks = [docs.sparkSession.sparkContext.broadcast(phrases) for phrases in _blocks(benchmark)]
+    if not blocks:
+        return marked
 
-        marked = marked.mapInArrow(run, schema)
-    return marked
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole):
+                names = batch.schema.names
+                texts = list(text_bytes(batch.column("text")))
+                hits, items = None, [set() for _ in texts]
+                for shared in blocks:
+                    # Of several blocks none is kept, so that a task's memory does not grow with their number.
+                    phrases = shared.value if len(blocks) == 1 else shared.load_from_path(shared._path)
+                    found, more = _shard(texts, phrases)
+                    hits = found if hits is None else [a | b for a, b in zip(hits, found)]
+                    items = [a | b for a, b in zip(items, more)]
+                columns = {_HIT: pa.array([h.astype(np.uint8).tobytes() for h in hits], batch.schema.field(_HIT).type),
+                           _ITEMS: pa.array([sorted(i) for i in items], batch.schema.field(_ITEMS).type)}
+                yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(k)) for k, n in enumerate(names)], names)
+
+    return marked.mapInArrow(run, marked.schema)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -238,15 +284,16 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits, items = batch.column(_HIT).to_pylist(), batch.column(_ITEMS).to_pylist()
-            texts = text_bytes(batch.column("text"))
-            n_words = [len(words(t)) if h is None else len(h) for t, h in zip(texts, hits)]
-            n_hit = [sum(h or b"") for h in hits]
-            digests = [hashlib.sha256(",".join(sorted(i or [])).encode()).hexdigest() for i in items]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i or []) for i in items], pa.int64()), pa.array(digests), pa.array([n > 0 for n in n_hit], pa.bool_())],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        for whole in batches:
+            for batch in sliced(whole):
+                hits, items = batch.column(_HIT).to_pylist(), batch.column(_ITEMS).to_pylist()
+                texts = text_bytes(batch.column("text"))
+                n_words = [len(words(t)) if h is None else len(h) for t, h in zip(texts, hits)]
+                n_hit = [sum(h or b"") for h in hits]
+                digests = [hashlib.sha256(",".join(sorted(i or [])).encode()).hexdigest() for i in items]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i or []) for i in items], pa.int64()), pa.array(digests), pa.array([n > 0 for n in n_hit], pa.bool_())],
+                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return mark(docs.select("doc_id", "text"), benchmark).mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 

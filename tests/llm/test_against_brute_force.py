@@ -206,11 +206,11 @@ def test_components(spark):
     assert all(got.get(x, x) == r for x, r in root.items())
 
 
-@pytest.mark.parametrize("block", [16 << 20, 2000])
+@pytest.mark.parametrize("block", [2_000_000, 300])
 def test_decontamination(spark, tables, monkeypatch, block):
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
     docs = tables["documents"].select("doc_id", "text")
-    bench = tables["benchmark"].select("item_id", "text").union(spark.createDataFrame([(901, "the"), (902, None), (903, "!!"), (904, "of the and is was")], "item_id long, text string"))
+    bench = tables["benchmark"].select("item_id", "text").union(spark.createDataFrame([(901, "the"), (902, None), (903, "!!"), (904, "of the and is was"), (901, "second text under the id of another item which has more than ten words")], "item_id long, text string"))
     docs = docs.union(spark.createDataFrame([(9001, None), (9002, "The"), (9003, "the the the")], "doc_id long, text string"))
     known = brute.windows([(r["item_id"], r["text"]) for r in bench.collect()])
     said = texts(docs)
@@ -220,6 +220,43 @@ def test_decontamination(spark, tables, monkeypatch, block):
     assert cleaned == {i: brute.without_hits(t, known) for i, t in said.items()}
 
 
+def test_items_without_an_id_hit_but_are_not_counted(spark):
+    docs = spark.createDataFrame([(1, "red green blue"), (2, "black"), (3, "green")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "green"), (7, "red green"), (None, "black")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.digest(docs, bench).collect()}
+    assert got == {1: (2, 1, True), 2: (1, 0, True), 3: (1, 0, True)}
+
+
+def test_a_block_of_items_is_small():
+    """64 MB of items: a block's arrays and words stay far below what the driver has, and so does what is broadcast."""
+    import pickle
+    import tracemalloc
+
+    rng = random.Random(1)
+    common = [f"w{rng.randrange(10**7)}" for _ in range(200_000)]
+    rows = [(str(i), " ".join(rng.choices(common, k=100))) for i in range(decontam.BLOCK_WORDS // 100)]
+    tracemalloc.start()
+    phrases = decontam.Phrases.of(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(phrases.first) > 0.9 * 91 * len(rows) and len(pickle.dumps(phrases, 5)) < 45 << 20 and peak < 250 << 20
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=9), max_size=12), st.integers(1, 5))
+def test_windows_of_items(items, size):
+    rows = [(str(i % 7), " ".join(w)) for i, w in enumerate(items)]
+    want = {}
+    for item, text in rows:
+        w = text.split()
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            want.setdefault(tuple(w[k : k + size]), set()).add(item)
+    p = decontam.Phrases.of(rows, size)
+    name = {v: k.decode() for k, v in p.vocabulary.items()}
+    got = {tuple(name[x] for x in p.text[f + size - n : f + size]): {p.items[o] for o in p.owners[a:b]} for f, n, a, b in zip(p.first, p.lengths, p.start, p.start[1:])}
+    assert got == want and len(p.first) == len(want)
+
+
 # Operators 4, 6, 8, 9, 10
 
 
