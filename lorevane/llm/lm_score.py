@@ -1,15 +1,16 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Words have classes: the FREQUENT most frequent words one each, the others TAIL classes by their last letters. The
-network sees the classes of two words on either side and predicts the class of the word between; within a class, a
-word's probability comes from its count over all documents, or, if it was not counted, from the bytes of the word. The sum
-over all words of the logarithms of both is the document's score. The counts of the most frequent words (VOCABULARY of
-them at most) are broadcast; those of the others are a table that the words of each document are joined with.
-
-Counts cover all documents. Every round of training goes over all documents: each partition starts from the shared
-parameters, masks its share of the words (in short runs, at an offset of each text's own) and learns to predict them, and
-the mean of the partitions' parameters, weighted by their masked words, starts the next round. Over all rounds every word
-of every text is masked once. Partitions send parameters, whose number is fixed, never texts.
+Every word is predicted from the two words on either side, by a two-level hierarchy over the vocabulary. The network
+predicts the word's class: the FREQUENT most frequent words have one each, the others belong to TAIL classes, which are
+learned from the corpus (endings of words with alike neighbours share a class). Within its class a word's probability
+comes from its count over all documents, or, if it was not counted, from the bytes of the word. The sum over all words of
+the logarithms of both is the document's score. The counts of the most frequent words (VOCABULARY of them at most) are
+broadcast; those of the others are a table that the words of each document are joined with.
+
+Counts cover all documents, and so does training: documents are dealt to shards of about SHARD_BYTES by a hash of their id
+and text. A shard learns to predict all of its words, each once, in an order that its hashes give; the mean of the shards'
+parameters, weighted by their words and summed in whole numbers, is the network. So neither depends on how the input is
+partitioned. Tasks send parameters, whose number is fixed, never texts.
 
 Null and empty texts have no words: their sum is 0 and their mean null. Repeated rows are scored each on its own. Very
 long texts are scored whole. An empty table gives an empty result. Extra columns are dropped.
@@ -32,61 +33,98 @@ from pyspark.sql import functions as F
 from .common import LOWER, materialize, sliced, text_bytes
 
 FREQUENT, TAIL, VOCABULARY = 95, 32, 20_000
+#: Words' endings (three bytes) and their neighbours are told apart by so many values of a hash, to find the TAIL classes.
+ENDINGS, NEIGHBOURS = 1024, 64
 #: Class 0 stands for places before the first and after the last word.
 CLASSES = 1 + FREQUENT + TAIL
-SIDES, HIDDEN = (-2, -1, 1, 2), 24
-ROUNDS, RUN, BATCH, RATE = 2, 4, 256, 0.05
+SIDES, HIDDEN = (-2, -1, 1, 2), 16
+SHARD_BYTES, BATCH, RATE = 16 << 20, 2048, 0.15
+#: A shard learns from so many bytes of texts laid end to end at a time.
+LEARNED_AT_ONCE = 1 << 20
 _COUNTED, _CACHE, _CHUNK = 200_000, 400_000, 1024
 _SHAPES = ((len(SIDES), CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+#: Parameters are summed over shards as multiples of 1 / _UNIT.
+_UNIT, _PAIRS = 1 << 16, 1000
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
-def tail_class(word: bytes) -> int:
-    return 1 + FREQUENT + zlib.crc32(word[-3:]) % TAIL
+def ending(word: bytes) -> int:
+    return zlib.crc32(word[-3:]) % ENDINGS
 
 
 @dataclass
 class Vocabulary:
     """Class and log probability within the class of frequent words; the log probability that a count of 1 has in each
-    class; log odds of bytes; and the counts of the other words: a table word, n, which tasks do not get."""
+    class; log odds of bytes; the TAIL class of each ending; the bytes of all words; and the counts of the other words: a
+    table word, n, which tasks do not get."""
 
     known: dict[bytes, tuple[int, float]]
     unknown: list[float]
     of_byte: list[float]
+    tails: list[int]
+    size: int = 0
     others: DataFrame | None = None
 
+    def tail_class(self, word: bytes) -> int:
+        return 1 + FREQUENT + self.tails[ending(word)]
+
     def look_up(self, word: bytes) -> tuple[int, float, float]:
         """Class, log probability for a count of 1, and log odds of the bytes: 0 for frequent words, whose count is known."""
         found = self.known.get(word)
         if found is None:
-            c = tail_class(word)
+            c = self.tail_class(word)
             odds = self.of_byte
             return c, self.unknown[c], sum([odds[b] for b in word]) + odds[256]
         return *found, 0.0
 
 
+class _Codes(dict):
+    """ending * NEIGHBOURS + the word's hash as a neighbour."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = ending(word) * NEIGHBOURS + zlib.crc32(word) % NEIGHBOURS
+        return code
+
+
 def count_words(docs: DataFrame) -> DataFrame:
-    """word, n over all documents, and rows (null, byte, n) for bytes: columns word, byte, n."""
+    """word, n over all documents; rows (null, byte, n) for bytes, and for pairs of an ending and a neighbour: columns
+    word, byte, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        of_byte = np.zeros(257, np.int64)
-        for batch in batches:
-            for text in text_bytes(batch.column("text")):
-                found = words(text)
-                counts.update(found)
-                if found:
-                    of_byte[:256] += np.bincount(np.frombuffer(b"".join(found), np.uint8), minlength=256)
-                    of_byte[256] += len(found)
-            if len(counts) > _COUNTED:
-                yield rows(counts)
-                counts = Counter()
+        codes = _Codes()
+        others = np.zeros(257 + _PAIRS + ENDINGS * NEIGHBOURS, np.int64)
+        for whole in batches:
+            for batch in sliced(whole, limit=2 << 20):
+                laid, edges, at = [], [], 0
+                for text in text_bytes(batch.column("text")):
+                    found = words(text)
+                    if found:
+                        counts.update(found)
+                        others[:256] += np.bincount(np.frombuffer(b"".join(found), np.uint8), minlength=256)
+                        others[256] += len(found)
+                        laid.append(np.fromiter(map(codes.__getitem__, found), np.int64, len(found)))
+                        at += len(found)
+                        edges.append(at)
+                if laid:
+                    code = np.concatenate(laid)
+                    inner = np.ones(len(code) - 1, bool)
+                    inner[np.array(edges[:-1], np.int64) - 1] = False
+                    left, right = code[:-1][inner], code[1:][inner]
+                    low = NEIGHBOURS - 1
+                    for near, other in ((left, right), (right, left)):
+                        others[257 + _PAIRS :] += np.bincount(near & ~low | other & low, minlength=ENDINGS * NEIGHBOURS)
+                if len(counts) > _COUNTED:
+                    yield rows(counts)
+                    counts = Counter()
+                if len(codes) > _CACHE:
+                    codes.clear()
         yield rows(counts)
-        some = np.flatnonzero(of_byte)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(of_byte[some])], ["word", "byte", "n"])
+        some = np.flatnonzero(others)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(others[some])], ["word", "byte", "n"])
 
     def rows(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.nulls(len(counts), pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "byte", "n"])
@@ -94,6 +132,27 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, byte int, n bigint").groupBy("word", "byte").agg(F.sum("n").alias("n"))
 
 
+def alike(pairs: np.ndarray, groups: int = TAIL) -> np.ndarray:
+    """The group of each row of pairs (counts by neighbour): rows with alike shares of neighbours come together."""
+    n = pairs.sum(axis=1)
+    if not n.any():
+        return np.zeros(len(pairs), np.int64)
+    shares = np.sqrt((pairs + 0.5 * pairs.sum(axis=0) / n.sum()) / (n + 0.5)[:, None])
+    centres = shares[[int(n.argmax())]]
+    far = ((shares - centres[0]) ** 2).sum(axis=1)
+    for _ in range(groups - 1):
+        i = int((far * n).argmax())
+        centres = np.vstack([centres, shares[i]])
+        far = np.minimum(far, ((shares - shares[i]) ** 2).sum(axis=1))
+    for _ in range(30):
+        group = np.stack([((shares - c) ** 2).sum(axis=1) for c in centres]).argmin(axis=0)
+        for k in range(groups):
+            own = (group == k) & (n > 0)
+            if own.any():
+                centres[k] = n[own] @ shares[own] / n[own].sum()
+    return group
+
+
 def vocabulary(docs: DataFrame) -> Vocabulary:
     counted = materialize(count_words(docs))
     # Words above the count at which there would be more than VOCABULARY of them; few counts occur, so these are few rows.
@@ -104,22 +163,26 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
             least = r["n"]
             break
     top = sorted(counted.where(f"word IS NOT NULL AND n > {least}").collect(), key=lambda r: (-r["n"], bytes(r["word"])))
-    bytes_ = {r["byte"]: r["n"] for r in counted.where("byte IS NOT NULL").collect()}
+    numbers = np.zeros(257 + _PAIRS + ENDINGS * NEIGHBOURS)
+    for r in counted.where("byte IS NOT NULL").collect():
+        numbers[r["byte"]] = r["n"]
+    tails = alike(numbers[257 + _PAIRS :].reshape(ENDINGS, NEIGHBOURS))
+    v = Vocabulary({}, [], [], tails.tolist(), int(numbers[:257].sum()))
     totals = np.zeros(CLASSES)
-    suffixes = counted.where("word IS NOT NULL").groupBy(F.pmod(F.crc32(F.expr("CASE WHEN octet_length(word) <= 3 THEN word ELSE substring(word, octet_length(word) - 2, 3) END")), F.lit(TAIL)).alias("k")).agg(F.sum("n").alias("n"))
-    for r in suffixes.collect():
-        totals[1 + FREQUENT + r["k"]] = r["n"]
-    known: dict[bytes, tuple[int, float]] = {}
+    last = F.expr("CASE WHEN octet_length(word) <= 3 THEN word ELSE substring(word, octet_length(word) - 2, 3) END")
+    for r in counted.where("word IS NOT NULL").groupBy(F.pmod(F.crc32(last), F.lit(ENDINGS)).alias("k")).agg(F.sum("n").alias("n")).collect():
+        totals[1 + FREQUENT + tails[r["k"]]] += r["n"]
     for i, r in enumerate(top[:FREQUENT]):
-        known[bytes(r["word"])] = (1 + i, 0.0)
-        totals[tail_class(bytes(r["word"]))] -= r["n"]
+        v.known[bytes(r["word"])] = (1 + i, 0.0)
+        totals[v.tail_class(bytes(r["word"]))] -= r["n"]
     rest = totals + 1.0  # a count of 1 for all words that were not counted
     for r in top[FREQUENT:]:
-        c = tail_class(bytes(r["word"]))
-        known[bytes(r["word"])] = (c, float(np.log(r["n"] / rest[c])))
-    others = counted.where(f"word IS NOT NULL AND n <= {least}").select("word", "n")
-    of_byte = np.array([bytes_.get(b, 0) + 0.5 for b in range(257)])
-    return Vocabulary(known, (-np.log(np.maximum(rest, 1.0))).tolist(), np.log(of_byte / of_byte.sum()).tolist(), others)
+        c = v.tail_class(bytes(r["word"]))
+        v.known[bytes(r["word"])] = (c, float(np.log(r["n"] / rest[c])))
+    v.others = counted.where(f"word IS NOT NULL AND n <= {least}").select("word", "n")
+    of_byte = numbers[:257] + 0.5
+    v.unknown, v.of_byte = (-np.log(np.maximum(rest, 1.0))).tolist(), np.log(of_byte / of_byte.sum()).tolist()
+    return v
 
 
 class Numbers(dict):
@@ -174,15 +237,6 @@ class Reader:
         parts = [pa.array([names[i] for i in numbers], pa.binary()), pa.array(times, pa.int64()), pa.array(spelt[numbers])]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["word", "times", "spelt"]))
 
-    def masked(self, texts: list[bytes], turn: int, turns: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of all words, and the places of the masked ones: every turns-th run of RUN words, from an offset of the
-        text's own, so that over all turns every word of every text is masked once."""
-        of_word, places, lengths = self._laid(texts)
-        offsets = np.array([zlib.crc32(text) % (RUN * turns) for text in texts], np.int64)
-        within = np.arange(len(of_word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        now = (within + np.repeat(offsets, lengths)) // RUN % turns == turn
-        return self._spread(self.numbers.classes, np.int64, of_word, places, len(texts)), places[now]
-
 
 def start() -> list[np.ndarray]:
     rng = np.random.default_rng(7)
@@ -197,68 +251,102 @@ def hidden(p: list[np.ndarray], classes: np.ndarray, at: np.ndarray) -> np.ndarr
     return np.tanh(out, out=out)
 
 
+def odds(p: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Log odds of the classes, up to a constant."""
+    out = h @ p[2]
+    out += p[3]
+    return np.clip(out, -60, 60, out=out)
+
+
 def log_probabilities(p: list[np.ndarray], classes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The network's log probability of the class at each place."""
     out = np.empty(len(at), np.float32)
     for k in range(0, len(at), _CHUNK):
         some = at[k : k + _CHUNK]
-        logits = hidden(p, classes, some) @ p[2] + p[3]
-        logits -= logits.max(axis=1, keepdims=True)
-        target = logits[np.arange(len(some)), classes[some]]
-        np.exp(logits, out=logits)
-        out[k : k + _CHUNK] = target - np.log(logits.sum(axis=1))
+        e = odds(p, hidden(p, classes, some))
+        target = e[np.arange(len(some)), classes[some]]
+        np.exp(e, out=e)
+        out[k : k + _CHUNK] = target - np.log(e.sum(axis=1))
     return out
 
 
 def learn(p: list[np.ndarray], squares: list[np.ndarray], classes: np.ndarray, at: np.ndarray) -> None:
-    """One pass of Adagrad over the masked places `at`, in place."""
-    sides, rows, columns = np.array(SIDES), CLASSES * np.arange(len(SIDES)), np.arange(HIDDEN)
+    """One pass of Adagrad over the places `at`, in place."""
+    classes = classes.astype(np.int16)
     for k in range(0, len(at), BATCH):
         some = at[k : k + BATCH]
+        n = len(some)
         h = hidden(p, classes, some)
-        logits = h @ p[2] + p[3]
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits *= 1 / (logits.sum(axis=1, keepdims=True) * len(some))
-        logits[np.arange(len(some)), classes[some]] -= np.float32(1 / len(some))
-        back = (logits @ p[2].T) * (1 - h * h)
-        seen = (classes[some[:, None] + sides] + rows)[:, :, None] * HIDDEN + columns
-        near = np.bincount(seen.ravel(), np.repeat(back[:, None], len(SIDES), axis=1).ravel(), p[0].size)
-        slopes = [near.reshape(p[0].shape).astype(np.float32), back.sum(axis=0), h.T @ logits, logits.sum(axis=0)]
+        e = odds(p, h)
+        np.exp(e, out=e)
+        e *= (1 / (e.sum(axis=1) * n))[:, None]
+        e[np.arange(n), classes[some]] -= np.float32(1 / n)
+        back = e @ p[2].T
+        back *= 1 - h * h
+        slopes = [np.zeros_like(p[0]), back.sum(axis=0), h.T @ e, e.sum(axis=0)]
+        for slope, side in zip(slopes[0], SIDES):  # sums over the places with one class there
+            near = classes[some + side]
+            order = np.argsort(near, kind="stable")
+            near = near[order]
+            first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+            slope[near[first]] = np.add.reduceat(back[order], first, axis=0)
         for w, q, g in zip(p, squares, slopes):
             q += g * g
-            w -= RATE * g / (np.sqrt(q) + 1e-6)
-
-
-def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """The network's parameters after `rounds` rounds over all documents."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(replace(v, others=None))
-    now = start()
-    for number in range(rounds):
-        begin = sc.broadcast(now)
-
-        def run(batches: Iterator[pa.RecordBatch], begin=begin, number=number) -> Iterator[pa.RecordBatch]:
-            p = [x.copy() for x in begin.value]
-            squares = [np.full_like(x, 1e-3) for x in p]
-            reader, seen = Reader(shared.value), 0
-            for whole in batches:
-                for batch in sliced(whole, limit=2 << 20):
-                    classes, at = reader.masked(list(text_bytes(batch.column("text"))), number, rounds)
-                    learn(p, squares, classes, at)
-                    seen += len(at)
+            g *= np.float32(RATE)
+            g /= np.sqrt(q) + np.float32(1e-6)
+            w -= g
+
+
+def train(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
+    """The network's parameters after learning from every word of docs(doc_id, text) once."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(v, others=None))
+    count = max(1, -(-v.size // SHARD_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, now, waiting, size = Reader(shared.value), None, [], 0
+        p, squares, seen = [], [], 0
+        total = np.zeros(sum(int(np.prod(s)) for s in _SHAPES) + 1, np.int64)
+
+        def learn_waiting() -> None:
+            nonlocal seen, size
+            classes = reader.read(waiting)[0]
+            at = np.flatnonzero(classes)
+            learn(p, squares, classes, at)
+            seen += len(at)
+            size = 0
+            waiting.clear()
+
+        def end() -> None:
+            if waiting:
+                learn_waiting()
             if seen:
-                flat = np.concatenate([x.ravel() for x in p]).astype(float) * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array(np.append(flat, float(seen)))], ["i", "x"])
-
-        summed = docs.select("text").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        if not summed:
-            return now
-        flat = np.array([r["x"] for r in sorted(summed, key=lambda r: r["i"])])
-        flat = (flat[:-1] / flat[-1]).astype(np.float32)
-        sizes = np.cumsum([int(np.prod(s)) for s in _SHAPES])
-        now = [x.reshape(s) for x, s in zip(np.split(flat, sizes[:-1]), _SHAPES)]
-    return now
+                total[:-1] += np.round(np.concatenate([x.ravel() for x in p]).astype(float) * (seen * _UNIT)).astype(np.int64)
+                total[-1] += seen
+
+        for batch in batches:
+            for shard, text in zip(batch.column("shard").to_pylist(), text_bytes(batch.column("text"))):
+                if shard != now:
+                    end()
+                    p = start()
+                    squares, seen, now = [np.full_like(x, 1e-3) for x in p], 0, shard
+                waiting.append(text)
+                size += len(text)
+                if size >= LEARNED_AT_ONCE:
+                    learn_waiting()
+        end()
+        if total[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
+
+    placed = docs.select("text", F.xxhash64("doc_id", "text").alias("place")).where("text IS NOT NULL").withColumn("shard", F.pmod(F.shiftright("place", 8), F.lit(count)))
+    dealt = placed.repartition("shard").sortWithinPartitions("shard", "place", "text").select("shard", "text")
+    # Whole numbers add up to the same in any order.
+    summed = dealt.mapInArrow(run, "i int, x bigint").groupBy("i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect()
+    if not summed:
+        return start()
+    flat = [int(r["x"]) for r in sorted(summed, key=lambda r: r["i"])]
+    flat = np.array([x / (flat[-1] * _UNIT) for x in flat[:-1]], np.float32)
+    sizes = np.cumsum([int(np.prod(s)) for s in _SHAPES])
+    return [x.reshape(s) for x, s in zip(np.split(flat, sizes[:-1]), _SHAPES)]
 
 
 def score(docs: DataFrame, v: Vocabulary, parameters: list[np.ndarray]) -> DataFrame:

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lorevane.llm import decontam, gbdt, graph, lm_score, packing, rules, sharding, simhash, suffix_dedup, toxicity
+from lorevane.llm import decontam, gbdt, graph, packing, rules, sharding, simhash, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -280,19 +280,6 @@ def test_trees_fit_and_flatten():
     assert np.allclose(trees.raw(x[:50]), slow) and ((trees.probability(x) >= 0.5) == y).mean() > 0.97
 
 
-def test_masked_likelihood(spark, tables):
-    docs = tables["documents"].select("doc_id", "text")
-    v = lm_score.vocabulary(docs)
-    untrained, trained = (lm_score.score(docs, v, p).agg(F.sum("log_likelihood")).collect()[0][0] for p in (lm_score.start(), lm_score.train(docs, v)))
-    assert untrained < trained < 0
-    p = lm_score.start()
-    classes, at = np.array([0, 0, 5, 9, 7, 0, 0]), np.array([2, 3, 4])
-    for i, got in zip(at, lm_score.log_probabilities(p, classes, at)):
-        h = np.tanh(p[1] + sum(p[0][k][classes[i + s]] for k, s in enumerate(lm_score.SIDES)))
-        logits = h @ p[2] + p[3]
-        assert np.isclose(got, logits[classes[i]] - np.log(np.exp(logits).sum()), atol=1e-5)
-
-
 def test_rules_equal_sql(spark, tables):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
