@@ -137,24 +137,26 @@ def _grow(nodes: list, binned: np.ndarray, cuts: list, slope: np.ndarray, curve:
     return here
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, x (the numbers NAMES) for every row of docs(doc_id, text)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def document_statistics(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, x (the numbers NAMES), and other columns asked for, of every row of docs(doc_id, text)."""
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *also)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [statistics(t) for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+        for whole in batches:
+            for batch in sliced(whole):
+                x = [statistics(t) for t in text_bytes(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *also)), pa.array(x, pa.list_(pa.float64()))], ["doc_id", *also, "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", *also, "text").mapInArrow(run, ", ".join([*kinds, "x array<double>"]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Trees:
     """Trees from a bounded sample of the labelled rows outside the held-out fold."""
     usable = labels.where(F.col("quality").isNotNull() & (remainder_of_id(FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = first_by_hash(usable, "doc_id", TRAIN_DOCS)
-    # At most TRAIN_DOCS rows, whatever the tables' size.
-    rows = document_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    # At most TRAIN_DOCS rows, whatever the tables' size; of several texts with one id the one with the smallest hash.
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = document_statistics(one, "quality").orderBy("doc_id").collect()
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(NAMES)), np.array([r["quality"] for r in rows], float))
 
 

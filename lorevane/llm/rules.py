@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame operations only.
 
 The base statistics are computed once for each document. Every further rule is a predicate over them or over the
-text. On a bounded sample the cascade measures each rule's time and how many rows it rejects, and evaluates rules in
+text. On a bounded sample, drawn from all rows by a hash of the text, the cascade measures each rule's time and how many rows it rejects, and evaluates rules in
 falling order of rejection per cost, so that later rules run only on rows that earlier ones let through. The order
 never changes which documents are kept.
 
@@ -17,11 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, discard, materialize
+from .common import SPACE, discard, first_by_hash, materialize
 
 WINDOW = 5
-#: The sample for costs: so many rows at most, of at most so many characters, taken from the first partitions.
-SAMPLE_ROWS, SAMPLE_CHARS = 500, 50_000
+#: The sample for costs: so many rows at most, those with the smallest hashes of their texts, of any length.
+SAMPLE_ROWS = 500
 #: Bits of a sort key that hold the position of a window; the others hold its hash.
 POSITION_BITS = 30
 PREFIX = "__rules_"
@@ -96,8 +96,7 @@ def order_rules(docs: DataFrame, text: str, rules: tuple[Rule, ...] = EXTRA, sam
     """Rules by rejected rows per second, highest first, as a sample of at most sample_rows rows shows it."""
     if len(rules) < 2:
         return list(rules)
-    rows = docs.select(F.col(text).alias("text")).where(F.length("text") <= SAMPLE_CHARS).limit(sample_rows).collect()
-    sample = materialize(with_statistics(docs.sparkSession.createDataFrame([(r["text"],) for r in rows], "text string")))
+    sample = materialize(with_statistics(first_by_hash(docs.select(F.col(text).alias("text")), "text", sample_rows)))
     worth = []
     for rule in rules:
         count = sample.agg(F.count(F.when(F.expr(rule.rejects), 1)).alias("n"))

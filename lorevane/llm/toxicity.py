@@ -6,8 +6,9 @@ labels the chain is trained by gradient ascent. To score, forward-backward runs
 a logistic function of the expected number of toxic tokens and of the largest marginal, fitted on the training rows.
 Runs of tokens with a marginal of at least SPAN are returned as offsets in code points.
 
-The training rows are a bounded sample: TRAIN_DOCS labelled documents of each class at most, those with the smallest
-hashes of doc_id, and of at most TRAIN_CHARS characters. Scoring has no bound. Null and empty texts have no tokens and
+The training rows are a bounded sample: TRAIN_DOCS labelled documents of each class at most, in the order of the hashes of
+their doc_id, as long as the class stays within TRAIN_BYTES of text; texts are learned whole, long ones included. Of
+several texts with one id the one with the smallest hash is used. Scoring has no bound. Null and empty texts have no tokens and
 get the score of a text without toxic tokens. Without a toxic training row every score is near the share of toxic labels.
 Repeated rows are scored each on its own; several labels of one id count as the highest. Extra columns are dropped.
 """
@@ -21,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, remainder_of_id, sliced
+from .common import discard, first_by_hash, materialize, remainder_of_id, sliced
 
 TRAIN_DOCS = 1000
-TRAIN_CHARS = 10_000
+#: Bytes of text of each class in the sample: what the driver holds.
+TRAIN_BYTES = 4 << 20
 FOLDS = 5
 PREFIXES = (5, 6, 7, 8, 9)
 SPAN = 0.5
@@ -253,7 +255,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
         some = first_by_hash(usable.where(F.col("toxic") == label), "doc_id", TRAIN_DOCS)
         chosen = some if chosen is None else chosen.union(some)
     # At most 2 * TRAIN_DOCS rows, whatever the tables' size.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= TRAIN_CHARS).dropDuplicates(["doc_id"]).select("text", "toxic").collect()
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.coalesce(F.min_by("text", F.xxhash64("text")), F.lit("")).alias("text"))
+    held = materialize(one.select("doc_id", "toxic", "text", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("place")))
+    running = F.sum("n").over(Window.partitionBy("toxic").orderBy("place", "doc_id"))
+    rows = held.withColumn("so_far", running).where(F.col("so_far") <= TRAIN_BYTES).select("text", "toxic").collect()
+    discard(held)
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
     return fit(sorted((r["text"], int(r["toxic"])) for r in rows), prior)
 

@@ -60,6 +60,57 @@ def test_toxicity_held_out(spark):
         assert all(0 <= s["start"] < s["end"] <= len(body) and body[s["start"] : s["end"]].strip() for s in r["spans"])
 
 
+def test_toxicity_learns_from_long_texts_and_one_text_of_an_id(spark, monkeypatch):
+    """The rows that are learned from, against a plain choice: whole texts up to the bound, in the order of hashes."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = [(i, " ".join(word() for _ in range(3000 if i % 7 == 0 else 20)) + (" vileword" if i % 2 else "")) for i in range(60)]
+    rows += [(i, f"another text {i}") for i in range(0, 60, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 30_000)
+    used = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, prior: used.append(rows))
+    toxicity.train(docs, labels)
+    toxicity.train(docs.repartition(5), labels)
+    hashed = {r["text"]: (r["t"], r["d"]) for r in docs.select("text", F.xxhash64("text").alias("t"), F.xxhash64("doc_id").alias("d")).collect()}
+    one = {}
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 and (i not in one or hashed[t][0] < hashed[one[i]][0]):
+            one[i] = t
+    want = []
+    for label in (0, 1):
+        size = 0
+        for i in sorted((i for i in one if i % 2 == label), key=lambda i: hashed[one[i]][1]):
+            size += len(one[i])
+            if size <= 30_000:
+                want.append((one[i], label))
+    assert used[0] == used[1] == sorted(want) and max(len(t) for t, _ in want) > 15_000
+
+
+def test_splits_are_the_best_ones():
+    """The first split of a tree against all splits of all features."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(200, 3)), 1)
+    y = ((x[:, 1] > 0.4) ^ (rng.random(200) < 0.1)).astype(float)
+    trees = gbdt.fit(x, y)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    slope, curve = y - share, share * (1 - share)
+    best = max(
+        (sum(slope[s].sum() ** 2 / (s.sum() * curve + gbdt.RIDGE) for s in (x[:, j] <= c, x[:, j] > c)), j, c)
+        for j in range(3) for c in np.unique(np.quantile(x[:, j], np.linspace(0, 1, gbdt.BINS + 1)[1:-1]))
+        if min((x[:, j] <= c).sum(), (x[:, j] > c).sum()) >= gbdt.LEAST_ROWS)
+    root = trees.roots[0]
+    assert trees.feature[root] == best[1] and np.array_equal(x[:, best[1]] <= trees.threshold[root], x[:, best[1]] <= best[2])
+
+
+def test_order_of_rules_follows_a_sample_of_all_rows(spark, monkeypatch):
+    rows = [("clean words here " * 3,)] * 50 + [("### $$$ %%% &&&",)] * 50
+    docs = spark.createDataFrame(rows, "text string").repartition(1)
+    order = rules.order_rules(docs, "text", sample_rows=1000)
+    assert {r.name for r in order} == {r.name for r in rules.EXTRA} and order[0].name == "symbols"
+
+
 def test_spans_are_code_points():
     body = "é, IDIOT idiot! ok"
     assert [body[s["start"] : s["end"]] for s in toxicity.spans(body, np.array([False, True, True, False]))] == ["IDIOT idiot"]
@@ -171,8 +222,9 @@ def test_passages_of_over_fifty_words(spark, length):
     assert length == 400 or all(len(p) >= length for p in passages.values())
 
 
-@pytest.mark.parametrize("full", [48, 0])
-def test_simhash(spark, tables, monkeypatch, full):
+@pytest.mark.parametrize("full, three", [(48, 1 << 25), (0, 1 << 25), (48, 0)])
+def test_simhash(spark, tables, monkeypatch, full, three):
+    monkeypatch.setattr(simhash, "THREE_SEGMENTS_UP_TO", three)
     monkeypatch.setattr(simhash.links, "__defaults__", (simhash.DISTANCE, full))
     docs = tables["documents"].select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(9001, None), (9002, " \n"), (9003, "A b"), (9004, "a B")], "doc_id long, text string"))
