@@ -1,6 +1,7 @@
 """The queries over the library's own operators, and the SQL that gives the same rows.
 
 The tables have no downloads, grids or PDFs, so some inputs are derived from table columns, in Spark and in SQL alike.
+Searches take every vector whose id is divisible by 20 as a query; the one after it stands for its expanded form.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
 
 
-def _query(nodes: DataFrame, number: int) -> DataFrame:
-    return nodes.where(F.col("node_id") == number).select(F.col("node_id").alias("query_id"), "embedding")
+def _asked(nodes: DataFrame, after: int = 0) -> DataFrame:
+    """The query vectors: ids divisible by 20, or those `after` them as another form of the same queries."""
+    return nodes.where(F.col("node_id") % 20 == after).select((F.col("node_id") - after).alias("query_id"), "embedding")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,41 +44,78 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_window(spark, sf_dir):
-    return R.sentence_windows(R.sentences(_table(spark, sf_dir, "documents"))).select("doc_id", F.col("ord").cast("long").alias("ord"), "window")
+    return R.document_windows(_table(spark, sf_dir, "documents")).select("doc_id", F.col("ord").cast("long").alias("ord"), "window")
 
 
 def topk_cosine(spark, sf_dir):
     nodes = _vectors(spark, sf_dir)
-    queries = nodes.where("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), "embedding")
-    return R.top_k(queries, nodes).select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("pos").cast("long").alias("pos"))
+    return R.top_k(_asked(nodes), nodes).select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
 def _dual(spark, sf_dir):
     nodes = _vectors(spark, sf_dir)
-    return R.merge_hits(R.top_k(_query(nodes, 0), nodes), R.top_k(_query(nodes, 1), nodes))
+    return R.merge_hits(R.top_k(_asked(nodes), nodes), R.top_k(_asked(nodes, 1), nodes), ("query_id",))
 
 
 def dual_retrieval_merge(spark, sf_dir):
-    return _dual(spark, sf_dir).select("node_id", F.round("score", 6).alias("score"), F.col("pos").cast("long").alias("pos"))
+    return _dual(spark, sf_dir).select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
 def rerank_batches(spark, sf_dir):
     nodes = _vectors(spark, sf_dir)
-    return R.batches(R.top_k(_query(nodes, 0), nodes)).select("node_id", F.col("batch").cast("long").alias("batch"))
+    return R.batches(R.top_k(_asked(nodes), nodes)).select("query_id", "node_id", F.col("batch").cast("long").alias("batch"))
 
 
 def retrieval_answer(spark, sf_dir):
-    """Two retrievals, merge, rerank by token overlap with document 0, sentence windows, labels: one row for each node kept."""
+    """For every query two retrievals, merge, rerank by token overlap with the query's document, the window around the node's
+    sentence, and labels. Vector v belongs to document v % n, and there to sentence v % (its number of sentences)."""
     docs = _table(spark, sf_dir, "documents")
-    n = docs.count()
-    hits = _dual(spark, sf_dir).withColumn("doc_id", F.col("node_id") % n)
-    asked = docs.where("doc_id = 0").select(F.col("text").alias("question"))
-    # A hit list has at most 30 rows, and the question is one row.
-    found = docs.select("doc_id", "text", "source").join(F.broadcast(hits), "doc_id").join(F.broadcast(asked))
-    best = R.rerank(found, F.col("question"), F.col("text"))
-    first = R.sentence_windows(R.sentences(docs.join(F.broadcast(best.select("doc_id").distinct()), "doc_id", "left_semi"))).where("ord = 0").select("doc_id", "window")
-    noted = best.join(first, "doc_id", "left").withColumn("metadata", F.create_map(F.lit("file_name"), F.col("source"), F.lit("window"), F.col("window")))
-    return R.widen(noted).select(F.col("rank").cast("long").alias("rank"), "node_id", "doc_id", F.round("relevance", 6).alias("relevance"), T.source_label(F.col("metadata")).alias("label"), F.col("text").alias("window"))
+    n = docs.agg(F.count("*").alias("n"))  # one row
+    of = lambda df, c: df.crossJoin(F.broadcast(n)).withColumn("doc_id", F.col(c) % F.col("n")).drop("n")
+    hits = of(_dual(spark, sf_dir), "node_id")
+    asked = of(_asked(_vectors(spark, sf_dir)).select("query_id"), "query_id").join(docs.select("doc_id", F.col("text").alias("question")), "doc_id").drop("doc_id")
+    found = docs.select("doc_id", "text", "source").join(hits, "doc_id").join(asked, "query_id")
+    best = R.rerank(found, F.col("question"), F.col("text"), by=("query_id",))
+    window = R.once(R.windows_of(R.sentence_list(F.col("text"))), lambda w: F.when(F.size(w) > 0, F.get(w, (F.col("node_id") % F.greatest(F.size(w), F.lit(1))).cast("int"))))
+    noted = best.withColumn("metadata", F.create_map(F.lit("file_name"), F.col("source"), F.lit("window"), window))
+    return R.widen(noted).select("query_id", F.col("rank").cast("long").alias("rank"), "node_id", "doc_id", F.round("relevance", 6).alias("relevance"), T.source_label(F.col("metadata")).alias("label"), F.col("text").alias("window"))
+
+
+def paired_sources(spark, sf_dir):
+    """Hits from frequent questions, which every third vector stands for, behind those from regulations."""
+    named = _dual(spark, sf_dir).withColumn("file_name", F.when(F.col("node_id") % 3 == 0, "常見問題.pdf").otherwise("rules.pdf"))
+    return R.paired(named, order="pos").select("query_id", "node_id", "basis", F.col("place").cast("long").alias("place"))
+
+
+def latest_rules(spark, sf_dir):
+    """The document of each source with the latest year; a quarter of them name none."""
+    dated = _table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.concat((100 + F.col("doc_id") % 17).cast("string"), F.lit(" 學年度 "), "text")))
+    return R.prefer_latest(dated, "source").select("source", F.md5("text").alias("text"))
+
+
+def noise_filter(spark, sf_dir):
+    noted = _table(spark, sf_dir, "documents").withColumn("text", F.expr("CASE doc_id % 10 WHEN 0 THEN text || ' 匯款帳號 1' WHEN 5 THEN '獎金' || text ELSE text END"))
+    return R.without_noise(noted).select("doc_id", F.md5("text").alias("text"))
+
+
+def inherited_rules(spark, sf_dir):
+    """Customers as departments and nations as colleges: the rule of the nearest one that has any."""
+    customers = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("unit"), F.concat(F.lit("n"), "c_nationkey").alias("above"), F.col("c_mktsegment").alias("topic"), "c_acctbal", "c_nationkey")
+    own = customers.where("c_acctbal > 5000").select("unit", "topic", F.floor("c_acctbal").cast("string").alias("rule"))
+    over = customers.where("c_nationkey % 3 = 0").select(F.col("above").alias("unit"), "topic", F.concat(F.lit("as in "), "above").alias("rule")).distinct()
+    general = customers.where("topic <> 'MACHINERY'").select(F.lit("*").alias("unit"), "topic", F.lit("general").alias("rule")).distinct()
+    return R.inherited(customers.select("unit", "topic"), own.union(over).union(general), customers.select("unit", "above")).select("unit", "topic", "rule", "source_unit")
+
+
+def apologies(spark, sf_dir):
+    answers = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("answer"), F.array("role").alias("sources"), F.when(F.col("turn") % 3 == 0, "failed").alias("error"))
+    return R.apologise(answers).select("conv_id", "turn", "answer", F.array_join("sources", ";").alias("sources"))
+
+
+def prompt_fill(spark, sf_dir):
+    """A template in which a text stands that itself looks like a place."""
+    filled = T.fill("From {source}:\n{text}\n({source}, {lang})", source=F.col("source"), text=F.concat(F.lit("{lang}"), "text"), lang=F.col("lang"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(filled).alias("prompt"))
 
 
 def chat_answers(spark, sf_dir):
@@ -107,6 +146,10 @@ def source_labels(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.source_label(_metadata()).alias("label"))
 
 
+def label_file_name(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.label_file(T.source_label(_metadata())).alias("file_name"))
+
+
 # Conversations
 
 
@@ -126,15 +169,54 @@ def appended_results(spark, sf_dir):
     return C.appended_state(_table(spark, sf_dir, "conversations"), "text").select("conv_id", F.array_join("text", "\u0001").alias("texts"))
 
 
+_SAID = "text || CASE turn % 4 WHEN 0 THEN ' action. ' WHEN 1 THEN ' Clarify or academic' WHEN 2 THEN ' the academic ' ELSE '' END"
+_ASKED = "text || CASE turn % 5 WHEN 0 THEN '，幫我辦' WHEN 1 THEN '，幫我看看多少錢' WHEN 2 THEN '畢業門檻' ELSE '' END"
+_NARROWED = "text || CASE turn % 7 WHEN 1 THEN ' 資工系' WHEN 4 THEN ' 碩士班' ELSE '' END"
+_FOLLOWED = "CASE turn % 6 WHEN 2 THEN '那企管系呢' WHEN 4 THEN '碩士班的' ELSE text END"
+
+
 def intent_route(spark, sf_dir):
-    label = F.expr("CASE turn % 4 WHEN 0 THEN ' action.' WHEN 1 THEN 'Clarify or academic' WHEN 2 THEN 'the academic ' ELSE left(text, 3) END")
-    return C.route(_table(spark, sf_dir, "conversations"), label).select("conv_id", "turn", "next_agent", "node")
+    """Whole texts as a model's labels, most of them with a word that decides."""
+    return C.route(_table(spark, sf_dir, "conversations"), F.expr(_SAID)).select("conv_id", "turn", "next_agent", "node")
+
+
+def keyword_route(spark, sf_dir):
+    return C.route(_table(spark, sf_dir, "conversations").withColumn("text", F.expr(_ASKED))).select("conv_id", "turn", "next_agent")
+
+
+def clarify_needed(spark, sf_dir):
+    return C.needs_clarification(_table(spark, sf_dir, "conversations").withColumn("text", F.expr(_NARROWED))).select("conv_id", "turn", "clarify")
+
+
+def query_expansion(spark, sf_dir):
+    colleges = spark.createDataFrame([("企管系", "管理學院"), ("資工系", "資電學院")], "department string, college string")
+    return C.expansion(_table(spark, sf_dir, "conversations").withColumn("text", F.expr(_FOLLOWED)), colleges).select("conv_id", "turn", "department", "degree", "expanded")
+
+
+def _replies(spark, sf_dir):
+    held = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.max_by("role", "turn").alias("agent"), F.array_sort(F.collect_set("role")).alias("sources"))
+    return held.select("conv_id", C.reply(F.col("t.text"), F.col("sources"), F.col("agent")).alias("reply"))
+
+
+def reply_json(spark, sf_dir):
+    return _replies(spark, sf_dir)
+
+
+def response_decode(spark, sf_dir):
+    """What the chat front reads from a reply; every fifth is cut off."""
+    sent = _replies(spark, sf_dir).withColumn("reply", F.when(F.col("conv_id") % 5 == 0, F.left("reply", F.lit(7))).otherwise(F.col("reply")))
+    read = sent.select("conv_id", C.response(F.col("reply")).alias("r"))
+    return read.select("conv_id", F.col("r.answer").alias("answer"), F.array_join("r.sources", ";").alias("sources"))
+
+
+def last_three(spark, sf_dir):
+    held = C.appended_state(_table(spark, sf_dir, "conversations"), "text")
+    return held.select("conv_id", F.array_join(T.last_of(F.col("text"), 3), "\u0001").alias("texts"))
 
 
 def page_concat(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations")
-    plain = C.page_concat(turns, "conv_id", "turn")
-    return plain.join(C.page_concat(turns, "conv_id", "turn", ocr=True).withColumnRenamed("text", "ocr_text"), "conv_id")
+    return turns.groupBy("conv_id").agg(C.joined_pages("turn").alias("text"), C.joined_pages("turn", ocr=True).alias("ocr_text"))
 
 
 def page_carry(spark, sf_dir):
@@ -157,25 +239,52 @@ def link_first_writer(spark, sf_dir):
     return L.first_writer(named.where("name <> ''"), "name", ["page_id", "ord"]).select("name", "page_id", F.col("ord").cast("long").alias("ord"))
 
 
-_HREF = "CASE page_id % 7 WHEN 0 THEN '#' WHEN 1 THEN 'javascript:go()' WHEN 2 THEN '/d/a.ODT' WHEN 3 THEN '/d/a.DOCX' WHEN 4 THEN '/profile/' || page_id WHEN 5 THEN '/d/b.pdf' ELSE url END"
-_NAME = "CASE page_id % 5 WHEN 0 THEN '某測試用檔案' WHEN 1 THEN '檔案下載' WHEN 2 THEN '3. 下載' WHEN 3 THEN url ELSE 'Form ' || page_id || '.docx' END"
+_HREF = "CASE ord % 7 WHEN 0 THEN '#' WHEN 1 THEN 'javascript:' || href WHEN 2 THEN href || '.ODT' WHEN 3 THEN href || '.DOCX' WHEN 4 THEN '/profile' || href WHEN 5 THEN href || '.pdf' ELSE href END"
+_NAME = "CASE ord % 5 WHEN 0 THEN '某測試用檔案' || txt WHEN 1 THEN '檔案下載' WHEN 2 THEN '3. ' || txt || '.PDF' WHEN 3 THEN txt || '.docx' ELSE txt END"
+_TXT = "CASE ord % 4 WHEN 0 THEN '3. 下載' WHEN 1 THEN txt WHEN 2 THEN 'ab' ELSE 'FILE' END"
+_ROW = "CASE page_id % 2 WHEN 0 THEN 'row of ' || txt ELSE 'x' END"
+
+
+def _derived(spark, sf_dir):
+    """The links of all pages with hrefs and names that filters tell apart."""
+    return _anchors(spark, sf_dir).withColumn("txt", T.first_line("txt")).select("page_id", F.col("ord").cast("long").alias("ord"), F.expr(_HREF).alias("href"), F.expr(_NAME).alias("name"), F.expr(_TXT).alias("txt"), F.expr(_ROW).alias("tr_text"))
 
 
 def link_filter(spark, sf_dir):
-    linked = _table(spark, sf_dir, "pages").select("page_id", F.expr(_HREF).alias("href"), F.expr(_NAME).alias("name"))
-    kept = linked.where(L.wanted(F.col("href")))
-    return kept.select("page_id", "href", L.extension(F.col("href"), F.col("name")).alias("ext"))
+    kept = _derived(spark, sf_dir).where(L.wanted(F.col("href")))
+    return kept.select("page_id", "ord", "href", L.extension(F.col("href"), F.col("name")).alias("ext"))
 
 
 def blacklist(spark, sf_dir):
-    named = _table(spark, sf_dir, "pages").select("page_id", F.expr(_NAME).alias("name"))
-    return named.where(~L.blacklisted(F.col("name"))).select("page_id", T.without_extension(T.safe_name(T.without_number("name"))).alias("name"))
+    return _derived(spark, sf_dir).where(~L.blacklisted(F.col("name"))).select("page_id", "ord", T.without_extension(T.safe_name(T.without_number("name"))).alias("name"))
+
+
+def link_names(spark, sf_dir):
+    """Names of links, from the table row where their text says nothing."""
+    return _derived(spark, sf_dir).select("page_id", "ord", L.link_name(F.col("txt"), F.col("tr_text")).alias("name"))
 
 
 def anti_existing(spark, sf_dir):
-    named = _anchors(spark, sf_dir).select("page_id", "ord", T.first_line("txt").alias("file_name"))
-    existing = named.where("page_id % 3 = 0").select("file_name")
-    return L.without_existing(named, existing, F.col("file_name")).groupBy("page_id").agg(F.count("*").alias("n"))
+    pages = _table(spark, sf_dir, "pages")
+    named = lambda df: L.anchors(df).select("page_id", T.first_line("txt").alias("file_name"))
+    existing = named(pages.where("page_id % 3 = 0")).select("file_name")
+    return L.without_existing(named(pages), existing, F.col("file_name")).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+def link_tally(spark, sf_dir):
+    """How many links each page has, and how many names it was the first to give."""
+    named = _anchors(spark, sf_dir).withColumn("name", T.safe_name(T.first_line("txt")))
+    return L.tally(named, L.first_writer(named.where("name <> ''"), "name", ["page_id", "ord"]), "page_id").select("page_id", "links", "files")
+
+
+def stored_downloads(spark, sf_dir):
+    """Files stored once under each name, with their number."""
+    from .plans.streams import working_folder
+
+    named = _anchors(spark, sf_dir).withColumn("file_name", T.safe_name(T.first_line("txt"))).where("file_name <> ''")
+    path = working_folder(spark)
+    n = L.store(L.first_writer(named, "file_name", ["page_id", "ord"]).select("file_name", F.col("href").cast("binary").alias("content")), path)
+    return spark.read.parquet(path).select("file_name", F.md5("content").alias("content"), F.lit(n).alias("stored"))
 
 
 def url_quote(spark, sf_dir):
@@ -190,41 +299,117 @@ def text_clean(spark, sf_dir):
 # Tables and grids
 
 
+def text_lines(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(T.lines("text")).cast("long").alias("n"), F.md5(F.array_join(T.lines("text"), "|")).alias("lines"), F.md5(T.first_line("text")).alias("first"))
+
+
+def page_titles(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", L.page_title(F.col("text")).alias("title"))
+
+
+def image_base64(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(T.data_url(F.col("text").cast("binary"))).alias("url"))
+
+
 def density_gate(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where(F.col("text").contains("|"))
+    """Every text cut at its bars into cells; one document in 97 cannot be read."""
+    docs = _table(spark, sf_dir, "documents")
     cells = docs.select("doc_id", F.lit(0).alias("page"), F.lit(0).alias("tbl"), F.explode(F.split("text", "\\|")).alias("text"))
-    return G.dense_tables(cells, docs.select("doc_id")).select("doc_id", "has_table")
+    return G.dense_tables(cells, docs.select("doc_id", (F.col("doc_id") % 97 != 0).alias("readable"))).select("doc_id", "has_table")
 
 
 def density_semi(spark, sf_dir):
+    """Documents as tables with their lines as cells: sources that have a dense one."""
     docs = _table(spark, sf_dir, "documents")
-    cells = docs.select("source", "lang", F.expr("left(text, CAST(n_chars % 60 AS INT))").alias("text"))
-    return G.dense_tables(cells, docs.select("source").distinct(), key="source", table=("lang",)).select("source", "has_table")
+    cells = docs.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    return G.dense_tables(cells, docs.select("source").distinct(), key="source", table=("doc_id",)).select("source", "has_table")
+
+
+def ingest_routes(spark, sf_dir):
+    """Documents as files of both kinds: cached, with tables, plain, or .docx."""
+    docs = _table(spark, sf_dir, "documents").withColumn("file_name", F.concat("doc_id", F.when(F.col("doc_id") % 4 == 0, ".docx").otherwise(".pdf")))
+    files = docs.select(F.concat("source", F.lit("/"), "file_name").alias("path"), "file_name", F.col("text").alias("body"), "doc_id")
+    cells = files.select("path", F.lit(0).alias("page"), F.lit(0).alias("tbl"), F.explode(F.split("body", "\\|")).alias("text"))
+    probed = G.dense_tables(cells, files.where("doc_id % 7 <> 0").select("path"), key="path")
+    cache = files.where("doc_id % 5 = 0").select("path", F.concat(F.lit("cached "), "body").alias("text"))
+    as_is = lambda df: df.withColumn("text", F.col("body"))
+    made = S.documents(files, cache, probed, as_is, lambda df: df.withColumn("text", F.reverse("body")), as_is)
+    return made.select("file_name", "route", F.md5("text").alias("text"))
+
+
+def transcript_cache(spark, sf_dir):
+    """Transcripts written in two rounds, of which the second replaces a third of the first."""
+    from .plans.streams import working_folder
+
+    docs, path = _table(spark, sf_dir, "documents").withColumn("path", F.col("doc_id").cast("string")), working_folder(spark)
+    S.write_transcripts(docs.select("path", F.lit(1.0).alias("mtime"), "text"), path)
+    S.write_transcripts(docs.where("doc_id % 3 = 0").select("path", F.lit(2.0).alias("mtime"), F.concat("text", F.lit(" again")).alias("text")), path)
+    return S.read_transcripts(spark, path).select("path", F.md5("text").alias("text"))
+
+
+def index_swap(spark, sf_dir):
+    """An index that was built twice, and its marker."""
+    from .plans.streams import working_folder
+
+    nodes, path = _vectors(spark, sf_dir), working_folder(spark)
+    S.save_index(nodes.where("node_id % 2 = 0"), path, 1.0)
+    S.save_index(nodes, path, 2.0)
+    return S.load_index(spark, path).select("node_id", F.element_at("embedding", 1).cast("double").alias("first")).crossJoin(F.broadcast(S.load_marker(spark, path)))
+
+
+def index_freshness(spark, sf_dir):
+    """Events as files of their user's index; a third of the indexes has a marker, at the user's last click."""
+    files = _files(spark, sf_dir)
+    markers = files.where("user_id % 3 = 0 AND file_name = 'click'").groupBy("user_id").agg(F.max("mtime").alias("saved"))
+    return S.freshness(files, markers, "user_id").select("user_id", "latest", "saved", "rebuild")
 
 
 def span_expand(spark, sf_dir):
-    """Each user's events of an hour as a row of cells, one to three columns wide."""
+    """Each user's events of an hour as a row of cells, one to three columns wide; every second user's rows come in pairs
+    under a first cell that reaches over both."""
     order = Window.partitionBy("user_id", "hour").orderBy("event_id")
-    cells = _events(spark, sf_dir).select(F.col("user_id").alias("table_id"), F.col("hour").alias("r"), F.row_number().over(order).alias("ord"), F.lit(1).alias("rowspan"), (1 + F.col("event_id") % 3).cast("int").alias("colspan"), F.col("event_type").alias("text"))
-    return G.expand_spans(cells).select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "text")
+    events = _events(spark, sf_dir)
+    numbered = events.select("user_id", "hour").distinct().withColumn("r", (F.row_number().over(Window.partitionBy("user_id").orderBy("hour")) - 1).cast("int"))
+    cells = events.join(numbered, ["user_id", "hour"]).select(F.col("user_id").alias("table_id"), "r", F.row_number().over(order).alias("ord"), F.lit(1).alias("rowspan"), (1 + F.col("event_id") % 3).cast("int").alias("colspan"), F.col("event_type").alias("text"))
+    heads = numbered.where("user_id % 2 = 0 AND r % 2 = 0").select(F.col("user_id").alias("table_id"), "r", F.lit(0).alias("ord"), F.lit(2).alias("rowspan"), F.lit(1).alias("colspan"), F.concat(F.lit("from "), "hour").alias("text"))
+    return G.expand_spans(cells.unionByName(heads)).select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "text")
+
+
+def html_timetable(spark, sf_dir):
+    """Each user's events as a timetable in HTML, read back: cells, spans over rows, and one row for each filled cell."""
+    cell = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: F.concat(x["event_type"], F.lit("#"), x["event_id"])), "<br>")
+    day = lambda k: F.concat(F.lit("<td>"), F.coalesce(F.max(F.when(F.col("d") == k, F.col("cell"))), F.lit("")), F.lit("</td>"))
+    filled = _events(spark, sf_dir).groupBy("user_id", "hour", (F.col("event_id") % 7).alias("d")).agg(cell.alias("cell"))
+    rows = filled.groupBy("user_id", "hour").agg(F.concat(*(day(k) for k in range(7))).alias("days")).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("hour")))
+    two = F.lpad(F.col("hour").cast("string"), 2, "0")
+    row = F.concat(F.lit("<tr>"), F.when(F.col("n") % 2 == 1, "<td rowspan=2>half</td>").otherwise(""), F.lit("<td> P"), "hour", F.lit("</td><td>"), two, F.lit(":00<br>"), two, F.lit(":50</td>"), "days", F.lit("</tr>"))
+    head = "<table id='AutoNumber1'><tr><th>午別</th><th>節次</th><th>時間</th>" + "".join(f"<th>{'' if k == 3 else f'D{k}'}</th>" for k in range(7)) + "</tr>"
+    pages = rows.withColumn("row", row).groupBy(F.col("user_id").alias("table_id")).agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "row"))), lambda x: x["row"]), ""), F.lit("</table>")).alias("html"))
+    found = G.unpivot(G.expand_spans(G.html_cells(pages, "table_id", table_id="AutoNumber1")))
+    return found.select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "day", "period", "time", "raw_content", F.array_join("details", ",").alias("details"))
+
+
+def course_cells(spark, sf_dir):
+    """The HTML of each user's hours, three texts to a course."""
+    lists = _events(spark, sf_dir).withColumn("details", F.array(F.concat(F.lit("<"), "event_type"), F.col("event_id").cast("string")))
+    held = G.accumulate(lists, ["user_id", "hour"], "event_id")
+    return held.select("user_id", F.col("hour").cast("long").alias("hour"), G.course_cell(F.col("details")).alias("cell"))
 
 
 def pivot_fixed_domain(spark, sf_dir):
-    events = _events(spark, sf_dir)
-    wide = events.groupBy("hour").pivot("event_type", list(EVENT_TYPES)).count()
-    return wide.select(F.col("hour").cast("long").alias("hour"), *(F.coalesce(F.col(t), F.lit(0)).cast("long").alias(t) for t in EVENT_TYPES))
+    wide = G.pivot_counts(_events(spark, sf_dir), "hour", "event_type", EVENT_TYPES)
+    return wide.withColumn("hour", F.col("hour").cast("long"))
 
 
 def _courses(spark, sf_dir):
-    """Rare events as courses: the hour names the period, the id the day; hours past the last period have none."""
+    """All events as courses of their users: the hour names the period, the id the day; hours past the last period have none."""
     names, days = (F.array(*(F.lit(x) for x in y)) for y in ([p.replace("Ａ", "A") for p, _ in G.PERIODS], [*G.DAYS, "星期日"]))
-    rare = _events(spark, sf_dir).where("value > 99.5 AND hour % 3 = 0")
-    return rare.select(F.get(names, F.col("hour")).alias("period"), F.get(days, (F.col("event_id") % 7).cast("int")).alias("day"), F.col("event_id").alias("ord"), F.array(F.col("event_id").cast("string"), F.col("event_type")).alias("details"))
+    return _events(spark, sf_dir).select("user_id", F.get(names, F.col("hour")).alias("period"), F.get(days, (F.col("event_id") % 7).cast("int")).alias("day"), F.col("event_id").alias("ord"), F.array(F.col("event_id").cast("string"), F.col("event_type")).alias("details"))
 
 
 def grid_fill(spark, sf_dir):
-    grid = G.timetable(_courses(spark, sf_dir))
-    return grid.select("period", "time", *(F.array_join(d, ",").alias(f"d{i}") for i, d in enumerate(G.DAYS)))
+    grid = G.timetable(_courses(spark, sf_dir), key="user_id")
+    return grid.select("user_id", "period", "time", *(F.array_join(d, ",").alias(f"d{i}") for i, d in enumerate(G.DAYS)))
 
 
 def keyed_accumulate(spark, sf_dir):
@@ -237,18 +422,24 @@ def chunk3(spark, sf_dir):
     return chunks.select("user_id", F.col("n").cast("long").alias("n"), F.array_join("chunk", "/").alias("chunk"))
 
 
+_LISTED = """CASE event_id % 8 WHEN 0 THEN event_type WHEN 1 THEN '[[{''day'': ''' || event_type || ''', ''details'': [''' || user_id || ''', ''x'']}]]'
+ WHEN 2 THEN '[{"day": "' || event_type || '", "details": ["' || user_id || '", "x"]}]' WHEN 3 THEN '[{''day'': ''' || event_type || ''', ''time'': None, ''details'': [''' || user_id || ''', ''x'']}]'
+ ELSE ' [{''day'': ''' || event_type || ''', ''details'': [''' || user_id || ''', ''x'']}]' END"""
+
+
 def parse_lists(spark, sf_dir):
-    """Course lists written as Python literals, and texts that are none."""
-    said = F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise(F.concat(F.lit("[{'day': '"), F.col("event_type"), F.lit("', 'details': ['"), F.col("user_id").cast("string"), F.lit("', 'x']}]")))
-    said = F.when(F.col("event_id") % 8 == 1, F.concat(F.lit("["), said, F.lit("]"))).otherwise(said)
-    parsed = _table(spark, sf_dir, "events").select("event_id", "event_type", G.parse_list(said).alias("list"))
-    return parsed.select("event_id", F.coalesce(F.get("list", 0)["day"], F.col("event_type")).alias("day"), F.array_join(F.get("list", 0)["details"], ",").alias("details"))
+    """Course lists written as Python literals or JSON, nested or not, and texts that are none."""
+    parsed = _table(spark, sf_dir, "events").select("event_id", "event_type", G.parse_list(F.expr(_LISTED)).alias("list"))
+    return parsed.select("event_id", F.coalesce(F.get("list", 0)["day"], F.concat(F.lit("text "), "event_type")).alias("day"), F.array_join(F.get("list", 0)["details"], ",").alias("details"))
 
 
-def latest_mtime(spark, sf_dir):
+def _files(spark, sf_dir):
     """Events as files; those of type view are hidden."""
-    files = _table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "view", ".view").otherwise(F.col("event_type")).alias("file_name"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) / 1e6").alias("mtime"))
-    return S.latest_mtime(files)
+    return _table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "view", ".view").otherwise(F.col("event_type")).alias("file_name"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) / 1e6").alias("mtime"))
+
+
+def latest_mtime(spark, sf_dir):
+    return S.latest_mtime(_files(spark, sf_dir))
 
 
 def history_stream(spark, sf_dir):
@@ -259,10 +450,12 @@ def history_stream(spark, sf_dir):
 
 
 _QUERIES = [
-    sentence_window, topk_cosine, dual_retrieval_merge, rerank_batches, retrieval_answer, chat_answers, ordered_sources, source_labels,
-    history_last3, last_result, appended_results, intent_route, page_concat, page_carry,
-    link_resolve, link_first_writer, link_filter, blacklist, anti_existing, url_quote, text_clean,
-    density_gate, density_semi, span_expand, pivot_fixed_domain, grid_fill, keyed_accumulate, chunk3, parse_lists, latest_mtime,
+    sentence_window, topk_cosine, dual_retrieval_merge, rerank_batches, retrieval_answer, chat_answers, ordered_sources, source_labels, label_file_name,
+    paired_sources, latest_rules, noise_filter, inherited_rules, apologies, prompt_fill,
+    history_last3, last_result, appended_results, last_three, intent_route, keyword_route, clarify_needed, query_expansion, reply_json, response_decode, page_concat, page_carry,
+    link_resolve, link_first_writer, link_filter, blacklist, link_names, link_tally, stored_downloads, anti_existing, url_quote, text_clean,
+    text_lines, page_titles, image_base64, density_gate, density_semi, ingest_routes, transcript_cache, index_swap, index_freshness,
+    span_expand, html_timetable, course_cells, pivot_fixed_domain, grid_fill, keyed_accumulate, chunk3, parse_lists, latest_mtime,
     history_stream,
 ]
 
@@ -286,8 +479,8 @@ def _top(where: str) -> str:
 
 
 _MERGED = f"""
-SELECT node_id, arg_max(score, place) AS score, row_number() OVER (ORDER BY min(place)) AS pos
-FROM (SELECT node_id, score, pos + 1000 * query_id AS place FROM ({_top('q.vec_id IN (0, 1)')})) GROUP BY node_id
+SELECT query_id, node_id, arg_max(score, place) AS score, row_number() OVER (PARTITION BY query_id ORDER BY min(place)) AS pos
+FROM (SELECT query_id - query_id % 20 AS query_id, node_id, score, pos + 1000 * (query_id % 20) AS place FROM ({_top('q.vec_id % 20 IN (0, 1)')})) GROUP BY query_id, node_id
 """
 _WORDS = "list_distinct(list_filter(string_split_regex(lower(%s), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))"
 _LABEL = "CASE WHEN doc_id % 10 <> 9 THEN source ELSE '未知文件' END || CASE WHEN doc_id % 2 = 0 THEN ' (第 ' || (doc_id % 5) || ' 頁)' ELSE '' END"
@@ -301,52 +494,107 @@ _SAFE = "regexp_replace(%s, '[\\\\/*?:\"<>|\\n\\r\\t]', '', 'g')"
 _BARE = "regexp_replace(name, '^[0-9]+[.、\\s]*', '')"
 _PERIOD_ROWS = ", ".join(f"({i}, '{p}', '{t}', {str(p in G.OPTIONAL).lower()})" for i, (p, t) in enumerate(G.PERIODS))
 _DAY_CASE = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN 'd{i}'" for i in range(6)) + " END"
+_DERIVED = f"SELECT page_id, ord, {_HREF} AS href, {_NAME} AS name, {_TXT} AS txt, {_ROW} AS tr_text FROM (SELECT page_id, ord, href, {_STRIP % _TEXT} AS txt FROM ({_LINKS}))"
+_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP % 'x'}), lambda x: x <> '')"
+_FIRST = _STRIP % f"string_split({_STRIP % '%s'}, chr(10))[1]"
+_FILES = "SELECT user_id, event_type AS name, epoch_us(ts) / 1e6 AS mtime FROM events"
+_REPLIES = "SELECT conv_id, arg_max(text, turn) AS said, arg_max(role, turn) AS agent, list_sort(list(DISTINCT role)) AS sources FROM conversations GROUP BY conv_id"
+_DEPT, _DEGREE = "(\\p{L}{2}(?:系|所))", "(學士|碩士|博士|大學部)"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "sentence_window": f"SELECT doc_id, ord, string_agg(sent, ' ') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS \"window\" FROM ({_SENTENCES})",
-        "topk_cosine": f"SELECT query_id, node_id, round(score, 6) AS score, pos FROM ({_top('q.vec_id % 20 = 0')})",
-        "dual_retrieval_merge": f"SELECT node_id, round(score, 6) AS score, pos FROM ({_MERGED})",
-        "rerank_batches": f"SELECT node_id, CAST(floor((pos - 1) / 5) AS BIGINT) AS batch FROM ({_top('q.vec_id = 0')})",
+        "dual_retrieval_merge": f"SELECT query_id, node_id, round(score, 6) AS score, pos FROM ({_MERGED})",
+        "rerank_batches": f"SELECT query_id, node_id, CAST(floor((pos - 1) / 5) AS BIGINT) AS batch FROM ({_top('q.vec_id % 20 = 0')})",
         "retrieval_answer": f"""
-WITH hits AS (SELECT node_id, pos, node_id % (SELECT count(*) FROM documents) AS doc_id FROM ({_MERGED})),
+WITH n AS (SELECT count(*) AS n FROM documents),
+hits AS (SELECT query_id, node_id, pos, node_id % n AS doc_id, query_id % n AS asked FROM ({_MERGED}), n),
 scored AS (SELECT h.*, d.source, d.text, len(list_intersect({_WORDS % 'q.text'}, {_WORDS % 'd.text'})) / len({_WORDS % 'q.text'}) AS relevance
-  FROM hits h JOIN documents d USING (doc_id) CROSS JOIN (SELECT text FROM documents WHERE doc_id = 0) q),
-ranked AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, pos) AS rank FROM scored QUALIFY rank <= 8),
-windows AS (SELECT doc_id, string_agg(sent, ' ' ORDER BY ord) AS w FROM ({_SENTENCES}) WHERE ord <= 3 GROUP BY doc_id)
-SELECT rank, node_id, doc_id, round(relevance, 6) AS relevance, source AS label, coalesce(w, text) AS "window" FROM ranked LEFT JOIN windows USING (doc_id)""",
+  FROM hits h JOIN documents d USING (doc_id) JOIN documents q ON q.doc_id = h.asked),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, pos) AS rank FROM scored QUALIFY rank <= 8),
+windows AS (SELECT doc_id, ord, count(*) OVER (PARTITION BY doc_id) AS sents, string_agg(sent, ' ') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS w FROM ({_SENTENCES}))
+SELECT query_id, rank, node_id, r.doc_id, round(relevance, 6) AS relevance, source AS label, coalesce(w, text) AS "window" FROM ranked r LEFT JOIN windows w ON r.doc_id = w.doc_id AND w.ord = node_id % sents""",
+        "paired_sources": f"SELECT query_id, node_id, node_id % 3 <> 0 AS basis, row_number() OVER (PARTITION BY query_id ORDER BY node_id % 3 = 0, pos) AS place FROM ({_MERGED})",
+        "latest_rules": "SELECT source, md5(t) AS text FROM (SELECT source, CASE WHEN doc_id % 4 = 0 THEN text ELSE (100 + doc_id % 17) || ' 學年度 ' || text END AS t, CASE WHEN doc_id % 4 <> 0 THEN 100 + doc_id % 17 END AS y FROM documents) QUALIFY row_number() OVER (PARTITION BY source ORDER BY y DESC NULLS LAST, t) = 1",
+        "noise_filter": "SELECT doc_id, md5(text) AS text FROM documents WHERE doc_id % 5 <> 0",
+        "inherited_rules": """WITH c AS (SELECT 'c' || c_custkey AS unit, 'n' || c_nationkey AS above, c_mktsegment AS topic, c_acctbal, c_nationkey FROM customer),
+o AS (SELECT DISTINCT above, topic FROM c WHERE c_nationkey % 3 = 0)
+SELECT unit, c.topic, CASE WHEN c_acctbal > 5000 THEN CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) WHEN o.above IS NOT NULL THEN 'as in ' || c.above WHEN c.topic <> 'MACHINERY' THEN 'general' END AS rule,
+ CASE WHEN c_acctbal > 5000 THEN unit WHEN o.above IS NOT NULL THEN c.above WHEN c.topic <> 'MACHINERY' THEN '*' END AS source_unit FROM c LEFT JOIN o ON o.above = c.above AND o.topic = c.topic""",
+        "apologies": f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '{R.FAILED}' ELSE text END AS answer, CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS sources FROM conversations",
+        "prompt_fill": "SELECT doc_id, md5('From ' || source || ':' || chr(10) || '{lang}' || text || chr(10) || '(' || source || ', ' || lang || ')') AS prompt FROM documents",
+        "label_file_name": f"SELECT doc_id, split_part({_LABEL}, ' (', 1) AS file_name FROM documents",
+        "intent_route": f"""SELECT conv_id, turn, agent AS next_agent, CASE agent WHEN 'Action Agent' THEN 'action_node' WHEN 'Clarification Agent' THEN 'clarification_node' WHEN 'Academic Agent' THEN 'academic_node' ELSE 'fallback_node' END AS node
+FROM (SELECT conv_id, turn, CASE WHEN contains(said, 'ACTION') THEN 'Action Agent' WHEN contains(said, 'CLARIFY') THEN 'Clarification Agent' WHEN contains(said, 'ACADEMIC') THEN 'Academic Agent' ELSE 'Fallback Agent' END AS agent
+ FROM (SELECT conv_id, turn, upper({_SAID}) AS said FROM conversations))""",
+        "keyword_route": f"""SELECT conv_id, turn, CASE WHEN contains(t, '幫我') AND NOT asks THEN 'Action Agent' WHEN length({_STRIP % 't'}) <= 4 THEN 'Clarification Agent' WHEN asks THEN 'Academic Agent' ELSE 'Fallback Agent' END AS next_agent
+FROM (SELECT *, regexp_matches(t, '多少錢|要錢|費用|補助|怎麼|規定|期限|門檻|\\?|？') AS asks FROM (SELECT conv_id, turn, {_ASKED} AS t FROM conversations))""",
+        "clarify_needed": f"SELECT conv_id, turn, NOT bool_or(regexp_matches({_NARROWED}, '系|所|學士|碩士|博士|大學部')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS clarify FROM conversations",
+        "query_expansion": f"""WITH t AS (SELECT conv_id, turn, {_FOLLOWED} AS x FROM conversations),
+b AS (SELECT *, nullif(regexp_extract(x, '{_DEPT}', 1), '') AS dept, nullif(regexp_extract(x, '{_DEGREE}', 1), '') AS deg, regexp_replace(regexp_replace(x, '{_DEPT}', '', 'g'), '{_DEGREE}|那|呢|的|班', '', 'g') AS bare FROM t),
+h AS (SELECT conv_id, turn, last_value(dept IGNORE NULLS) OVER w AS department, last_value(deg IGNORE NULLS) OVER w AS degree, last_value(CASE WHEN length({_STRIP % 'bare'}) > 1 THEN bare END IGNORE NULLS) OVER w AS target
+ FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT conv_id, turn, department, degree, array_to_string(list_filter([{_STRIP % 'target'}, department, CASE department WHEN '企管系' THEN '管理學院' WHEN '資工系' THEN '資電學院' END, coalesce(degree, '全校通用 大學部')], lambda p: p IS NOT NULL AND p <> ''), ' ') AS expanded FROM h""",
+        "reply_json": f"SELECT conv_id, CAST(json_object('status', 'success', 'response', json_array(said), 'sources', to_json(sources), 'debug_info', json_object('current_step', 'completed', 'executed_agent', agent)) AS VARCHAR) AS reply FROM ({_REPLIES})",
+        "response_decode": f"SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN '{C.NO_RESULT}' ELSE said END AS answer, CASE WHEN conv_id % 5 = 0 THEN '' ELSE array_to_string(sources, ';') END AS sources FROM ({_REPLIES})",
+        "last_three": "SELECT conv_id, string_agg(text, chr(1) ORDER BY turn) AS texts FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) GROUP BY conv_id",
+        "link_filter": f"""SELECT page_id, ord, href, CASE WHEN lower(href) LIKE '%.docx%' OR lower(name) LIKE '%.docx%' THEN '.docx' WHEN lower(href) LIKE '%.doc%' OR lower(name) LIKE '%.doc%' THEN '.doc' ELSE '.pdf' END AS ext
+FROM ({_DERIVED}) WHERE href <> '' AND href <> '#' AND href NOT LIKE '%javascript%' AND lower(href) NOT LIKE '%.odt%' AND regexp_matches(lower(href), 'download|file|\\.pdf|\\.doc')""",
+        "blacklist": f"SELECT page_id, ord, regexp_replace({_SAFE % _BARE}, '(?i)\\.pdf$|\\.docx?$', '') AS name FROM ({_DERIVED}) WHERE name NOT LIKE '%測試用檔案%' AND name NOT LIKE '%無效文件%' AND name <> '檔案下載'",
+        "link_names": f"""WITH l AS (SELECT page_id, ord, {_SAFE % (_FIRST % 'txt')} AS name, {_SAFE % (_FIRST % 'tr_text')} AS r FROM ({_DERIVED}))
+SELECT page_id, ord, CASE WHEN length(r) > 3 AND (length(name) <= 3 OR lower(name) IN ({", ".join(f"'{g}'" for g in L.GENERIC)}) OR lower({_STRIP % _BARE}) IN ({", ".join(f"'{g}'" for g in L.GENERIC)})) THEN r ELSE name END AS name FROM l""",
+        "link_tally": f"""WITH l AS (SELECT page_id, ord, {_SAFE % (_STRIP % _TEXT)} AS name FROM ({_LINKS})), f AS (SELECT page_id, count(*) AS files FROM (SELECT * FROM l WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY page_id, ord) = 1) GROUP BY page_id)
+SELECT page_id, count(*) AS links, coalesce(max(files), 0) AS files FROM l LEFT JOIN f USING (page_id) GROUP BY page_id""",
+        "stored_downloads": f"""WITH l AS (SELECT page_id, ord, href, {_SAFE % (_STRIP % _TEXT)} AS file_name FROM ({_LINKS})), f AS (SELECT * FROM l WHERE file_name <> '' QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY page_id, ord) = 1)
+SELECT file_name, md5(href) AS content, CAST((SELECT count(*) FROM f) AS INTEGER) AS stored FROM f""",
+        "text_lines": f"SELECT doc_id, CAST(len({_LINES}) AS BIGINT) AS n, md5(array_to_string({_LINES}, '|')) AS lines, md5({_FIRST % 'text'}) AS first FROM documents",
+        "page_titles": f"SELECT doc_id, CASE WHEN length(t) > 2 THEN t END AS title FROM (SELECT doc_id, {_SAFE % f'left(coalesce(({_LINES})[1], {chr(39) * 2}), 50)'} AS t FROM documents)",
+        "image_base64": "SELECT doc_id, md5('data:image/png;base64,' || to_base64(encode(text))) AS url FROM documents",
+        "density_gate": f"SELECT doc_id, doc_id % 97 = 0 OR coalesce(n >= 4 AND s / n < 35, false) AS has_table FROM (SELECT doc_id, count(*) FILTER (c <> '') AS n, sum(length(c)) AS s FROM (SELECT doc_id, {_STRIP % 'unnest(string_split(text, chr(124)))'} AS c FROM documents) GROUP BY doc_id)",
+        "density_semi": f"SELECT source, bool_or(n >= 4 AND s / n < 35) AS has_table FROM (SELECT source, doc_id, count(*) FILTER (c <> '') AS n, sum(length(c)) AS s FROM (SELECT source, doc_id, {_STRIP % 'unnest(string_split(text, chr(10)))'} AS c FROM documents) GROUP BY source, doc_id) GROUP BY source",
+        "ingest_routes": f"""WITH g AS (SELECT doc_id, count(*) FILTER (c <> '') >= 4 AND sum(length(c)) / count(*) FILTER (c <> '') < 35 AS dense FROM (SELECT doc_id, {_STRIP % 'unnest(string_split(text, chr(124)))'} AS c FROM documents) GROUP BY doc_id)
+SELECT doc_id || CASE WHEN doc_id % 4 = 0 THEN '.docx' ELSE '.pdf' END AS file_name, CASE WHEN doc_id % 4 = 0 THEN 'docx' WHEN doc_id % 5 = 0 THEN 'cache' WHEN doc_id % 7 = 0 OR dense THEN 'ocr' ELSE 'plain' END AS route,
+ md5(CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 5 = 0 THEN 'cached ' || text WHEN doc_id % 7 = 0 OR dense THEN array_to_string(list_reverse(regexp_extract_all(text, '(?s).')), '') ELSE text END) AS text FROM documents JOIN g USING (doc_id)""",
+        "transcript_cache": "SELECT CAST(doc_id AS VARCHAR) AS path, md5(CASE WHEN doc_id % 3 = 0 THEN text || ' again' ELSE text END) AS text FROM documents",
+        "index_swap": "SELECT vec_id AS node_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(2 AS DOUBLE) AS saved FROM embeddings",
+        "index_freshness": f"SELECT user_id, latest, saved, coalesce(latest > saved, true) AS rebuild FROM (SELECT user_id, coalesce(max(mtime) FILTER (name <> 'view'), 0) AS latest, CASE WHEN user_id % 3 = 0 THEN max(mtime) FILTER (name = 'click') END AS saved FROM ({_FILES}) GROUP BY user_id)",
+        "span_expand": """WITH h AS (SELECT user_id, h, row_number() OVER (PARTITION BY user_id ORDER BY h) - 1 AS r FROM (SELECT DISTINCT user_id, hour(ts) AS h FROM events))
+SELECT user_id AS table_id, r AS row, (1 - user_id % 2) + e - w + k AS col, event_type AS text
+FROM (SELECT user_id, r, event_type, 1 + event_id % 3 AS w, sum(1 + event_id % 3) OVER (PARTITION BY user_id, r ORDER BY event_id)::BIGINT AS e FROM events JOIN h USING (user_id) WHERE hour(ts) = h), unnest([0, 1, 2]) AS u(k) WHERE k < w
+UNION ALL SELECT user_id, r + k, 0, 'from ' || h FROM h, unnest([0, 1]) AS u(k) WHERE user_id % 2 = 0 AND r % 2 = 0""",
+        "html_timetable": """WITH c AS (SELECT user_id, hour(ts) AS h, event_id % 7 AS d, string_agg(event_type || '#' || event_id, chr(10) ORDER BY event_id) AS raw FROM events GROUP BY 1, 2, 3),
+r AS (SELECT user_id, h, row_number() OVER (PARTITION BY user_id ORDER BY h) AS row FROM (SELECT DISTINCT user_id, h FROM c))
+SELECT user_id AS table_id, row, 3 + d AS col, CASE WHEN d = 3 THEN '未知星期(6)' ELSE 'D' || d END AS day, 'P' || h AS period, lpad(CAST(h AS VARCHAR), 2, '0') || ':00 ' || lpad(CAST(h AS VARCHAR), 2, '0') || ':50' AS time, raw AS raw_content, replace(raw, chr(10), ',') AS details FROM c JOIN r USING (user_id, h)""",
+        "course_cells": """WITH i AS (SELECT user_id, hour(ts) AS hour, event_id * 2 AS o, '&lt;' || event_type AS x FROM events UNION ALL SELECT user_id, hour(ts), event_id * 2 + 1, CAST(event_id AS VARCHAR) FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, hour ORDER BY o) - 1 AS k FROM i),
+b AS (SELECT user_id, hour, k // 3 AS c, count(*) AS s, max(x) FILTER (k % 3 = 0) AS a, max(x) FILTER (k % 3 = 1) AS b, max(x) FILTER (k % 3 = 2) AS d FROM n GROUP BY 1, 2, 3)
+SELECT user_id, hour, string_agg('<div class=''course-block''>' || CASE s WHEN 3 THEN '<div class=''course-code''>' || a || '</div><div class=''course-title''>' || b || '</div><div class=''course-location''>' || d || '</div>'
+ WHEN 2 THEN '<div class=''course-title''>' || a || '</div><div class=''course-location''>' || b || '</div>' ELSE '<div class=''course-title''>' || a || '</div>' END || '</div>', '<div class=''course-divider''></div>' ORDER BY c) AS cell FROM b GROUP BY user_id, hour""",
+        "grid_fill": f"""WITH c AS (SELECT user_id, hour(ts) AS period_ord, {_DAY_CASE} AS day, string_agg(event_id || ',' || event_type, ',' ORDER BY event_id) AS details FROM events WHERE event_id % 7 < 6 GROUP BY 1, 2, 3)
+SELECT user_id, period, time, {", ".join(f"coalesce(max(details) FILTER (day = 'd{i}'), '') AS d{i}" for i in range(6))}
+FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (VALUES {_PERIOD_ROWS}) AS p(period_ord, period, time, optional) LEFT JOIN c USING (user_id, period_ord) GROUP BY user_id, period, time, optional HAVING count(day) > 0 OR NOT optional""",
+        "parse_lists": f"""SELECT event_id, CASE WHEN j IS NULL THEN 'text ' || event_type ELSE json_extract_string(j, '$[0].day') END AS day, array_to_string(CAST(json_extract(j, '$[0].details') AS VARCHAR[]), ',') AS details
+FROM (SELECT event_id, event_type, CASE WHEN starts_with(said, '[') THEN CAST(replace(replace(replace(replace(said, '''', '"'), 'None', 'null'), '[[', '['), ']]', ']') AS JSON) END AS j
+ FROM (SELECT event_id, event_type, {_STRIP % _LISTED} AS said FROM events))""",
+        "latest_mtime": f"SELECT max(mtime) AS latest FROM ({_FILES}) WHERE name <> 'view'",
+        "sentence_window": f"SELECT doc_id, ord, string_agg(sent, ' ') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS \"window\" FROM ({_SENTENCES})",
+        "topk_cosine": f"SELECT query_id, node_id, round(score, 6) AS score, pos FROM ({_top('q.vec_id % 20 = 0')})",
         "ordered_sources": f"SELECT lang, string_agg(label, ';' ORDER BY p) AS sources FROM (SELECT lang, label, min(doc_id) AS p FROM (SELECT lang, doc_id, {_LABEL} AS label FROM documents) GROUP BY lang, label) GROUP BY lang",
         "source_labels": f"SELECT doc_id, {_LABEL} AS label FROM documents",
         "history_last3": "SELECT conv_id, turn, string_agg(text, ' -> ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS history FROM conversations WHERE role = 'user'",
         "history_stream": "SELECT conv_id, turn, string_agg(text, ' -> ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS history FROM conversations WHERE role = 'user'",
         "last_result": "SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id",
         "appended_results": "SELECT conv_id, string_agg(text, chr(1) ORDER BY turn) AS texts FROM conversations GROUP BY conv_id",
-        "intent_route": """SELECT conv_id, turn, next_agent, CASE next_agent WHEN 'Action Agent' THEN 'action_node' WHEN 'Clarification Agent' THEN 'clarification_node' WHEN 'Academic Agent' THEN 'academic_node' ELSE 'fallback_node' END AS node
-FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Action Agent' WHEN 1 THEN 'Clarification Agent' WHEN 2 THEN 'Academic Agent' ELSE 'Fallback Agent' END AS next_agent FROM conversations)""",
         "page_concat": "SELECT conv_id, string_agg(coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn) AS text, string_agg(chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS ocr_text FROM conversations GROUP BY conv_id",
         "page_carry": "SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 400), '') AS carry FROM conversations",
         "link_resolve": f"SELECT page_id, ord, regexp_extract(url, '^[a-z]+://[^/]*') || href AS full_url FROM ({_LINKS})",
         "link_first_writer": f"SELECT name, page_id, ord FROM (SELECT {_SAFE % (_STRIP % _TEXT)} AS name, page_id, ord FROM ({_LINKS})) WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY page_id, ord) = 1",
-        "link_filter": f"""SELECT page_id, href, CASE WHEN lower(href) LIKE '%.docx%' OR lower(name) LIKE '%.docx%' THEN '.docx' WHEN lower(href) LIKE '%.doc%' OR lower(name) LIKE '%.doc%' THEN '.doc' ELSE '.pdf' END AS ext
-FROM (SELECT page_id, {_HREF} AS href, {_NAME} AS name FROM pages)
-WHERE href <> '' AND href <> '#' AND href NOT LIKE '%javascript%' AND lower(href) NOT LIKE '%.odt%' AND regexp_matches(lower(href), 'download|file|\\.pdf|\\.doc')""",
-        "blacklist": f"SELECT page_id, regexp_replace({_SAFE % _BARE}, '(?i)\\.pdf$|\\.docx?$', '') AS name FROM (SELECT page_id, {_NAME} AS name FROM pages) WHERE name NOT LIKE '%測試用檔案%' AND name NOT LIKE '%無效文件%' AND name <> '檔案下載'",
         "anti_existing": f"WITH l AS (SELECT page_id, {_STRIP % _TEXT} AS file_name FROM ({_LINKS})) SELECT page_id, count(*) AS n FROM l WHERE file_name NOT IN (SELECT file_name FROM l WHERE page_id % 3 = 0) GROUP BY page_id",
         "url_quote": "SELECT doc_id, md5(replace(url_encode(text), '%2F', '/')) AS quoted FROM documents",
         "text_clean": f"SELECT doc_id, md5({_STRIP % _clean_sql()}) AS cleaned FROM documents",
-        "density_gate": f"SELECT doc_id, count(*) FILTER (c <> '') >= 4 AND sum(length(c)) / count(*) FILTER (c <> '') < 35 AS has_table FROM (SELECT doc_id, {_STRIP % 'unnest(string_split(text, chr(124)))'} AS c FROM documents WHERE contains(text, '|')) GROUP BY doc_id",
-        "density_semi": f"SELECT source, bool_or(n >= 4 AND s / n < 35) AS has_table FROM (SELECT source, lang, count(*) FILTER (c <> '') AS n, sum(length(c)) AS s FROM (SELECT source, lang, {_STRIP % 'left(text, n_chars % 60)'} AS c FROM documents) GROUP BY source, lang) GROUP BY source",
-        "span_expand": """SELECT user_id AS table_id, h AS row, e - w + k AS col, event_type AS text
-FROM (SELECT user_id, hour(ts) AS h, event_type, 1 + event_id % 3 AS w, sum(1 + event_id % 3) OVER (PARTITION BY user_id, hour(ts) ORDER BY event_id)::BIGINT AS e FROM events), unnest([0, 1, 2]) AS u(k) WHERE k < w""",
         "pivot_fixed_domain": "SELECT hour(ts) AS hour, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in EVENT_TYPES) + " FROM events GROUP BY hour(ts)",
-        "grid_fill": f"""WITH c AS (SELECT hour(ts) AS period_ord, {_DAY_CASE} AS day, string_agg(event_id || ',' || event_type, ',' ORDER BY event_id) AS details FROM events WHERE value > 99.5 AND hour(ts) % 3 = 0 AND event_id % 7 < 6 GROUP BY 1, 2)
-SELECT period, time, {", ".join(f"coalesce(max(details) FILTER (day = 'd{i}'), '') AS d{i}" for i in range(6))}
-FROM (VALUES {_PERIOD_ROWS}) AS p(period_ord, period, time, optional) LEFT JOIN c USING (period_ord) GROUP BY period, time, optional HAVING count(day) > 0 OR NOT optional""",
         "keyed_accumulate": "SELECT user_id, hour(ts) AS hour, string_agg(event_type || ',' || event_id, ',' ORDER BY event_id) AS details FROM events GROUP BY user_id, hour(ts)",
         "chunk3": "SELECT user_id, n, string_agg(event_type, '/' ORDER BY event_id) AS chunk FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 3) AS BIGINT) AS n FROM events) GROUP BY user_id, n",
-        "parse_lists": "SELECT event_id, event_type AS day, CASE WHEN event_id % 4 <> 0 THEN user_id || ',x' END AS details FROM events",
-        "latest_mtime": "SELECT max(epoch_us(ts)) / 1e6 AS latest FROM events WHERE event_type <> 'view'",
     }
 
 

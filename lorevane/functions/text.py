@@ -97,6 +97,16 @@ def source_label(metadata: Column) -> Column:
     return F.when(page != "", F.concat(name, F.lit(" (第 "), page, F.lit(" 頁)"))).otherwise(name)
 
 
+def label_file(label: Column | str) -> Column:
+    """The file name in a source label: what stands before the first ' ('."""
+    return F.substring_index(col(label), " (", 1)
+
+
+def data_url(image: Column, kind: str = "image/png") -> Column:
+    """Bytes as a data url in base64."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.regexp_replace(F.base64(image), "\\s", ""))
+
+
 def fill(template: str, **values: Column) -> Column:
     """A template with {name} places filled from columns; text inside a value is never taken for a place."""
     import re

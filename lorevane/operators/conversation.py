@@ -20,7 +20,8 @@ NO_RESULT = "系統沒有回傳任何結果。"
 
 
 def recent(turns: DataFrame, thread: str = "conv_id", turn: str = "turn", text: str = "text", n: int = 3) -> DataFrame:
-    """turns with history: the last n texts of the thread, this one included, joined by ' -> '."""
+    """turns with history: the last n texts of the thread, this one included, joined by ' -> '. A null text has its place
+    among the n and adds nothing."""
     w = Window.partitionBy(thread).orderBy(turn).rowsBetween(1 - n, 0)
     return turns.withColumn("history", F.coalesce(F.nullif(F.array_join(F.collect_list(text).over(w), " -> "), F.lit("")), F.lit(NO_HISTORY)))
 
@@ -86,9 +87,52 @@ def page_carry(pages: DataFrame, key: str = "conv_id", order: str = "turn", text
     return pages.withColumn("carry", F.coalesce(F.right(F.lag(text).over(w), F.lit(n)), F.lit("")))
 
 
-def page_concat(pages: DataFrame, key: str, order: str, text: str = "text", ocr: bool = False) -> DataFrame:
-    """key, text: plain pages each followed by an empty line; OCR pages each after a line end, joined by rules."""
+def joined_pages(order: str, text: str = "text", ocr: bool = False) -> Column:
+    """The aggregate of page_concat, for use beside others of one groupBy."""
     body = F.coalesce(F.col(text), F.lit(""))
     one = F.concat(F.lit("\n"), body) if ocr else F.concat(body, F.lit("\n\n"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), one.alias("t")))), lambda x: x["t"])
-    return pages.groupBy(key).agg(F.array_join(listed, "\n\n---\n\n" if ocr else "").alias("text"))
+    return F.array_join(listed, "\n\n---\n\n" if ocr else "")
+
+
+def page_concat(pages: DataFrame, key: str, order: str, text: str = "text", ocr: bool = False) -> DataFrame:
+    """key, text: plain pages each followed by an empty line; OCR pages each after a line end, joined by rules."""
+    return pages.groupBy(key).agg(joined_pages(order, text, ocr).alias("text"))
+
+
+#: What names a department, a degree level, and the levels above every department.
+DEPARTMENT, DEGREE = "(\\p{L}{2}(?:系|所))", "(學士|碩士|博士|大學部)"
+GENERAL = "全校通用 大學部"
+
+
+def carry_conditions(turns: DataFrame, thread: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """turns with department and degree: the last ones that the thread has named so far; a new one replaces the old."""
+    w = Window.partitionBy(thread).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)
+    named = lambda pattern: F.last(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 1), F.lit("")), ignorenulls=True).over(w)
+    return turns.withColumns({"department": named(DEPARTMENT), "degree": named(DEGREE)})
+
+
+def expansion(turns: DataFrame, colleges: DataFrame | None = None, thread: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """turns with expanded: the question, what was asked last before it, the conditions that hold, and the terms above them.
+
+    The earlier question is carried where this turn only adds a condition, that is names a department or degree and little
+    else. colleges(department, college) adds the department's college.
+    """
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), DEPARTMENT, ""), DEGREE + "|那|呢|的|班", "")
+    held = carry_conditions(turns, thread, turn, text)
+    target = F.when(F.length(T.strip(bare(F.col(text)))) > 1, bare(F.col(text)))
+    w = Window.partitionBy(thread).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("__asked", target).withColumn("__before", F.last("__asked", ignorenulls=True).over(w))
+    if colleges is not None:
+        held = held.join(colleges.select(F.col("department").alias("__department"), F.col("college").alias("__college")), F.col("department") == F.col("__department"), "left")
+    else:
+        held = held.withColumn("__college", F.lit(None).cast("string"))
+    parts = F.array(F.coalesce("__asked", "__before"), F.col("department"), F.col("__college"), F.coalesce("degree", F.lit(GENERAL)))
+    kept = F.array_distinct(F.filter(F.transform(parts, T.strip), lambda x: x.isNotNull() & (x != "")))
+    return held.select(*turns.columns, "department", "degree", F.array_join(kept, " ").alias("expanded"))
+
+
+def response(body: Column) -> Column:
+    """answer, sources of a reply as JSON: the first element of its response; defaults where something is missing."""
+    read = F.from_json(body, "status string, response array<string>, sources array<string>")
+    return F.struct(F.coalesce(F.get(read["response"], F.lit(0)), F.lit(NO_RESULT)).alias("answer"), F.coalesce(read["sources"], F.array().cast("array<string>")).alias("sources"))

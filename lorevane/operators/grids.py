@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ast
+import json
 from collections.abc import Iterator
+from itertools import count, groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -33,32 +37,50 @@ def html_cells(pages: DataFrame, key: str = "page_id", html: str = "html", table
 
 
 def spread(cells: list[tuple]) -> dict[tuple[int, int], str]:
-    """The dense grid of (r, ord, rowspan, colspan, text) cells: a cell starts at the first free place of its row.
+    """The dense grid of (r, ord, rowspan, colspan, text) cells of one table.
 
-    Rows fill one after the other, so that what an earlier row's span covers is taken. Within its row a wide cell
-    covers whatever is there.
+    A column is taken as long as a span from above reaches into the row. A cell starts at the first free column after its
+    row's earlier cells; where it is wide it covers whatever is there.
     """
     grid: dict[tuple[int, int], str] = {}
-    row, at = None, 0
-    for r, _, down, across, text in sorted(cells, key=lambda c: c[:2]):
-        at = 0 if r != row else at
-        row = r
-        while (r, at) in grid:
-            at += 1
-        grid.update({(r + i, at + j): text for i in range(down) for j in range(across)})
-        at += across
+    free_from: dict[int, int] = {}  # the first row in which each column is free again
+    for r, row in groupby(sorted(cells, key=lambda c: c[:2]), key=lambda c: c[0]):
+        at = 0
+        for _, _, down, across, text in row:
+            at = next(c for c in count(at) if free_from.get(c, 0) <= r)
+            for c in range(at, at + across):
+                free_from[c] = max(free_from.get(c, 0), r + down)
+                grid.update(((i, c), text) for i in range(r, r + down))
+            at += max(across, 0)
     return grid
 
 
 def expand_spans(cells: DataFrame, key: str = "table_id") -> DataFrame:
-    """key, row, col, text: the dense grid of each table, every covered place with its cell's text."""
+    """key, row, col, text: the dense grid of each table, every covered place with its cell's text.
+
+    A row of a table without spans over rows is placed by the running sum of its widths. Tables with such spans, where
+    rows depend on what is above, are laid out one after the other in tasks that hold one table at a time.
+    """
     kind = cells.schema[key].dataType.simpleString()
+    cells = cells.select(key, "r", "ord", "rowspan", F.greatest("colspan", F.lit(0)).alias("colspan"), "text")
+    tall = cells.where("rowspan > 1").select(F.col(key).alias("__tall")).distinct()
+    is_tall = cells[key].eqNullSafe(F.col("__tall"))
+    w = Window.partitionBy(key, "r").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = cells.join(tall, is_tall, "left_anti").withColumn("__end", F.sum("colspan").over(w)).where("colspan > 0 AND rowspan > 0")
+    flat = ended.select(key, F.col("r").cast("int").alias("row"), F.explode(F.sequence((F.col("__end") - F.col("colspan")).cast("int"), (F.col("__end") - 1).cast("int"))).alias("col"), "text")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        grid = spread(list(frame[["r", "ord", "rowspan", "colspan", "text"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(frame[key].iloc[0], r, c, t) for (r, c), t in grid.items()], columns=[key, "row", "col", "text"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((k, tuple(c)) for frame in frames for k, *c in frame.itertuples(index=False, name=None))
+        out: list[tuple] = []
+        for k, table in groupby(rows, key=lambda x: x[0]):
+            out += [(k, r, c, t) for (r, c), t in spread([c for _, c in table]).items()]
+            if len(out) > 50_000:
+                yield pd.DataFrame(out, columns=[key, "row", "col", "text"])
+                out = []
+        yield pd.DataFrame(out, columns=[key, "row", "col", "text"])
 
-    return cells.select(key, "r", "ord", "rowspan", "colspan", "text").groupBy(key).applyInPandas(run, f"{key} {kind}, row int, col int, text string")
+    together = cells.join(tall, is_tall, "left_semi").repartition(key).sortWithinPartitions(key, "r", "ord")
+    return flat.unionByName(together.mapInPandas(run, f"{key} {kind}, row int, col int, text string"))
 
 
 def unpivot(grid: DataFrame, key: str = "table_id") -> DataFrame:
@@ -102,19 +124,27 @@ def list_chunks(items: DataFrame, key: str, order: str, item: str, size: int = 3
     return held.select(key, "n", F.transform("__held", lambda x: x["__item"]).alias("chunk"))
 
 
-def timetable(courses: DataFrame, order: str = "ord") -> DataFrame:
-    """period, time, ord and a column of details for each day, for courses(day, period, details, order).
+def pivot_counts(rows: DataFrame, key: str, column: str, domain: tuple[str, ...]) -> DataFrame:
+    """key and, for each value of a fixed domain, how many rows have it; other values are left out."""
+    wide = rows.groupBy(key).pivot(column, list(domain)).count()
+    return wide.select(key, *(F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(v) for v in domain))
+
+
+def timetable(courses: DataFrame, order: str = "ord", key: str | None = None) -> DataFrame:
+    """period, time, period_ord and a column of details for each day, for courses(day, period, details, order).
 
     Rows are the fixed periods; optional ones without any course are left out; other periods and days are not shown.
+    With a key there is one such grid for each of its values, and a cell's list holds its courses only.
     """
-    spark: SparkSession = courses.sparkSession
-    periods = spark.createDataFrame([(i, p, t, p in OPTIONAL) for i, (p, t) in enumerate(PERIODS)], "period_ord int, period string, time string, optional boolean")
+    by = [key] if key else []
+    periods = F.array(*(F.struct(F.lit(i).alias("period_ord"), F.lit(p).alias("period"), F.lit(t).alias("time"), F.lit(p in OPTIONAL).alias("optional")) for i, (p, t) in enumerate(PERIODS)))
+    keys = courses.select(*by).distinct() if key else courses.sparkSession.range(1)
+    rows = keys.select(*by, F.explode(periods).alias("p")).select(*by, "p.*")
     keyed = courses.withColumns({"period": normal_period(F.col("period")), "day": T.strip(F.coalesce("day", F.lit("")))}).where("period <> '' AND day <> ''")
-    held = accumulate(keyed.where(F.col("day").isin(*DAYS)), ["period", "day"], order)
-    wide = held.groupBy("period").pivot("day", list(DAYS)).agg(F.first("details")).withColumn("__any", F.lit(True))
-    # The periods are a fixed list of 13.
-    rows = F.broadcast(periods).join(wide, "period", "left").where("__any OR NOT optional")
-    return rows.select("period", "time", "period_ord", *(F.coalesce(F.col(f"`{d}`"), F.array().cast("array<string>")).alias(d) for d in DAYS))
+    held = accumulate(keyed.where(F.col("day").isin(*DAYS)), [*by, "period", "day"], order)
+    wide = held.groupBy(*by, "period").pivot("day", list(DAYS)).agg(F.first("details")).withColumn("__any", F.lit(True))
+    rows = rows.join(wide, [*by, "period"], "left").where("__any OR NOT optional")
+    return rows.select(*by, "period", "time", "period_ord", *(F.coalesce(F.col(f"`{d}`"), F.array().cast("array<string>")).alias(d) for d in DAYS))
 
 
 def course_cell(details: Column) -> Column:
@@ -136,10 +166,29 @@ def dense_tables(cells: DataFrame, docs: DataFrame, key: str = "doc_id", table:
     return docs.join(dense, key, "left").withColumn("has_table", F.when(readable, F.coalesce("has_table", F.lit(False))).otherwise(True))
 
 
+_COURSES = "array<struct<day:string,period:string,time:string,raw_content:string,details:array<string>>>"
+
+
+@F.pandas_udf(StringType())
+def literal_to_json(said: pd.Series) -> pd.Series:
+    """Python literals as JSON; null for what is none."""
+
+    def one(x: str | None) -> str | None:
+        try:
+            return None if x is None else json.dumps(ast.literal_eval(x), ensure_ascii=False)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+
+    return said.map(one)
+
+
 def parse_list(content: Column) -> Column:
-    """Course records of a bracketed list literal (single or double quotes); null where it is not one."""
+    """Course records of a bracketed list literal, Python's (quotes of both kinds, None, True) or JSON's, in brackets of any
+    depth; null where it is not one."""
     said = T.strip(content)
-    schema = "array<struct<day:string,period:string,time:string,raw_content:string,details:array<string>>>"
     inner = F.regexp_replace(F.regexp_replace(said, "^\\[(\\s*\\[)+", "["), "(\\]\\s*)+\\]$", "]")
     opened = said.startswith("[[") | said.rlike("^\\[\\s*\\[")
-    return F.when(said.startswith("[") & said.endswith("]"), F.from_json(F.when(opened, inner).otherwise(said), schema))
+    plain = F.when(said.startswith("[") & said.endswith("]"), F.when(opened, inner).otherwise(said))
+    read = F.from_json(plain, _COURSES)
+    # Only what is no JSON is sent to Python: the rest is null there.
+    return F.coalesce(read, F.from_json(literal_to_json(F.when(read.isNull(), plain)), _COURSES))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -57,7 +57,7 @@ def link_name(txt: Column, tr_text: Column) -> Column:
     name = T.safe_name(T.first_line(F.coalesce(txt, F.lit(""))))
     row = T.safe_name(T.first_line(F.coalesce(tr_text, F.lit(""))))
     bare = F.lower(T.strip(T.without_number(name)))
-    poor = (name == "") | bare.isin(*GENERIC) | (F.length(name) <= 3)
+    poor = says_nothing(name, 3) | bare.isin(*GENERIC)
     return F.when(poor & (F.length(row) > 3), row).otherwise(name)
 
 
@@ -98,10 +98,10 @@ def downloads(links: DataFrame, existing: DataFrame, fetch: Callable[[DataFrame]
     fetch adds status and content. Only status 200 counts, and only a fetched file claims its name; the first in `order`
     wins. title gives a name to .pdf files whose own says nothing; files still without one are left out.
     """
-    known = F.lower("name").isin(*GENERIC) | (F.col("name") == "")
+    known = says_nothing(F.col("name"))
     named = without_existing(candidates(links), existing, F.when(~known, F.concat("name", "ext")))
     got = fetch(named).where("status = 200")
-    poor = (F.col("ext") == ".pdf") & (known | (F.length("name") <= 3))
+    poor = (F.col("ext") == ".pdf") & says_nothing(F.col("name"), 3)
     got = got.withColumn("name", F.when(poor, F.coalesce(title if title is not None else F.lit(None).cast("string"), F.col("name"))).otherwise(F.col("name"))).where(~known)
     got = without_existing(got.withColumn("file_name", F.concat("name", "ext")), existing, F.col("file_name"))
     return first_writer(got, "file_name", order)
@@ -111,3 +111,21 @@ def first_writer(files: DataFrame, name: str, order: list[str]) -> DataFrame:
     """One row for each name: the first in `order`."""
     w = Window.partitionBy(name).orderBy(*order)
     return files.withColumn("__place", F.row_number().over(w)).where("__place = 1").drop("__place")
+
+
+def store(files: DataFrame, path: str) -> int:
+    """Write files(file_name, content) to the table at path and give their number, counted as they are written."""
+    seen = Observation("stored")
+    files.observe(seen, F.count("*").alias("files")).write.mode("append").parquet(path)
+    return seen.get["files"]
+
+
+def tally(links: DataFrame, files: DataFrame, by: str) -> DataFrame:
+    """by, links, files: how many links each page or seed has, and how many of them became files."""
+    counted = links.groupBy(by).agg(F.count("*").alias("links"))
+    return counted.join(files.groupBy(by).agg(F.count("*").alias("files")), by, "left").withColumn("files", F.coalesce("files", F.lit(0)))
+
+
+def says_nothing(name: Column, short: int = 0) -> Column:
+    """Whether a name is empty, generic in any case, or no longer than `short` characters."""
+    return (name == "") | F.lower(name).isin(*GENERIC) | (F.length(name) <= short)

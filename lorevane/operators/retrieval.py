@@ -5,10 +5,10 @@ Lists have an order, so every table here carries it as a column: ord within a do
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +20,39 @@ NOT_FOUND = "目前系統的參考文件中未包含此資訊。"
 FAILED = "系統在檢索法規與常見問題時發生錯誤，請稍後再試。"
 
 
+def sentence_list(text: Column) -> Column:
+    """An array of sentences: text split after . ! ? and white space, after 。！？, and at line ends; null has none."""
+    split = F.split(F.coalesce(text, F.lit("")), "(?<=[.!?])\\s+|(?<=[。！？])|\\n")
+    return F.filter(F.transform(split, T.strip), lambda s: s != "")
+
+
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ord, sent: text split after . ! ? and white space, after 。！？, and at line ends."""
-    split = F.split(F.col(text), "(?<=[.!?])\\s+|(?<=[。！？])|\\n")
-    parts = F.filter(F.transform(split, T.strip), lambda s: s != "")
-    return docs.select(F.col(key), F.posexplode(parts).alias("ord", "sent"))
+    """key, ord, sent of every sentence."""
+    return docs.select(F.col(key), F.posexplode(sentence_list(F.col(text))).alias("ord", "sent"))
+
+
+def once(array: Column, f: Callable[[Column], Column]) -> Column:
+    """f(array), with the array made once however often f names it: Catalyst would put its expression into every place."""
+    return F.get(F.transform(F.array(array), f), F.lit(0))
+
+
+def _window(sents: Column, i: Column, size: int) -> Column:
+    return F.array_join(F.slice(sents, F.greatest(i + (1 - size), F.lit(1)), F.least(i, F.lit(size)) + (size + 1)), " ")
+
+
+def windows_of(sents: Column, size: int = WINDOW) -> Column:
+    """For each sentence of an array itself and `size` neighbours on either side, joined by spaces."""
+    return once(sents, lambda a: F.transform(a, lambda s, i: _window(a, i, size)))
+
+
+def document_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
+    """key, ord, sent, window of every sentence of docs. A document is one row, so nothing is shuffled."""
+    both = once(sentence_list(F.col(text)), lambda a: F.transform(a, lambda s, i: F.struct(s.alias("sent"), _window(a, i, size).alias("window"))))
+    return docs.select(F.col(key), F.posexplode(both).alias("ord", "__one")).select(key, "ord", "__one.sent", "__one.window")
 
 
 def sentence_windows(sents: DataFrame, key: str = "doc_id", size: int = WINDOW) -> DataFrame:
-    """sents with window: each sentence with `size` neighbours on either side, joined by spaces."""
+    """The same for a table of sentences(key, ord, sent), whatever cut them: by a window over each document."""
     w = Window.partitionBy(key).orderBy("ord").rowsBetween(-size, size)
     return sents.withColumn("window", F.concat_ws(" ", F.collect_list("sent").over(w)))
 
@@ -40,48 +64,45 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def top_k(queries: DataFrame, nodes: DataFrame, k: int = TOP, most_queries: int = 1000) -> DataFrame:
+def top_k(queries: DataFrame, nodes: DataFrame, k: int = TOP, block: int = 1000, slice_: int = 20_000) -> DataFrame:
     """query_id, node_id, score, pos: the k nodes(node_id, embedding) nearest each of queries(query_id, embedding).
 
-    At most most_queries queries, counted here, are sent to all tasks at once; a larger set is taken in blocks of about
-    that size. A task scores a batch of nodes against them in one matrix product and passes on only what can be among
-    the k best, so that the shuffle does not grow with the product of both sides. Ties go to the smaller node_id; null
-    and zero vectors have no score and come last, if at all.
+    Queries are dealt to blocks of about `block`, nodes to slices of about `slice_`, by hashes; each query goes to every
+    slice and each node to every block, and a task scores one block against one slice in a matrix product and passes on
+    the k best of each query. So neither side passes the driver, and the last shuffle has k rows of each slice. Ties go
+    to the smaller node_id; null and zero vectors have no score and come last, if at all.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // most_queries))
+    queries, nodes = (x.select(c, "embedding").where("embedding IS NOT NULL") for x, c in ((queries, "query_id"), (nodes, "node_id")))
+    blocks, slices = (max(1, -(-x.count() // n)) for x, n in ((queries, block), (nodes, slice_)))
     kinds = queries.schema["query_id"].dataType.simpleString(), nodes.schema["node_id"].dataType.simpleString()
+    dealt = lambda x, c, own, n, other, m: x.withColumns({own: F.pmod(F.xxhash64(c), F.lit(n)), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+    asked = dealt(queries, "query_id", "__block", blocks, "__slice", slices).groupBy("__block", "__slice")
+    held = dealt(nodes, "node_id", "__slice", slices, "__block", blocks).groupBy("__block", "__slice")
+    found = asked.cogroup(held).applyInArrow(_scorer(k), f"query_id {kinds[0]}, node_id {kinds[1]}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
-    out = None
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = [r for r in block.select("query_id", "embedding").collect() if r["embedding"] is not None]
-        ids, asked = [r["query_id"] for r in rows], _unit([r["embedding"] for r in rows])
-        found = nodes.select("node_id", "embedding").where("embedding IS NOT NULL").mapInPandas(_scorer(ids, asked, k), f"query_id {kinds[0]}, node_id {kinds[1]}, score double")
-        found = found.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return found.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
 
 
-def _unit(vectors: list) -> np.ndarray:
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
     """Rows of length 1; a zero vector becomes a row of nan."""
-    m = np.array([np.asarray(v, float) for v in vectors], float).reshape(len(vectors), -1)
+    m = np.array(vectors.to_pylist(), float).reshape(len(vectors), -1)
     with np.errstate(invalid="ignore", divide="ignore"):
         return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _scorer(ids: list, asked: np.ndarray, k: int):
-    """A function for mapInPandas: rows of a batch that can be among the k best of a query."""
+def _scorer(k: int):
+    """A function for a pair of groups: for each query the nodes that can be among its k best."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame) or not len(ids):
-                continue
-            scores = np.round(asked @ _unit(list(frame["embedding"])).T, 12)  # equal vectors must tie
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        query, node, score = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(asked) and len(held):
+            scores = np.round(_unit(asked["embedding"]) @ _unit(held["embedding"]).T, 12)  # equal vectors must tie
             ranked = np.where(np.isnan(scores), -np.inf, scores)
-            least = np.partition(ranked, -min(k, ranked.shape[1]), axis=1)[:, -min(k, ranked.shape[1])]
+            most = min(k, ranked.shape[1])
+            least = np.partition(ranked, -most, axis=1)[:, -most]
             query, node = np.nonzero((ranked >= least[:, None]) & (ranked > -np.inf))
-            yield pd.DataFrame({"query_id": [ids[q] for q in query], "node_id": frame["node_id"].to_numpy()[node], "score": scores[query, node]})
+            score = scores[query, node]
+        return pa.table({"query_id": asked["query_id"].take(pa.array(query)), "node_id": held["node_id"].take(pa.array(node)), "score": pa.array(score, pa.float64())})
 
     return run
 
@@ -145,3 +166,41 @@ def prefer_latest(passages: DataFrame, topic: str, text: str = "text") -> DataFr
     year = F.regexp_extract(F.col(text), "(\\d{2,4})\\s*學年", 1)
     w = Window.partitionBy(topic).orderBy(F.desc_nulls_last(F.try_to_number(F.nullif(year, F.lit("")), F.lit("9999"))), text)
     return passages.withColumn("__place", F.row_number().over(w)).where("__place = 1").drop("__place")
+
+
+#: Administrative details that no answer needs, and names of sources that hold frequent questions.
+NOISE = ("獎金", "匯款帳號", "郵局存摺")
+FAQ = ("FAQ", "常見問題")
+
+
+def without_noise(passages: DataFrame, text: str = "text", words: tuple[str, ...] = NOISE) -> DataFrame:
+    """passages whose text names none of the words; null texts stay."""
+    said = F.coalesce(F.col(text), F.lit(""))
+    return passages.where(~_any(said.contains(w) for w in words))
+
+
+def _any(tests) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def paired(passages: DataFrame, by: str = "query_id", order: str = "rank", name: str = "file_name") -> DataFrame:
+    """passages with basis and place: regulations are the basis and come first, frequent questions supplement them."""
+    faq = _any(F.coalesce(F.col(name), F.lit("")).contains(w) for w in FAQ)
+    w = Window.partitionBy(by).orderBy(F.desc("basis"), order)
+    return passages.withColumn("basis", ~faq).withColumn("place", F.row_number().over(w))
+
+
+def inherited(asked: DataFrame, rules: DataFrame, units: DataFrame, unit: str = "unit", everywhere: str = "*") -> DataFrame:
+    """asked(unit, topic) with rule and source_unit: the unit's own rule, else that of the one above, else the general one.
+
+    rules(unit, topic, rule) has one row for a unit and topic; units(unit, above) names what each unit belongs to.
+    """
+    of = lambda n: rules.select(F.col("unit").alias(f"__unit{n}"), F.col("topic").alias(f"__topic{n}"), F.col("rule").alias(f"__rule{n}"))
+    out = asked.join(units.select(F.col("unit").alias("__of"), F.col("above").alias("__above")), F.col(unit) == F.col("__of"), "left")
+    for n, level in enumerate((F.col(unit), F.col("__above"), F.lit(everywhere))):
+        out = out.join(of(n), (level == F.col(f"__unit{n}")) & (F.col("topic") == F.col(f"__topic{n}")), "left")
+    first = F.coalesce(*(F.when(F.col(f"__rule{n}").isNotNull(), F.struct(F.col(f"__rule{n}").alias("rule"), F.col(f"__unit{n}").alias("unit"))) for n in range(3)))
+    return out.select(*asked.columns, first["rule"].alias("rule"), first["unit"].alias("source_unit"))

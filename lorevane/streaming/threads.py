@@ -9,22 +9,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.conversation import NO_HISTORY
+
 
 def running_history(turns: DataFrame, thread: str = "conv_id", turn: str = "turn", text: str = "text", n: int = 3) -> DataFrame:
-    """thread, turn, history for a stream of turns: the last n texts of the thread, kept as state between batches."""
+    """thread, turn, history for a stream of turns: the last n texts of the thread, kept as state between batches.
+
+    The rows are those of the batch operator `recent`: a null text has its place among the n and adds nothing. Turns of a
+    thread must reach the stream in order of batches; within a batch their order does not matter. A turn that comes in a
+    later batch than its followers takes its place among the n that are kept: its own history may lack what was dropped,
+    rows that were put out before stay as they are.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema.fields}
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = list(zip(*state.get)) if state.exists else []
         out = []
         for row in pd.concat(list(frames)).sort_values("turn").itertuples(index=False):
-            held = [*held, row.text or ""][-n:]
-            out.append((key[0], row.turn, " -> ".join(held)))
-        state.update((held,))
+            held = sorted([*held, (row.turn, row.text)], key=lambda x: x[0])
+            seen = [x for t, x in held if t <= row.turn][-n:]
+            out.append((key[0], row.turn, " -> ".join(x for x in seen if x is not None) or NO_HISTORY))
+            held = held[-n:]
+        state.update(tuple(map(list, zip(*held))))
         yield pd.DataFrame(out, columns=[thread, turn, "history"])
 
     renamed = turns.select(F.col(thread), F.col(turn).alias("turn"), F.col(text).alias("text"))
-    return renamed.groupBy(thread).applyInPandasWithState(run, f"{thread} {kinds[thread]}, {turn} {kinds[turn]}, history string", "held array<string>", "append", GroupStateTimeout.NoTimeout)
+    return renamed.groupBy(thread).applyInPandasWithState(run, f"{thread} {kinds[thread]}, {turn} {kinds[turn]}, history string", f"turns array<{kinds[turn]}>, held array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def ingest(files: DataFrame, store, checkpoint: str):

@@ -1,7 +1,7 @@
 import os
 import zipfile
 
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -31,8 +31,11 @@ def test_top_k_in_blocks_and_zero_vectors(spark):
     nodes = spark.createDataFrame([(i, [float(i % 3), float(i), 1.0 if i else 0.0]) for i in range(30)], "node_id long, embedding array<float>")
     queries = nodes.select(F.col("node_id").alias("query_id"), "embedding")
     one = {tuple(r) for r in R.top_k(queries, nodes, 3).select("query_id", "node_id", "pos").collect()}
-    assert one == {tuple(r) for r in R.top_k(queries, nodes, 3, most_queries=7).select("query_id", "node_id", "pos").collect()}
+    assert one == {tuple(r) for r in R.top_k(queries, nodes, 3, block=7, slice_=4).select("query_id", "node_id", "pos").collect()}
     assert len(one) == 87  # the zero vector has no neighbours
+    assert R.top_k(queries.where("false"), nodes, 3).collect() == R.top_k(queries, nodes.where("false"), 3).collect() == []
+    odd = nodes.union(spark.createDataFrame([(99, None)], "node_id long, embedding array<float>"))
+    assert one == {tuple(r) for r in R.top_k(odd.select(F.col("node_id").alias("query_id"), "embedding"), odd, 3).select("query_id", "node_id", "pos").collect()}
 
 
 def test_apology(spark):
@@ -48,6 +51,14 @@ def test_windows_hold_seven_at_most(spark):
     assert got[0].window == "A. B! C? D。" and got[4].window == "B! C? D。 E F. G. H."
 
 
+def test_windows_of_documents_are_those_of_their_sentences(spark):
+    docs = spark.createDataFrame([(1, "A. B! C? D。E\nF. G. H. I."), (2, None), (3, "  "), (4, "one"), (5, "a. b.")], "doc_id long, text string")
+    want = {(r.doc_id, r.ord, r.sent, r.window) for r in R.sentence_windows(R.sentences(docs)).collect()}
+    made = R.document_windows(docs)
+    assert {(r.doc_id, r.ord, r.sent, r.window) for r in made.collect()} == want and len(want) == 12
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_latest_year_wins(spark):
     rows = [("t", "舊規定"), ("t", "114 學年度 b"), ("t", "115 學年度 c")]
     assert R.prefer_latest(spark.createDataFrame(rows, "topic string, text string"), "topic").collect()[0].text == "115 學年度 c"
@@ -105,6 +116,26 @@ def test_cells_of_a_row_keep_their_order(rows):
         assert order == sorted(order) and set(order) == set(range(len(rows[r])))
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), max_size=4), max_size=4), min_size=1, max_size=6))
+def test_grids_are_those_of_placing_cell_by_cell(spark, tables):
+    """Tables of all kinds, against marking every covered place."""
+    cells, want = [], set()
+    for k, rows in enumerate(tables):
+        grid = {}
+        for r, row in enumerate(rows):
+            c = 0
+            for o, (down, across) in enumerate(row):
+                cells.append((k, r, o, down, across, f"{r}.{o}"))
+                while (r, c) in grid:
+                    c += 1
+                grid |= {(r + i, c + j): f"{r}.{o}" for i in range(down) for j in range(across)}
+                c += across
+        want |= {(k, *place, t) for place, t in grid.items()}
+    got = G.expand_spans(spark.createDataFrame(cells, "table_id int, r int, ord int, rowspan int, colspan int, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_unpivot(spark):
     head = ["午別", "節次", "時間", "星期一", "", "星期三"]
     body = [["上午", "第一節", "08:00\n08:50", "C1\nMath\nR1", " ", "X"], ["上午", " ", "t", "lost", "", ""]]
@@ -134,10 +165,11 @@ def test_density_gate(spark):
 
 
 def test_parse_list(spark):
-    texts = ["[{'day': 'd', 'details': ['a']}]", '[[{"day": "e"}]]', "[broken", "plain", None]
+    texts = ["[{'day': 'd', 'details': ['a']}]", '[[{"day": "e"}]]', "[broken", "plain", None, "[{'day': None, 'time': 'None, True', 'details': [\"it's\"]}]", "[[[{'day': 'deep', 'period': True}]]]", "[__import__('os')]"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(G.parse_list(F.col("t")).alias("x")).collect()
     assert got[0].x[0].day == "d" and got[0].x[0].details == ["a"] and got[1].x[0].day == "e"
-    assert got[3].x is None and got[4].x is None
+    assert got[3].x is None and got[4].x is None and got[7].x is None
+    assert got[5].x[0].day is None and got[5].x[0].time == "None, True" and got[5].x[0].details == ["it's"] and got[6].x[0].day == "deep"
 
 
 def test_files(spark, tmp_path):
@@ -171,7 +203,34 @@ def test_parsers_routes_and_index(spark, tmp_path):
     for n in (3, 5):
         S.save_index(spark.range(n), str(tmp_path / "index"), float(n))
         assert S.load_index(spark, str(tmp_path / "index")).count() == n
-    assert spark.read.parquet(str(tmp_path / "index.marker")).collect()[0].saved == 5.0
+    assert S.load_marker(spark, str(tmp_path / "index")).collect()[0].saved == 5.0
+    os.rename(tmp_path / "index", tmp_path / "index.old")  # as if the swap had stopped half way
+    assert S.load_index(spark, str(tmp_path / "index")).count() == 5 and S.load_marker(spark, str(tmp_path / "index")).collect()[0].saved == 5.0
+    S.save_index(spark.range(7), str(tmp_path / "index"), 7.0)
+    assert S.load_index(spark, str(tmp_path / "index")).count() == 7 and S.load_index(spark, str(tmp_path / "none")) is None
+
+
+def test_cells_images_and_transcripts(spark, tmp_path):
+    files = spark.createDataFrame([("a", b"2"), ("bad", b"x"), ("c", b"1")], "path string, content binary")
+    cells = S.table_cells(files, lambda path, body: [[[["r", None], ["s"]]]] * int(body)).collect()
+    assert {(r.path, r.page, r.tbl, r.r, r.c, r.text) for r in cells if r.error is None} == {("a", p, 0, *x) for p in (0, 1) for x in ((0, 0, "r"), (0, 1, None), (1, 0, "s"))} | {("c", 0, 0, *x) for x in ((0, 0, "r"), (0, 1, None), (1, 0, "s"))}
+    assert [r.path for r in cells if r.error] == ["bad"]
+    images = S.page_images(files, lambda path, body: [bytes([65 + i]) * 60 for i in range(int(body))]).orderBy("path", "page").collect()
+    assert [(r.path, r.page) for r in images] == [("a", 0), ("a", 1), ("c", 0)] and images[0].url == "data:image/png;base64," + "QUFB" * 20
+    cache = str(tmp_path / "cache")
+    assert S.read_transcripts(spark, cache).collect() == []
+    write = lambda *rows: S.write_transcripts(spark.createDataFrame(rows, "path string, mtime double, text string"), cache)
+    write(("a", 1.0, "old"), ("b", 1.0, ""), ("c", 1.0, None))
+    write(("a", 2.0, "new"))
+    assert [tuple(r) for r in S.read_transcripts(spark, cache).collect()] == [("a", "new")]
+
+
+def test_docx_and_pdf_in_one_ingest(spark):
+    files = spark.createDataFrame([("a.pdf", "a.pdf"), ("b.docx", "b.docx")], "path string, file_name string")
+    none = spark.createDataFrame([], "path string, text string"), spark.createDataFrame([("a.pdf", False)], "path string, has_table boolean")
+    parts = lambda df: df.select("path", "file_name", F.explode(F.array(F.lit("one"), F.lit("two"), F.lit(""))).alias("text"))
+    got = S.documents(files, *none, lambda df: df.withColumn("text", F.lit("plain")), lambda df: df.withColumn("text", F.lit("ocr")), parts)
+    assert sorted((r.path, r.text, r.route) for r in got.collect()) == [("a.pdf", "plain", "plain"), ("b.docx", "one", "docx"), ("b.docx", "two", "docx")]
 
 
 def test_carry(spark):

@@ -46,7 +46,7 @@ def test_chat_equals_a_plain_version(spark):
     import numpy as np
     from pyspark.sql import functions as F
 
-    from lorevane.operators.conversation import NO_HISTORY
+    from lorevane.operators.conversation import GENERAL
     from lorevane.plans import assistant as A
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
@@ -54,10 +54,11 @@ def test_chat_equals_a_plain_version(spark):
     vectors = lambda texts: np.array([r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(A.hashed_words(F.col("t"))).collect()])
     words = lambda t: set(__import__("re").findall(r"[^\W_]+", t.lower()))
     base = vectors([d["text"] for d in docs])
-    history, asked = {}, []
+    target, asked = {}, []
     for t in turns:
-        history.setdefault(t["conv_id"], []).append(t["text"])
-        asked.append(" -> ".join(history[t["conv_id"]][-3:]) or NO_HISTORY)
+        if len(t["text"].strip()) > 1:
+            target[t["conv_id"]] = t["text"].strip()
+        asked.append(" ".join(x for x in (t["text"], target.get(t["conv_id"]), GENERAL) if x is not None))
     plain, wide = vectors([t["text"] for t in turns]), vectors(asked)
     norm = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     scores = [np.round(norm(x) @ norm(base).T, 12) for x in (plain, wide)]

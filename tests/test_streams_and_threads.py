@@ -29,6 +29,49 @@ def test_history_crosses_batches(spark, tmp_path):
     assert got[1, 0] == "10" and got[1, 3] == "11 -> 12 -> 13" and got[2, 5] == "23 -> 24 -> 25" and len(got) == 12
 
 
+def test_null_and_late_turns(spark, tmp_path):
+    """Stream and batch agree on nulls; a turn that comes after its followers is put in its place."""
+    turns, folder, out, checkpoint = "conv_id long, turn long, text string", *(str(tmp_path / x) for x in ("turns", "out", "checkpoint"))
+    for rows in ([(1, 0, None), (1, 1, "a"), (1, 2, None), (2, 0, None)], [(1, 4, "c"), (2, 1, "x")], [(1, 3, "b"), (1, 5, "d")]):
+        spark.createDataFrame(rows, turns).coalesce(1).write.mode("append").parquet(folder)
+        stream = S.running_history(spark.readStream.schema(turns).parquet(folder)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        stream.trigger(availableNow=True).start().awaitTermination()
+    got = {(r["conv_id"], r["turn"]): r["history"] for r in spark.read.parquet(out).collect()}
+    batch = {(r["conv_id"], r["turn"]): r["history"] for r in C.recent(spark.read.parquet(folder)).collect()}
+    late = {(1, 4)}  # was put out before turn 3 came
+    assert {k: v for k, v in got.items() if k not in late} == {k: v for k, v in batch.items() if k not in late}
+    assert got[1, 0] == C.NO_HISTORY and got[1, 4] == "a -> c" and batch[1, 4] == "b -> c" and got[1, 5] == "b -> c -> d"
+
+
+def test_a_stream_reads_its_own_path_only(spark, tmp_path):
+    from lorevane.plans.streams import history_to_table
+
+    for name in ("turns.parquet", "turns.parquet.old"):
+        spark.createDataFrame([(1, 0, name)], "conv_id long, turn long, text string").write.parquet(str(tmp_path / name))
+    assert [r["history"] for r in history_to_table(spark, str(tmp_path / "turns.parquet"), "true").collect()] == ["turns.parquet"]
+
+
+def test_expansion_of_questions(spark):
+    """A condition joins the question before it; a new department replaces the old one; colleges and general terms are added."""
+    rows = [(1, 0, "畢業門檻"), (1, 1, "資工系大學部的"), (1, 2, "那企管系呢"), (2, 0, "資工系畢業門檻"), (2, 1, "那客家系呢"), (3, 0, "借大講堂"), (3, 1, "多少錢"), (4, 0, None)]
+    colleges = spark.createDataFrame([("資工系", "資電學院"), ("企管系", "管理學院")], "department string, college string")
+    got = {(r["conv_id"], r["turn"]): r["expanded"] for r in C.expansion(spark.createDataFrame(rows, "conv_id long, turn long, text string"), colleges).collect()}
+    assert got[1, 1] == "畢業門檻 資工系 資電學院 大學部" and got[1, 2] == "畢業門檻 企管系 管理學院 大學部"
+    assert got[2, 1] == "畢業門檻 客家系 全校通用 大學部" and got[3, 1] == "多少錢 全校通用 大學部" and got[4, 0] == "全校通用 大學部"
+
+
+def test_chat_narrows_and_apologises(spark):
+    from lorevane.operators import retrieval as R
+    from lorevane.plans import assistant as A
+
+    models = A.Models(embed=lambda x: F.when(x.contains("壞"), None).otherwise(A.hashed_words(x)), classify=lambda x: F.when(x.contains("清楚"), "CLARIFY").otherwise("ACADEMIC"))
+    nodes = A.index(spark.createDataFrame([(1, "rule one", {"file_name": "r.pdf"})], "node_id long, text string, metadata map<string,string>"), models)
+    rows = [("a", 0, "資工系 rule"), ("a", 1, "不清楚 rule"), ("b", 0, "不清楚"), ("c", 0, "壞 rule")]
+    got = {(r["thread_id"], r["turn"]): r for r in A.chat(spark.createDataFrame(rows, "thread_id string, turn int, user_message string"), nodes, models).collect()}
+    assert got["a", 1]["next_agent"] == "Academic Agent" and got["b", 0]["answer"] == A.CLARIFY
+    assert got["c", 0]["answer"] == R.FAILED and got["c", 0]["sources"] == [] and got["a", 0]["sources"] == ["r.pdf"]
+
+
 def test_log_and_clarification(spark, tmp_path):
     rows = [(1, 0, "畢業門檻"), (1, 1, "資工系的"), (1, 2, "多少"), (1, 3, "嗯"), (1, 4, "好"), (2, 0, None)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, text string")
