@@ -60,6 +60,32 @@ def test_toxicity_held_out(spark):
         assert all(0 <= s["start"] < s["end"] <= len(body) and body[s["start"] : s["end"]].strip() for s in r["spans"])
 
 
+def test_toxicity_scores_are_those_of_loops(spark, tables):
+    """Whole rows of the operator: emissions, sums over paths token by token, summaries, the logistic function, and spans."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.where("length(text) < 1500").union(spark.createDataFrame([(9001, None), (9002, ""), (9003, "!!")], "doc_id long, text string"))
+    chain = toxicity.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert chain.weights
+    seen = 0
+    for r in toxicity.score(docs, chain).join(docs, "doc_id").collect():
+        words = toxicity.tokens(r["text"] or "")
+        e = [np.exp(chain.bias + sum(chain.weights.get(f, 0.0) for f in toxicity.features(w))) for w in words]
+        a = np.exp(chain.transitions)
+        forward, backward = [], [np.ones(2)]
+        for x in e:
+            now = np.array([1.0, x]) * (forward[-1] @ a if forward else np.ones(2))
+            forward.append(now / now.sum())
+        for x in e[:0:-1]:
+            now = a @ (np.array([1.0, x]) * backward[0])
+            backward.insert(0, now / now.sum())
+        p = [float(f[1] * b[1] / (f @ b)) for f, b in zip(forward, backward)]
+        x = np.array([1.0, np.log1p(sum(p)), max(p, default=0.0)])
+        assert np.isclose(r["score"], 1 / (1 + np.exp(-x @ chain.calibration)), atol=1e-9)
+        assert len(r["spans"]) == sum(y >= toxicity.SPAN and (k == 0 or p[k - 1] < toxicity.SPAN) for k, y in enumerate(p))
+        seen += bool(r["spans"])
+    assert seen > 5
+
+
 def test_toxicity_learns_from_long_texts_and_one_text_of_an_id(spark, monkeypatch):
     """The rows that are learned from, against a plain choice: whole texts up to the bound, in the order of hashes."""
     rng = random.Random(4)

@@ -1,5 +1,7 @@
 """The pipeline against plain versions of its stages."""
 
+import random
+
 import brute
 import corpus_pipeline
 import duckdb
@@ -46,3 +48,34 @@ def test_stages_keep_the_columns(spark, tables):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() > 0.5 * docs.count()
+
+
+def written(folder, **tables):
+    for name, frame in tables.items():
+        frame.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_run_on_odd_rows(spark, tables, odd, tmp_path):
+    """Nulls, long and repeated texts, null ids and extra columns: what the rules keep is packed whole, the rest is gone."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    long, twice = prose(30_000), prose(40)
+    more = [(20, long), (21, twice), (21, twice), (None, prose(30)), (None, prose(31)), (22, prose(50) + " " + (shared := prose(60)) + " " + prose(40)), (23, prose(45) + " " + shared + " " + prose(55))]
+    docs = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    got = {}
+    for r in corpus_pipeline.run(spark, written(tmp_path, documents=docs, benchmark=tables["benchmark"])).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert got.keys() == {6, 20, 21, None, 22, 23}
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = lambda text: len(whole.encode(text, add_special_tokens=False).ids) + 1
+    assert sum(r["length"] for r in got[20]) == size(long) and sum(r["length"] for r in got[21]) == size(twice)
+    assert [r["piece"] for r in got[None]] == [0, 0]
+    assert all(sum(r["length"] for r in got[i]) < size(more[k][1]) - 60 for i, k in ((22, 5), (23, 6)))
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for rows in got.values() for r in rows)
+    for a, b in zip(places, places[1:]):
+        assert b[1] == (a[1] + a[2] if a[0] == b[0] else 0)
+
+
+def test_run_on_empty_tables(spark, none, tmp_path):
+    assert corpus_pipeline.run(spark, written(tmp_path, documents=none["documents"], benchmark=none["benchmark"])).collect() == []
