@@ -81,6 +81,16 @@ def retrieval_answer(spark, sf_dir):
     return R.widen(noted).select("query_id", F.col("rank").cast("long").alias("rank"), "node_id", "doc_id", F.round("relevance", 6).alias("relevance"), T.source_label(F.col("metadata")).alias("label"), F.col("text").alias("window"))
 
 
+def cited_answers(spark, sf_dir):
+    """The passages that each query found, as an answer with its sources; every second query finds blank ones only."""
+    docs = _table(spark, sf_dir, "documents")
+    hits = R.top_k(_asked(_vectors(spark, sf_dir)), _vectors(spark, sf_dir)).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))
+    text = F.when(F.col("query_id") % 40 == 0, F.lit(" ")).otherwise(F.col("text"))
+    found = hits.withColumn("doc_id", F.col("node_id") % F.col("n")).join(docs.select("doc_id", "text", _metadata().alias("metadata")), "doc_id")
+    made = R.answer(found.withColumn("text", text), "query_id", order="pos")
+    return made.select("query_id", F.md5("answer").alias("answer"), F.array_join("sources", ";").alias("sources"))
+
+
 def paired_sources(spark, sf_dir):
     """Hits from frequent questions, which every third vector stands for, behind those from regulations."""
     named = _dual(spark, sf_dir).withColumn("file_name", F.when(F.col("node_id") % 3 == 0, "常見問題.pdf").otherwise("rules.pdf"))
@@ -223,6 +233,23 @@ def page_carry(spark, sf_dir):
     return C.page_carry(_table(spark, sf_dir, "conversations")).select("conv_id", "turn", "carry")
 
 
+def page_fold(spark, sf_dir):
+    """Turns as pages that are transcribed in order, each beginning with the end of the one before."""
+    pages = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page"), F.col("text").cast("binary").alias("image"))
+    made = S.carry_pages(pages, lambda image, before: before[-3:] + bytes(image).decode(), key="conv_id")
+    return made.select("conv_id", F.col("page").cast("long").alias("turn"), "text")
+
+
+def message_log(spark, sf_dir):
+    """Messages added to a log in two parts."""
+    from .plans.streams import working_folder
+
+    turns, path = _table(spark, sf_dir, "conversations"), working_folder(spark)
+    for part in (0, 1):
+        C.append_messages(turns.where(F.col("turn") % 2 == part).select("conv_id", "turn", "role", "text"), path)
+    return spark.read.parquet(path)
+
+
 # Links
 
 
@@ -287,6 +314,21 @@ def stored_downloads(spark, sf_dir):
     return spark.read.parquet(path).select("file_name", F.md5("content").alias("content"), F.lit(n).alias("stored"))
 
 
+def _getter(url: str) -> tuple[int, bytes]:
+    if url.endswith("3"):
+        raise OSError("no route")
+    return (404 if url.endswith("7") else 200), url.upper().encode()
+
+
+def fetch_pages(spark, sf_dir):
+    """Every page's url through a getter that fails for some."""
+    from .sources import web
+
+    got = web.fetch(_table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("full_url")), _getter)
+    html = web.decoded(got).select("page_id", F.col("html").alias("body"))
+    return got.select("page_id", F.coalesce("status", F.lit(0)).cast("long").alias("status"), "error").join(html, "page_id", "left")
+
+
 def url_quote(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(T.quote_path("text")).alias("quoted"))
 
@@ -325,6 +367,36 @@ def density_semi(spark, sf_dir):
     return G.dense_tables(cells, docs.select("source").distinct(), key="source", table=("doc_id",)).select("source", "has_table")
 
 
+def _contents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit(".pdf")).alias("path"), F.col("text").cast("binary").alias("content"))
+
+
+def _parse_lines(path: str, content: bytes) -> list[str]:
+    if path.endswith("7.pdf"):
+        raise ValueError("broken")
+    return content.decode().split("\n")
+
+
+def parse_files(spark, sf_dir):
+    """Documents as files whose lines are pages; a tenth cannot be read."""
+    made = S.parsed(_contents(spark, sf_dir), _parse_lines)
+    return made.select("path", F.coalesce("page", F.lit(-1)).cast("long").alias("page"), F.md5("text").alias("text"), "error")
+
+
+def table_cells(spark, sf_dir):
+    """Documents as one table each: lines are rows, bars end cells."""
+    made = S.table_cells(_contents(spark, sf_dir), lambda path, content: [[[line.split("|") for line in _parse_lines(path, content)]]])
+    return made.select("path", F.coalesce("r", F.lit(-1)).cast("long").alias("r"), F.coalesce("c", F.lit(-1)).cast("long").alias("c"), F.md5("text").alias("text"), "error")
+
+
+_FILE = "CASE doc_id % 6 WHEN 0 THEN '.' || doc_id || '.pdf' WHEN 1 THEN '~$' || doc_id || '.docx' WHEN 2 THEN doc_id || '.PDF' WHEN 3 THEN '_' || doc_id || '.docx' ELSE doc_id || '.pdf' END"
+
+
+def loadable_files(spark, sf_dir):
+    files = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_FILE).alias("file_name"), F.when(F.col("doc_id") % 10 == 4, 0).otherwise(F.octet_length("text")).alias("length"))
+    return S.loadable(files).select("doc_id", "file_name", "kind")
+
+
 def ingest_routes(spark, sf_dir):
     """Documents as files of both kinds: cached, with tables, plain, or .docx."""
     docs = _table(spark, sf_dir, "documents").withColumn("file_name", F.concat("doc_id", F.when(F.col("doc_id") % 4 == 0, ".docx").otherwise(".pdf")))
@@ -451,10 +523,10 @@ def history_stream(spark, sf_dir):
 
 _QUERIES = [
     sentence_window, topk_cosine, dual_retrieval_merge, rerank_batches, retrieval_answer, chat_answers, ordered_sources, source_labels, label_file_name,
-    paired_sources, latest_rules, noise_filter, inherited_rules, apologies, prompt_fill,
-    history_last3, last_result, appended_results, last_three, intent_route, keyword_route, clarify_needed, query_expansion, reply_json, response_decode, page_concat, page_carry,
-    link_resolve, link_first_writer, link_filter, blacklist, link_names, link_tally, stored_downloads, anti_existing, url_quote, text_clean,
-    text_lines, page_titles, image_base64, density_gate, density_semi, ingest_routes, transcript_cache, index_swap, index_freshness,
+    cited_answers, paired_sources, latest_rules, noise_filter, inherited_rules, apologies, prompt_fill,
+    history_last3, last_result, appended_results, last_three, intent_route, keyword_route, clarify_needed, query_expansion, reply_json, response_decode, page_concat, page_carry, page_fold, message_log,
+    link_resolve, link_first_writer, link_filter, blacklist, link_names, link_tally, stored_downloads, fetch_pages, anti_existing, url_quote, text_clean,
+    text_lines, page_titles, image_base64, density_gate, density_semi, parse_files, table_cells, loadable_files, ingest_routes, transcript_cache, index_swap, index_freshness,
     span_expand, html_timetable, course_cells, pivot_fixed_domain, grid_fill, keyed_accumulate, chunk3, parse_lists, latest_mtime,
     history_stream,
 ]
@@ -504,6 +576,19 @@ _DEPT, _DEGREE = "(\\p{L}{2}(?:系|所))", "(學士|碩士|博士|大學部)"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "cited_answers": f"""WITH h AS (SELECT query_id, pos, doc_id, text, {_LABEL} AS label FROM (SELECT query_id, pos, node_id % (SELECT count(*) FROM documents) AS doc_id FROM ({_top('q.vec_id % 20 = 0')})) JOIN documents USING (doc_id)),
+a AS (SELECT query_id, CASE WHEN query_id % 40 = 0 THEN '{R.NOT_FOUND}' ELSE string_agg(text, chr(10) ORDER BY pos) END AS answer FROM h GROUP BY query_id),
+l AS (SELECT query_id, string_agg(label, ';' ORDER BY p) AS sources FROM (SELECT query_id, label, min(pos) AS p FROM h GROUP BY query_id, label) GROUP BY query_id)
+SELECT query_id, md5(answer) AS answer, sources FROM a JOIN l USING (query_id)""",
+        "page_fold": "SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 3), '') || text AS text FROM conversations",
+        "message_log": "SELECT conv_id, turn, role, text FROM conversations",
+        "fetch_pages": "SELECT page_id, CAST(CASE right(url, 1) WHEN '3' THEN 0 WHEN '7' THEN 404 ELSE 200 END AS BIGINT) AS status, CASE WHEN right(url, 1) = '3' THEN 'OSError: no route' END AS error, CASE WHEN right(url, 1) NOT IN ('3', '7') THEN upper(url) END AS body FROM pages",
+        "parse_files": """SELECT path, page, md5(x) AS text, error FROM (SELECT 'd/' || doc_id || '.pdf' AS path, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS page, unnest(string_split(text, chr(10))) AS x, CAST(NULL AS VARCHAR) AS error FROM documents WHERE doc_id % 10 <> 7)
+UNION ALL SELECT 'd/' || doc_id || '.pdf', -1, NULL, 'ValueError: broken' FROM documents WHERE doc_id % 10 = 7""",
+        "table_cells": """WITH l AS (SELECT 'd/' || doc_id || '.pdf' AS path, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS r, unnest(string_split(text, chr(10))) AS x FROM documents WHERE doc_id % 10 <> 7)
+SELECT path, r, c, md5(y) AS text, error FROM (SELECT path, r, CAST(unnest(range(len(string_split(x, '|')))) AS BIGINT) AS c, unnest(string_split(x, '|')) AS y, CAST(NULL AS VARCHAR) AS error FROM l)
+UNION ALL SELECT 'd/' || doc_id || '.pdf', -1, -1, NULL, 'ValueError: broken' FROM documents WHERE doc_id % 10 = 7""",
+        "loadable_files": f"SELECT doc_id, name AS file_name, CASE WHEN ends_with(name, '.pdf') THEN 'pdf' ELSE 'docx' END AS kind FROM (SELECT doc_id, {_FILE} AS name FROM documents WHERE doc_id % 10 <> 4 AND text <> '') WHERE NOT starts_with(name, '.') AND NOT starts_with(name, '~$') AND regexp_matches(name, '\\.(pdf|docx)$')",
         "dual_retrieval_merge": f"SELECT query_id, node_id, round(score, 6) AS score, pos FROM ({_MERGED})",
         "rerank_batches": f"SELECT query_id, node_id, CAST(floor((pos - 1) / 5) AS BIGINT) AS batch FROM ({_top('q.vec_id % 20 = 0')})",
         "retrieval_answer": f"""
