@@ -389,6 +389,11 @@ def table_cells(spark, sf_dir):
     return made.select("path", F.coalesce("r", F.lit(-1)).cast("long").alias("r"), F.coalesce("c", F.lit(-1)).cast("long").alias("c"), F.md5("text").alias("text"), "error")
 
 
+def has_tables(spark, sf_dir):
+    """The same files probed for dense tables; those that cannot be read count as having one."""
+    return S.has_tables(_contents(spark, sf_dir), lambda path, content: [[[line.split("|") for line in _parse_lines(path, content)]]])
+
+
 _FILE = "CASE doc_id % 6 WHEN 0 THEN '.' || doc_id || '.pdf' WHEN 1 THEN '~$' || doc_id || '.docx' WHEN 2 THEN doc_id || '.PDF' WHEN 3 THEN '_' || doc_id || '.docx' ELSE doc_id || '.pdf' END"
 
 
@@ -526,7 +531,7 @@ _QUERIES = [
     cited_answers, paired_sources, latest_rules, noise_filter, inherited_rules, apologies, prompt_fill,
     history_last3, last_result, appended_results, last_three, intent_route, keyword_route, clarify_needed, query_expansion, reply_json, response_decode, page_concat, page_carry, page_fold, message_log,
     link_resolve, link_first_writer, link_filter, blacklist, link_names, link_tally, stored_downloads, fetch_pages, anti_existing, url_quote, text_clean,
-    text_lines, page_titles, image_base64, density_gate, density_semi, parse_files, table_cells, loadable_files, ingest_routes, transcript_cache, index_swap, index_freshness,
+    text_lines, page_titles, image_base64, density_gate, density_semi, parse_files, table_cells, has_tables, loadable_files, ingest_routes, transcript_cache, index_swap, index_freshness,
     span_expand, html_timetable, course_cells, pivot_fixed_domain, grid_fill, keyed_accumulate, chunk3, parse_lists, latest_mtime,
     history_stream,
 ]
@@ -588,6 +593,8 @@ UNION ALL SELECT 'd/' || doc_id || '.pdf', -1, NULL, 'ValueError: broken' FROM d
         "table_cells": """WITH l AS (SELECT 'd/' || doc_id || '.pdf' AS path, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS r, unnest(string_split(text, chr(10))) AS x FROM documents WHERE doc_id % 10 <> 7)
 SELECT path, r, c, md5(y) AS text, error FROM (SELECT path, r, CAST(unnest(range(len(string_split(x, '|')))) AS BIGINT) AS c, unnest(string_split(x, '|')) AS y, CAST(NULL AS VARCHAR) AS error FROM l)
 UNION ALL SELECT 'd/' || doc_id || '.pdf', -1, -1, NULL, 'ValueError: broken' FROM documents WHERE doc_id % 10 = 7""",
+        "has_tables": f"""SELECT 'd/' || doc_id || '.pdf' AS path, doc_id % 10 = 7 OR coalesce(count(*) FILTER (c <> '') >= 4 AND sum(length(c)) / count(*) FILTER (c <> '') < 35, false) AS has_table
+FROM (SELECT doc_id, {_STRIP % "unnest(string_split_regex(text, '[|\n]'))"} AS c FROM documents) GROUP BY doc_id""",
         "loadable_files": f"SELECT doc_id, name AS file_name, CASE WHEN ends_with(name, '.pdf') THEN 'pdf' ELSE 'docx' END AS kind FROM (SELECT doc_id, {_FILE} AS name FROM documents WHERE doc_id % 10 <> 4 AND text <> '') WHERE NOT starts_with(name, '.') AND NOT starts_with(name, '~$') AND regexp_matches(name, '\\.(pdf|docx)$')",
         "dual_retrieval_merge": f"SELECT query_id, node_id, round(score, 6) AS score, pos FROM ({_MERGED})",
         "rerank_batches": f"SELECT query_id, node_id, CAST(floor((pos - 1) / 5) AS BIGINT) AS batch FROM ({_top('q.vec_id % 20 = 0')})",

@@ -155,15 +155,20 @@ def course_cell(details: Column) -> Column:
     return F.array_join(F.transform(T.chunks(details, 3), block), "<div class='course-divider'></div>")
 
 
+def dense(n: Column, chars: Column) -> Column:
+    """Whether a table of n filled cells with so many characters together is one worth reading as a table."""
+    return (n >= 4) & (chars / n < 35)
+
+
 def dense_tables(cells: DataFrame, docs: DataFrame, key: str = "doc_id", table: tuple[str, ...] = ("page", "tbl")) -> DataFrame:
     """docs(key) with has_table: whether any table has 4 or more filled cells of under 35 characters on average.
 
     A document without rows in `cells` has no table, unless docs.readable is false: then it is taken to have one.
     """
     filled = cells.where(~T.blank("text")).groupBy(key, *table).agg(F.count("*").alias("n"), F.sum(F.length(T.strip("text"))).alias("chars"))
-    dense = filled.groupBy(key).agg(F.bool_or((F.col("n") >= 4) & (F.col("chars") / F.col("n") < 35)).alias("has_table"))
+    found = filled.groupBy(key).agg(F.bool_or(dense(F.col("n"), F.col("chars"))).alias("has_table"))
     readable = F.col("readable") if "readable" in docs.columns else F.lit(True)
-    return docs.join(dense, key, "left").withColumn("has_table", F.when(readable, F.coalesce("has_table", F.lit(False))).otherwise(True))
+    return docs.join(found, key, "left").withColumn("has_table", F.when(readable, F.coalesce("has_table", F.lit(False))).otherwise(True))
 
 
 _COURSES = "array<struct<day:string,period:string,time:string,raw_content:string,details:array<string>>>"

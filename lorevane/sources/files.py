@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import grids as G
 
 MANIFEST = "path string, file_name string, length bigint, mtime double"
 
@@ -106,7 +107,7 @@ def docx_pages(path: str, content: bytes) -> list[str]:
 
 def table_cells(files: DataFrame, parser: Callable[[str, bytes], list]) -> DataFrame:
     """path, page, tbl, r, c, text, error of every cell that an injected parser finds: a list of tables for each page, a
-    table being rows of texts. A file that it cannot read is one row with its error, and readable for none."""
+    table being rows of texts. A file that it cannot read is one row with its error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -121,6 +122,14 @@ def table_cells(files: DataFrame, parser: Callable[[str, bytes], list]) -> DataF
     return files.select("path", "content").mapInPandas(run, "path string, page int, tbl int, r int, c int, text string, error string")
 
 
+def has_tables(files: DataFrame, parser: Callable[[str, bytes], list]) -> DataFrame:
+    """path, has_table of every file: whether table_cells finds a dense table there; true for a file that cannot be read."""
+    text = T.strip(F.coalesce("text", F.lit("")))
+    one = table_cells(files, parser).groupBy("path", "page", "tbl").agg(F.count_if(text != "").alias("n"), F.sum(F.length(text)).alias("chars"), F.max("error").alias("error"))
+    dense = one.groupBy("path").agg(F.bool_or(F.col("error").isNotNull() | ((F.col("n") > 0) & G.dense(F.greatest("n", F.lit(1)), F.col("chars")))).alias("has_table"))
+    return files.select("path").join(dense, "path", "left").withColumn("has_table", F.coalesce("has_table", F.lit(False)))
+
+
 def page_images(files: DataFrame, rasterise: Callable[[str, bytes], list[bytes]]) -> DataFrame:
     """path, page, image, url (the image as base64 text): the pages that an injected function draws. Files that it cannot
     read are left out."""
