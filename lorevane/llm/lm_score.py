@@ -39,8 +39,8 @@ ENDINGS, NEIGHBOURS = 1024, 64
 CLASSES = 1 + FREQUENT + TAIL
 SIDES, HIDDEN = (-2, -1, 1, 2), 16
 SHARD_BYTES, BATCH, RATE = 16 << 20, 2048, 0.15
-#: A shard learns from so many bytes of texts laid end to end at a time.
-LEARNED_AT_ONCE = 1 << 20
+#: A shard learns from so many words of texts laid end to end at a time.
+LEARNED_AT_ONCE = 1 << 18
 _COUNTED, _CACHE, _CHUNK = 200_000, 400_000, 1024
 _SHAPES = ((len(SIDES), CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 #: Parameters are summed over shards as multiples of 1 / _UNIT.
@@ -298,18 +298,31 @@ def learn(p: list[np.ndarray], squares: list[np.ndarray], classes: np.ndarray, a
 
 
 def train(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
-    """The network's parameters after learning from every word of docs(doc_id, text) once."""
+    """The network's parameters after learning from every word of docs(doc_id, text) once.
+
+    What is dealt to the shards is a byte for each word, its class; texts stay where they are read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(replace(v, others=None))
     count = max(1, -(-v.size // SHARD_BYTES))
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(shared.value)
+        for whole in batches:
+            for batch in sliced(whole, limit=2 << 20):
+                classes, _, lengths, _ = reader.read(list(text_bytes(batch.column("text"))))
+                classes = classes.astype(np.uint8)
+                ends = np.cumsum(lengths + 2)
+                rows = [classes[e - n : e].tobytes() for e, n in zip(ends, lengths)]
+                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("place"), pa.array(rows, pa.binary())], ["shard", "place", "classes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, now, waiting, size = Reader(shared.value), None, [], 0
+        now, waiting, size = None, [], 0
         p, squares, seen = [], [], 0
         total = np.zeros(sum(int(np.prod(s)) for s in _SHAPES) + 1, np.int64)
 
         def learn_waiting() -> None:
             nonlocal seen, size
-            classes = reader.read(waiting)[0]
+            classes = np.frombuffer(b"\0\0" + b"\0\0".join(waiting) + b"\0\0", np.uint8).astype(np.int64)
             at = np.flatnonzero(classes)
             learn(p, squares, classes, at)
             seen += len(at)
@@ -324,21 +337,23 @@ def train(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
                 total[-1] += seen
 
         for batch in batches:
-            for shard, text in zip(batch.column("shard").to_pylist(), text_bytes(batch.column("text"))):
+            for shard, classes in zip(batch.column("shard").to_pylist(), batch.column("classes").to_pylist()):
                 if shard != now:
                     end()
                     p = start()
                     squares, seen, now = [np.full_like(x, 1e-3) for x in p], 0, shard
-                waiting.append(text)
-                size += len(text)
+                waiting.append(classes)
+                size += len(classes)
                 if size >= LEARNED_AT_ONCE:
                     learn_waiting()
         end()
         if total[-1]:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
 
-    placed = docs.select("text", F.xxhash64("doc_id", "text").alias("place")).where("text IS NOT NULL").withColumn("shard", F.pmod(F.shiftright("place", 8), F.lit(count)))
-    dealt = placed.repartition("shard").sortWithinPartitions("shard", "place", "text").select("shard", "text")
+    place = F.xxhash64("doc_id", "text")
+    placed = docs.where("text IS NOT NULL").select("text", place.alias("place"), F.pmod(F.shiftright(place, 8), F.lit(count)).alias("shard"))
+    coded = placed.mapInArrow(encode, "shard bigint, place bigint, classes binary")
+    dealt = coded.repartition("shard").sortWithinPartitions("shard", "place", "classes").select("shard", "classes")
     # Whole numbers add up to the same in any order.
     summed = dealt.mapInArrow(run, "i int, x bigint").groupBy("i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect()
     if not summed:
