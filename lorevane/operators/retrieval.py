@@ -64,7 +64,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def top_k(queries: DataFrame, nodes: DataFrame, k: int = TOP, block: int = 1000, slice_: int = 20_000) -> DataFrame:
+def top_k(queries: DataFrame, nodes: DataFrame, k: int = TOP, block: int = 10_000, slice_: int = 20_000) -> DataFrame:
     """query_id, node_id, score, pos: the k nodes(node_id, embedding) nearest each of queries(query_id, embedding).
 
     Queries are dealt to blocks of about `block`, nodes to slices of about `slice_`, by hashes; each query goes to every
@@ -90,18 +90,25 @@ def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
         return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+#: Queries that a task multiplies with a slice at once: 500 by 20,000 scores are 80 MB.
+_AT_ONCE = 500
+
+
 def _scorer(k: int):
     """A function for a pair of groups: for each query the nodes that can be among its k best."""
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        query, node, score = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        queries, nodes, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(asked) and len(held):
-            scores = np.round(_unit(asked["embedding"]) @ _unit(held["embedding"]).T, 12)  # equal vectors must tie
-            ranked = np.where(np.isnan(scores), -np.inf, scores)
-            most = min(k, ranked.shape[1])
-            least = np.partition(ranked, -most, axis=1)[:, -most]
-            query, node = np.nonzero((ranked >= least[:, None]) & (ranked > -np.inf))
-            score = scores[query, node]
+            left, right = _unit(asked["embedding"]), _unit(held["embedding"]).T
+            most = min(k, right.shape[1])
+            for first in range(0, len(left), _AT_ONCE):
+                found = np.round(left[first : first + _AT_ONCE] @ right, 12)  # equal vectors must tie
+                found[np.isnan(found)] = -np.inf
+                least = np.partition(found, -most, axis=1)[:, -most]
+                query, node = np.nonzero((found >= least[:, None]) & (found > -np.inf))
+                queries.append(query + first), nodes.append(node), scores.append(found[query, node])
+        query, node, score = map(np.concatenate, (queries, nodes, scores))
         return pa.table({"query_id": asked["query_id"].take(pa.array(query)), "node_id": held["node_id"].take(pa.array(node)), "score": pa.array(score, pa.float64())})
 
     return run

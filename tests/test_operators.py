@@ -27,7 +27,8 @@ def test_sources_and_answer(spark):
     assert R.answer(nodes.where("rank = 4"), "q").collect()[0].answer == R.NOT_FOUND
 
 
-def test_top_k_in_blocks_and_zero_vectors(spark):
+def test_top_k_in_blocks_and_zero_vectors(spark, monkeypatch):
+    monkeypatch.setattr(R, "_AT_ONCE", 4)
     nodes = spark.createDataFrame([(i, [float(i % 3), float(i), 1.0 if i else 0.0]) for i in range(30)], "node_id long, embedding array<float>")
     queries = nodes.select(F.col("node_id").alias("query_id"), "embedding")
     one = {tuple(r) for r in R.top_k(queries, nodes, 3).select("query_id", "node_id", "pos").collect()}
