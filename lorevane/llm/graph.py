@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every node's neighbours on the smallest of them, first the larger ones, then the smaller ones.
     The minimum of a node's neighbours is a partial aggregate and a join, so no task gathers a node's neighbours. The
-    number of rounds grows with the logarithm of the longest chain. Rounds are written to the shared folder.
+    number of rounds grows with the logarithm of the longest chain. Rounds are written to the shared folder; the last one is
+    what the result reads, and can be discarded with it.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = _sum(now)
@@ -31,7 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         if total == seen:
             break
         seen = total
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._lorevane_path = now._lorevane_path
+    return out
 
 
 def _sum(edges: DataFrame) -> tuple:

@@ -244,7 +244,7 @@ def host(url: Column) -> Column:
 
 def templates(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
     """host, subtree, share for every subtree that recurs on the pages(host, html) of a host, and a row with a null subtree
-    for each host that has enough pages to tell."""
+    for each host that has enough pages to tell; a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -260,13 +260,16 @@ def templates(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE)
     found = pages.mapInArrow(run, "host string, subtree bigint, around bigint").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
     counted = materialize(found.where(F.col("pages") >= least_pages))
     of_host = counted.where("subtree IS NULL").select("host", F.col("pages").alias("all"))
-    return counted.join(of_host, "host").select("host", "subtree", (F.col("pages") / F.col("all")).alias("share")).where((F.col("share") >= share) | F.col("subtree").isNull())
+    recurs = counted.join(of_host, "host").select("host", "subtree", (F.col("pages") / F.col("all")).alias("share")).where((F.col("share") >= share) | F.col("subtree").isNull())
+    out = materialize(recurs)
+    discard(counted)
+    return out
 
 
 def extract(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html)."""
     pages = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    found = materialize(templates(pages.select("host", "html"), least_pages, share))
+    found = templates(pages.select("host", "html"), least_pages, share)
     # At most 1 / share times the subtrees of a page for each host.
     by_host = found.groupBy("host").agg(F.collect_list(F.when(F.col("subtree").isNotNull(), F.struct("subtree", "share"))).alias("template"))
     if found.count() <= BROADCAST_ROWS:

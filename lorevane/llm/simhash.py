@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, sliced, text_bytes
+from .common import LOWER, discard, materialize, sliced, text_bytes
 from .graph import components
 
 SHINGLE = 4
@@ -104,8 +104,12 @@ def _explode_masks(masks: list[int], of: Column) -> Column:
     return F.explode(F.transform(listed, lambda m: m.bitwiseXOR(of)))
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, full: int = FULL_DRAWER) -> DataFrame:
-    """Edges (a, b) that connect every two of nodes(fp), all different, within `distance` bits, directly or by others."""
+def links(nodes: DataFrame, distance: int = DISTANCE, full: int = FULL_DRAWER, written: list | None = None) -> DataFrame:
+    """Edges (a, b) that connect every two of nodes(fp), all different, within `distance` bits, directly or by others.
+
+    Tables that were written for it are added to `written`.
+    """
+    written = [] if written is None else written
     count = 3 if nodes.count() <= THREE_SEGMENTS_UP_TO else 2
     filed = looked = None
     for k, ((low, width), radius) in enumerate(zip(segments(count), radii(count, distance))):
@@ -115,12 +119,14 @@ def links(nodes: DataFrame, distance: int = DISTANCE, full: int = FULL_DRAWER) -
             probe = nodes.select(F.col("fp").alias("a"), _explode_masks(ball(width, radius), drawer).alias("drawer"))
             filed, looked = (here, probe) if filed is None else (filed.union(here), looked.union(probe))
     crowded = materialize(filed.groupBy("drawer").count().where(F.col("count") > full).select("drawer"))
+    written.append(crowded)
     sparse = filed.join(crowded, "drawer", "left_anti")
     # Catalyst takes an exploded table for as small as what it was made of, and would broadcast it: hence the hints.
     pairs = looked.join(sparse.hint("merge"), "drawer").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if crowded.isEmpty():
         return pairs
     dense = materialize(looked.join(crowded, "drawer", "left_semi").select("a").distinct())
+    written.append(dense)
     near, far = distance // 2, distance - distance // 2
     points = dense.select(F.col("a"), _explode_masks(ball(64, far), F.col("a")).alias("point"))
     if near != far:  # an odd distance: one end is nearer to the point
@@ -131,16 +137,21 @@ def links(nodes: DataFrame, distance: int = DISTANCE, full: int = FULL_DRAWER) -
 
 
 def rooted(marked: DataFrame) -> DataFrame:
-    """fp, root for every fingerprint of marked(fp): the smallest fingerprint of the component."""
-    nodes = materialize(marked.select("fp").distinct())
-    found = components(links(nodes))
-    return nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    """fp, root for every fingerprint of marked(fp), as a written table: the smallest fingerprint of the component."""
+    nodes, written = materialize(marked.select("fp").distinct()), []
+    found = components(links(nodes, written=written))
+    out = materialize(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    for table in (nodes, found, *written):
+        discard(table)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row of docs(doc_id, text)."""
     marked = materialize(fingerprints(docs))
-    least = materialize(rooted(marked).join(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp"))
+    roots = rooted(marked)
+    least = materialize(roots.join(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp"))
+    discard(roots)
     of_fp = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
@@ -161,8 +172,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = materialize(fingerprints(docs.select("doc_id", "text"), F.xxhash64("text")))
     # The place of a row in its component; a null id sorts behind all others.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    of_fp = materialize(rooted(marked).join(marked.groupBy("fp").agg(F.min(place).alias("least")), "fp"))
+    roots = rooted(marked)
+    of_fp = roots.join(marked.groupBy("fp").agg(F.min(place).alias("least")), "fp")
     chosen = of_fp.groupBy("root").agg(F.min("least").alias("p")).select(F.col("p.doc_id").alias("__chosen_id"), F.col("p.th").alias("__chosen_text")).distinct()
+    chosen = materialize(chosen)
+    discard(roots)
     kept = held.join(chosen, held["doc_id"].eqNullSafe(F.col("__chosen_id")) & (F.col("__kept_text") == F.col("__chosen_text")), "left_semi")
     repeated = marked.groupBy("doc_id", "th").count().where("count > 1")
     if repeated.isEmpty():

@@ -251,7 +251,7 @@ def test_passages_of_over_fifty_words(spark, length):
 @pytest.mark.parametrize("full, three", [(48, 1 << 25), (0, 1 << 25), (48, 0)])
 def test_simhash(spark, tables, monkeypatch, full, three):
     monkeypatch.setattr(simhash, "THREE_SEGMENTS_UP_TO", three)
-    monkeypatch.setattr(simhash.links, "__defaults__", (simhash.DISTANCE, full))
+    monkeypatch.setattr(simhash.links, "__defaults__", (simhash.DISTANCE, full, None))
     docs = tables["documents"].select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(9001, None), (9002, " \n"), (9003, "A b"), (9004, "a B")], "doc_id long, text string"))
     said = texts(docs)

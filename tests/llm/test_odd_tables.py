@@ -103,3 +103,15 @@ def test_one_row_of_each_group_stays_and_no_other_text_is_lost(spark):
     assert got.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(0, prose[0]), (0, prose[1]), (1, prose[2]), (1, prose[3]), (3, prose[4]), (4, "")])
     assert [r["th"] for r in got.where("doc_id = 1").orderBy("text").collect()] == [r["th"] for r in simhash.keep_one(docs.repartition(7)).where("doc_id = 1").orderBy("text").collect()]
+
+
+def test_tables_that_nothing_reads_are_deleted(spark, tables):
+    """What stays in the shared folder is what the returned table reads."""
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/lorevane"
+    os.makedirs(folder, exist_ok=True)
+    for name, most in (("simhash", 2), ("simhash.keep_one", 2), ("suffix_dedup", 1)):
+        before = set(os.listdir(folder))
+        rows = BY_DOCUMENT[name](tables["documents"], tables)
+        assert len(set(os.listdir(folder)) - before) <= most and rows.count() > 0
