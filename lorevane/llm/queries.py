@@ -34,6 +34,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .rules import ORACLE
+    from . import decontam, rules
 
-    return {"op9_quality_rules": ORACLE}
+    return {"op7_fm_decontamination": decontam.ORACLE, "op9_quality_rules": rules.ORACLE}

@@ -298,6 +298,14 @@ def test_decontamination(spark, tables, monkeypatch, block):
     assert cleaned == {i: brute.without_hits(t, known) for i, t in said.items()}
 
 
+def test_decontamination_equals_sql(spark, tables):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = sorted(map(tuple, con.sql(decontam.ORACLE).fetchall()))
+    assert sorted(tuple(r) for r in decontam.digest(tables["documents"], tables["benchmark"]).collect()) == want and any(r[5] for r in want)
+
+
 def test_items_without_an_id_hit_but_are_not_counted(spark):
     docs = spark.createDataFrame([(1, "red green blue"), (2, "black"), (3, "green")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, "green"), (7, "red green"), (None, "black")], "item_id long, text string")
