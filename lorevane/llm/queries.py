@@ -18,6 +18,7 @@ _QUERIES = {
     "op2_best_fit_packing": ("packing", "digest", ("documents",)),
     "op10_minimax_sharding": ("sharding", "digest", ("documents",)),
     "op9_quality_rules": ("rules", "digest", ("documents",)),
+    "op11_token_files": ("token_files", "digest", ("documents",)),
 }
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lorevane.llm import decontam, gbdt, html_template, lm_score, packing, rules, sharding, simhash, suffix_dedup, toxicity
+from lorevane.llm import decontam, gbdt, html_template, lm_score, packing, rules, sharding, simhash, suffix_dedup, token_files, toxicity
 
 BY_DOCUMENT = {
     "packing": lambda d, t: packing.digest(d).where("piece = 0"),
@@ -14,6 +14,7 @@ BY_DOCUMENT = {
     "lm_score": lambda d, t: lm_score.digest(d),
     "rules": lambda d, t: rules.digest(d),
     "sharding": lambda d, t: sharding.digest(d),
+    "token_files": lambda d, t: token_files.digest(d),
     "rules.keep": lambda d, t: rules.keep(d),
     "simhash.keep_one": lambda d, t: simhash.keep_one(d),
     "suffix_dedup.clean": lambda d, t: suffix_dedup.clean(d),
