@@ -19,6 +19,7 @@ _QUERIES = {
     "op10_minimax_sharding": ("sharding", "digest", ("documents",)),
     "op9_quality_rules": ("rules", "digest", ("documents",)),
     "op11_token_files": ("token_files", "digest", ("documents",)),
+    "op12_collocations": ("collocations", "digest", ("documents",)),
 }
 
 
@@ -35,6 +36,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontam, rules
+    from . import collocations, decontam, rules
 
-    return {"op7_fm_decontamination": decontam.ORACLE, "op9_quality_rules": rules.ORACLE}
+    return {"op7_fm_decontamination": decontam.ORACLE, "op9_quality_rules": rules.ORACLE, "op12_collocations": collocations.ORACLE}
