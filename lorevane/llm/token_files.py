@@ -12,7 +12,8 @@ name in a row; only the names in committed rows enter the index, so that a task
 Names that are not in the index are deleted.
 
 A text is encoded run by run between ASCII white space: no pre-token of the tokenizer file reaches over white space, nor
-do its normalisers, so the ids of a text are those of its runs, each encoded by the library once and then remembered.
+do its normalisers, so the ids of a text are those of its runs, each encoded by the library once and then remembered. In
+the same way marks behind an ASCII letter or digit are encoded by themselves, and ASCII runs in lower case.
 Null and empty texts are documents of the end id alone. A null id counts as the smallest. Very long texts and runs are
 encoded whole. Repeated rows each get their place. Empty tables give an index without parts. Extra columns are dropped.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -35,6 +37,9 @@ from .common import materialize, shared_dir, sliced, text_bytes
 END_ID = 1
 #: Runs that a worker remembers with their ids at most, and the longest that it remembers.
 REMEMBERED, LONGEST = 1 << 20, 64
+#: ASCII marks but the apostrophe, which begins pre-tokens of its own, and what they may stand behind.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_ENDS = frozenset(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 #: Documents that a reader passes on at once.
 AT_ONCE = 10_000
 INDEX = "part int, file string, width int, documents long, nulls long, tokens long"
@@ -45,6 +50,17 @@ def store_of(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if urlsplit(uri).scheme else (pafs.LocalFileSystem(), uri)
 
 
+def _pieces(run: bytes) -> tuple[bytes, ...]:
+    """What a run is encoded as: itself, or a word and the marks behind it. A special token's string stays whole."""
+    if b"<|" in run or len(run) > LONGEST:
+        return (run,)
+    word = run.rstrip(_MARKS)
+    cut = len(word) if word and word[-1:] in _ENDS else len(run)
+    if run.isascii():
+        run = run.lower()
+    return (run,) if cut == len(run) else (run[:cut], run[cut:])
+
+
 class Encoder:
     """Ids of whole texts as bytes, by the tokenizers library's file at path."""
 
@@ -58,9 +74,28 @@ class Encoder:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[bytes, bytes] = {}
 
-    def _encode(self, runs: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([r.decode("utf-8", "replace") for r in runs], add_special_tokens=False)
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in found]
+    def _ids(self, runs: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of each run. Only pieces are remembered, and no long ones."""
+        made, cut, known = {}, {}, self.known
+        for run in runs:
+            ids = known.get(run.lower() if run.isalpha() else run)
+            if ids is None:
+                cut[run] = _pieces(run)
+            else:
+                made[run] = ids
+        new = list({x for pieces in cut.values() for x in pieces if x not in known})
+        long, kind = {}, "H" if self.width == 2 else "I"
+        for x in new:
+            if x.isalpha() and len(x) <= LONGEST:  # ASCII letters, in lower case here: one pre-token as it stands
+                known[x] = array(kind, [t.id for t in self.library.model.tokenize(x.decode())]).tobytes()
+        new = [x for x in new if x not in known]
+        for first in range(0, len(new), AT_ONCE):
+            some = new[first : first + AT_ONCE]
+            for x, e in zip(some, self.library.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)):
+                (self.known if len(x) <= LONGEST else long)[x] = array(kind, e.ids).tobytes()
+        for run, pieces in cut.items():
+            made[run] = long[run] if run in long else b"".join([known[x] for x in pieces])
+        return made
 
     def texts(self, texts: list[bytes], end: int) -> Iterator[bytes]:
         """The ids of each text and the end id."""
@@ -68,15 +103,9 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known = {}
         split = [t.split() for t in texts]
-        new = list({run for runs in split for run in runs}.difference(self.known))
-        long = {}
-        for first in range(0, len(new), AT_ONCE):
-            some = new[first : first + AT_ONCE]
-            for run, ids in zip(some, self._encode(some)):
-                (self.known if len(run) <= LONGEST else long)[run] = ids
-        known = {**self.known, **long} if long else self.known
+        made = self._ids({run for runs in split for run in runs})
         for runs in split:
-            yield b"".join(map(known.__getitem__, runs)) + last
+            yield b"".join(map(made.__getitem__, runs)) + last
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -186,7 +215,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(part.doc_ids(first, n), pa.int64()), "start": pa.array(at[:-1] + r["first_token"]), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())})
 
     index = read_index(spark, folder)
-    return index.repartitionByRange("first_token").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parts = index.repartitionByRange(max(1, index.count()), "first_token")
+    return parts.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
