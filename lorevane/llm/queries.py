@@ -20,6 +20,7 @@ _QUERIES = {
     "op9_quality_rules": ("rules", "digest", ("documents",)),
     "op11_token_files": ("token_files", "digest", ("documents",)),
     "op12_collocations": ("collocations", "digest", ("documents",)),
+    "op13_spelling_variants": ("spelling", "digest", ("documents",)),
 }
 
 
