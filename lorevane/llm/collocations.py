@@ -33,6 +33,8 @@ from .common import LOWER, materialize, sliced, text_bytes
 LONGEST, LEAST, TOP, SHARE = 4, 30, 2000, 80
 #: Size of the bit table: 16 MB.
 BITS = 1 << 27
+#: Texts are read in slices of about so many bytes: a task holds some fifty times as much while it hashes one.
+SLICE = 2 << 20
 #: Keys in one row between tasks, and keys that wait to be merged at least.
 ROW_KEYS, WAITING = 1 << 16, 1 << 20
 #: The phrases of a language are ranked in so many deals, and then the best of each.
@@ -104,7 +106,7 @@ def words_of(texts: list[bytes], langs: list[str | None], bases: int = 1) -> Wor
 
 def _slices(batches: Iterator[pa.RecordBatch], bases: int = 1) -> Iterator[Words]:
     for batch in batches:
-        for part in sliced(batch):
+        for part in sliced(batch, limit=SLICE):
             yield words_of(list(text_bytes(part["text"])), part["lang"].to_pylist(), bases)
 
 
