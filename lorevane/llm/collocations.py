@@ -36,7 +36,7 @@ BITS = 1 << 27
 #: Texts are read in slices of about so many bytes: a task holds some fifty times as much while it hashes one.
 SLICE = 2 << 20
 #: Keys in one row between tasks, and keys that wait to be merged at least.
-ROW_KEYS, WAITING = 1 << 16, 1 << 20
+ROW_KEYS, WAITING = 1 << 12, 1 << 20
 #: The phrases of a language are ranked in so many deals, and then the best of each.
 DEALT = 64
 #: 0: part of a word; 1: between words; 2: between pieces.
