@@ -14,7 +14,9 @@ from .operators import conversation as C
 from .operators import grids as G
 from .operators import links as L
 from .operators import retrieval as R
+from .operators import vector_index as V
 from .plans import assistant as A
+from .plans.folders import working_folder
 from .sources import files as S
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -52,6 +54,54 @@ def topk_cosine(spark, sf_dir):
     return R.top_k(_asked(nodes), nodes).select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
+_CLUSTERED = "transform(embedding, (x, i) -> CAST(x AS DOUBLE) * CAST(0.1 AS DOUBLE) + IF(i = label, 1D, 0D))"
+
+
+def topk_index(spark, sf_dir):
+    """The nearest nodes from a stored index, of vectors that lie around one direction for each label."""
+    nodes, path = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.expr(_CLUSTERED).alias("embedding")), working_folder(spark)
+    V.build(nodes, path)
+    return V.search(_asked(nodes), path).select("query_id", "node_id", F.round("score", 6).alias("score"), F.col("pos").cast("long").alias("pos"))
+
+
+def _held(docs: DataFrame, text: Column | str = "text") -> DataFrame:
+    """Documents with what an index compares and keeps."""
+    said = F.expr(text) if isinstance(text, str) else text
+    return docs.select("doc_id", said.alias("text")).withColumn("hash", F.sha2("text", 256))
+
+
+def _as_nodes(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"node_id": F.col("doc_id"), "embedding": _letters(F.col("text"))})
+
+
+def _letters(text: Column) -> Column:
+    """An embedder that SQL has too: how often each letter occurs."""
+    return R.once(F.lower(F.coalesce(text, F.lit(""))), lambda t: F.array(*((F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in _ALPHABET)))
+
+
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+
+
+def index_upkeep(spark, sf_dir):
+    """An index of two thirds of the documents, brought to the whole table less some in two rounds of differences."""
+    docs, path = _table(spark, sf_dir, "documents"), working_folder(spark)
+    V.build(_as_nodes(_held(docs.where("doc_id % 3 <> 0"))), path)
+    V.refresh(spark, path, _held(docs.where("doc_id % 7 <> 1"), "CASE WHEN doc_id % 5 = 1 THEN text || ' again' ELSE text END"), _as_nodes, 1)
+    V.refresh(spark, path, _held(docs.where("doc_id % 11 <> 1"), "CASE WHEN doc_id % 5 = 1 THEN text || ' at last' ELSE text END"), _as_nodes, 2)
+    return V.load(spark, path).select("doc_id", F.md5("text").alias("text"))
+
+
+def index_stream(spark, sf_dir):
+    """The same upkeep from a stream of changes: documents come, some of them change, some of them go, in that order."""
+    docs, path, log = _table(spark, sf_dir, "documents"), working_folder(spark), working_folder(spark)
+    V.build(_as_nodes(_held(docs.where("doc_id % 20 = 0"))), path)
+    for n, (which, text) in enumerate((("doc_id % 20 <> 0", "text"), ("doc_id % 5 = 1", "text || ' again'"), ("doc_id % 7 = 1", "text"))):
+        _held(docs.where(which), text).withColumns({"deleted": F.lit(n == 2), "n": F.lit(n)}).write.mode("append").parquet(log)
+    changes = spark.readStream.schema(spark.read.parquet(log).schema).option("maxFilesPerTrigger", 16).parquet(log)
+    V.upkeep(changes, path, _as_nodes, working_folder(spark)).awaitTermination()
+    return V.load(spark, path).select("doc_id", F.md5("text").alias("text"))
+
+
 def _dual(spark, sf_dir):
     nodes = _vectors(spark, sf_dir)
     return R.merge_hits(R.top_k(_asked(nodes), nodes), R.top_k(_asked(nodes, 1), nodes), ("query_id",))
@@ -242,8 +292,6 @@ def page_fold(spark, sf_dir):
 
 def message_log(spark, sf_dir):
     """Messages added to a log in two parts."""
-    from .plans.streams import working_folder
-
     turns, path = _table(spark, sf_dir, "conversations"), working_folder(spark)
     for part in (0, 1):
         C.append_messages(turns.where(F.col("turn") % 2 == part).select("conv_id", "turn", "role", "text"), path)
@@ -306,8 +354,6 @@ def link_tally(spark, sf_dir):
 
 def stored_downloads(spark, sf_dir):
     """Files stored once under each name, with their number."""
-    from .plans.streams import working_folder
-
     named = _anchors(spark, sf_dir).withColumn("file_name", T.safe_name(T.first_line("txt"))).where("file_name <> ''")
     path = working_folder(spark)
     n = L.store(L.first_writer(named, "file_name", ["page_id", "ord"]).select("file_name", F.col("href").cast("binary").alias("content")), path)
@@ -416,8 +462,6 @@ def ingest_routes(spark, sf_dir):
 
 def transcript_cache(spark, sf_dir):
     """Transcripts written in two rounds, of which the second replaces a third of the first."""
-    from .plans.streams import working_folder
-
     docs, path = _table(spark, sf_dir, "documents").withColumn("path", F.col("doc_id").cast("string")), working_folder(spark)
     S.write_transcripts(docs.select("path", F.lit(1.0).alias("mtime"), "text"), path)
     S.write_transcripts(docs.where("doc_id % 3 = 0").select("path", F.lit(2.0).alias("mtime"), F.concat("text", F.lit(" again")).alias("text")), path)
@@ -426,8 +470,6 @@ def transcript_cache(spark, sf_dir):
 
 def index_swap(spark, sf_dir):
     """An index that was built twice, and its marker."""
-    from .plans.streams import working_folder
-
     nodes, path = _vectors(spark, sf_dir), working_folder(spark)
     S.save_index(nodes.where("node_id % 2 = 0"), path, 1.0)
     S.save_index(nodes, path, 2.0)
@@ -527,7 +569,7 @@ def history_stream(spark, sf_dir):
 
 
 _QUERIES = [
-    sentence_window, topk_cosine, dual_retrieval_merge, rerank_batches, retrieval_answer, chat_answers, ordered_sources, source_labels, label_file_name,
+    sentence_window, topk_cosine, topk_index, index_upkeep, index_stream, dual_retrieval_merge, rerank_batches, retrieval_answer, chat_answers, ordered_sources, source_labels, label_file_name,
     cited_answers, paired_sources, latest_rules, noise_filter, inherited_rules, apologies, prompt_fill,
     history_last3, last_result, appended_results, last_three, intent_route, keyword_route, clarify_needed, query_expansion, reply_json, response_decode, page_concat, page_carry, page_fold, message_log,
     link_resolve, link_first_writer, link_filter, blacklist, link_names, link_tally, stored_downloads, fetch_pages, anti_existing, url_quote, text_clean,
@@ -549,12 +591,13 @@ WHERE sent <> ''
 """
 
 
-def _top(where: str) -> str:
+def _top(where: str, embeddings: str = "embeddings") -> str:
     return f"""SELECT q.vec_id AS query_id, n.vec_id AS node_id, list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, n.vec_id) AS pos
-    FROM embeddings n CROSS JOIN embeddings q WHERE {where} QUALIFY pos <= 15"""
+    FROM {embeddings} n CROSS JOIN {embeddings} q WHERE {where} QUALIFY pos <= 15"""
 
 
+_AROUND_LABELS = "(SELECT vec_id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * CAST(0.1 AS DOUBLE) + CASE WHEN i - 1 = label THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS embedding FROM embeddings)"
 _MERGED = f"""
 SELECT query_id, node_id, arg_max(score, place) AS score, row_number() OVER (PARTITION BY query_id ORDER BY min(place)) AS pos
 FROM (SELECT query_id - query_id % 20 AS query_id, node_id, score, pos + 1000 * (query_id % 20) AS place FROM ({_top('q.vec_id % 20 IN (0, 1)')})) GROUP BY query_id, node_id
@@ -671,6 +714,9 @@ FROM (SELECT event_id, event_type, CASE WHEN starts_with(said, '[') THEN CAST(re
         "latest_mtime": f"SELECT max(mtime) AS latest FROM ({_FILES}) WHERE name <> 'view'",
         "sentence_window": f"SELECT doc_id, ord, string_agg(sent, ' ') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS \"window\" FROM ({_SENTENCES})",
         "topk_cosine": f"SELECT query_id, node_id, round(score, 6) AS score, pos FROM ({_top('q.vec_id % 20 = 0')})",
+        "topk_index": f"SELECT query_id, node_id, round(score, 6) AS score, pos FROM ({_top('q.vec_id % 20 = 0', _AROUND_LABELS)})",
+        "index_upkeep": "SELECT doc_id, md5(CASE WHEN doc_id % 5 = 1 THEN text || ' at last' ELSE text END) AS text FROM documents WHERE doc_id % 11 <> 1",
+        "index_stream": "SELECT doc_id, md5(CASE WHEN doc_id % 5 = 1 THEN text || ' again' ELSE text END) AS text FROM documents WHERE doc_id % 7 <> 1",
         "ordered_sources": f"SELECT lang, string_agg(label, ';' ORDER BY p) AS sources FROM (SELECT lang, label, min(doc_id) AS p FROM (SELECT lang, doc_id, {_LABEL} AS label FROM documents) GROUP BY lang, label) GROUP BY lang",
         "source_labels": f"SELECT doc_id, {_LABEL} AS label FROM documents",
         "history_last3": "SELECT conv_id, turn, string_agg(text, ' -> ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS history FROM conversations WHERE role = 'user'",

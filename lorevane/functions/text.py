@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The characters that Unicode-aware stripping removes.
 WHITESPACE = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{WHITESPACE}]", c))
+
 #: Openings and closings that a model adds around a transcript, and the fences it wraps it in.
 FENCE_OPEN = "^```markdown\\s*"
 FENCE_LINE = "^```\\s*$"
 LEAD_IN = "^(I'm unable to|However, I can|Please adjust|Here's a|Here is|這是一份).*?\\n+"
 CLOSING = "\\n+(Please adjust|Hope this helps|如需修改|希望這對您有幫助).*?$"
 
+#: What file names cannot have.
 ILLEGAL_IN_NAMES = '[\\\\/*?:"<>|\\n\\r\\t]'
 
 
@@ -22,8 +27,8 @@ def col(x: Column | str) -> Column:
 
 
 def strip(x: Column | str) -> Column:
-    """x without white space, of any script, at both ends."""
-    return F.regexp_replace(col(x), f"^[{WHITESPACE}]+|[{WHITESPACE}]+\\z", "")
+    """x without white space, of any script, at both ends. Reads the ends only."""
+    return F.btrim(col(x), F.lit(SPACES))
 
 
 def blank(x: Column | str) -> Column:
@@ -61,7 +66,7 @@ def lines(x: Column | str) -> Column:
 
 def first_line(x: Column | str) -> Column:
     """The first line of stripped x, stripped."""
-    return strip(F.get(F.split(strip(x), "\n"), 0))
+    return strip(F.substring_index(strip(x), "\n", 1))
 
 
 def quote_path(x: Column | str) -> Column:
@@ -109,8 +114,6 @@ def data_url(image: Column, kind: str = "image/png") -> Column:
 
 def fill(template: str, **values: Column) -> Column:
     """A template with {name} places filled from columns; text inside a value is never taken for a place."""
-    import re
-
     parts = []
     for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
         parts.append(F.coalesce(values[piece], F.lit("")) if i % 2 else F.lit(piece))

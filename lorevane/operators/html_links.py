@@ -65,7 +65,8 @@ class _Cells(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.table_id, self.depth, self.row = table_id, 0, -1
         self.stack: list[list[int]] = []  # open rows: number, depth of the table, cells so far
-        self.cells: list[list] = []  # row, ord, spans, text, depth of the table while open
+        self.cells: list[list] = []  # row, ord, spans, text, depth of the table
+        self.open: list[list] = []  # those that have not ended: one for each table around at most
 
     def handle_starttag(self, tag, attrs):
         named = dict(attrs)
@@ -80,14 +81,13 @@ class _Cells(HTMLParser):
         elif self.depth and tag in ("td", "th") and self.stack:
             self._end_cell()
             self.cells.append([self.stack[-1][0], self.stack[-1][2], _span(named.get("rowspan")), _span(named.get("colspan")), [], self.depth])
+            self.open.append(self.cells[-1])
             self.stack[-1][2] += 1
         elif tag == "br":
             self.handle_data("\n")
 
     def _end_cell(self) -> None:
-        for cell in self.cells:
-            if cell[5] == self.depth:
-                cell[5] = 0
+        self.open = [cell for cell in self.open if cell[5] != self.depth]
 
     def handle_endtag(self, tag):
         if tag in ("td", "th"):
@@ -102,9 +102,8 @@ class _Cells(HTMLParser):
             self.depth -= 1
 
     def handle_data(self, data):
-        for cell in self.cells:
-            if cell[5]:
-                cell[4].append(data)
+        for cell in self.open:
+            cell[4].append(data)
 
 
 def _span(value: str | None) -> int:

@@ -88,7 +88,7 @@ def without_existing(files: DataFrame, existing: DataFrame, name: Column) -> Dat
 
 def page_title(first_page: Column) -> Column:
     """A title from a document's first page: its first line, at most 50 characters, if more than 2 are left."""
-    line = T.safe_name(F.left(F.coalesce(F.get(T.lines(first_page), 0), F.lit("")), F.lit(50)))
+    line = T.safe_name(F.left(F.coalesce(T.first_line(first_page), F.lit("")), F.lit(50)))
     return F.when(F.length(line) > 2, line)
 
 

@@ -78,14 +78,19 @@ def top_k(queries: DataFrame, nodes: DataFrame, k: int = TOP, block: int = 10_00
     dealt = lambda x, c, own, n, other, m: x.withColumns({own: F.pmod(F.xxhash64(c), F.lit(n)), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
     asked = dealt(queries, "query_id", "__block", blocks, "__slice", slices).groupBy("__block", "__slice")
     held = dealt(nodes, "node_id", "__slice", slices, "__block", blocks).groupBy("__block", "__slice")
-    found = asked.cogroup(held).applyInArrow(_scorer(k), f"query_id {kinds[0]}, node_id {kinds[1]}, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
-    return found.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= k)
+    return best(asked.cogroup(held).applyInArrow(scorer(k), f"query_id {kinds[0]}, node_id {kinds[1]}, score double"), k)
 
 
-def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+def best(found: DataFrame, k: int) -> DataFrame:
+    """found(query_id, node_id, score) with pos: the k best of each query, ties by node_id."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+    return found.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+
+
+def unit(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of length 1; a zero vector becomes a row of nan."""
-    m = np.array(vectors.to_pylist(), float).reshape(len(vectors), -1)
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    m = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
     with np.errstate(invalid="ignore", divide="ignore"):
         return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
@@ -94,13 +99,13 @@ def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
 _AT_ONCE = 500
 
 
-def _scorer(k: int):
+def scorer(k: int):
     """A function for a pair of groups: for each query the nodes that can be among its k best."""
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         queries, nodes, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(asked) and len(held):
-            left, right = _unit(asked["embedding"]), _unit(held["embedding"]).T
+            left, right = unit(asked["embedding"]), unit(held["embedding"]).T
             most = min(k, right.shape[1])
             for first in range(0, len(left), _AT_ONCE):
                 found = np.round(left[first : first + _AT_ONCE] @ right, 12)  # equal vectors must tie
