@@ -178,12 +178,31 @@ def prompt_fill(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(filled).alias("prompt"))
 
 
+_INTENT = "CASE length({0}) % 5 WHEN 0 THEN 'CLARIFY' WHEN 1 THEN 'ACTION' ELSE 'ACADEMIC' END"
+_TO_FILE = "CASE doc_id % 6 WHEN 0 THEN '常見問題 ' WHEN 1 THEN '113 學年度 ' WHEN 2 THEN '114 學年度 ' ELSE '' END || source"
+_RULED = "CASE doc_id % 9 WHEN 0 THEN '資工系 ' WHEN 1 THEN '資電學院 ' WHEN 2 THEN '全校 ' WHEN 3 THEN '匯款帳號 ' ELSE '' END || text"
+_REQUEST = "CASE turn % 6 WHEN 2 THEN '那資工系呢' WHEN 4 THEN text || ' 碩士班' ELSE text END"
+_COLLEGES = (("企管系", "管理學院"), ("資工系", "資電學院"))
+
+
+def _sources_of_chat(spark, sf_dir):
+    """Documents as files of some years and levels, and the models and the requests of all user turns over them."""
+    models = A.Models(embed=_letters, classify=lambda text: F.when(F.length(text) % 5 == 0, "CLARIFY").when(F.length(text) % 5 == 1, "ACTION").otherwise("ACADEMIC"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_RULED).alias("text"), F.create_map(F.lit("file_name"), F.expr(_TO_FILE)).alias("metadata"))
+    requests = _user_turns(spark, sf_dir).select(F.col("conv_id").alias("thread_id"), "turn", F.expr(_REQUEST).alias("user_message"))
+    return docs, requests, models, spark.createDataFrame(list(_COLLEGES), "department string, college string")
+
+
+def _shown(replies: DataFrame) -> DataFrame:
+    return replies.select("thread_id", "turn", "next_agent", F.md5("answer").alias("answer"), F.array_join("sources", ";").alias("sources"))
+
+
 def chat_answers(spark, sf_dir):
-    """Every user turn as a question over the documents; turns take the agents in rotation, most of them retrieval."""
-    models = A.Models(classify=lambda text: F.when(F.length(text) % 5 == 0, "CLARIFY").when(F.length(text) % 5 == 1, "ACTION").otherwise("ACADEMIC"))
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text", F.create_map(F.lit("file_name"), F.col("source")).alias("metadata"))
-    requests = _user_turns(spark, sf_dir).select(F.col("conv_id").alias("thread_id"), "turn", F.col("text").alias("user_message"))
-    return A.chat(requests, A.index(docs, models), models).select("thread_id", "turn", "next_agent", F.md5("answer").alias("answer"), F.array_join("sources", ";").alias("sources"))
+    """Every user turn as a question over the documents' sentences; turns take the agents in rotation, most of them retrieval."""
+    docs, requests, models, colleges = _sources_of_chat(spark, sf_dir)
+    path = working_folder(spark)
+    A.index(docs, path, models)
+    return _shown(A.chat(requests, path, models, colleges=colleges))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -622,6 +641,31 @@ _REPLIES = "SELECT conv_id, arg_max(text, turn) AS said, arg_max(role, turn) AS
 _DEPT, _DEGREE = "(\\p{L}{2}(?:系|所))", "(學士|碩士|博士|大學部)"
 
 
+_COUNTS = "[" + ", ".join(f"CAST(length(%s) - length(replace(%s, '{c}', '')) AS DOUBLE)" for c in _ALPHABET) + "]"
+#: Every step of the answering plan: questions, both searches, merge, rerank, windows, rules, answers.
+_CHAT = f"""
+WITH s AS MATERIALIZED (SELECT doc_id * {A.SENTENCES} + ord AS node_id, sent, string_agg(sent, ' ') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS w, file FROM ({_SENTENCES.replace("FROM documents", f"FROM (SELECT doc_id, {_RULED} AS text FROM documents)")}) JOIN (SELECT doc_id, {_TO_FILE} AS file FROM documents) USING (doc_id)),
+v AS MATERIALIZED (SELECT node_id, {_COUNTS.replace("%s", "low")} AS v FROM (SELECT node_id, lower(sent) AS low FROM s) WHERE regexp_matches(low, '[a-z]')),
+t AS (SELECT conv_id, turn, {_REQUEST} AS x FROM conversations WHERE role = 'user'),
+b AS (SELECT *, nullif(regexp_extract(x, '{_DEPT}', 1), '') AS dept, nullif(regexp_extract(x, '{_DEGREE}', 1), '') AS deg, regexp_replace(regexp_replace(x, '{_DEPT}', '', 'g'), '{_DEGREE}|那|呢|的|班', '', 'g') AS bare FROM t),
+h AS (SELECT conv_id, turn, x, last_value(dept IGNORE NULLS) OVER w AS department, last_value(deg IGNORE NULLS) OVER w AS degree, last_value(CASE WHEN length({_STRIP % 'bare'}) > 1 THEN bare END IGNORE NULLS) OVER w AS target,
+  bool_or(regexp_matches(x, '系|所|學士|碩士|博士|大學部')) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS narrow
+ FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+r AS (SELECT *, CASE department {" ".join(f"WHEN '{d}' THEN '{c}'" for d, c in _COLLEGES)} END AS college, CASE WHEN intent = 'ACTION' THEN 'Action Agent' WHEN intent = 'CLARIFY' AND NOT narrow THEN 'Clarification Agent' ELSE 'Academic Agent' END AS agent FROM (SELECT *, {_INTENT.format("x")} AS intent FROM h)),
+e AS (SELECT *, array_to_string(list_filter([x, array_to_string(list_filter([{_STRIP % 'target'}, department, college, coalesce(degree, '{C.GENERAL}')], lambda p: p IS NOT NULL AND p <> ''), ' ')], lambda p: p IS NOT NULL), ' ') AS wide FROM r),
+q AS MATERIALIZED (SELECT conv_id, turn, k, {_COUNTS.replace("%s", "low")} AS v FROM (SELECT conv_id, turn, 0 AS k, lower(x) AS low FROM e WHERE agent = 'Academic Agent' UNION ALL SELECT conv_id, turn, 1, lower(wide) FROM e WHERE agent = 'Academic Agent') WHERE regexp_matches(low, '[a-z]')),
+f AS (SELECT conv_id, turn, k, node_id, row_number() OVER (PARTITION BY conv_id, turn, k ORDER BY c DESC, node_id) AS pos FROM (SELECT conv_id, turn, k, node_id, round(list_cosine_similarity(v.v, q.v), {R.DIGITS}) AS c FROM q, v) QUALIFY pos <= {R.TOP}),
+m AS (SELECT conv_id, turn, node_id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(pos + 1000 * k)) AS pos FROM f GROUP BY conv_id, turn, node_id),
+g AS (SELECT m.*, s.w, s.file, e.department, e.college, row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(len(list_intersect({_WORDS % 'e.x'}, {_WORDS % 's.sent'})) / nullif(len({_WORDS % 'e.x'}), 0), 0) DESC, pos) AS rank FROM m JOIN s USING (node_id) JOIN e USING (conv_id, turn) QUALIFY rank <= {R.KEPT}),
+y AS (SELECT *, regexp_replace(file, '[0-9]{{2,4}}\\s*學年度?', '', 'g') AS topic, coalesce(TRY_CAST(nullif(regexp_extract(file || ' ' || w, '([0-9]{{2,4}})\\s*學年', 1), '') AS INT), -1) AS year FROM g WHERE NOT regexp_matches(w, '{"|".join(R.NOISE)}')),
+l AS (SELECT *, CASE WHEN contains(w, department) THEN 0 WHEN contains(w, college) THEN 1 WHEN contains(w, '全校') THEN 2 END AS level FROM y QUALIFY year = max(year) OVER (PARTITION BY conv_id, turn, topic)),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY regexp_matches(file, '{"|".join(R.FAQ)}'), rank) AS place FROM (SELECT * FROM l QUALIFY level IS NULL OR level = min(level) OVER (PARTITION BY conv_id, turn))),
+a AS (SELECT conv_id, turn, string_agg(w, chr(10) ORDER BY place) AS answer FROM p GROUP BY ALL),
+o AS (SELECT conv_id, turn, string_agg(file, ';' ORDER BY first) AS sources FROM (SELECT conv_id, turn, file, min(place) AS first FROM p GROUP BY ALL) GROUP BY ALL)
+SELECT conv_id AS thread_id, turn, agent AS next_agent, md5(coalesce(answer, CASE agent WHEN 'Academic Agent' THEN '{R.NOT_FOUND}' WHEN 'Action Agent' THEN '{A.NO_ACTION}' ELSE '{A.CLARIFY}' END)) AS answer, coalesce(sources, '') AS sources
+FROM e LEFT JOIN a USING (conv_id, turn) LEFT JOIN o USING (conv_id, turn)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "cited_answers": f"""WITH h AS (SELECT query_id, pos, doc_id, text, {_LABEL} AS label FROM (SELECT query_id, pos, node_id % (SELECT count(*) FROM documents) AS doc_id FROM ({_top('q.vec_id % 20 = 0')})) JOIN documents USING (doc_id)),
@@ -714,6 +758,7 @@ FROM (SELECT event_id, event_type, CASE WHEN starts_with(said, '[') THEN CAST(re
         "latest_mtime": f"SELECT max(mtime) AS latest FROM ({_FILES}) WHERE name <> 'view'",
         "sentence_window": f"SELECT doc_id, ord, string_agg(sent, ' ') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS \"window\" FROM ({_SENTENCES})",
         "topk_cosine": f"SELECT query_id, node_id, round(score, 6) AS score, pos FROM ({_top('q.vec_id % 20 = 0')})",
+        "chat_answers": _CHAT,
         "topk_index": f"SELECT query_id, node_id, round(score, 6) AS score, pos FROM ({_top('q.vec_id % 20 = 0', _AROUND_LABELS)})",
         "index_upkeep": "SELECT doc_id, md5(CASE WHEN doc_id % 5 = 1 THEN text || ' at last' ELSE text END) AS text FROM documents WHERE doc_id % 11 <> 1",
         "index_stream": "SELECT doc_id, md5(CASE WHEN doc_id % 5 = 1 THEN text || ' again' ELSE text END) AS text FROM documents WHERE doc_id % 7 <> 1",

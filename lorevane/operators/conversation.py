@@ -35,10 +35,14 @@ def intent_of(label: Column) -> Column:
     return out.otherwise(FALLBACK)
 
 
+#: Words that ask for information, and for something to be done.
+ASKS, DO_IT = "多少錢|要錢|費用|補助|怎麼|規定|期限|門檻|\\?|？", "幫我"
+
+
 def keyword_intent(text: Column) -> Column:
     """A label from key words, in place of a model: asking for something to be done, for information, or too little."""
-    asks = text.rlike("多少錢|要錢|費用|補助|怎麼|規定|期限|門檻|\\?|？")
-    return F.when(text.rlike("幫我") & ~asks, "ACTION").when(F.length(T.strip(text)) <= 4, "CLARIFY").when(asks, "ACADEMIC").otherwise("FALLBACK")
+    asks = text.rlike(ASKS)
+    return F.when(text.rlike(DO_IT) & ~asks, "ACTION").when(F.length(T.strip(text)) <= 4, "CLARIFY").when(asks, "ACADEMIC").otherwise("FALLBACK")
 
 
 def route(turns: DataFrame, label: Column | None = None, classifier: Callable[[Column], Column] = keyword_intent, text: str = "text") -> DataFrame:
@@ -113,7 +117,8 @@ def carry_conditions(turns: DataFrame, thread: str = "conv_id", turn: str = "tur
 
 
 def expansion(turns: DataFrame, colleges: DataFrame | None = None, thread: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """turns with expanded: the question, what was asked last before it, the conditions that hold, and the terms above them.
+    """turns with expanded: the question, what was asked last before it, the conditions that hold, and the terms above them;
+    and with the conditions themselves: department, degree and, if known, college.
 
     The earlier question is carried where this turn only adds a condition, that is names a department or degree and little
     else. colleges(department, college) adds the department's college.
@@ -129,7 +134,7 @@ def expansion(turns: DataFrame, colleges: DataFrame | None = None, thread: str =
         held = held.withColumn("__college", F.lit(None).cast("string"))
     parts = F.array(F.coalesce("__asked", "__before"), F.col("department"), F.col("__college"), F.coalesce("degree", F.lit(GENERAL)))
     kept = F.array_distinct(F.filter(F.transform(parts, T.strip), lambda x: x.isNotNull() & (x != "")))
-    return held.select(*turns.columns, "department", "degree", F.array_join(kept, " ").alias("expanded"))
+    return held.select(*turns.columns, "department", "degree", F.col("__college").alias("college"), F.array_join(kept, " ").alias("expanded"))
 
 
 def response(body: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 WINDOW, TOP, KEPT, BATCH = 3, 15, 8, 5
+#: Cosines that agree in so many digits are equal.
+DIGITS = 10
 #: The replies without evidence and after an error.
 NOT_FOUND = "目前系統的參考文件中未包含此資訊。"
 FAILED = "系統在檢索法規與常見問題時發生錯誤，請稍後再試。"
@@ -47,8 +49,12 @@ def windows_of(sents: Column, size: int = WINDOW) -> Column:
 
 def document_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """key, ord, sent, window of every sentence of docs. A document is one row, so nothing is shuffled."""
-    both = once(sentence_list(F.col(text)), lambda a: F.transform(a, lambda s, i: F.struct(s.alias("sent"), _window(a, i, size).alias("window"))))
-    return docs.select(F.col(key), F.posexplode(both).alias("ord", "__one")).select(key, "ord", "__one.sent", "__one.window")
+    return docs.select(F.col(key), F.explode(windows_with_sentences(F.col(text), size)).alias("__one")).select(key, "__one.ord", "__one.sent", "__one.window")
+
+
+def windows_with_sentences(text: Column, size: int = WINDOW) -> Column:
+    """An array of (ord, sent, window) of a text's sentences."""
+    return once(sentence_list(text), lambda a: F.transform(a, lambda s, i: F.struct(i.alias("ord"), s.alias("sent"), _window(a, i, size).alias("window"))))
 
 
 def sentence_windows(sents: DataFrame, key: str = "doc_id", size: int = WINDOW) -> DataFrame:
@@ -108,7 +114,7 @@ def scorer(k: int):
             left, right = unit(asked["embedding"]), unit(held["embedding"]).T
             most = min(k, right.shape[1])
             for first in range(0, len(left), _AT_ONCE):
-                found = np.round(left[first : first + _AT_ONCE] @ right, 12)  # equal vectors must tie
+                found = np.round(left[first : first + _AT_ONCE] @ right, DIGITS)  # equal vectors must tie
                 found[np.isnan(found)] = -np.inf
                 least = np.partition(found, -most, axis=1)[:, -most]
                 query, node = np.nonzero((found >= least[:, None]) & (found > -np.inf))
@@ -191,6 +197,23 @@ def without_noise(passages: DataFrame, text: str = "text", words: tuple[str, ...
     return passages.where(~_any(said.contains(w) for w in words))
 
 
+def without_superseded(passages: DataFrame, by: str, topic: Column, labels: Column) -> DataFrame:
+    """passages without those of an earlier year than another one of the same key and topic has in its labels (its file's
+    name and text, say); a passage without a year is the oldest. Topics where none has a year stay as they are."""
+    year = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(labels, "(\\d{2,4})\\s*學年", 1), F.lit("")), F.lit("9999")), F.lit(-1))
+    w = Window.partitionBy(by, "__topic")
+    dated = passages.withColumns({"__topic": topic, "__year": year})
+    return dated.withColumn("__latest", F.max("__year").over(w)).where("__year = __latest").drop("__topic", "__year", "__latest")
+
+
+def nearest_level(passages: DataFrame, by: str, text: Column, levels: list[Column]) -> DataFrame:
+    """passages without those that name a level above another one's: levels are the names of a question's department, its
+    college and so on upwards, null where unknown. A passage that names none of them holds on every level and stays."""
+    level = F.coalesce(*(F.when(text.contains(name), i) for i, name in enumerate(levels)))
+    near = passages.withColumn("__level", level).withColumn("__nearest", F.min("__level").over(Window.partitionBy(by)))
+    return near.where("__level IS NULL OR __level = __nearest").drop("__level", "__nearest")
+
+
 def _any(tests) -> Column:
     out = F.lit(False)
     for t in tests:
