@@ -88,7 +88,8 @@ def blocks(words: DataFrame, block: int = BLOCK) -> DataFrame:
     keyed = words.select("word", F.length("word").alias("length"), kept(GROUPS[0]).alias("g1"), kept(GROUPS[1]).alias("g2"))
     many = keyed.groupBy("length", "g1", "g2").agg(F.ceil(F.count("*") / block).alias("many"))
     dealt = keyed.join(many, ["length", "g1", "g2"]).withColumn("b", F.pmod(F.xxhash64("word"), F.col("many")))
-    return dealt.groupBy("length", "g1", "g2", "b").agg(F.collect_list("word").alias("words"))
+    # By all four: else the words of one key would meet in the task that looked up `many`.
+    return dealt.repartition("length", "g1", "g2", "b").groupBy("length", "g1", "g2", "b").agg(F.collect_list("word").alias("words"))
 
 
 #: (longer by, more of the first group, more of the second) of the blocks that a block is paired with, besides itself.
