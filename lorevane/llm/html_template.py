@@ -6,16 +6,17 @@ how many different pages of a host each hash occurs. What recurs is the site's t
 
 * a subtree with the same text on PAGES pages and a SHARE of the host's pages. Inside an article its surroundings must differ,
   so that copied articles stay, and for prose (headings, paragraphs and the like) the share is HALF;
-* a subtree of the same shape on so many pages whose class, id or role is that of boilerplate, or that is mostly links;
+* outside an article, a subtree of the same shape on so many pages that is mostly links;
 * beside an article, a subtree of the same shape on HALF of the pages, whatever its text: a slot of the site.
 
 Elements that HTML itself defines as what is not wanted (nav, footer, aside, form, header outside an article ...) go on any
-page. Hosts with fewer than PAGES different pages have no counts: there the article or main element decides, where a page
-has one, and class words outside of it.
+page of any host, and so do those whose class, id or role names boilerplate or comments, but for headings and paragraphs
+of an article. Hosts with fewer than PAGES different pages have no counts: there the article or main element decides, where
+a page has one, what else is kept.
 
 What is left is read in blocks: character references are decoded, white space in a block becomes one space, blocks are
 joined by an empty line. Null and empty html gives empty text. A null url is a host of its own name ''. Broken markup is
-read as far as it can be, at any depth. Repeated rows count as one page. Very long pages are read whole. An empty table
+read as far as it can be, at any depth, in a time that grows with the page. Repeated rows count as one page. Very long pages are read whole. An empty table
 gives an empty result. Extra columns are dropped.
 """
 
@@ -42,6 +43,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = ("script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "math", "xmp", "noframes")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody thead figcaption ul ol dl table figure hr".split())
+_SAID = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _GONE = frozenset("nav footer aside form head select button menu dialog object audio video canvas fieldset input option datalist".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Words in class, id or role that name boilerplate anywhere, those that do so outside an article only, and comments.
@@ -49,13 +51,85 @@ _BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising sponso
 _OUTSIDE = frozenset("header masthead topbar banner notice notices alert popup modal subscription related recommended reply replies respond discussion widget search complementary aside".split())
 _COMMENTS = frozenset("comment comments".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
+_RAW_OPEN = re.compile("(" + "|".join(_RAW) + r")\b", re.I)
+_RAW_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
+_NAME_END, _SPECIAL, _LETTER = re.compile(r"[\s/>]"), re.compile("[\"'>]"), re.compile("/?[a-zA-Z]")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NO_MARKS: frozenset[str] = frozenset()
 
 
+class _Ahead:
+    """Where a pattern is found next: what lies between is read once, however often it is asked for."""
+
+    def __init__(self, pattern: re.Pattern, page: str) -> None:
+        self.pattern, self.page, self.asked, self.found = pattern, page, 0, -1
+
+    def next(self, at: int) -> int:
+        """The first match from `at` on, the length of the page without one."""
+        if not self.asked <= at <= self.found:
+            m = self.pattern.search(self.page, at)
+            self.asked, self.found = at, m.start() if m else len(self.page)
+        return self.found
+
+
+def tokens(page: str) -> Iterator[tuple[str, str | None, bool]]:
+    """(text, None, False), or the attributes, name and whether it is an end tag, of what a page consists of.
+
+    Comments, declarations and elements without markup inside are left out. A tag ends at the first > outside quotes; one
+    that has none is text. No part of the page is read more than a few times: what was found not to end is remembered.
+    """
+    n, at, last = len(page), 0, page.rfind(">")
+    name_end, special = _Ahead(_NAME_END, page), _Ahead(_SPECIAL, page)
+    quote = {q: page.rfind(q) for q in "\"'"}
+    endless: set[int] = set()  # marks outside quotes from which no end of a tag is reached
+
+    def end_of_tag(p: int) -> int:
+        passed = []
+        while True:
+            p = special.next(p)
+            if p >= n or p in endless:
+                break
+            if page[p] == ">":
+                return p
+            passed.append(p)
+            if quote[page[p]] == p:
+                break
+            p = page.find(page[p], p + 1) + 1
+        endless.update(passed)
+        return -1
+
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            yield page[at:], None, False
+            return
+        if start > at:
+            yield page[at:start], None, False
+        at = start + 1
+        if page.startswith("!--", at):
+            found = page.find("-->", at + 3)
+            at = found + 3 if found >= 0 else n
+            continue
+        if start < last:
+            if m := _LETTER.match(page, at):
+                close = m.group()[0] == "/"
+                raw = None if close else _RAW_OPEN.match(page, at)
+                word = raw.end() if raw else name_end.next(m.end())
+                stop = end_of_tag(word)
+                if stop >= 0:
+                    if raw:
+                        closed = _RAW_CLOSE[raw[1].lower()].search(page, stop)
+                        at = closed.end() if closed else n
+                    else:
+                        yield page[word:stop], page[m.end() - 1 : word].lower(), close
+                        at = stop + 1
+                    continue
+            if page[at : at + 1] in ("!", "?", "/"):
+                at = page.find(">", at) + 1
+                continue
+        yield "<", None, False
+
+
 class Page:
     """The elements of a page in document order: names, class words (marks), parents, and children (numbers of elements, or texts).
 
@@ -66,37 +140,32 @@ class Page:
     def __init__(self, page: str) -> None:
         self.names, self.marks, self.parents, self.children = ["#root"], [_NO_MARKS], [-1], [[]]
         names, stack = self.names, [0]
-        count: dict[str, int] = {}  # open elements by name
+        places: dict[str, list[int]] = {}  # where in the stack elements of a name are
+        blocks = [0]  # and where those that are not inline
 
         def pop(k: int) -> None:
-            for e in stack[k:]:
-                count[names[e]] -= 1
+            for e in reversed(stack[k:]):
+                places[names[e]].pop()
+                if names[e] not in _INLINE:
+                    blocks.pop()
             del stack[k:]
 
+        def last(some: tuple) -> int:
+            return max((places[n][-1] for n in some if places.get(n)), default=0)
+
         def end(ends: tuple, until: tuple) -> None:
-            if any(count.get(n) for n in ends):
-                for k in range(len(stack) - 1, 0, -1):
-                    if names[stack[k]] in ends:
-                        return pop(k)
-                    if names[stack[k]] in until:
-                        return None
-
-        for m in _TOKEN.finditer(page):
-            text = m["text"]
-            if text is not None:
-                self.children[stack[-1]].append(text)
-                continue
-            if m["name"] is None:
+            k = last(ends)
+            if k > last(until):
+                pop(k)
+
+        for said, name, close in tokens(page):
+            if name is None:
+                self.children[stack[-1]].append(said)
                 continue
-            name = m["name"].lower()
-            if m["close"]:
-                if count.get(name):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if names[stack[k]] == name:
-                            pop(k)
-                            break
-                        if name in _INLINE and names[stack[k]] not in _INLINE:
-                            break  # an inline end tag does not end blocks
+            if close:
+                k = last((name,))
+                if k and (name not in _INLINE or blocks[-1] < k):  # an inline end tag does not end blocks
+                    pop(k)
                 continue
             if name in _CLOSES_P:
                 end(("p",), ("td", "th", "li", "button", "table"))
@@ -110,13 +179,14 @@ class Page:
                 end(("tr",), ("table",))
             elif name == "body":
                 end(("head",), ())
-            attrs = m["attrs"]
-            marks = frozenset(w for g in _NAMED.findall(attrs) for w in re.findall(r"[a-z]+", "".join(g).lower())) if attrs and "=" in attrs else _NO_MARKS
+            marks = frozenset(w for g in _NAMED.findall(said) for w in re.findall(r"[a-z]+", "".join(g).lower())) if "=" in said else _NO_MARKS
             self.children[stack[-1]].append(len(names))
             names.append(name), self.marks.append(marks), self.parents.append(stack[-1]), self.children.append([])
             if name not in _VOID:
+                places.setdefault(name, []).append(len(stack))
+                if name not in _INLINE:
+                    blocks.append(len(stack))
                 stack.append(len(names) - 1)
-                count[name] = count.get(name, 0) + 1
         n = len(names)
         self.inside = [False] * n  # whether an article, or main, is around the element
         self.holds = [False] * n  # whether one is within it
@@ -197,15 +267,14 @@ def main_text(source: str, template: dict[int, float] | None = None) -> str:
             return name == "article" and bool(marks & _COMMENTS)
         if name in _GONE or (name == "header" and not inside):
             return True
-        named = marks & _BOILERPLATE or (not inside and marks & _OUTSIDE)
-        if not counted:
-            return bool(named)
+        if (marks & _BOILERPLATE or (not inside and marks & _OUTSIDE)) and not (inside and name in _SAID and not marks & _COMMENTS):
+            return True
         if not template or not page.may_go(e):
             return False
         if template.get(_number(page.whole[e]), 0) >= (HALF if inside and name in _PROSE else SHARE):
             return True
         share = template.get(_number(page.shape[e]), 0)
-        return share >= SHARE and bool(named or (not inside and page.linked[e])) or share >= HALF and held and not inside
+        return share >= SHARE and not inside and page.linked[e] or share >= HALF and held and not inside
 
     blocks: list[str] = []
     line: list[str] = []

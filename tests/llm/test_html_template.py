@@ -1,9 +1,12 @@
 """Operator 6: what counts decide, and what stays."""
 
 import html
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorevane.llm import html_template
 
@@ -32,10 +35,18 @@ def test_given_pages(spark, monkeypatch, broadcast):
     assert got == {r["page_id"]: plain(r["html"]) for r in pages.collect()}
 
 
-def test_counts_decide_on_the_given_pages(spark):
-    """Without what recurs, adverts would stay; so the counts take them out, not the article around the rest."""
-    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
-    assert sum(html_template.main_text(r["html"], {}) != plain(r["html"]) for r in rows) > 0.9 * len(rows)
+def test_counts_alone_take_out_what_recurs_on_the_given_pages(spark):
+    """Without any class word the counts of subtrees leave the article of every page; without counts as well, of none."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    template = {}
+    for r in html_template.templates(pages.select("html", html_template.host(F.col("url")).alias("host"))).where("subtree IS NOT NULL").collect():
+        template.setdefault(r["host"], {})[r["subtree"]] = r["share"]
+    rows = pages.where("page_id % 5 = 0").collect()
+    with pytest.MonkeyPatch.context() as m:
+        for words in ("_BOILERPLATE", "_OUTSIDE"):
+            m.setattr(html_template, words, frozenset())
+        assert all(html_template.main_text(r["html"], template[r["url"].split("/")[2].lower()]) == plain(r["html"]) for r in rows)
+        assert all(html_template.main_text(r["html"], {}) != plain(r["html"]) for r in rows)
 
 
 def test_neutral_names_beside_an_article(spark):
@@ -61,6 +72,38 @@ def test_comments_and_adverts_in_articles_go(spark):
     assert extracted(spark, [(f"http://h/{i}", page(i)) for i in range(7)] + [("http://lonely/", page(7))]) == {i: f"Text {i}." for i in range(8)}
 
 
+def test_class_words_do_not_wait_for_counts(spark):
+    """A sidebar and comments that only one page has, on a host of one page and among twelve others."""
+    page = lambda i: f"<main><p>Main {i}</p></main>"
+    odd = "<main><div class='sidebar'>Side 50</div><p>Main 50</p><div class='comments'>reader says</div><p class=share>Shared by few</p></main>"
+    got = extracted(spark, [(f"http://h/{i}", page(i)) for i in range(12)] + [("http://h/50", odd), ("http://lonely/50", odd)])
+    assert got == {i: f"Main {i}" for i in range(12)} | {12: "Main 50\n\nShared by few", 13: "Main 50\n\nShared by few"}
+
+
+HOSTILE = ["<script ", "<a ", '<a "', "<a '\"", "<a<a", "<!x", "</", "<!--", '<a "x" ', "<p><table><span><div>", "<td>", "<li><b>", "&", "<b><div></b>", "class=\"", "<a class=' "]
+
+
+@pytest.mark.parametrize("tail", ["", ">", "\"'>"])
+@pytest.mark.parametrize("part", HOSTILE)
+def test_hostile_markup_takes_no_longer_than_its_length(part, tail):
+    page = lambda n: part * (n // len(part)) + tail
+    began = time.process_time()
+    html_template.main_text(page(500_000))
+    assert time.process_time() - began < 10
+
+
+def test_tags_are_found_as_a_pattern_finds_them():
+    """The scanner against one regular expression over small pages of broken markup."""
+    raw = "|".join(html_template._RAW)
+    pattern = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{raw})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
+    parts = ["<p>", "</p>", "<a href=x>", "</a>", "text ", "<", "<!--", "-->", "<script>", "</script >", "<script src='a>b'>", "'", '"', ">", "<br/>", "<img alt=\"a>b\">", "<!doctype x>", "</ x>", "<?php ?>", "<p ", "<STYLE>", "</style>", "<style-x>", "\n"]
+    rng = random.Random(3)
+    for _ in range(4000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        want = [(m["text"], None, False) if m["text"] is not None else (m["attrs"], m["name"].lower(), m["close"] == "/") for m in pattern.finditer(page) if m["text"] is not None or m["name"] is not None]
+        assert list(html_template.tokens(page)) == want, page
+
+
 def test_copied_articles_stay(spark):
     same = "<article><h1>News</h1><p>Copied everywhere</p><ul><li>Point</ul></article>"
     pages = [("http://h/", f"<div>Menu {i}</div>{same}<footer>f</footer>") for i in range(9)] + [("http://g/", f"<div>Menu</div>{same}")] * 9
