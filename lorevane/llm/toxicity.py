@@ -7,7 +7,8 @@ a logistic function of the expected number of toxic tokens and of the largest ma
 Runs of tokens with a marginal of at least SPAN are returned as offsets in code points.
 
 The training rows are a bounded sample: TRAIN_DOCS labelled documents of each class at most, in the order of the hashes of
-their doc_id, as long as the class stays within TRAIN_BYTES of text; texts are learned whole, long ones included. Of
+their doc_id, until the class has TRAIN_BYTES of text; texts are learned whole. Those of over a sixteenth of that come after
+all others, and one that is longer than all of it is left out by itself, so that it takes no other row's place. Of
 several texts with one id the one with the smallest hash is used. Scoring has no bound. Null and empty texts have no tokens and
 get the score of a text without toxic tokens. Without a toxic training row every score is near the share of toxic labels.
 Repeated rows are scored each on its own; several labels of one id count as the highest. Extra columns are dropped.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import discard, first_by_hash, materialize, remainder_of_id, sliced
 
 TRAIN_DOCS = 1000
-#: Bytes of text of each class in the sample: what the driver holds.
+#: Bytes of text of each class in the sample, passed by one text at most: what the driver holds.
 TRAIN_BYTES = 4 << 20
 FOLDS = 5
 PREFIXES = (5, 6, 7, 8, 9)
@@ -257,8 +258,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     # At most 2 * TRAIN_DOCS rows, whatever the tables' size.
     one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.coalesce(F.min_by("text", F.xxhash64("text")), F.lit("")).alias("text"))
     held = materialize(one.select("doc_id", "toxic", "text", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("place")))
-    running = F.sum("n").over(Window.partitionBy("toxic").orderBy("place", "doc_id"))
-    rows = held.withColumn("so_far", running).where(F.col("so_far") <= TRAIN_BYTES).select("text", "toxic").collect()
+    before = F.sum("n").over(Window.partitionBy("toxic").orderBy(F.col("n") > TRAIN_BYTES // 16, "place", "doc_id")) - F.col("n")
+    rows = held.where(F.col("n") <= TRAIN_BYTES).withColumn("before", before).where(F.col("before") < TRAIN_BYTES).select("text", "toxic").collect()
     discard(held)
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
     return fit(sorted((r["text"], int(r["toxic"])) for r in rows), prior)

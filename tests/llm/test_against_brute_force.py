@@ -90,7 +90,7 @@ def test_toxicity_learns_from_long_texts_and_one_text_of_an_id(spark, monkeypatc
     """The rows that are learned from, against a plain choice: whole texts up to the bound, in the order of hashes."""
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    rows = [(i, " ".join(word() for _ in range(3000 if i % 7 == 0 else 20)) + (" vileword" if i % 2 else "")) for i in range(60)]
+    rows = [(i, " ".join(word() for _ in range(6000 if i % 21 == 0 else 1500 if i % 7 == 0 else 20)) + (" vileword" if i % 2 else "")) for i in range(60)]
     rows += [(i, f"another text {i}") for i in range(0, 60, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
@@ -107,11 +107,29 @@ def test_toxicity_learns_from_long_texts_and_one_text_of_an_id(spark, monkeypatc
     want = []
     for label in (0, 1):
         size = 0
-        for i in sorted((i for i in one if i % 2 == label), key=lambda i: hashed[one[i]][1]):
-            size += len(one[i])
-            if size <= 30_000:
+        for i in sorted((i for i in one if i % 2 == label and len(one[i]) <= 30_000), key=lambda i: (len(one[i]) > 30_000 // 16, hashed[one[i]][1])):
+            if size < 30_000:
                 want.append((one[i], label))
-    assert used[0] == used[1] == sorted(want) and max(len(t) for t, _ in want) > 15_000
+            size += len(one[i])
+    assert used[0] == used[1] == sorted(want) and 10_000 < max(len(t) for t, _ in want) < 30_000 < max(map(len, one.values()))
+
+
+def test_one_long_text_takes_no_other_rows_place(spark):
+    """A toxic text of 5 MB, first in the order of hashes: what the others teach stays."""
+    rng = random.Random(6)
+    plain = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)) for _ in range(200)]
+    rows = [(i, t + (" vileword of hate" if i % 2 else "")) for i, t in enumerate(plain)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    place = {r["i"]: r["h"] for r in spark.range(200).select(F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h")).collect()}
+    first = min((i for i in range(1, 200, 2) if zlib.crc32(str(i).encode()) % 5), key=place.get)
+    signed = min((i for i in range(1, 200, 2) if zlib.crc32(str(i).encode()) % 5), key={r["id"]: r["h"] for r in spark.range(200).select("id", F.xxhash64("id").alias("h")).collect()}.get)
+    for long in {first, signed}:
+        docs = spark.createDataFrame([(i, t * 30_000 if i == long else t) for i, t in rows], "doc_id long, text string")
+        assert len(rows[long][1]) * 30_000 > toxicity.TRAIN_BYTES
+        model = toxicity.train(docs, labels)
+        assert b"vileword" in model.weights
+        held = [r for r in toxicity.score(docs.where(F.col("doc_id") != long), model).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+        assert all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in held)
 
 
 def test_splits_are_the_best_ones():
