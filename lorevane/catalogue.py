@@ -205,6 +205,20 @@ def chat_answers(spark, sf_dir):
     return _shown(A.chat(requests, path, models, colleges=colleges))
 
 
+def chat_stream(spark, sf_dir):
+    """The same questions as a stream in three parts, each with the threads' earlier turns as its history."""
+    from .plans import streams
+
+    docs, requests, models, colleges = _sources_of_chat(spark, sf_dir)
+    path, folder, log, out, checkpoint = (working_folder(spark) for _ in range(5))
+    A.index(docs, path, models)
+    for part in ("turn < 2", "turn >= 2 AND turn < 4", "turn >= 4"):
+        requests.where(part).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(requests.schema).parquet(folder)
+        streams.answer_stream(stream, path, log, out, checkpoint, models=models, colleges=colleges).awaitTermination()
+    return _shown(spark.read.parquet(out))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_answer(spark, sf_dir)
 
@@ -587,14 +601,26 @@ def history_stream(spark, sf_dir):
     return history_to_table(spark, f"{sf_dir}/conversations.parquet", "role = 'user'")
 
 
+def history_corrections(spark, sf_dir):
+    """history_last3 over turns that come in three parts, a third of each thread's turns in each, so most come late."""
+    from .plans import streams
+
+    turns = _user_turns(spark, sf_dir).select("conv_id", "turn", "text", F.timestamp_seconds(F.lit(1_000_000_000) + F.col("turn") * 60).alias("at"))
+    folder, out, checkpoint = (working_folder(spark) for _ in range(3))
+    for part in range(3):
+        turns.where((F.col("turn") * 7 + F.col("conv_id")) % 3 == part).write.mode("append").parquet(folder)
+        streams.corrections_to_table(spark, folder, checkpoint, out)
+    return streams.newest_revisions(spark, out)
+
+
 _QUERIES = [
-    sentence_window, topk_cosine, topk_index, index_upkeep, index_stream, dual_retrieval_merge, rerank_batches, retrieval_answer, chat_answers, ordered_sources, source_labels, label_file_name,
+    sentence_window, topk_cosine, topk_index, index_upkeep, index_stream, dual_retrieval_merge, rerank_batches, retrieval_answer, chat_answers, chat_stream, ordered_sources, source_labels, label_file_name,
     cited_answers, paired_sources, latest_rules, noise_filter, inherited_rules, apologies, prompt_fill,
     history_last3, last_result, appended_results, last_three, intent_route, keyword_route, clarify_needed, query_expansion, reply_json, response_decode, page_concat, page_carry, page_fold, message_log,
     link_resolve, link_first_writer, link_filter, blacklist, link_names, link_tally, stored_downloads, fetch_pages, anti_existing, url_quote, text_clean,
     text_lines, page_titles, image_base64, density_gate, density_semi, parse_files, table_cells, has_tables, loadable_files, ingest_routes, transcript_cache, index_swap, index_freshness,
     span_expand, html_timetable, course_cells, pivot_fixed_domain, grid_fill, keyed_accumulate, chunk3, parse_lists, latest_mtime,
-    history_stream,
+    history_stream, history_corrections,
 ]
 
 
@@ -657,7 +683,7 @@ q AS MATERIALIZED (SELECT conv_id, turn, k, {_COUNTS.replace("%s", "low")} AS v
 f AS (SELECT conv_id, turn, k, node_id, row_number() OVER (PARTITION BY conv_id, turn, k ORDER BY c DESC, node_id) AS pos FROM (SELECT conv_id, turn, k, node_id, round(list_cosine_similarity(v.v, q.v), {R.DIGITS}) AS c FROM q, v) QUALIFY pos <= {R.TOP}),
 m AS (SELECT conv_id, turn, node_id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(pos + 1000 * k)) AS pos FROM f GROUP BY conv_id, turn, node_id),
 g AS (SELECT m.*, s.w, s.file, e.department, e.college, row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(len(list_intersect({_WORDS % 'e.x'}, {_WORDS % 's.sent'})) / nullif(len({_WORDS % 'e.x'}), 0), 0) DESC, pos) AS rank FROM m JOIN s USING (node_id) JOIN e USING (conv_id, turn) QUALIFY rank <= {R.KEPT}),
-y AS (SELECT *, regexp_replace(file, '[0-9]{{2,4}}\\s*學年度?', '', 'g') AS topic, coalesce(TRY_CAST(nullif(regexp_extract(file || ' ' || w, '([0-9]{{2,4}})\\s*學年', 1), '') AS INT), -1) AS year FROM g WHERE NOT regexp_matches(w, '{"|".join(R.NOISE)}')),
+y AS (SELECT *, trim(regexp_replace(file, '[0-9]{{2,4}}\\s*學年度?', '', 'g')) AS topic, coalesce(TRY_CAST(nullif(regexp_extract(file || ' ' || w, '([0-9]{{2,4}})\\s*學年', 1), '') AS INT), -1) AS year FROM g WHERE NOT regexp_matches(w, '{"|".join(R.NOISE)}')),
 l AS (SELECT *, CASE WHEN contains(w, department) THEN 0 WHEN contains(w, college) THEN 1 WHEN contains(w, '全校') THEN 2 END AS level FROM y QUALIFY year = max(year) OVER (PARTITION BY conv_id, turn, topic)),
 p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY regexp_matches(file, '{"|".join(R.FAQ)}'), rank) AS place FROM (SELECT * FROM l QUALIFY level IS NULL OR level = min(level) OVER (PARTITION BY conv_id, turn))),
 a AS (SELECT conv_id, turn, string_agg(w, chr(10) ORDER BY place) AS answer FROM p GROUP BY ALL),
@@ -759,12 +785,14 @@ FROM (SELECT event_id, event_type, CASE WHEN starts_with(said, '[') THEN CAST(re
         "sentence_window": f"SELECT doc_id, ord, string_agg(sent, ' ') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS \"window\" FROM ({_SENTENCES})",
         "topk_cosine": f"SELECT query_id, node_id, round(score, 6) AS score, pos FROM ({_top('q.vec_id % 20 = 0')})",
         "chat_answers": _CHAT,
+        "chat_stream": _CHAT,
         "topk_index": f"SELECT query_id, node_id, round(score, 6) AS score, pos FROM ({_top('q.vec_id % 20 = 0', _AROUND_LABELS)})",
         "index_upkeep": "SELECT doc_id, md5(CASE WHEN doc_id % 5 = 1 THEN text || ' at last' ELSE text END) AS text FROM documents WHERE doc_id % 11 <> 1",
         "index_stream": "SELECT doc_id, md5(CASE WHEN doc_id % 5 = 1 THEN text || ' again' ELSE text END) AS text FROM documents WHERE doc_id % 7 <> 1",
         "ordered_sources": f"SELECT lang, string_agg(label, ';' ORDER BY p) AS sources FROM (SELECT lang, label, min(doc_id) AS p FROM (SELECT lang, doc_id, {_LABEL} AS label FROM documents) GROUP BY lang, label) GROUP BY lang",
         "source_labels": f"SELECT doc_id, {_LABEL} AS label FROM documents",
         "history_last3": "SELECT conv_id, turn, string_agg(text, ' -> ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS history FROM conversations WHERE role = 'user'",
+        "history_corrections": "SELECT conv_id, turn, string_agg(text, ' -> ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS history FROM conversations WHERE role = 'user'",
         "history_stream": "SELECT conv_id, turn, string_agg(text, ' -> ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS history FROM conversations WHERE role = 'user'",
         "last_result": "SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id",
         "appended_results": "SELECT conv_id, string_agg(text, chr(1) ORDER BY turn) AS texts FROM conversations GROUP BY conv_id",

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.conversation import NO_HISTORY
 
@@ -37,6 +38,67 @@ def running_history(turns: DataFrame, thread: str = "conv_id", turn: str = "turn
     return renamed.groupBy(thread).applyInPandasWithState(run, f"{thread} {kinds[thread]}, {turn} {kinds[turn]}, history string", f"turns array<{kinds[turn]}>, held array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+class _Corrected(StatefulProcessor):
+    """The turns of a thread that may still get a neighbour, in order, and how often the thread has been told of."""
+
+    def __init__(self, schema: str, names: tuple[str, str], n: int, horizon: int) -> None:
+        self.schema, self.names, self.n, self.horizon = schema, names, n, horizon
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.turns = handle.getListState("turns", self.schema)
+        self.revision = handle.getValueState("revision", "revision long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = {t: (t, at, text) for t, at, text in self.turns.get()}
+        came = set()
+        for frame in rows:
+            for turn, at, text in zip(frame["turn"].tolist(), frame["at"].tolist(), frame["text"].tolist()):
+                held[turn] = (turn, at, text)
+                came.add(turn)
+        order = sorted(held)
+        told = sorted({j for i, t in enumerate(order) if t in came for j in range(i, min(i + self.n, len(order)))})
+        revision = (self.revision.get()[0] if self.revision.exists() else 0) + 1
+        self.revision.update((revision,))
+        self._keep([held[t] for t in order])
+        said = lambda j: " -> ".join(x for x in (held[t][2] for t in order[max(0, j - self.n + 1) : j + 1]) if x is not None) or NO_HISTORY
+        yield pd.DataFrame({self.names[0]: [key[0]] * len(told), self.names[1]: [order[j] for j in told], "history": [said(j) for j in told], "revision": revision})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Drop the turns that no late one can follow closely any more."""
+        over = timerValues.getCurrentWatermarkInMs() - self.horizon
+        held = sorted(self.turns.get())
+        first = next((i for i, (_, at, _) in enumerate(held) if at > over), len(held))
+        self._keep(held[max(0, first - self.n + 1) :])
+        return iter([])
+
+    def _keep(self, held: list[tuple]) -> None:
+        self.turns.put(held)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(held) >= self.n:  # fewer are kept as long as the thread lives
+            self.handle.registerTimer(held[self.n - 1][1] + self.horizon + 1)
+
+
+def corrected_history(turns: DataFrame, thread: str = "conv_id", turn: str = "turn", text: str = "text", time: str = "at", n: int = 3, horizon: int = 3_600_000) -> DataFrame:
+    """thread, turn, history, revision for a stream of turns with a watermark on `time`: the last n texts of the thread.
+
+    A turn that comes after its followers is put in its place, and they are told of again under a higher revision, so that
+    the rows with the highest revision are those of the batch operator `recent`. A turn that comes twice counts as its
+    last. State is a list of turns: those younger than the watermark less `horizon` milliseconds, and the n - 1 before them;
+    an event-time timer drops the others. The stream's watermark leaves out turns that are later than its delay. Turns must
+    be ordered as their times are. Runs on the RocksDB state store.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in turns.schema.fields}
+    given = turns.select(F.col(thread), F.col(turn).alias("turn"), F.unix_millis(F.col(time).cast("timestamp")).alias("at"), F.col(text).alias("text"), F.col(time).alias("__time"))
+    processor = _Corrected(f"turn {kinds[turn]}, at long, text string", (thread, turn), n, horizon)
+    return given.groupBy(thread).transformWithStateInPandas(processor, f"{thread} {kinds[thread]}, {turn} {kinds[turn]}, history string, revision long", "Update", "EventTime")
+
+
+#: The state store that transformWithStateInPandas needs.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def ingest(files: DataFrame, store, checkpoint: str):
     """Run store(batch, number) over files that a file stream has not seen yet; the checkpoint is the marker."""
     return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

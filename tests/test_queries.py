@@ -39,43 +39,38 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_chat_equals_a_plain_version(spark):
-    """The one query without SQL, against loops over the same rows."""
-    import hashlib
+def test_rules_on_passages(spark):
+    """Years, levels and kinds of source: what an answer leaves out, and in what order the rest stands."""
+    from pyspark.sql import functions as F
+
+    from lorevane.plans import assistant as A
+
+    said = {
+        "113 學年度 rules.pdf": "old rules", "114 學年度 rules.pdf": "new rules", "rules.pdf": "rules without a year", "常見問題.pdf": "how to apply",
+        "fees.pdf": "管理學院 pays more", "levels.pdf": "全校 pays ten", "department.pdf": "企管系 pays least", "bank.pdf": "匯款帳號 1", "plain.pdf": "nothing named",
+    }
+    rows = [("q", i, t, {"file_name": f}, i + 1, "x", "企管系", "管理學院") for i, (f, t) in enumerate(said.items())]
+    held = spark.createDataFrame(rows, "query_id string, node_id long, text string, metadata map<string,string>, pos int, user_message string, department string, college string")
+    got = [r["text"] for r in A.evidence(held, keep=20).orderBy("place").collect()]
+    assert got == ["new rules", "企管系 pays least", "nothing named", "how to apply"]
+    college = held.withColumn("department", F.lit(None).cast("string"))
+    assert "管理學院 pays more" in [r["text"] for r in A.evidence(college, keep=20).collect()]
+
 
-    import numpy as np
+def test_a_model_that_fails(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    from lorevane.operators.conversation import GENERAL
+    from lorevane.operators.retrieval import FAILED, NOT_FOUND
     from lorevane.plans import assistant as A
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
-    turns = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").orderBy("conv_id", "turn").collect()
-    vectors = lambda texts: np.array([r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(A.hashed_words(F.col("t"))).collect()])
-    words = lambda t: set(__import__("re").findall(r"[^\W_]+", t.lower()))
-    base = vectors([d["text"] for d in docs])
-    target, asked = {}, []
-    for t in turns:
-        if len(t["text"].strip()) > 1:
-            target[t["conv_id"]] = t["text"].strip()
-        asked.append(" ".join(x for x in (t["text"], target.get(t["conv_id"]), GENERAL) if x is not None))
-    plain, wide = vectors([t["text"] for t in turns]), vectors(asked)
-    norm = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    scores = [np.round(norm(x) @ norm(base).T, 12) for x in (plain, wide)]
-    want = {}
-    for k, t in enumerate(turns):
-        if len(t["text"]) % 5 == 0:
-            answer, labels = A.CLARIFY, []
-        elif len(t["text"]) % 5 == 1:
-            answer, labels = A.NO_ACTION, []
-        else:
-            order = list(dict.fromkeys(i for s in scores for i in sorted(range(len(docs)), key=lambda i: (-s[k, i], docs[i]["doc_id"]))[:15]))
-            share = lambda i: len(words(t["text"]) & words(docs[i]["text"])) / len(words(t["text"]))
-            best = sorted(order, key=lambda i: -share(i))[:8]
-            answer, labels = "\n".join(docs[i]["text"] for i in best), list(dict.fromkeys(docs[i]["source"] for i in best))
-        want[t["conv_id"], t["turn"]] = hashlib.md5(answer.encode()).hexdigest(), ";".join(labels)
-    got = {(r["thread_id"], r["turn"]): (r["answer"], r["sources"]) for r in catalogue.queries()["chat_answers"](spark, SF).collect()}
-    assert got == want
+    models = A.Models(embed=lambda t: F.when(t.contains("broken"), None).otherwise(A.hashed_words(t)), classify=lambda t: F.lit("ACADEMIC"))
+    docs = spark.createDataFrame([(1, "Some text.", {"file_name": "a.pdf"})], "doc_id long, text string, metadata map<string,string>")
+    A.index(docs.where("false"), str(tmp_path / "none"), models)
+    A.index(docs, str(tmp_path / "one"), models)
+    asked = spark.createDataFrame([(1, 0, "broken"), (2, 0, "some")], "thread_id long, turn long, user_message string")
+    replies = lambda path: {r["thread_id"]: (r["answer"], r["sources"]) for r in A.chat(asked, str(tmp_path / path), models).collect()}
+    assert replies("one") == {1: (FAILED, []), 2: ("Some text.", ["a.pdf"])}
+    assert replies("none") == {1: (FAILED, []), 2: (NOT_FOUND, [])}
 
 
 def test_fetch(spark):

@@ -1,3 +1,5 @@
+import datetime
+
 from pyspark.sql import functions as F
 
 from lorevane.operators import conversation as C
@@ -94,3 +96,57 @@ def test_pages(spark):
     assert C.page_concat(pages, "k", "p", "t", ocr=True).where("k = 'd'").collect()[0]["text"] == "\na\n\n---\n\n\nb\n\n---\n\n\n"
     carried = C.page_carry(pages, "k", "p", "t", n=1).where("k = 'd'").orderBy("p").collect()
     assert [r["carry"] for r in carried] == ["", "a", "b"]
+
+
+def test_late_turns_correct_their_followers(spark, tmp_path):
+    """Turns over batches in any order, nulls and one turn twice: the last revisions are the batch history; timers drop old turns."""
+    from lorevane.plans import streams
+
+    turns, folder, out, checkpoint = "conv_id long, turn long, text string, at timestamp", *(str(tmp_path / x) for x in ("turns", "out", "checkpoint"))
+    at = lambda t: datetime.datetime(2026, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(minutes=t)
+    batches = [[(1, 4, "e"), (1, 0, "a"), (2, 1, None)], [(1, 2, "c"), (1, 1, "wrong")], [(2, 0, "x"), (1, 3, None), (1, 1, "b")], [(1, 5, "f")]]
+    read = lambda: {(r["conv_id"], r["turn"]): r["history"] for r in streams.newest_revisions(spark, out).collect()}
+    known = {}
+    for rows in batches:
+        spark.createDataFrame([(c, t, x, at(t)) for c, t, x in rows], turns).coalesce(1).write.mode("append").parquet(folder)
+        streams.corrections_to_table(spark, folder, checkpoint, out)
+        known |= {(c, t): x for c, t, x in rows}
+        batch = C.recent(spark.createDataFrame([(c, t, x) for (c, t), x in known.items()], "conv_id long, turn long, text string"))
+        assert read() == {(r["conv_id"], r["turn"]): r["history"] for r in batch.collect()}
+    # A watermark of ten minutes and a horizon of none: turns of an hour ago are dropped but for the two before the next.
+    folder, out, checkpoint = (str(tmp_path / f"{x}2") for x in ("turns", "out", "checkpoint"))
+    for rows in ([(1, t, f"t{t}") for t in range(5)], [(2, 100, "other")], [(2, 101, "other")], [(1, 102, "late")]):
+        spark.createDataFrame([(c, t, x, at(t)) for c, t, x in rows], turns).coalesce(1).write.mode("append").parquet(folder)
+        streams.corrections_to_table(spark, folder, checkpoint, out, delay="10 minutes", horizon=0)
+    assert read()[1, 102] == "t3 -> t4 -> late"
+    spark.conf.set(*S.ROCKSDB)
+    state = spark.read.format("statestore").option("stateVarName", "turns").load(checkpoint).select("key.conv_id", "list_element.turn").collect()
+    spark.conf.unset(S.ROCKSDB[0])
+    assert sorted(r["turn"] for r in state if r["conv_id"] == 1) in ([3, 4, 102], [4, 102])
+
+
+def test_requests_are_answered_once(spark, tmp_path):
+    """Replies of a stream equal the plan over all requests; a batch that is repeated writes nothing."""
+    from lorevane.plans import assistant as A
+    from lorevane.plans import streams
+
+    docs = spark.createDataFrame([(1, "The fee is ten. It is paid in May."), (2, "A degree takes four years."), (3, None)], "doc_id long, text string").withColumn("metadata", F.create_map(F.lit("file_name"), F.concat("doc_id", F.lit(".pdf"))))
+    models = A.Models(classify=lambda text: F.lit("ACADEMIC"))
+    path, folder, log, out, checkpoint = (str(tmp_path / x) for x in ("index", "requests", "log", "out", "checkpoint"))
+    A.index(docs, path, models)
+    asked = [(1, 0, "what is the fee"), (1, 1, "when is it paid"), (2, 0, "how many years"), (2, 1, None)]
+    schema = "thread_id long, turn long, user_message string"
+    run = lambda where: streams.answer_stream(spark.readStream.schema(schema).parquet(folder), path, log, out, where, models=models).awaitTermination()
+    for turn in (0, 1):
+        spark.createDataFrame([r for r in asked if r[1] == turn], schema).coalesce(1).write.mode("append").parquet(folder)
+        run(checkpoint)
+    shown = lambda df: sorted(map(str, df.select("thread_id", "turn", "next_agent", "answer", "sources", "reply").collect()))
+    got = shown(spark.read.parquet(out))
+    assert got == shown(A.chat(spark.createDataFrame(asked, schema), path, models)) and len(got) == 4
+    assert any("The fee is ten. It is paid in May." in r and "1.pdf" in r for r in got)
+    last = max((p for p in (tmp_path / "checkpoint" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    last.unlink()  # as if the driver had stopped before the commit: the batch comes again under its number
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+    run(checkpoint)
+    assert shown(spark.read.parquet(out)) == got and {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")} == before
