@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import tables
 from .functions import text as T
 from .operators import conversation as C
 from .operators import grids as G
@@ -516,7 +517,7 @@ def index_freshness(spark, sf_dir):
     return S.freshness(files, markers, "user_id").select("user_id", "latest", "saved", "rebuild")
 
 
-def span_expand(spark, sf_dir):
+def _cells(spark, sf_dir):
     """Each user's events of an hour as a row of cells, one to three columns wide; every second user's rows come in pairs
     under a first cell that reaches over both."""
     order = Window.partitionBy("user_id", "hour").orderBy("event_id")
@@ -524,7 +525,28 @@ def span_expand(spark, sf_dir):
     numbered = events.select("user_id", "hour").distinct().withColumn("r", (F.row_number().over(Window.partitionBy("user_id").orderBy("hour")) - 1).cast("int"))
     cells = events.join(numbered, ["user_id", "hour"]).select(F.col("user_id").alias("table_id"), "r", F.row_number().over(order).alias("ord"), F.lit(1).alias("rowspan"), (1 + F.col("event_id") % 3).cast("int").alias("colspan"), F.col("event_type").alias("text"))
     heads = numbered.where("user_id % 2 = 0 AND r % 2 = 0").select(F.col("user_id").alias("table_id"), "r", F.lit(0).alias("ord"), F.lit(2).alias("rowspan"), F.lit(1).alias("colspan"), F.concat(F.lit("from "), "hour").alias("text"))
-    return G.expand_spans(cells.unionByName(heads)).select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "text")
+    return cells.unionByName(heads)
+
+
+def span_expand(spark, sf_dir):
+    return G.expand_spans(_cells(spark, sf_dir)).select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "text")
+
+
+def span_expand_sql(spark, sf_dir):
+    """The same grid by a table function in SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT * FROM expand_spans(TABLE({cells}) PARTITION BY table_id ORDER BY (r, ord))", cells=_cells(spark, sf_dir))
+
+
+def html_links_sql(spark, sf_dir):
+    """Links in nested markup with the text of the table row around each, by a table function in SQL."""
+    tables.register(spark)
+    row = F.concat(F.lit("<tr><td>No. "), "ord", F.lit("</td><td><div><span><a class=x href='"), "href", F.lit("'><b>"), T.escape_html("txt"), F.lit("</b></a></span></div></td></tr>"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", row.alias("row")))), lambda x: x["row"]), "")
+    pages = L.anchors(_table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.concat(F.lit("<table><tr><td>all<table>"), listed, F.lit("</table></td></tr></table>")).alias("html"))
+    return spark.sql("SELECT page_id, CAST(l.ord AS BIGINT) AS ord, l.href, l.txt, l.tr_text FROM {pages}, LATERAL html_links(html) AS l", pages=pages)
+
+
 
 
 def html_timetable(spark, sf_dir):
@@ -619,7 +641,7 @@ _QUERIES = [
     history_last3, last_result, appended_results, last_three, intent_route, keyword_route, clarify_needed, query_expansion, reply_json, response_decode, page_concat, page_carry, page_fold, message_log,
     link_resolve, link_first_writer, link_filter, blacklist, link_names, link_tally, stored_downloads, fetch_pages, anti_existing, url_quote, text_clean,
     text_lines, page_titles, image_base64, density_gate, density_semi, parse_files, table_cells, has_tables, loadable_files, ingest_routes, transcript_cache, index_swap, index_freshness,
-    span_expand, html_timetable, course_cells, pivot_fixed_domain, grid_fill, keyed_accumulate, chunk3, parse_lists, latest_mtime,
+    span_expand, span_expand_sql, html_links_sql, html_timetable, course_cells, pivot_fixed_domain, grid_fill, keyed_accumulate, chunk3, parse_lists, latest_mtime,
     history_stream, history_corrections,
 ]
 
@@ -667,6 +689,10 @@ _REPLIES = "SELECT conv_id, arg_max(text, turn) AS said, arg_max(role, turn) AS
 _DEPT, _DEGREE = "(\\p{L}{2}(?:系|所))", "(學士|碩士|博士|大學部)"
 
 
+_SPANS = """WITH h AS (SELECT user_id, h, row_number() OVER (PARTITION BY user_id ORDER BY h) - 1 AS r FROM (SELECT DISTINCT user_id, hour(ts) AS h FROM events))
+SELECT user_id AS table_id, r AS row, (1 - user_id % 2) + e - w + k AS col, event_type AS text
+FROM (SELECT user_id, r, event_type, 1 + event_id % 3 AS w, sum(1 + event_id % 3) OVER (PARTITION BY user_id, r ORDER BY event_id)::BIGINT AS e FROM events JOIN h USING (user_id) WHERE hour(ts) = h), unnest([0, 1, 2]) AS u(k) WHERE k < w
+UNION ALL SELECT user_id, r + k, 0, 'from ' || h FROM h, unnest([0, 1]) AS u(k) WHERE user_id % 2 = 0 AND r % 2 = 0"""
 _COUNTS = "[" + ", ".join(f"CAST(length(%s) - length(replace(%s, '{c}', '')) AS DOUBLE)" for c in _ALPHABET) + "]"
 #: Every step of the answering plan: questions, both searches, merge, rerank, windows, rules, answers.
 _CHAT = f"""
@@ -763,10 +789,8 @@ SELECT doc_id || CASE WHEN doc_id % 4 = 0 THEN '.docx' ELSE '.pdf' END AS file_n
         "transcript_cache": "SELECT CAST(doc_id AS VARCHAR) AS path, md5(CASE WHEN doc_id % 3 = 0 THEN text || ' again' ELSE text END) AS text FROM documents",
         "index_swap": "SELECT vec_id AS node_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(2 AS DOUBLE) AS saved FROM embeddings",
         "index_freshness": f"SELECT user_id, latest, saved, coalesce(latest > saved, true) AS rebuild FROM (SELECT user_id, coalesce(max(mtime) FILTER (name <> 'view'), 0) AS latest, CASE WHEN user_id % 3 = 0 THEN max(mtime) FILTER (name = 'click') END AS saved FROM ({_FILES}) GROUP BY user_id)",
-        "span_expand": """WITH h AS (SELECT user_id, h, row_number() OVER (PARTITION BY user_id ORDER BY h) - 1 AS r FROM (SELECT DISTINCT user_id, hour(ts) AS h FROM events))
-SELECT user_id AS table_id, r AS row, (1 - user_id % 2) + e - w + k AS col, event_type AS text
-FROM (SELECT user_id, r, event_type, 1 + event_id % 3 AS w, sum(1 + event_id % 3) OVER (PARTITION BY user_id, r ORDER BY event_id)::BIGINT AS e FROM events JOIN h USING (user_id) WHERE hour(ts) = h), unnest([0, 1, 2]) AS u(k) WHERE k < w
-UNION ALL SELECT user_id, r + k, 0, 'from ' || h FROM h, unnest([0, 1]) AS u(k) WHERE user_id % 2 = 0 AND r % 2 = 0""",
+        "span_expand": _SPANS,
+        "span_expand_sql": _SPANS,
         "html_timetable": """WITH c AS (SELECT user_id, hour(ts) AS h, event_id % 7 AS d, string_agg(event_type || '#' || event_id, chr(10) ORDER BY event_id) AS raw FROM events GROUP BY 1, 2, 3),
 r AS (SELECT user_id, h, row_number() OVER (PARTITION BY user_id ORDER BY h) AS row FROM (SELECT DISTINCT user_id, h FROM c))
 SELECT user_id AS table_id, row, 3 + d AS col, CASE WHEN d = 3 THEN '未知星期(6)' ELSE 'D' || d END AS day, 'P' || h AS period, lpad(CAST(h AS VARCHAR), 2, '0') || ':00 ' || lpad(CAST(h AS VARCHAR), 2, '0') || ':50' AS time, raw AS raw_content, replace(raw, chr(10), ',') AS details FROM c JOIN r USING (user_id, h)""",
@@ -798,6 +822,7 @@ FROM (SELECT event_id, event_type, CASE WHEN starts_with(said, '[') THEN CAST(re
         "appended_results": "SELECT conv_id, string_agg(text, chr(1) ORDER BY turn) AS texts FROM conversations GROUP BY conv_id",
         "page_concat": "SELECT conv_id, string_agg(coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn) AS text, string_agg(chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS ocr_text FROM conversations GROUP BY conv_id",
         "page_carry": "SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 400), '') AS carry FROM conversations",
+        "html_links_sql": f"SELECT page_id, ord, href, {_TEXT} AS txt, 'No. ' || ord || {_TEXT} AS tr_text FROM ({_LINKS})",
         "link_resolve": f"SELECT page_id, ord, regexp_extract(url, '^[a-z]+://[^/]*') || href AS full_url FROM ({_LINKS})",
         "link_first_writer": f"SELECT name, page_id, ord FROM (SELECT {_SAFE % (_STRIP % _TEXT)} AS name, page_id, ord FROM ({_LINKS})) WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY page_id, ord) = 1",
         "anti_existing": f"WITH l AS (SELECT page_id, {_STRIP % _TEXT} AS file_name FROM ({_LINKS})) SELECT page_id, count(*) AS n FROM l WHERE file_name NOT IN (SELECT file_name FROM l WHERE page_id % 3 = 0) GROUP BY page_id",
