@@ -19,6 +19,7 @@ from .operators import vector_index as V
 from .plans import assistant as A
 from .plans.folders import working_folder
 from .sources import files as S
+from .sources import folder_source
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 #: The same white space as functions.text.WHITESPACE, as RE2 writes it.
@@ -394,6 +395,18 @@ def stored_downloads(spark, sf_dir):
     return spark.read.parquet(path).select("file_name", F.md5("content").alias("content"), F.lit(n).alias("stored"))
 
 
+def committed_files(spark, sf_dir):
+    """Link names stored twice as files by the committing sink, and read back by the data source with a filter on names."""
+    folder_source.register(spark)
+    path = working_folder(spark)
+    named = _anchors(spark, sf_dir).withColumn("file_name", T.safe_name(T.first_line("txt"))).where("file_name <> '' AND octet_length(file_name) < 200")
+    first = L.first_writer(named, "file_name", ["page_id", "ord"])
+    for content in (F.col("href"), F.concat("href", F.lit(" again"))):
+        first.select("file_name", content.cast("binary").alias("content")).write.format("folder").mode("append").save(path)
+    read = folder_source.files(spark, path, least=6).where("file_name > 'B'")
+    return read.select("file_name", "length", F.md5("content").alias("content"), "error")
+
+
 def _getter(url: str) -> tuple[int, bytes]:
     if url.endswith("3"):
         raise OSError("no route")
@@ -639,7 +652,7 @@ _QUERIES = [
     sentence_window, topk_cosine, topk_index, index_upkeep, index_stream, dual_retrieval_merge, rerank_batches, retrieval_answer, chat_answers, chat_stream, ordered_sources, source_labels, label_file_name,
     cited_answers, paired_sources, latest_rules, noise_filter, inherited_rules, apologies, prompt_fill,
     history_last3, last_result, appended_results, last_three, intent_route, keyword_route, clarify_needed, query_expansion, reply_json, response_decode, page_concat, page_carry, page_fold, message_log,
-    link_resolve, link_first_writer, link_filter, blacklist, link_names, link_tally, stored_downloads, fetch_pages, anti_existing, url_quote, text_clean,
+    link_resolve, link_first_writer, link_filter, blacklist, link_names, link_tally, stored_downloads, committed_files, fetch_pages, anti_existing, url_quote, text_clean,
     text_lines, page_titles, image_base64, density_gate, density_semi, parse_files, table_cells, has_tables, loadable_files, ingest_routes, transcript_cache, index_swap, index_freshness,
     span_expand, span_expand_sql, html_links_sql, html_timetable, course_cells, pivot_fixed_domain, grid_fill, keyed_accumulate, chunk3, parse_lists, latest_mtime,
     history_stream, history_corrections,
@@ -822,6 +835,8 @@ FROM (SELECT event_id, event_type, CASE WHEN starts_with(said, '[') THEN CAST(re
         "appended_results": "SELECT conv_id, string_agg(text, chr(1) ORDER BY turn) AS texts FROM conversations GROUP BY conv_id",
         "page_concat": "SELECT conv_id, string_agg(coalesce(text, '') || chr(10) || chr(10), '' ORDER BY turn) AS text, string_agg(chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS ocr_text FROM conversations GROUP BY conv_id",
         "page_carry": "SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 400), '') AS carry FROM conversations",
+        "committed_files": f"""SELECT name AS file_name, octet_length(encode(href)) AS length, md5(href) AS content, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT {_SAFE % (_FIRST.replace('%s', _TEXT))} AS name, href, page_id, ord FROM ({_LINKS})) WHERE name > 'B' AND octet_length(encode(name)) < 200 QUALIFY row_number() OVER (PARTITION BY name ORDER BY page_id, ord) = 1 AND octet_length(encode(href)) > 5""",
         "html_links_sql": f"SELECT page_id, ord, href, {_TEXT} AS txt, 'No. ' || ord || {_TEXT} AS tr_text FROM ({_LINKS})",
         "link_resolve": f"SELECT page_id, ord, regexp_extract(url, '^[a-z]+://[^/]*') || href AS full_url FROM ({_LINKS})",
         "link_first_writer": f"SELECT name, page_id, ord FROM (SELECT {_SAFE % (_STRIP % _TEXT)} AS name, page_id, ord FROM ({_LINKS})) WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY page_id, ord) = 1",
