@@ -620,6 +620,18 @@ def parse_lists(spark, sf_dir):
     return parsed.select("event_id", F.coalesce(F.get("list", 0)["day"], F.concat(F.lit("text "), "event_type")).alias("day"), F.array_join(F.get("list", 0)["details"], ",").alias("details"))
 
 
+_MIXED = """CASE event_id % 7 WHEN 0 THEN event_type WHEN 1 THEN '[[]]' WHEN 2 THEN '  '
+ WHEN 3 THEN ' [[[{''day'': ''' || event_type || ''', ''details'': [' || user_id || ', ''x'']}]]]' WHEN 4 THEN '[{"day": "' || event_type || '", "more": {"k": [1]}, "details": ["' || user_id || '"]}]'
+ WHEN 5 THEN '[1, ' || user_id || ']' ELSE '[[{''day'': ''' || event_type || ''', ''time'': None}, {''day'': ''second''}]]' END"""
+
+
+def tagged_replies(spark, sf_dir):
+    """Replies that are texts, nothing, or course lists of some depth, told apart and read as variants."""
+    read = _table(spark, sf_dir, "events").select("event_id", G.read_reply(F.expr(_MIXED)).alias("r"))
+    first = F.get("r.courses", 0)
+    return read.select("event_id", "r.kind", "r.text", F.coalesce(F.size("r.courses"), F.lit(0)).cast("long").alias("n"), first["day"].alias("day"), F.array_join(first["details"], ",").alias("details"))
+
+
 def _files(spark, sf_dir):
     """Events as files; those of type view are hidden."""
     return _table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "view", ".view").otherwise(F.col("event_type")).alias("file_name"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) / 1e6").alias("mtime"))
@@ -654,7 +666,7 @@ _QUERIES = [
     history_last3, last_result, appended_results, last_three, intent_route, keyword_route, clarify_needed, query_expansion, reply_json, response_decode, page_concat, page_carry, page_fold, message_log,
     link_resolve, link_first_writer, link_filter, blacklist, link_names, link_tally, stored_downloads, committed_files, fetch_pages, anti_existing, url_quote, text_clean,
     text_lines, page_titles, image_base64, density_gate, density_semi, parse_files, table_cells, has_tables, loadable_files, ingest_routes, transcript_cache, index_swap, index_freshness,
-    span_expand, span_expand_sql, html_links_sql, html_timetable, course_cells, pivot_fixed_domain, grid_fill, keyed_accumulate, chunk3, parse_lists, latest_mtime,
+    span_expand, span_expand_sql, html_links_sql, html_timetable, course_cells, pivot_fixed_domain, grid_fill, keyed_accumulate, chunk3, parse_lists, tagged_replies, latest_mtime,
     history_stream, history_corrections,
 ]
 
@@ -837,6 +849,8 @@ FROM (SELECT event_id, event_type, CASE WHEN starts_with(said, '[') THEN CAST(re
         "page_carry": "SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 400), '') AS carry FROM conversations",
         "committed_files": f"""SELECT name AS file_name, octet_length(encode(href)) AS length, md5(href) AS content, CAST(NULL AS VARCHAR) AS error
 FROM (SELECT {_SAFE % (_FIRST.replace('%s', _TEXT))} AS name, href, page_id, ord FROM ({_LINKS})) WHERE name > 'B' AND octet_length(encode(name)) < 200 QUALIFY row_number() OVER (PARTITION BY name ORDER BY page_id, ord) = 1 AND octet_length(encode(href)) > 5""",
+        "tagged_replies": f"""SELECT event_id, CASE WHEN k IN (0, 5) THEN 'text' WHEN k IN (1, 2) THEN 'nothing' ELSE 'courses' END AS kind, CASE WHEN k IN (0, 5) THEN said END AS text, CASE WHEN k IN (3, 4) THEN 1 WHEN k = 6 THEN 2 ELSE 0 END::BIGINT AS n,
+ CASE WHEN k IN (3, 4, 6) THEN event_type END AS day, CASE k WHEN 3 THEN user_id || ',x' WHEN 4 THEN CAST(user_id AS VARCHAR) END AS details FROM (SELECT event_id, event_type, user_id, event_id % 7 AS k, {_MIXED} AS said FROM events)""",
         "html_links_sql": f"SELECT page_id, ord, href, {_TEXT} AS txt, 'No. ' || ord || {_TEXT} AS tr_text FROM ({_LINKS})",
         "link_resolve": f"SELECT page_id, ord, regexp_extract(url, '^[a-z]+://[^/]*') || href AS full_url FROM ({_LINKS})",
         "link_first_writer": f"SELECT name, page_id, ord FROM (SELECT {_SAFE % (_STRIP % _TEXT)} AS name, page_id, ord FROM ({_LINKS})) WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY page_id, ord) = 1",

@@ -69,7 +69,12 @@ def appended_state(turns: DataFrame, column: str, thread: str = "conv_id", turn:
 
 def reply(results: Column, sources: Column, agent: Column) -> Column:
     """The response as JSON: the last result only."""
-    last = F.coalesce(F.try_element_at(results, F.lit(-1)), F.lit(NO_RESULT))
+    return reply_with(F.try_element_at(results, F.lit(-1)), sources, agent)
+
+
+def reply_with(result: Column, sources: Column, agent: Column) -> Column:
+    """The response as JSON with one result; a fixed text without any."""
+    last = F.coalesce(result, F.lit(NO_RESULT))
     return F.to_json(F.struct(F.lit("success").alias("status"), F.array(last).alias("response"), F.coalesce(sources, F.array().cast("array<string>")).alias("sources"),
                               F.struct(F.lit("completed").alias("current_step"), agent.alias("executed_agent")).alias("debug_info")))
 

@@ -197,3 +197,27 @@ def parse_list(content: Column) -> Column:
     read = F.from_json(plain, _COURSES)
     # Only what is no JSON is sent to Python: the rest is null there.
     return F.coalesce(read, F.from_json(literal_to_json(F.when(read.isNull(), plain)), _COURSES))
+
+
+def read_reply(content: Column) -> Column:
+    """(kind, text, courses) of a reply: `courses` for a list of course records, Python's or JSON's, inside lists of any
+    depth; `nothing` for a null, a blank or an empty list; `text` for all else, with the text as it came.
+
+    The list is read once as a VARIANT. While its first element is a list, that is taken in its place. Records may have
+    further fields, lack some, or hold numbers for texts; an element that is no record makes the reply a text.
+    """
+    said = T.strip(content)
+    listed = F.when(said.startswith("[") & said.endswith("]"), said)
+    read = F.try_parse_json(listed)
+    read = F.coalesce(read, F.try_parse_json(literal_to_json(F.when(read.isNull(), listed))))
+    first = lambda v: F.try_variant_get(v, "$[0]", "variant")
+    depth = F.length(F.regexp_replace(F.regexp_extract(said, "^[\\[\\s]*", 0), "\\s", ""))
+    inner = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), read, lambda v, _: F.when(F.schema_of_variant(first(v)).startswith("ARRAY"), first(v)).otherwise(v))
+
+    def tagged(pair: Column) -> Column:
+        courses = F.try_variant_get(pair["v"], "$", _COURSES)
+        kind = F.when(pair["blank"] | (F.size(courses) == 0), "nothing").when(F.exists(courses, lambda c: c.isNotNull()) & F.forall(courses, lambda c: c.isNotNull()), "courses").otherwise("text")
+        return F.struct(kind.alias("kind"), F.when(kind == "text", pair["content"]).alias("text"), F.when(kind == "courses", courses).alias("courses"))
+
+    given = F.struct(inner.alias("v"), T.blank(content).alias("blank"), content.alias("content"))
+    return F.get(F.transform(F.array(given), tagged), F.lit(0))

@@ -111,14 +111,15 @@ def scorer(k: int):
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         queries, nodes, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(asked) and len(held):
-            left, right = unit(asked["embedding"]), unit(held["embedding"]).T
+            left, right = unit(asked["embedding"]), unit(held["embedding"])
+            known, good = (np.flatnonzero(~np.isnan(m).any(axis=1)) for m in (left, right))  # zero vectors have no score
+            left, right = left[known], right[good].T
             most = min(k, right.shape[1])
-            for first in range(0, len(left), _AT_ONCE):
-                found = np.round(left[first : first + _AT_ONCE] @ right, DIGITS)  # equal vectors must tie
-                found[np.isnan(found)] = -np.inf
+            for first in range(0, len(left) if most else 0, _AT_ONCE):
+                found = left[first : first + _AT_ONCE] @ right
                 least = np.partition(found, -most, axis=1)[:, -most]
-                query, node = np.nonzero((found >= least[:, None]) & (found > -np.inf))
-                queries.append(query + first), nodes.append(node), scores.append(found[query, node])
+                query, node = np.nonzero(found >= least[:, None] - 10.0 ** (1 - DIGITS))  # equal vectors must tie
+                queries.append(known[query + first]), nodes.append(good[node]), scores.append(np.round(found[query, node], DIGITS))
         query, node, score = map(np.concatenate, (queries, nodes, scores))
         return pa.table({"query_id": asked["query_id"].take(pa.array(query)), "node_id": held["node_id"].take(pa.array(node)), "score": pa.array(score, pa.float64())})
 

@@ -238,3 +238,17 @@ def test_carry(spark):
     pages = spark.createDataFrame([("p", i, bytes([65 + i])) for i in range(3)], "path string, page int, image binary")
     got = S.carry_pages(pages, lambda image, before: image.decode() + before, n=1).orderBy("page").collect()
     assert [r.text for r in got] == ["A", "BA", "CA"]
+
+
+def test_replies_are_told_apart(spark):
+    """Texts, nothing, and course lists of any depth in both notations; records with more, with less and of other types."""
+    deep = "[" * 30 + '{"day": "deep"}' + "]" * 30
+    cases = {
+        None: ("nothing", 0, None), "": ("nothing", 0, None), " 　": ("nothing", 0, None), "hello": ("text", 0, None), "[]": ("nothing", 0, None), "[[], []]": ("nothing", 0, None), "[[]]": ("nothing", 0, None),
+        "[{'day': 'a', 'details': ['x', 1]}]": ("courses", 1, "a"), '[[[{"day": "b", "time": null, "more": {"k": 1}}]]]': ("courses", 1, "b"), deep: ("courses", 1, "deep"),
+        "[1, 2]": ("text", 0, None), "[{'day': 'c'}, 3]": ("text", 0, None), "[null]": ("text", 0, None), "[broken": ("text", 0, None), "[broken]": ("text", 0, None),
+        " [ [ {'day': 'd'}, {'day': None} ], [{'day': 'z'}] ] ": ("courses", 2, "d"),
+    }
+    rows = spark.createDataFrame([(x,) for x in cases], "c string").select("c", G.read_reply(F.col("c")).alias("r")).collect()
+    got = {r["c"]: (r["r"]["kind"], len(r["r"]["courses"] or []), r["r"]["courses"][0]["day"] if r["r"]["courses"] else None) for r in rows}
+    assert got == cases and all((r["r"]["text"] == r["c"]) == (r["r"]["kind"] == "text" or r["c"] is None) for r in rows)
