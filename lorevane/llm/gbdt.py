@@ -4,7 +4,7 @@ Statistics of whole texts are counted in Python tasks with numpy. The trees are
 binned statistics and kept as flat arrays, which a task walks for all its documents and all trees at once.
 
 The training rows are a bounded sample: TRAIN_DOCS labelled documents at most, those with the smallest hashes of doc_id.
-Scoring has no bound. Null and empty texts have zero statistics and are scored like any other. With labels of one class
+Scoring has no bound, and very long texts are read whole. Of splits with equal gain the first statistic's first is taken. Null and empty texts have zero statistics and are scored like any other. With labels of one class
 only, or none, every score is the share of good labels (one half without labels). Repeated rows are scored each on its
 own; several labels of one id count as the lowest. Extra columns are dropped.
 """

@@ -11,7 +11,8 @@ been filled alike. The driver therefore packs a histogram of at most SEQUENCE le
 place of single ones, and the result does not depend on the number of documents. Executors number the pieces of each
 length and look their places up. One task never sees all pieces.
 
-Null and empty texts are documents of the end id alone. Repeated rows are packed each on its own. Very long texts are
+Null and empty texts are documents of the end id alone. Repeated rows are packed each on its own. Pieces of one length are
+numbered by slices of a hash of their document's id, then by the id, so ties between sequences fall the same way each time: to the one opened first. Very long texts are
 tokenised whole, and so are very long runs of white space. Empty tables give empty results. Extra columns are dropped.
 """
 

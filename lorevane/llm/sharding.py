@@ -8,7 +8,8 @@ shards than there are, and the cuts are laid inside that capacity as close to eq
 The driver never holds all groups. It starts with the bytes of PREFIX_BITS-bit ranges of the hash and splits only the
 ranges near a cut, until no cut can fall inside an unsplit range; so the capacity is that of the groups themselves.
 
-Null text counts as no bytes. Repeated rows are rows of one group. An empty table gives an empty result. Null doc_id is
+Very long texts are only measured and hashed. Groups of one size need no order: that of their hashes is total, and rows of
+one group are placed by hashes of their ids. Null text counts as no bytes. Repeated rows are rows of one group. An empty table gives an empty result. Null doc_id is
 an ordinary value. Extra columns are dropped; the result is joined by nothing, each row carries its own shard.
 """
 

@@ -12,8 +12,8 @@ its ball, and those that name the same point are hung on the smallest of them. T
 pairs.
 
 Null and empty texts have fingerprint 0 and link like any other. Repeated rows get equal results; rows of one id with
-different texts each have their own. A component of null ids only has a null component_id. An empty table gives an
-empty result. Extra columns are dropped by digest() and kept by keep_one().
+different texts each have their own. A component of null ids only has a null component_id. Very long texts are read
+whole, by one task each. A bit that is set in just half of a text's hashes is 0. An empty table gives an empty result. Extra columns are dropped by digest() and kept by keep_one().
 """
 
 from __future__ import annotations
