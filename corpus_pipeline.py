@@ -1,4 +1,17 @@
-"""The corpus pipeline: stages that turn `documents` into sequences to train on. Part of lorevane.llm."""
+"""The corpus pipeline: stages that turn `documents` into sequences to train on. Part of lorevane.llm.
+
+Every stage but the last gives the columns of its input, whatever else they are called, and leaves them as they are but for
+`text`. All stages take nulls in any column and read very long texts whole. An empty table stays empty.
+
+1. quality_rules: a null, empty or blank text has no words and goes. Repeated rows are judged alike.
+2. near_duplicates: null and blank texts are copies of each other. Of equal rows, and of rows with one id and text, one
+   stays; rows that share an id or have none are told apart by their texts. Ties go to the smallest id, nulls last.
+   Documents are near copies as operator 5 says: fingerprints of four-word shingles at 4 or fewer differing bits, directly
+   or by others.
+3. repeated_strings: every occurrence goes, those in repeated rows too; a null text stays null or becomes empty.
+4. benchmark_passages: a null text has no words; rows with a null id are cleaned like others.
+5. sequences: a null text is the end id alone; rows with one id are packed each on its own.
+"""
 
 from __future__ import annotations
 
