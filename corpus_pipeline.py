@@ -8,8 +8,9 @@ Every stage but the last gives the columns of its input, whatever else they are
    stays; rows that share an id or have none are told apart by their texts. Ties go to the smallest id, nulls last.
    Documents are near copies as operator 5 says: fingerprints of four-word shingles at 4 or fewer differing bits, directly
    or by others.
-3. repeated_strings: every occurrence goes, those in repeated rows too; a null text stays null or becomes empty.
-4. benchmark_passages: a null text has no words; rows with a null id are cleaned like others.
+3. repeated_strings: every occurrence goes, those in repeated rows too; a null text stays null. A character that a cut
+   divides goes as a whole, and n_chars, where there is one, is counted again.
+4. benchmark_passages: a null text has no words and stays null; rows with a null id are cleaned like others.
 5. sequences: a null text is the end id alone; rows with one id are packed each on its own.
 """
 
