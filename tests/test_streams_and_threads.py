@@ -62,14 +62,14 @@ def test_expansion_of_questions(spark):
     assert got[2, 1] == "畢業門檻 客家系 全校通用 大學部" and got[3, 1] == "多少錢 全校通用 大學部" and got[4, 0] == "全校通用 大學部"
 
 
-def test_chat_narrows_and_apologises(spark):
+def test_chat_narrows_and_apologises(spark, tmp_path):
     from lorevane.operators import retrieval as R
     from lorevane.plans import assistant as A
 
     models = A.Models(embed=lambda x: F.when(x.contains("壞"), None).otherwise(A.hashed_words(x)), classify=lambda x: F.when(x.contains("清楚"), "CLARIFY").otherwise("ACADEMIC"))
-    nodes = A.index(spark.createDataFrame([(1, "rule one", {"file_name": "r.pdf"})], "node_id long, text string, metadata map<string,string>"), models)
+    A.index(spark.createDataFrame([(1, "rule one", {"file_name": "r.pdf"})], "doc_id long, text string, metadata map<string,string>"), str(tmp_path / "index"), models)
     rows = [("a", 0, "資工系 rule"), ("a", 1, "不清楚 rule"), ("b", 0, "不清楚"), ("c", 0, "壞 rule")]
-    got = {(r["thread_id"], r["turn"]): r for r in A.chat(spark.createDataFrame(rows, "thread_id string, turn int, user_message string"), nodes, models).collect()}
+    got = {(r["thread_id"], r["turn"]): r for r in A.chat(spark.createDataFrame(rows, "thread_id string, turn int, user_message string"), str(tmp_path / "index"), models).collect()}
     assert got["a", 1]["next_agent"] == "Academic Agent" and got["b", 0]["answer"] == A.CLARIFY
     assert got["c", 0]["answer"] == R.FAILED and got["c", 0]["sources"] == [] and got["a", 0]["sources"] == ["r.pdf"]
 
