@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import ast
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -23,17 +24,36 @@ SLICES = 4096
 _WIDE = (("第A節", "第Ａ節"), ("第B節", "第Ｂ節"), ("第C節", "第Ｃ節"))
 
 
+#: Rows are put out when they hold so many characters, each row counted as 100 besides.
+_AT_ONCE = 4 << 20
+
+
+def in_batches(rows: Iterable[tuple], schema: pa.Schema, most: int = _AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of about `most` characters, so that a task holds no more however many rows its input gives."""
+    held, size = [], 0
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+    for row in rows:
+        held.append(row)
+        size += 100 + sum([len(x) for x in row if isinstance(x, str)])
+        if size > most:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
 def html_cells(pages: DataFrame, key: str = "page_id", html: str = "html", table_id: str | None = None) -> DataFrame:
     """key, r, ord, rowspan, colspan, text of every table cell."""
     kind = pages.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .html_links import cells_of
 
-        for frame in frames:
-            yield pd.DataFrame([(k, *c) for k, h in frame.itertuples(index=False) for c in cells_of(h or "", table_id)], columns=[key, "r", "ord", "rowspan", "colspan", "text"])
+        for batch in batches:
+            schema = pa.schema([(key, batch.column(0).type), *((c, pa.int32()) for c in ("r", "ord", "rowspan", "colspan")), ("text", pa.string())])
+            yield from in_batches(((k.as_py(), *c) for k, h in zip(*batch.columns) for c in cells_of(h.as_py() or "", table_id)), schema)
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, r int, ord int, rowspan int, colspan int, text string")
+    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, r int, ord int, rowspan int, colspan int, text string")
 
 
 def spread(cells: list[tuple]) -> dict[tuple[int, int], str]:

@@ -252,3 +252,21 @@ def test_replies_are_told_apart(spark):
     rows = spark.createDataFrame([(x,) for x in cases], "c string").select("c", G.read_reply(F.col("c")).alias("r")).collect()
     got = {r["c"]: (r["r"]["kind"], len(r["r"]["courses"] or []), r["r"]["courses"][0]["day"] if r["r"]["courses"] else None) for r in rows}
     assert got == cases and all((r["r"]["text"] == r["c"]) == (r["r"]["kind"] == "text" or r["c"] is None) for r in rows)
+
+
+def test_cells_come_in_bounded_batches(spark):
+    """Tasks put out cells as they go, not those of all pages or files of a batch together; nulls and errors stay."""
+    from lorevane.operators import grids as G
+    from lorevane.sources import files as S
+
+    import pyarrow as pa
+
+    got = list(G.in_batches(((i, "x" * 50) for i in range(1000)), pa.schema([("i", pa.int64()), ("t", pa.string())]), most=15_000))
+    assert max(b.num_rows for b in got) <= 101 and [x for b in got for x in b.column("i").to_pylist()] == list(range(1000))
+    sizes = lambda df: {r["n"] for r in df.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long").collect()}
+    page = "<table>" + "<tr><td>a<td>b</tr>" * 500 + "</table>"
+    pages = spark.createDataFrame([(i, page) for i in range(200)] + [(200, None)], "page_id long, html string").coalesce(1)
+    assert sum(sizes(pages)) == 201 and G.html_cells(pages).count() == 200_000
+    files = spark.createDataFrame([("a", b"1|2"), ("b", None), ("c", b"3")], "path string, content binary")
+    cells = S.table_cells(files, lambda path, content: [[[content.decode().split("|")]]])
+    assert sorted((r["path"], r["c"], r["text"], r["error"]) for r in cells.collect())[0] == ("a", 0, "1", None) and cells.count() == 4
