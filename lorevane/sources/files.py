@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,20 +78,32 @@ def stale(files: DataFrame, marker: DataFrame | None) -> bool:
     return found[0]["rebuild"] if found else marker.agg(F.max("saved")).collect()[0][0] is None
 
 
+def _read(files: DataFrame, rows_of: Callable[[str, bytes], list[tuple]], schema: str) -> DataFrame:
+    """The rows of each of files(path, content), as rows_of(path, content) gives them; of a file that it cannot read one row
+    of nulls between path and error. A task holds the rows of one file and a bounded number of others."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for path, content in zip(batch.column("path"), batch.column("content")):
+            path = path.as_py()
+            try:
+                found = rows_of(path, bytes(content.as_py()))
+            except Exception as e:  # noqa: BLE001  a bad file must not stop the others
+                found = [(path, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}")]
+            yield from found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([(n, pa.int32() if n in ("page", "tbl", "r", "c") else pa.string()) for n in names])
+        for batch in batches:
+            yield from G.in_batches(rows(batch), kinds)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
 def parsed(files: DataFrame, parser: Callable[[str, bytes], list[str]], schema: str = "path string, page int, text string, error string") -> DataFrame:
     """path, page, text, error: an injected parser's pages; a file that it cannot read is one row with its error."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content in frame.itertuples(index=False):
-                try:
-                    rows += [(path, i, text, None) for i, text in enumerate(parser(path, bytes(content)))]
-                except Exception as e:  # noqa: BLE001  a bad file must not stop the others
-                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "page", "text", "error"])
-
-    return files.select("path", "content").mapInPandas(run, schema)
+    return _read(files, lambda path, content: [(path, i, text, None) for i, text in enumerate(parser(path, content))], schema)
 
 
 def docx_pages(path: str, content: bytes) -> list[str]:
@@ -109,17 +122,8 @@ def table_cells(files: DataFrame, parser: Callable[[str, bytes], list]) -> DataF
     """path, page, tbl, r, c, text, error of every cell that an injected parser finds: a list of tables for each page, a
     table being rows of texts. A file that it cannot read is one row with its error."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content in frame.itertuples(index=False):
-                try:
-                    rows += [(path, p, t, r, c, x, None) for p, page in enumerate(parser(path, bytes(content))) for t, table in enumerate(page) for r, row in enumerate(table) for c, x in enumerate(row)]
-                except Exception as e:  # noqa: BLE001  a bad file must not stop the others
-                    rows.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "page", "tbl", "r", "c", "text", "error"]).astype({n: "Int64" for n in ("page", "tbl", "r", "c")})
-
-    return files.select("path", "content").mapInPandas(run, "path string, page int, tbl int, r int, c int, text string, error string")
+    cells = lambda path, content: [(path, p, t, r, c, x, None) for p, page in enumerate(parser(path, content)) for t, table in enumerate(page) for r, row in enumerate(table) for c, x in enumerate(row)]
+    return _read(files, cells, "path string, page int, tbl int, r int, c int, text string, error string")
 
 
 def has_tables(files: DataFrame, parser: Callable[[str, bytes], list]) -> DataFrame:
