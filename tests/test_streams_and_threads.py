@@ -150,3 +150,41 @@ def test_requests_are_answered_once(spark, tmp_path):
     before = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
     run(checkpoint)
     assert shown(spark.read.parquet(out)) == got and {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")} == before
+
+
+def test_few_round_trips_to_the_state(spark):
+    """A thread's batch takes two calls for its turns, two for its revision, and one or two for a timer that changes."""
+    import pandas as pd
+
+    calls, timers = [], set()
+
+    class Value:
+        held: list = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.held) if isinstance(self.held, list) else self.held
+
+        def put(self, held):
+            calls.append("put")
+            self.held = held
+
+        update = put
+
+    class Handle:
+        getListState = getValueState = lambda self, name, schema: Value()
+        registerTimer = lambda self, t: (calls.append("register"), timers.add(t))
+        deleteTimer = lambda self, t: (calls.append("delete"), timers.remove(t))
+        listTimers = lambda self: calls.append("list") or iter(sorted(timers))
+
+    for n in (1, 3):
+        processor = S._Corrected("turn long, at long, text string", ("conv_id", "turn"), n, 10)
+        processor.init(Handle())
+        timers.clear()
+        for k, turns in enumerate(([2, 4, 6], [8, 10], [1])):
+            calls.clear()
+            (got,) = processor.handleInputRows((1,), iter([pd.DataFrame({"turn": turns, "at": turns, "text": list(map(str, turns))})]), None)
+            assert set(got["revision"]) == {k + 1} and len(calls) <= 6 and len(timers) == 1
+        now = type("now", (), {"getCurrentWatermarkInMs": lambda self: 10_000})()
+        timers.clear()
+        assert list(processor.handleExpiredTimer((1,), now, None)) == [] and not timers and [t for t, _, _ in processor.turns.held] == ([10] if n == 1 else [8, 10])
