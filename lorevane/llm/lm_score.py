@@ -12,6 +12,9 @@ and text. A shard learns to predict all of its words, each once, in an order tha
 parameters, weighted by their words and summed in whole numbers, is the network. So neither depends on how the input is
 partitioned. Tasks send parameters, whose number is fixed, never texts.
 
+Words are looked up once, after they are counted: encode() writes a byte for each word, its class, and what does not depend
+on the network. Training and scoring read that.
+
 Null and empty texts have no words: their sum is 0 and their mean null. Repeated rows are scored each on its own. Very
 long texts are scored whole. An empty table gives an empty result. Extra columns are dropped.
 """
@@ -19,10 +22,10 @@ long texts are scored whole. An empty table gives an empty result. Extra columns
 from __future__ import annotations
 
 import zlib
-from array import array
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,7 @@ SIDES, HIDDEN = (-2, -1, 1, 2), 16
 SHARD_BYTES, BATCH, RATE = 16 << 20, 2048, 0.15
 #: A shard learns from so many words of texts laid end to end at a time.
 LEARNED_AT_ONCE = 1 << 18
-_COUNTED, _CACHE, _CHUNK = 200_000, 400_000, 1024
+_COUNTED, _CACHE, _CHUNK, _LOOKED_AT = 200_000, 400_000, 1024, 10_000
 _SHAPES = ((len(SIDES), CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 #: Parameters are summed over shards as multiples of 1 / _UNIT.
 _UNIT, _PAIRS = 1 << 16, 1000
@@ -71,22 +74,28 @@ class Vocabulary:
     def tail_class(self, word: bytes) -> int:
         return 1 + FREQUENT + self.tails[ending(word)]
 
-    def look_up(self, word: bytes) -> tuple[int, float, float]:
-        """Class, log probability for a count of 1, and log odds of the bytes: 0 for frequent words, whose count is known."""
-        found = self.known.get(word)
-        if found is None:
-            c = self.tail_class(word)
-            odds = self.of_byte
-            return c, self.unknown[c], sum([odds[b] for b in word]) + odds[256]
-        return *found, 0.0
+    def spelt(self, words: list[bytes]) -> np.ndarray:
+        """Log odds of the bytes of each word."""
+        if not words:
+            return np.zeros(0)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        odds = np.array(self.of_byte)
+        return np.add.reduceat(odds[np.frombuffer(b"".join(words), np.uint8)], np.cumsum(sizes) - sizes) + odds[256]
+
 
+def numbers_of(words: Iterable[bytes] = ()) -> defaultdict[bytes, int]:
+    """Numbers of words, in this order and then in that in which they are first asked for."""
+    found = {word: i for i, word in enumerate(words)}
+    return defaultdict(count(len(found)).__next__, found)
 
-class _Codes(dict):
-    """ending * NEIGHBOURS + the word's hash as a neighbour."""
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = ending(word) * NEIGHBOURS + zlib.crc32(word) % NEIGHBOURS
-        return code
+def numbered(numbers: defaultdict[bytes, int], texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words of all texts one after another, and how many words each text has."""
+    number, found = numbers.__getitem__, []
+    for text in texts:
+        split = words(text)
+        found.append(np.fromiter(map(number, split), np.int64, len(split)))
+    return np.concatenate([*found, np.zeros(0, np.int64)]), np.fromiter(map(len, found), np.int64, len(found))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -94,40 +103,40 @@ def count_words(docs: DataFrame) -> DataFrame:
     word, byte, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        codes = _Codes()
+        numbers, codes, counts = numbers_of(), np.zeros(0, np.int64), np.zeros(0, np.int64)
         others = np.zeros(257 + _PAIRS + ENDINGS * NEIGHBOURS, np.int64)
         for whole in batches:
             for batch in sliced(whole, limit=2 << 20):
-                laid, edges, at = [], [], 0
-                for text in text_bytes(batch.column("text")):
-                    found = words(text)
-                    if found:
-                        counts.update(found)
-                        others[:256] += np.bincount(np.frombuffer(b"".join(found), np.uint8), minlength=256)
-                        others[256] += len(found)
-                        laid.append(np.fromiter(map(codes.__getitem__, found), np.int64, len(found)))
-                        at += len(found)
-                        edges.append(at)
-                if laid:
-                    code = np.concatenate(laid)
-                    inner = np.ones(len(code) - 1, bool)
-                    inner[np.array(edges[:-1], np.int64) - 1] = False
-                    left, right = code[:-1][inner], code[1:][inner]
+                of_word, lengths = numbered(numbers, text_bytes(batch.column("text")))
+                if len(of_word):
+                    more = np.bincount(of_word, minlength=len(numbers))
+                    more[: len(counts)] += counts
+                    counts = more
+                    new = islice(numbers, len(codes), None)
+                    codes = np.concatenate([codes, np.array([ending(w) * NEIGHBOURS + zlib.crc32(w) % NEIGHBOURS for w in new], np.int64)])
+                    code = codes[of_word]
+                    inner = np.ones(len(code), bool)
+                    inner[np.cumsum(lengths)[lengths > 0] - 1] = False  # the last words of texts
+                    left, right = code[:-1][inner[:-1]], code[1:][inner[:-1]]
                     low = NEIGHBOURS - 1
                     for near, other in ((left, right), (right, left)):
                         others[257 + _PAIRS :] += np.bincount(near & ~low | other & low, minlength=ENDINGS * NEIGHBOURS)
-                if len(counts) > _COUNTED:
-                    yield rows(counts)
-                    counts = Counter()
-                if len(codes) > _CACHE:
-                    codes.clear()
-        yield rows(counts)
+                if len(numbers) > _COUNTED:
+                    yield rows(numbers, counts, others)
+                    numbers, codes, counts = numbers_of(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield rows(numbers, counts, others)
         some = np.flatnonzero(others)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(others[some])], ["word", "byte", "n"])
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.nulls(len(counts), pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "byte", "n"])
+    def rows(numbers: defaultdict[bytes, int], counts: np.ndarray, others: np.ndarray) -> pa.RecordBatch:
+        """The counts of words; those of their bytes and ends are added to `others`."""
+        names = list(numbers)
+        for k in range(0, len(names), _LOOKED_AT):
+            some = names[k : k + _LOOKED_AT]
+            each = np.repeat(counts[k : k + _LOOKED_AT], np.fromiter(map(len, some), np.int64, len(some)))
+            others[:256] += np.bincount(np.frombuffer(b"".join(some), np.uint8), each, 256).astype(np.int64)
+        others[256] += counts.sum()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.nulls(len(names), pa.int32()), pa.array(counts)], ["word", "byte", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, byte int, n bigint").groupBy("word", "byte").agg(F.sum("n").alias("n"))
 
@@ -185,56 +194,37 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return v
 
 
-class Numbers(dict):
-    """Numbers of words in the order in which they are first asked for, and what the vocabulary says of them."""
-
-    def __init__(self, v: Vocabulary) -> None:
-        self.v, self.classes, self.logs, self.spelt = v, array("q"), array("d"), array("d")
-
-    def __missing__(self, word: bytes) -> int:
-        c, log, spelt = self.v.look_up(word)
-        self.classes.append(c)
-        self.logs.append(log)
-        self.spelt.append(spelt)
-        self[word] = n = len(self)
-        return n
-
-
 class Reader:
-    """Classes and log probabilities of the words of texts laid end to end, with two places of class 0 between texts."""
+    """Classes and log probabilities of the words of texts."""
 
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.numbers = v, Numbers(v)
+        self.v = v
+        self._forget()
 
-    def _laid(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of all words, their places, and the number of words of each text."""
-        if len(self.numbers) > _CACHE:
-            self.numbers = Numbers(self.v)
-        number, found, lengths = self.numbers.__getitem__, [], []
-        for text in texts:
-            split = words(text)
-            lengths.append(len(split))
-            found.append(np.fromiter(map(number, split), np.int64, len(split)))
-        of_word = np.concatenate(found) if found else np.zeros(0, np.int64)
-        return of_word, np.arange(len(of_word)) + 2 + 2 * np.repeat(np.arange(len(lengths)), lengths), np.array(lengths, np.int64)
-
-    def _spread(self, values: array, kind: type, of_word: np.ndarray, places: np.ndarray, texts: int) -> np.ndarray:
-        out = np.zeros(len(of_word) + 2 * texts + 2, kind)
-        out[places] = np.array(values, kind)[of_word]
-        return out
+    def _forget(self) -> None:
+        known = self.v.known
+        self.numbers = numbers_of(known)
+        self.classes, self.logs = np.array([c for c, _ in known.values()], np.uint8), np.array([log for _, log in known.values()], float)
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Classes, log probabilities, the number of words of each text, and the numbers of all words."""
-        of_word, places, lengths = self._laid(texts)
-        return *(self._spread(x, kind, of_word, places, len(texts)) for x, kind in ((self.numbers.classes, np.int64), (self.numbers.logs, float))), lengths, of_word
+        """Classes of the words of texts laid end to end, with two places of class 0 between texts; log probabilities of all
+        words, the number of words of each text, and the numbers of all words."""
+        if len(self.numbers) > _CACHE:
+            self._forget()
+        of_word, lengths = numbered(self.numbers, texts)
+        new = np.array([self.v.tail_class(w) for w in islice(self.numbers, len(self.classes), None)], np.uint8)
+        self.classes, self.logs = np.concatenate([self.classes, new]), np.concatenate([self.logs, np.array(self.v.unknown)[new]])
+        classes = np.zeros(len(of_word) + 2 * len(texts) + 2, np.uint8)
+        classes[np.arange(len(of_word)) + 2 + 2 * np.repeat(np.arange(len(lengths)), lengths)] = self.classes[of_word]
+        return classes, self.logs[of_word], lengths, of_word
 
     def others(self, lengths: np.ndarray, of_word: np.ndarray) -> pa.Array:
         """For each text just read its different words beyond the frequent ones: word, how many times, log odds of the bytes."""
-        spelt, names = np.array(self.numbers.spelt), list(self.numbers)
-        rare = np.flatnonzero(spelt[of_word])
+        names = list(self.numbers)
+        rare = np.flatnonzero(of_word >= len(self.v.known))
         pairs, times = np.unique(np.repeat(np.arange(len(lengths)), lengths)[rare] << 32 | of_word[rare], return_counts=True)
-        numbers, ends = pairs & 0xFFFFFFFF, np.searchsorted(pairs >> 32, np.arange(len(lengths) + 1))
-        parts = [pa.array([names[i] for i in numbers], pa.binary()), pa.array(times, pa.int64()), pa.array(spelt[numbers])]
+        found, ends = [names[i] for i in (pairs & 0xFFFFFFFF).tolist()], np.searchsorted(pairs >> 32, np.arange(len(lengths) + 1))
+        parts = [pa.array(found, pa.binary()), pa.array(times, pa.int64()), pa.array(self.v.spelt(found))]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["word", "times", "spelt"]))
 
 
@@ -244,76 +234,109 @@ def start() -> list[np.ndarray]:
 
 
 def hidden(p: list[np.ndarray], classes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.take(p[0][0], classes[at + SIDES[0]], axis=0)
+    """The hidden layer at each place, and a last column of 1, by which the constants are multiplied."""
+    near = np.take(p[0][0], classes[at + SIDES[0]], axis=0)
     for k in range(1, len(SIDES)):
-        out += np.take(p[0][k], classes[at + SIDES[k]], axis=0)
-    out += p[1]
-    return np.tanh(out, out=out)
+        near += np.take(p[0][k], classes[at + SIDES[k]], axis=0)
+    near += p[1]
+    out = np.ones((len(at), near.shape[1] + 1), near.dtype)
+    np.tanh(near, out=out[:, :-1])
+    return out
 
 
-def odds(p: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+def odds(p: list[np.ndarray], h: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Log odds of the classes, up to a constant."""
-    out = h @ p[2]
-    out += p[3]
-    return np.clip(out, -60, 60, out=out)
+    weights = np.vstack(p[2:])
+    out = np.matmul(h, weights, out=out)
+    if np.abs(weights).sum(axis=0).max() > 59:  # the hidden layer is between -1 and 1, so that below this none is cut
+        np.clip(out, -60, 60, out=out)
+    return out
 
 
 def log_probabilities(p: list[np.ndarray], classes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The network's log probability of the class at each place."""
     out = np.empty(len(at), np.float32)
+    room, ones = np.empty((min(_CHUNK, len(at)), CLASSES), p[3].dtype), np.ones(CLASSES, p[3].dtype)
     for k in range(0, len(at), _CHUNK):
         some = at[k : k + _CHUNK]
-        e = odds(p, hidden(p, classes, some))
+        e = odds(p, hidden(p, classes, some), room[: len(some)])
         target = e[np.arange(len(some)), classes[some]]
         np.exp(e, out=e)
-        out[k : k + _CHUNK] = target - np.log(e.sum(axis=1))
+        out[k : k + _CHUNK] = target - np.log(e @ ones)
     return out
 
 
 def learn(p: list[np.ndarray], squares: list[np.ndarray], classes: np.ndarray, at: np.ndarray) -> None:
     """One pass of Adagrad over the places `at`, in place."""
-    classes = classes.astype(np.int16)
+    room, ones = np.empty((min(BATCH, len(at)), CLASSES), p[3].dtype), np.ones(CLASSES, p[3].dtype)
     for k in range(0, len(at), BATCH):
         some = at[k : k + BATCH]
         n = len(some)
         h = hidden(p, classes, some)
-        e = odds(p, h)
+        e = odds(p, h, room[:n])
         np.exp(e, out=e)
-        e *= (1 / (e.sum(axis=1) * n))[:, None]
-        e[np.arange(n), classes[some]] -= np.float32(1 / n)
+        sums = e @ ones
+        e[np.arange(n), classes[some]] -= sums
+        share = (1 / (sums * n))[:, None]  # by which rows of e are to be multiplied
         back = e @ p[2].T
-        back *= 1 - h * h
-        slopes = [np.zeros_like(p[0]), back.sum(axis=0), h.T @ e, e.sum(axis=0)]
+        back *= share
+        back *= 1 - h[:, :-1] * h[:, :-1]
+        h *= share
+        down = (e.T @ h).T
+        slopes = [np.zeros_like(p[0]), back.sum(axis=0), down[:-1], down[-1]]
         for slope, side in zip(slopes[0], SIDES):  # sums over the places with one class there
             near = classes[some + side]
             order = np.argsort(near, kind="stable")
             near = near[order]
-            first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
-            slope[near[first]] = np.add.reduceat(back[order], first, axis=0)
+            first = np.flatnonzero(near[1:] != near[:-1]) + 1
+            first = np.concatenate([[0], first])
+            slope[near[first]] = np.add.reduceat(np.take(back, order, axis=0), first, axis=0)
         for w, q, g in zip(p, squares, slopes):
             q += g * g
-            g *= np.float32(RATE)
-            g /= np.sqrt(q) + np.float32(1e-6)
+            g *= w.dtype.type(RATE)
+            g /= np.sqrt(q) + w.dtype.type(1e-6)
             w -= g
 
 
-def train(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
-    """The network's parameters after learning from every word of docs(doc_id, text) once.
+def laid(rows: Iterable[bytes]) -> np.ndarray:
+    """Classes of texts laid end to end, with two places of class 0 before, between and after those that have words."""
+    return np.frombuffer(b"\0\0" + b"".join(row + b"\0\0" for row in rows if row), np.uint8)
+
 
-    What is dealt to the shards is a byte for each word, its class; texts stay where they are read.
-    """
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """Written once for every row of docs(doc_id, text): row (a number of its own), doc_id, shard and place of the text in
+    training, a byte for each word (its class), n_tokens, the sum x of log probabilities within classes, and the words whose
+    count is in v.others."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(replace(v, others=None))
-    count = max(1, -(-v.size // SHARD_BYTES))
+    shards = max(1, -(-v.size // SHARD_BYTES))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, row = Reader(shared.value), TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in sliced(whole, limit=2 << 20):
-                classes, _, lengths, _ = reader.read(list(text_bytes(batch.column("text"))))
-                classes = classes.astype(np.uint8)
-                ends = np.cumsum(lengths + 2)
-                rows = [classes[e - n : e].tobytes() for e, n in zip(ends, lengths)]
-                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("place"), pa.array(rows, pa.binary())], ["shard", "place", "classes"])
+                classes, logs, lengths, of_word = reader.read(list(text_bytes(batch.column("text"))))
+                ends = np.cumsum(lengths)
+                coded = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(classes[classes > 0])])
+                total = np.concatenate([[0.0], np.cumsum(logs)])
+                rows = pa.array(np.arange(row, row + len(lengths)))
+                row += len(lengths)
+                found = [rows, *(batch.column(c) for c in ("doc_id", "shard", "place")), coded, pa.array(lengths), pa.array(total[ends] - total[ends - lengths]), reader.others(lengths, of_word)]
+                yield pa.RecordBatch.from_arrays(found, ["row", "doc_id", "shard", "place", "classes", "n_tokens", "x", "others"])
+
+    place = F.xxhash64("doc_id", "text")
+    placed = docs.select("doc_id", "text", place.alias("place"), F.pmod(F.shiftright(place, 8), F.lit(shards)).alias("shard"))
+    # Written, so that a task that runs again cannot number its rows anew.
+    return materialize(placed.mapInArrow(run, f"row bigint, doc_id {kind}, shard bigint, place bigint, classes binary, n_tokens bigint, x double, others array<struct<word: binary, times: bigint, spelt: double>>"))
+
+
+def train(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
+    """The network's parameters after learning from every word of docs(doc_id, text) once."""
+    return learned(encode(docs, v))
+
+
+def learned(coded: DataFrame) -> list[np.ndarray]:
+    """The parameters after learning from every word of an encode() result once. A byte for each word is dealt to the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, waiting, size = None, [], 0
@@ -322,7 +345,7 @@ def train(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
 
         def learn_waiting() -> None:
             nonlocal seen, size
-            classes = np.frombuffer(b"\0\0" + b"\0\0".join(waiting) + b"\0\0", np.uint8).astype(np.int64)
+            classes = laid(waiting)
             at = np.flatnonzero(classes)
             learn(p, squares, classes, at)
             seen += len(at)
@@ -350,10 +373,7 @@ def train(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
         if total[-1]:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
 
-    place = F.xxhash64("doc_id", "text")
-    placed = docs.where("text IS NOT NULL").select("text", place.alias("place"), F.pmod(F.shiftright(place, 8), F.lit(count)).alias("shard"))
-    coded = placed.mapInArrow(encode, "shard bigint, place bigint, classes binary")
-    dealt = coded.repartition("shard").sortWithinPartitions("shard", "place", "classes").select("shard", "classes")
+    dealt = coded.where("n_tokens > 0").select("shard", "place", "classes").repartition("shard").sortWithinPartitions("shard", "place", "classes").select("shard", "classes")
     # Whole numbers add up to the same in any order.
     summed = dealt.mapInArrow(run, "i int, x bigint").groupBy("i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect()
     if not summed:
@@ -366,36 +386,37 @@ def train(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
 
 def score(docs: DataFrame, v: Vocabulary, parameters: list[np.ndarray]) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_likelihood for every row of docs(doc_id, text)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((replace(v, others=None), parameters))
+    return scored(encode(docs, v), v, parameters)
+
+
+def scored(coded: DataFrame, v: Vocabulary, parameters: list[np.ndarray]) -> DataFrame:
+    """What score() gives, of an encode() result."""
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    shared = coded.sparkSession.sparkContext.broadcast(parameters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, p = shared.value
-        reader, row = Reader(v), TaskContext.get().partitionId() << 40
+        p = shared.value
         for whole in batches:
-            for batch in sliced(whole, limit=2 << 20):
-                texts = list(text_bytes(batch.column("text")))
-                classes, logs, lengths, of_word = reader.read(texts)
-                at = np.flatnonzero(classes)
-                total = np.concatenate([[0.0], np.cumsum(log_probabilities(p, classes, at).astype(float) + logs[at])])
+            for batch in sliced(whole, "classes", LEARNED_AT_ONCE):
+                classes = laid(batch.column("classes").to_pylist())
+                lengths, x = (batch.column(c).to_numpy() for c in ("n_tokens", "x"))
+                total = np.concatenate([[0.0], np.cumsum(log_probabilities(p, classes, np.flatnonzero(classes)).astype(float))])
                 ends = np.cumsum(lengths)
-                rows = pa.array(np.arange(row, row + len(texts)))
-                row += len(texts)
-                yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), pa.array(lengths), pa.array(total[ends] - total[ends - lengths]), reader.others(lengths, of_word)], ["row", "doc_id", "n_tokens", "x", "others"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_tokens")), pa.array(x + total[ends] - total[ends - lengths])], ["row", "doc_id", "n_tokens", "x"])
 
-    # Written once, so that a task that runs again cannot number its rows anew.
-    held = materialize(docs.select("doc_id", "text").mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, x double, others array<struct<word: binary, times: bigint, spelt: double>>"))
-    rare = held.select("row", F.explode("others").alias("o")).select("row", "o.*")
+    own = coded.select("row", "doc_id", "n_tokens", "x", "classes").mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, x double")
+    rare = coded.select("row", F.explode("others").alias("o")).select("row", "o.*")
     if v.others is not None:
         rare = rare.hint("merge").join(v.others.hint("merge"), "word", "left")
     else:
         rare = rare.withColumn("n", F.lit(None).cast("bigint"))
     more = rare.select("row", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("bigint").alias("n_tokens"), (F.col("times") * F.coalesce(F.log("n"), "spelt")).alias("x"))
-    summed = held.select("row", "doc_id", "n_tokens", "x").unionByName(more).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("x").alias("x"))
+    summed = own.unionByName(more).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("x").alias("x"))
     return summed.select("doc_id", "n_tokens", F.col("x").alias("log_likelihood"), F.try_divide("x", "n_tokens").alias("mean_log_likelihood"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     v = vocabulary(docs)
-    return score(docs, v, train(docs, v))
+    coded = encode(docs, v)
+    return scored(coded, v, learned(coded))

@@ -136,3 +136,44 @@ def test_endings_with_alike_neighbours_come_together():
     group = lm_score.alike(pairs, 4)
     assert len({tuple(sorted({int(g) for g in group[k:100:4]})) for k in range(4)}) == 4 and all(len(set(group[k:100:4])) == 1 for k in range(4))
     assert lm_score.alike(np.zeros((3, lm_score.NEIGHBOURS)), 4).tolist() == [0, 0, 0]
+
+
+def test_texts_are_read_twice(spark, tables, tmp_path):
+    """Once to be counted, once to be encoded: what is learned and scored is a byte for each word."""
+    source = tables["documents"].select("doc_id", "text")
+    folder = str(tmp_path)
+
+    def seen(batches):
+        import uuid
+
+        for batch in batches:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(batch.num_rows))
+            yield batch
+
+    got = lm_score.digest(source.mapInArrow(seen, source.schema)).collect()
+    assert len(got) == source.count()
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 2 * len(got)
+
+
+def test_encoded_words_are_those_of_the_texts(spark):
+    texts = [None, "", "a b a", " \n", "A\tzebra", "a b a"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(2, "a b a")], "doc_id int, text string")
+    v = lm_score.vocabulary(docs)
+    rows = lm_score.encode(docs, v).collect()
+    assert len({r["row"] for r in rows}) == len(rows) == 7
+    for r in rows:
+        said = lm_score.words((texts[r["doc_id"]] or "").encode())
+        assert list(r["classes"]) == [v.known[w][0] for w in said] and r["n_tokens"] == len(said)
+        assert np.isclose(r["x"], sum(v.known[w][1] for w in said)) and r["others"] == []
+    assert lm_score.laid([b"", b"\1\2", b"", b"\3"]).tolist() == [0, 0, 1, 2, 0, 0, 3, 0, 0]
+
+
+def test_odds_are_cut_where_they_could_be_too_large():
+    p = lm_score.start()
+    classes, at = np.array([0, 0, 5, 9, 5, 0, 0]), np.arange(2, 5)
+    p[3][5] = 500
+    assert lm_score.odds(p, lm_score.hidden(p, classes, at)).max() == 60
+    assert np.isfinite(lm_score.log_probabilities(p, classes, at)).all()
+    lm_score.learn(p, [np.full_like(x, 1e-3) for x in p], classes, at)
+    assert all(np.isfinite(x).all() for x in p)
