@@ -188,3 +188,25 @@ def test_few_round_trips_to_the_state(spark):
         now = type("now", (), {"getCurrentWatermarkInMs": lambda self: 10_000})()
         timers.clear()
         assert list(processor.handleExpiredTimer((1,), now, None)) == [] and not timers and [t for t, _, _ in processor.turns.held] == ([10] if n == 1 else [8, 10])
+
+
+def test_an_index_holds_texts_once(spark, tmp_path):
+    """Windows are not stored; those of sentences that are found equal the documents' windows, whatever goes at once."""
+    from lorevane.operators import retrieval as R
+    from lorevane.operators import vector_index as V
+    from lorevane.plans import assistant as A
+
+    rows = [(i, None if i % 7 == 0 else " ".join(f"Sentence {j} of {i} says {'word ' * (j % 5)}." for j in range(i % 40)), None if i == 5 else {"file_name": f"{i}.pdf", "window": "old"}) for i in range(-3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, metadata map<string,string>")
+    path = str(tmp_path / "index")
+    A.index(docs, path)
+    nodes = V.load(spark, path)
+    want = {r["doc_id"] * A.SENTENCES + r["ord"]: (r["sent"], r["window"]) for r in R.document_windows(docs).collect()}
+    assert set(nodes.columns) == {"node_id", "embedding", "distance", "cell"} and {r["node_id"] for r in nodes.collect()} == set(want)
+    for at_once in (1_000_000, 100):
+        got = A.passages(nodes.select("node_id").union(nodes.select("node_id")), path, at_once)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        held = got.collect()
+        assert len(held) == len(want) and {r["node_id"]: r["text"] for r in held} == {k: v[0] for k, v in want.items()}
+        assert all(r["metadata"] is None if r["node_id"] // A.SENTENCES == 5 else r["metadata"] == {"file_name": f"{r['node_id'] // A.SENTENCES}.pdf", "window": want[r["node_id"]][1]} for r in held)
+    assert A.passages(nodes.where("false"), path).collect() == []
