@@ -210,3 +210,35 @@ def test_an_index_holds_texts_once(spark, tmp_path):
         assert len(held) == len(want) and {r["node_id"]: r["text"] for r in held} == {k: v[0] for k, v in want.items()}
         assert all(r["metadata"] is None if r["node_id"] // A.SENTENCES == 5 else r["metadata"] == {"file_name": f"{r['node_id'] // A.SENTENCES}.pdf", "window": want[r["node_id"]][1]} for r in held)
     assert A.passages(nodes.where("false"), path).collect() == []
+
+
+def test_batches_leave_no_working_folders(spark, tmp_path):
+    """What a batch of requests writes on its way is deleted, also where it fails; folders of others stay."""
+    import pathlib
+
+    from lorevane.plans import assistant as A
+    from lorevane.plans import folders, streams
+
+    base = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "lorevane-stream"
+    other = folders.working_folder(spark)
+    spark.range(1).write.parquet(other)
+    docs = spark.createDataFrame([(1, "The fee is ten.", {"file_name": "1.pdf"})], "doc_id long, text string, metadata map<string,string>")
+    models = A.Models(classify=lambda text: F.lit("ACADEMIC"))
+    path, folder, log, out = (str(tmp_path / x) for x in ("index", "requests", "log", "out"))
+    A.index(docs, path, models)
+    schema = "thread_id long, turn long, user_message string"
+    before = set(base.iterdir())
+    for turn in (0, 1):
+        spark.createDataFrame([(1, turn, "what is the fee")], schema).coalesce(1).write.mode("append").parquet(folder)
+        streams.answer_stream(spark.readStream.schema(schema).parquet(folder), path, log, out, str(tmp_path / "checkpoint"), models=models).awaitTermination()
+    assert set(base.iterdir()) == before and spark.read.parquet(out).count() == 2 and spark.read.parquet(other).count() == 1
+    made = []
+    try:
+        with folders.cleared(spark), folders.cleared(spark):
+            made.append(folders.working_folder(spark))
+            spark.range(1).write.parquet(made[0])
+            raise KeyError
+    except KeyError:
+        pass
+    spark.range(1).write.parquet(folders.working_folder(spark))
+    assert not folders.exists(spark, made[0]) and len(set(base.iterdir()) - before) == 1
